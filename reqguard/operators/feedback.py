@@ -44,14 +44,13 @@ def threshold_tuning(outcomes: DataFrame, missed: DataFrame, current: float = C.
     return both.withColumn("block_threshold", tuned)
 
 
-def evolution_gate(attacks: DataFrame) -> DataFrame:
+def evolution_gate(attacks: DataFrame, cooldown_us: int = C.EVOLUTION_COOLDOWN_S * SECOND) -> DataFrame:
     """Cool-down periods in which enough different confirmed payloads came together to learn from.
 
-    attacks has t_us and payload; payloads of more than 10 characters are pooled per 600 s period.
+    attacks has t_us and payload; payloads of more than 10 characters are pooled per period.
     """
-    period = C.EVOLUTION_COOLDOWN_S * SECOND
     pooled = attacks.filter(F.length("payload") > C.EVOLUTION_POOL_CHARS).withColumn(
-        "period_us", F.expr(f"(t_us div {period}) * {period}"))
+        "period_us", F.expr(f"(t_us div {cooldown_us}) * {cooldown_us}"))
     return pool_diversity(pooled, ["period_us"]).filter((F.col("n") >= C.EVOLUTION_POOL_MIN) & F.col("diverse"))
 
 

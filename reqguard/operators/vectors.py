@@ -46,24 +46,35 @@ def cold_anomaly(vectors: DataFrame) -> DataFrame:
         {"rate": x[0], "burst": x[1], "failure_rate": x[2], "scan": x[6], "flags": x[7]}))
 
 
+def _with(value: Column, fn) -> Column:
+    """fn(value) with the value computed once per row, however often fn uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def lexical(payload: Column) -> Column:
     """52 bigram buckets of the lower-cased payload's first 512 characters, scaled to a maximum of 1."""
     low = F.substring(F.lower(payload), 1, C.FINGERPRINT_CHARS)
-    bucket = F.transform(text.ngrams(low, 2), lambda g: F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("int")
-                         % C.LEXICAL_DIM)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(C.LEXICAL_DIM - 1)), lambda b: F.size(
-        F.filter(bucket, lambda x: x == b)).cast("double"))
-    return F.transform(counts, lambda n: n / F.greatest(F.array_max(counts), F.lit(1.0)))
 
+    def buckets(text_):
+        return F.transform(text.ngrams(text_, 2), lambda g: F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("int")
+                           % C.LEXICAL_DIM)
 
-def unit(vec: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vec, lambda x: x / (norm + 1e-12))
+    def counts(found):
+        return F.transform(F.sequence(F.lit(0), F.lit(C.LEXICAL_DIM - 1)), lambda b: F.size(
+            F.filter(found, lambda x: x == b)).cast("double"))
 
+    def scaled(n):
+        return _with(F.greatest(F.array_max(n), F.lit(1.0)), lambda top: F.transform(n, lambda x: x / top))
 
-def lexical_by_payload(requests: DataFrame) -> DataFrame:
-    """(payload, lex) for the distinct non-empty payloads."""
-    return requests.filter("payload <> ''").select("payload").distinct().withColumn("lex", lexical(F.col("payload")))
+    return _with(low, lambda t: _with(buckets(t), lambda found: _with(counts(found), scaled)))
+
+
+def unit(vec: Column) -> Column:
+    """The vector divided by its length."""
+    def divided(v):
+        length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)) + 1e-12
+        return _with(length, lambda n: F.transform(v, lambda x: x / n))
+    return _with(vec, divided)
 
 
 def behavior_embedding(features: DataFrame) -> DataFrame:

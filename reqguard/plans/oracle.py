@@ -582,7 +582,7 @@ def oracle_sql():
             FROM risks""", FEAT, RAW),
         "decayed_risk": with_req(f"""SELECT event_id, {rnd('raw')} AS raw, {rnd('score')} AS score, risk_level FROM risk""", *TO_RISK),
         "risk_level": with_req(f"""SELECT ip AS key, {rnd('score')} AS score, risk_level, {rnd('floor(left_over * 10 + 0.5e0) / 10')}
-            AS current_score, {LEVEL.format('left_over')} AS current_level FROM (SELECT *, score * exp(-0.005e0 *
+            AS current_score, {LEVEL.format('left_over')} AS current_level FROM (SELECT *, score * exp(-1e-6 *
             (({NOW} + 100000000 - t_us) / 1e6)) AS left_over FROM last_risk) WHERE left_over >= 1""", *TO_RISK),
         "decay_all": with_req(f"SELECT ip AS key, {rnd('score * pow(0.9e0, 3)')} AS score FROM last_risk", *TO_RISK),
         "adaptive_decision": with_req(f"SELECT event_id, {rnd('total_risk')} AS total_risk, action FROM first", *TO_FIRST),
@@ -642,7 +642,7 @@ def oracle_sql():
             severity, t_us + {DAY_US} AS expires_us FROM (SELECT f.kind, f.event_id, f.t_us FROM flagged f JOIN risk USING (event_id)
               WHERE score >= 50 QUALIFY row_number() OVER (PARTITION BY kind, f.t_us // 300000000 ORDER BY f.t_us, f.event_id) = 1)
             JOIN auto_kinds USING (kind)""", *TO_RISK, AUTO),
-        "evolution_gate": with_req(f"""SELECT t_us // {DAY_US} * {DAY_US} AS period_us, count(*) AS n, count(DISTINCT payload) AS n_distinct,
+        "evolution_gate": with_req(f"""SELECT t_us // {DAY_US // 4} * {DAY_US // 4} AS period_us, count(*) AS n, count(DISTINCT payload) AS n_distinct,
             {rnd('count(DISTINCT payload) / count(*)::DOUBLE')} AS share FROM req WHERE {DECEPTIVE} AND length(payload) > 10
             GROUP BY 1 HAVING count(*) >= 8 AND count(DISTINCT payload) / count(*)::DOUBLE > 0.4e0"""),
         "apply_corrections": with_req(f"""

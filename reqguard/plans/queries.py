@@ -225,7 +225,7 @@ def json_props(spark, sf):
     parsed = F.from_json("props", "k long, extra string")
     return events.select("event_id", parsed["k"].alias("k"), parsed["extra"].alias("extra"),
                          F.to_json(F.struct(parsed["k"].alias("k"))).alias("again"),
-                         F.from_json(F.concat(F.lit("{"), "event_type"), "k long").isNull().alias("bad_is_null"))
+                         F.from_json(F.concat(F.lit("{"), "event_type"), "k long")["k"].isNull().alias("bad_is_null"))
 
 
 # ---------------------------------------------------------------- memory and decisions
@@ -309,10 +309,13 @@ def decayed_risk(r):
     return risk_table(r).select("event_id", "raw", "score", "risk_level")
 
 
+SLOW = 1e-6  # decay per second at which the sparse sample keeps some risk for days
+
+
 def risk_level(r):
     scores = RK.current_scores(risk_table(r))
-    day = F.lit(latest_us(r) + 100 * SECOND)
-    return RK.sweep(scores, day).select("key", "score", "risk_level", "current_score", "current_level")
+    later = F.lit(latest_us(r) + 100 * SECOND)
+    return RK.sweep(scores, later, SLOW).select("key", "score", "risk_level", "current_score", "current_level")
 
 
 def decay_all(r):
@@ -400,10 +403,8 @@ def apply_corrections(r):
 
 
 def evolution_gate(r):
-    """Confirmed payloads pooled per day-long period, as the sample has few requests per ten minutes."""
-    pool = outcomes(r).filter("is_attack and length(payload) > 10").withColumn(
-        "period_us", F.expr(f"(t_us div {DAY * SECOND}) * {DAY * SECOND}"))
-    return MI.pool_diversity(pool, ["period_us"]).filter(c("diverse") & (c("n") >= C.EVOLUTION_POOL_MIN)).drop("diverse")
+    """Confirmed payloads pooled per six hours, as the sample has few requests per ten minutes."""
+    return FB.evolution_gate(outcomes(r).filter("is_attack"), DAY // 4 * SECOND).drop("diverse")
 
 
 def pool_diversity(r):
