@@ -29,18 +29,32 @@ def first_seen_steps(rows: DataFrame, keys: list[str], value: str, name: str) ->
     return first.select(*keys, "f.*", F.lit(0).alias("sub"), F.lit(1).cast("long").alias(name))
 
 
+COUNTS = ["total_requests", "sensitive_hits", "failed_logins", "unique_agents", "repeats", "fake_posts", "dwells",
+          "dwell_us"]
+
+
+def identity_rows(requests: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """The narrow columns of each request that identity memory is built from."""
+    c = F.col
+    return identified(requests, key).select(
+        "event_id", "t_us", "identity", "user_agent", "endpoint",
+        c("deceptive").cast("long").alias("hit"), c("failed_login").cast("long").alias("failed"),
+        (c("deceptive") & (c("method") == "POST")).cast("long").alias("fake_post"),
+        F.length("payload").cast("long").alias("payload_size"))
+
+
 def behavior_memory(requests: DataFrame, cfg: Config, key: str = "fingerprint") -> DataFrame:
     """What is known of each request's identity at that request, itself included.
 
     Cumulative counts and decoy counts are running sums over the identity's time segments; the last 50 rows are a row
     frame over blocks of numbered rows.
     """
+    return remember(identity_rows(requests, key), cfg)
+
+
+def remember(rows: DataFrame, cfg: Config, known_agents: DataFrame | None = None) -> DataFrame:
+    """Memory over ``identity_rows``; agents in ``known_agents`` (identity, user_agent) are not counted as new."""
     c = F.col
-    rows = identified(requests, key).select(
-        "event_id", "t_us", "identity", "user_agent", "endpoint",
-        c("deceptive").cast("long").alias("hit"), c("failed_login").cast("long").alias("failed"),
-        (c("deceptive") & (c("method") == "POST")).cast("long").alias("fake_post"),
-        F.length("payload").cast("long").alias("payload_size"))
     last_hit = F.when(c("hit") == 1, F.struct("t_us", "event_id", "endpoint"))
     known = stage(running(rows, ["identity"], {
         "total_requests": ("sum", F.lit(1).cast("long")), "sensitive_hits": ("sum", c("hit")),
@@ -71,7 +85,10 @@ def behavior_memory(requests: DataFrame, cfg: Config, key: str = "fingerprint")
         "repeat": F.when((c("hit") == 1) & (c("last_hit.endpoint") == c("endpoint")), 1).otherwise(0).cast("long"),
         "dwell_step": F.when(quick, 1).otherwise(0).cast("long"),
         "dwell_us_step": F.when(quick, dwell).otherwise(0)}).drop("last_hit")
-    steps = steps.unionByName(first_seen_steps(known, ["identity"], "user_agent", "agent_step"),
+    agents = known.select("identity", "user_agent", "t_us", "event_id")
+    if known_agents is not None:
+        agents = agents.join(known_agents, ["identity", "user_agent"], "left_anti")
+    steps = steps.unionByName(first_seen_steps(agents, ["identity"], "user_agent", "agent_step"),
                               allowMissingColumns=True)
     out = running(steps, ["identity"], {
         "unique_agents": ("sum", c("agent_step")), "repeats": ("sum", c("repeat")), "fake_posts": ("sum", c("fake_post")),
@@ -83,6 +100,38 @@ def behavior_memory(requests: DataFrame, cfg: Config, key: str = "fingerprint")
         "gap_var", "repeats", "fake_posts", "dwells", "dwell_us")
 
 
+def remember_more(new: DataFrame, kept: DataFrame | None, agents: DataFrame | None, cfg: Config) -> DataFrame:
+    """Memory of new ``identity_rows`` after earlier ones.
+
+    ``kept`` holds, per identity, its last 50 earlier rows and its last decoy hit, with the memory at each of them. New
+    rows see these rows in their frames; cumulative counts continue from the newest kept row.
+    """
+    c = F.col
+    if kept is None:
+        return remember(new, cfg)
+    rows = new.withColumn("old", F.lit(False)).unionByName(
+        kept.select(*new.columns).join(new.select("identity").distinct(), "identity", "left_semi")
+        .withColumn("old", F.lit(True)))
+    both = stage(remember(rows.drop("old"), cfg, agents), "memory")
+    newest = F.max_by(F.struct(*COUNTS, "first_us"), F.struct("t_us", "event_id"))
+    base = kept.groupBy("identity").agg(newest.alias("base"))
+    again = both.join(kept.select("event_id"), "event_id", "left_semi").groupBy("identity").agg(newest.alias("again"))
+    offset = base.join(again, "identity")
+    out = both.join(new.select("event_id"), "event_id", "left_semi").join(offset, "identity", "left")
+    moved = {n: c(n) + F.coalesce(c(f"base.{n}") - c(f"again.{n}"), F.lit(0)) for n in COUNTS}
+    return out.withColumns({**moved, "first_us": F.least("first_us", "base.first_us")}).drop("base", "again").withColumn(
+        "n_recent", F.least(c("total_requests"), F.lit(LAST_ROWS)))
+
+
+def rows_to_keep(kept: DataFrame | None, new: DataFrame, memory: DataFrame) -> DataFrame:
+    """The rows ``remember_more`` needs next time: last 50 and last decoy hit per identity, with their memory."""
+    rows = new.join(memory.select("event_id", *COUNTS, "first_us"), "event_id")
+    both = rows if kept is None else kept.unionByName(rows.select(*kept.columns))
+    last = newest_per_key(both, ["identity"], LAST_ROWS)
+    hit = newest_per_key(both.filter("hit = 1"), ["identity"], 1)
+    return last.unionByName(hit).distinct()
+
+
 def behavior_deviation(memory: DataFrame) -> DataFrame:
     """Add ``deviation`` (0-100): agents, bursts, decoy share, failed logins and regular timing."""
     c = F.col

@@ -11,6 +11,7 @@ from reqguard import constants as C
 from reqguard.config import Config
 from reqguard.functions import scoring
 from reqguard.functions.rounding import round_half_up
+from reqguard.operators.running import block_window, rank_blocks, running
 from reqguard.session import stage
 
 LEVELS = 1001  # a stored score is one of 0.0, 0.1, ... 100.0
@@ -94,7 +95,7 @@ def _walk(by: str):
 
 
 def block_starts(rows: DataFrame, block_rows: int, lam: float) -> DataFrame:
-    """Starting score of every block of a key that has more than one.
+    """Starting score of every later block of a key that has more than one; ``first`` is that of its first block.
 
     The recursion rounds to tenths, so a block is fully described by where it takes each of the 1,001 possible scores.
     These tables are built block by block in parallel, composed per run of FAN blocks and then per key.
@@ -104,7 +105,8 @@ def block_starts(rows: DataFrame, block_rows: int, lam: float) -> DataFrame:
                  .groupBy("key", "_blk").applyInPandas(_transfer(lam), "key string, _blk long, ends array<int>"),
                  "risk-blocks").withColumn("_sup", F.expr(f"_blk div {FAN}"))
     runs = ends.groupBy("key", "_sup").applyInPandas(_compose, "key string, _sup long, ends array<int>")
-    run_starts = runs.withColumn("start", F.lit(0)).groupBy("key").applyInPandas(
+    first = rows.filter("rn = 1").select("key", F.round(F.col("first") * 10).cast("int").alias("start"))
+    run_starts = runs.join(first, "key").groupBy("key").applyInPandas(
         _walk("_sup"), "key string, _sup long, start int")
     starts = ends.join(run_starts, ["key", "_sup"]).groupBy("key", "_sup").applyInPandas(
         _walk("_blk"), "key string, _blk long, start int")
@@ -112,25 +114,40 @@ def block_starts(rows: DataFrame, block_rows: int, lam: float) -> DataFrame:
     return starts.groupBy("key", "_blk").agg((F.first("start") / 10.0).alias("start"))
 
 
-def decayed_risk(risks: DataFrame, cfg: Config, lam: float = C.DECAY_LAMBDA) -> DataFrame:
+def decayed_risk(risks: DataFrame, cfg: Config, lam: float = C.DECAY_LAMBDA, state: DataFrame | None = None) -> DataFrame:
     """Add ``score`` and ``risk_level``: the actor's risk after each request, decayed between requests.
 
     risks has event_id, key, rn (row number per key), t_us, t1 (previous request) and raw. Blocks of a busy key are
-    folded in parallel once their starting scores are known; other keys are a single block that starts from 0.
+    folded in parallel once their starting scores are known; other keys are a single block. ``state`` (key, t_us, score)
+    holds the last scores of earlier rows; without it every key starts from 0.
     """
     c = F.col
+    if state is not None:
+        before = state.select("key", c("t_us").alias("_t"), c("score").alias("first"))
+        risks = risks.join(before, "key", "left").withColumns({
+            "t1": F.coalesce("t1", "_t"), "first": F.coalesce("first", F.lit(0.0))}).drop("_t")
+    else:
+        risks = risks.withColumn("first", F.lit(0.0))
     risks = stage(risks, "raw-risk")
-    rows = risks.select("event_id", "key", "rn", "raw",
+    rows = risks.select("event_id", "key", "rn", "raw", "first",
                         F.coalesce((c("t_us") - c("t1")) / 1e6, F.lit(0.0)).alias("seconds"),
                         F.expr(f"(rn - 1) div {cfg.block_rows}").alias("_blk"))
     if risks.filter(c("rn") > cfg.block_rows).isEmpty():
-        rows = rows.withColumn("start", F.lit(0.0))
+        rows = rows.withColumn("start", c("first"))
     else:
         rows = rows.join(block_starts(rows, cfg.block_rows, lam), ["key", "_blk"], "left")
-        rows = rows.withColumn("start", F.coalesce("start", F.lit(0.0)))
+        rows = rows.withColumn("start", F.coalesce("start", "first"))
     folded = (rows.select("event_id", "key", "_blk", "rn", "start", "raw", "seconds").repartition("key", "_blk")
               .sortWithinPartitions("key", "_blk", "rn").mapInPandas(_fold(lam), "event_id long, score double"))
-    return risks.join(folded, "event_id").withColumn("risk_level", scoring.risk_level(c("score")))
+    return risks.drop("first").join(folded, "event_id").withColumn("risk_level", scoring.risk_level(c("score")))
+
+
+def numbered(risks: DataFrame, cfg: Config) -> DataFrame:
+    """Risks (event_id, key, t_us, raw) with ``rn`` and ``t1``, as ``decayed_risk`` needs them."""
+    seen = running(risks, ["key"], {"rn": ("sum", F.lit(1).cast("long"))}, cfg.segment_us)
+    blocks = rank_blocks(seen, "rn", cfg.block_rows, 1)
+    return (blocks.withColumn("t1", F.lag("t_us").over(block_window(["key"], "rn"))).filter(~F.col("_ghost"))
+            .drop("_blk", "_ghost"))
 
 
 def current_scores(risk: DataFrame) -> DataFrame:

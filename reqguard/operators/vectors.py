@@ -219,4 +219,3 @@ def campaign_rows(members: DataFrame, correlated: DataFrame, now_us: Column) ->
         now_us.alias("detected_us"), F.lit("ACTIVE").alias("status"))
 
 
-WINDOW_US = C.CORRELATION_WINDOW_S * SECOND

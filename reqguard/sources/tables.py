@@ -43,16 +43,16 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName()[2:]) for p in done if fs.exists(hadoop.Path(p, "_SUCCESS")))
 
 
-def save_snapshot(df: DataFrame, path: str) -> int:
-    """Write the next version of a table; readers see it once it is complete."""
-    version = max(_versions(df.sparkSession, path), default=0) + 1
+def save_snapshot(df: DataFrame, path: str, version: int | None = None) -> int:
+    """Write the next (or the given) version of a table; readers see it once it is complete."""
+    version = version or max(_versions(df.sparkSession, path), default=0) + 1
     df.write.mode("overwrite").parquet(f"{path}/v={version}")
     return version
 
 
-def load_snapshot(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """Read the newest complete version, or None when there is none."""
-    versions = _versions(spark, path)
+def load_snapshot(spark: SparkSession, path: str, schema=None, before: int | None = None) -> DataFrame | None:
+    """Read the newest complete version (below ``before``, if given), or None when there is none."""
+    versions = [v for v in _versions(spark, path) if before is None or v < before]
     if not versions:
         return None
     reader = spark.read.schema(schema) if schema else spark.read
