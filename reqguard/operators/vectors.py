@@ -98,7 +98,7 @@ def _matrix(memory: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if len(rows) > C.MEMORY_ENTRIES:
         raise ValueError("the memory holds more than its cap; apply memorize first")
     ids = np.array([r["entry_id"] for r in rows], dtype=np.int64)
-    return ids, np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    return ids, np.array([r["vec"] for r in rows], dtype=np.float64)
 
 
 def top1(queries: DataFrame, memory: DataFrame, id_col: str = "event_id") -> DataFrame:
