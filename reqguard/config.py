@@ -20,7 +20,6 @@ class Config:
     burst_rows: int = 20
     segment_s: int = 60
     block_rows: int = 65_536
-    payload_history: str = "oldest"
 
     @property
     def short_us(self):

@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from reqguard import constants as C
 
 
-def any_match(text: Column, patterns: list[str]) -> Column:
-    """True where one pattern is found; ``(?d)`` makes only a line feed end a line, for ``.``."""
-    return reduce(lambda a, b: a | b, [text.rlike("(?d)" + p) for p in patterns])
+def any_match(text: Column, patterns: list[str], low: Column | None = None) -> Column:
+    """True where one pattern is found; ``(?d)`` makes only a line feed end a line, for ``.``.
+
+    With ``low``, the lower-cased text, a pattern is only searched where a text that all its matches contain is present:
+    most rows are decided by plain substring tests.
+    """
+    def found(p):
+        hit = text.rlike("(?d)" + p)
+        return contains_any(low, C.NEEDLES[p]) & hit if low is not None and p in C.NEEDLES else hit
+    return reduce(lambda a, b: a | b, [found(p) for p in patterns])
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def matched_signatures(payload: Column, user_agent: Column, path: Column) -> Column:
+def matched_signatures(text: Column, low: Column) -> Column:
     """Names of the signature categories found in the request text, each once, in table order."""
-    text = F.concat_ws(" ", payload, user_agent, path)
-    hits = [F.when(any_match(text, patterns), F.lit(name)) for name, (_, patterns) in C.SIGNATURES.items()]
+    hits = [F.when(any_match(text, patterns, low), F.lit(name)) for name, (_, patterns) in C.SIGNATURES.items()]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
@@ -32,18 +38,22 @@ def signature_score(matched: Column) -> Column:
 
 def signature_match(requests: DataFrame) -> DataFrame:
     """Add ``matched`` (array) and ``signature_score`` to requests with payload, user_agent and endpoint."""
-    out = requests.withColumn("matched", matched_signatures(F.col("payload"), F.col("user_agent"), F.col("endpoint")))
-    return out.withColumn("signature_score", signature_score(F.col("matched")))
+    out = requests.withColumn("_text", F.concat_ws(" ", "payload", "user_agent", "endpoint"))
+    out = out.withColumn("_low", F.lower("_text")).withColumn("matched", matched_signatures(F.col("_text"), F.col("_low")))
+    return out.drop("_text", "_low").withColumn("signature_score", signature_score(F.col("matched")))
 
 
-def flag_hit(payload: Column, flag: str) -> Column:
-    return any_match(F.lower(payload), C.PAYLOAD_FLAGS[flag])
+def flag_hit(low: Column, flag: str) -> Column:
+    """Whether the lower-cased payload shows the flag."""
+    return any_match(low, C.PAYLOAD_FLAGS[flag], low)
 
 
 def payload_flags(payload: Column) -> Column:
     """Flags found in a payload, sorted by name."""
-    return F.filter(F.array(*[F.when(flag_hit(payload, f), F.lit(f)) for f in sorted(C.PAYLOAD_FLAGS)]),
-                    lambda x: x.isNotNull())
+    def flags(low):
+        return F.filter(F.array(*[F.when(flag_hit(low, f), F.lit(f)) for f in sorted(C.PAYLOAD_FLAGS)]),
+                        lambda x: x.isNotNull())
+    return F.transform(F.array(F.lower(payload)), flags)[0]
 
 
 def fingerprint(user_agent: Column, path: Column, method: Column, payload: Column) -> Column:

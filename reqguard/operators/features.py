@@ -31,8 +31,8 @@ def row_values(requests: DataFrame, key: str) -> DataFrame:
     """The narrow per-request numbers the features are built from."""
     ua = F.coalesce("user_agent", F.lit(""))
     fail = F.col("status_code").isin(C.FAILURE_CODES)
-    flags = {c: _flag(text.flag_hit(F.coalesce("payload", F.lit("")), f)) for c, f in zip(FLAG_COLS, FLAGS)}
-    out = requests.select(
+    flags = {c: _flag(text.flag_hit(F.col("low"), f)) for c, f in zip(FLAG_COLS, FLAGS)}
+    out = requests.withColumn("low", F.lower(F.coalesce("payload", F.lit("")))).select(
         "event_id", "t_us", F.col(key).alias("key"),
         _flag(fail).alias("fail"), _flag(fail & text.contains_any(F.col("endpoint"), C.LOGIN_MARKERS)).alias("login_fail"),
         _flag(F.col("endpoint").isin(C.SENSITIVE_ENDPOINTS)).alias("sensitive"),
@@ -98,34 +98,29 @@ def features(requests: DataFrame, cfg: Config, key: str = "ip") -> DataFrame:
         **{f"p_{x}": F.lag(x, 1).over(order) for x in CARRIED}})
     base = stage(lagged.filter(~c("_ghost")).drop("_blk", "_ghost"), "features-rows")
 
-    zero = F.lit(0)
     changes = ["n_short", "n_long", "n_burst", *CARRIED, *[f"old_{x}" for x in FLAG_COLS],
                "endpoint", "session", "agent", "pair"]
 
-    def change(at: Column, phase: int, sub: int, event: Column, first_left: Column | None = None, **given) -> Column:
-        return F.struct(at.alias("at"), F.lit(phase).alias("phase"), event.cast("long").alias("event_id"),
-                        F.lit(sub).alias("sub"), (F.lit(None).cast("long") if first_left is None else first_left)
-                        .alias("next_first"), *[given.get(n, zero).cast("long").alias(n) for n in changes])
-
-    none = F.lit(-1)
-    flags_in = {f"old_{x}": c(x) for x in FLAG_COLS}
-    flags_out = {f"old_{x}": -c(x) for x in FLAG_COLS}
-    has_prev, has_flags = c("t1").isNotNull(), c("n_flags") > 0
-    if cfg.payload_history == "oldest":  # a row is among the oldest 20 once at most 19 older rows are left
-        enter = F.greatest(c("t_us"), F.coalesce(c("t20") + cfg.short_us, c("t_us")))
-        enter_phase, leave = 0, c("t_us") + cfg.short_us
-    else:
-        raise ValueError("payload_history must be 'oldest'")
-    rows = F.array(
-        change(c("t_us"), 1, 1, c("event_id"), n_short=F.lit(1), n_long=F.lit(1), n_burst=F.lit(1),
-               **{x: c(x) for x in CARRIED}),
-        F.when(has_prev, change(c("t1") + cfg.short_us, 0, 0, none, c("t_us"), n_short=none,
-                                **{x: -c(f"p_{x}") for x in CARRIED})),
-        F.when(has_prev, change(c("t1") + cfg.long_us, 0, 0, none, n_long=none)),
-        F.when(has_prev, change(c("t1") + cfg.burst_us, 0, 0, none, n_burst=none)),
-        F.when(has_flags & (enter > c("t_us")), change(enter, enter_phase, 0, none, **flags_in))
-        .when(has_flags, change(c("t_us"), 1, 0, c("event_id"), **flags_in)),
-        F.when(has_flags, change(leave, 0, 0, none, **flags_out)))
+    def change(at: str, phase: int, sub: int, event: str = "-1L", first_left: str = "null", when: str = "true",
+               **given) -> str:
+        """SQL of one change on the timeline: when it happens, its place among equal times, and what it adds."""
+        fields = {"at": at, "phase": phase, "event_id": event, "sub": sub, "next_first": f"cast({first_left} as bigint)",
+                  **{n: f"cast({given.get(n, 0)} as bigint)" for n in changes}}
+        return f"if({when}, named_struct({', '.join(f'{n!r}, {x}' for n, x in fields.items())}), null)"
+
+    flags_in = {f"old_{x}": x for x in FLAG_COLS}
+    flags_out = {f"old_{x}": f"-{x}" for x in FLAG_COLS}
+    # a row is among the oldest 20 of a window once at most 19 older rows are left in it
+    enter = f"greatest(t_us, coalesce(t20 + {cfg.short_us}, t_us))"
+    rows = F.expr("array(" + ", ".join([
+        change("t_us", 1, 1, "event_id", n_short=1, n_long=1, n_burst=1, **{x: x for x in CARRIED}),
+        change(f"t1 + {cfg.short_us}", 0, 0, first_left="t_us", when="t1 is not null", n_short=-1,
+               **{x: f"-p_{x}" for x in CARRIED}),
+        change(f"t1 + {cfg.long_us}", 0, 0, when="t1 is not null", n_long=-1),
+        change(f"t1 + {cfg.burst_us}", 0, 0, when="t1 is not null", n_burst=-1),
+        change("t_us", 1, 0, "event_id", when=f"n_flags > 0 and {enter} = t_us", **flags_in),
+        change(enter, 0, 0, when=f"n_flags > 0 and {enter} > t_us", **flags_in),
+        change(f"t_us + {cfg.short_us}", 0, 0, when="n_flags > 0", **flags_out)]) + ")")
     own = ["rn", "t1", "t3", "n_flags", "no_agent", "bot_indicators", *FLAG_COLS]
     event_row = c("r.sub") == 1
     timeline = (base.select("key", "t_us", "fail", *own, F.explode(rows).alias("r")).filter(c("r").isNotNull())

@@ -9,16 +9,13 @@ a large share of the data. Both helpers below cut a key's ordered rows into piec
   ``rowsBetween`` see what they would see over the whole key.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
-
-
-def _combine(how: str, carry: Column, local: Column) -> Column:
+def _combined(how: str, name: str) -> str:
     if how == "sum":
-        return F.coalesce(carry, F.lit(0)) + F.coalesce(local, F.lit(0))
-    return F.greatest(carry, local) if how == "max" else F.least(carry, local)
+        return f"coalesce(_c_{name}, 0) + coalesce(_r_{name}, 0) AS {name}"
+    return f"{'greatest' if how == 'max' else 'least'}(_c_{name}, _r_{name}) AS {name}"
 
 
 def running(df: DataFrame, keys: list[str], aggs: dict, segment_us: int, order=("t_us", "event_id")) -> DataFrame:
@@ -28,19 +25,22 @@ def running(df: DataFrame, keys: list[str], aggs: dict, segment_us: int, order=(
     ``(sum|min|max, Column, "before")``. Totals have at most (time span / segment) rows per key, however many events the
     key has. Keys must not be null. Structs compare field by field, so ``max(struct(t, id, x))`` gives the latest x.
     """
-    seg = "_seg"
-    df = df.withColumn(seg, F.expr(f"{order[0]} div {int(segment_us)}"))
-    totals = df.groupBy(*keys, seg).agg(*[AGGREGATES[a[0]](a[1]).alias(f"_c_{n}") for n, a in aggs.items()])
-    earlier = Window.partitionBy(*keys).orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, seg, *[AGGREGATES[a[0]](f"_c_{n}").over(earlier).alias(f"_c_{n}")
-                                        for n, a in aggs.items()])
-    inside = Window.partitionBy(*keys, seg).orderBy(*order)
-    frames = {False: inside.rowsBetween(Window.unboundedPreceding, 0),
-              True: inside.rowsBetween(Window.unboundedPreceding, -1)}
-    rows = df.withColumns({f"_r_{n}": AGGREGATES[a[0]](a[1]).over(frames[len(a) == 3]) for n, a in aggs.items()})
-    out = rows.join(carry, [*keys, seg])
-    out = out.withColumns({n: _combine(a[0], F.col(f"_c_{n}"), F.col(f"_r_{n}")) for n, a in aggs.items()})
-    return out.drop(seg, *[f"_{p}_{n}" for n in aggs for p in "cr"])
+    cols, names = df.columns, list(aggs)
+    how = {n: a[0] for n, a in aggs.items()}
+    df = df.withColumns({"_seg": F.expr(f"{order[0]} div {int(segment_us)}"),
+                         **{f"_v_{n}": a[1] for n, a in aggs.items()}})
+    totals = df.groupBy(*keys, "_seg").agg(*[F.expr(f"{how[n]}(_v_{n}) AS _c_{n}") for n in names])
+    earlier = f"(PARTITION BY {', '.join(keys)} ORDER BY _seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carry = totals.selectExpr(*keys, "_seg", *[f"{how[n]}(_c_{n}) OVER {earlier} AS _c_{n}" for n in names])
+
+    def inside(n):
+        last = "1 PRECEDING" if len(aggs[n]) == 3 else "CURRENT ROW"
+        return (f"(PARTITION BY {', '.join(keys)}, _seg ORDER BY {', '.join(order)} "
+                f"ROWS BETWEEN UNBOUNDED PRECEDING AND {last})")
+
+    rows = df.selectExpr(*cols, "_seg", *[f"{how[n]}(_v_{n}) OVER {inside(n)} AS _r_{n}" for n in names])
+    out = rows.join(carry, [*keys, "_seg"])
+    return out.selectExpr(*[x for x in cols if x not in names], *[_combined(how[n], n) for n in names])
 
 
 def rank_blocks(df: DataFrame, rn: str, block_rows: int, halo: int) -> DataFrame:

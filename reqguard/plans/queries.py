@@ -424,14 +424,15 @@ def threshold_tuning(r):
 
 # ---------------------------------------------------------------- text
 def documents(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select(c("doc_id").alias("event_id"), c("text").alias("payload"))
+    docs = RQ.spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    return docs.select(c("doc_id").alias("event_id"), c("text").alias("payload"))
 
 
 def signature_match(spark, sf):
     """Signatures over requests, documents, pages and chats."""
     blank = F.lit("")
     r = RQ.requests(spark, sf).select(F.lit("request").alias("src"), "event_id", "payload", "user_agent", "endpoint")
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select(
+    pages = RQ.spread(spark.read.parquet(f"{sf}/pages.parquet"), "page_id").select(
         F.lit("page").alias("src"), c("page_id").alias("event_id"), c("html").alias("payload"),
         blank.alias("user_agent"), c("url").alias("endpoint"))
     docs = documents(spark, sf).select(F.lit("document").alias("src"), "event_id", "payload", blank.alias("user_agent"),

@@ -10,7 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     s = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4")
-         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+         .config("spark.ui.enabled", "false")
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k").config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
