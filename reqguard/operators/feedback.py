@@ -9,6 +9,7 @@ from reqguard.functions import scoring
 from reqguard.operators import rules as rule_ops
 from reqguard.operators.memory import newest
 from reqguard.operators.mining import pool_diversity
+from reqguard.operators.reports import merged
 from reqguard.operators.running import running
 from reqguard.session import stage
 
@@ -38,7 +39,7 @@ def threshold_tuning(outcomes: DataFrame, missed: DataFrame, current: float = C.
     """One row: the block threshold after the newest 400 outcomes (is_attack) and newest 100 missed attacks."""
     recent = newest(outcomes, 400).agg(F.count("*").alias("n"), F.count_if(~F.col("is_attack")).alias("fp"))
     lost = newest(missed, 100).agg(F.count("*").alias("fn"))
-    both = recent.withColumn("_one", F.lit(1)).join(lost.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    both = merged([recent, lost])
     fp, fn = F.col("fp") / F.col("n"), F.col("fn") / F.col("n")
     tuned = F.when(F.col("n") >= 20, scoring.tuned_block_threshold(F.lit(current), fp, fn)).otherwise(current)
     return both.withColumn("block_threshold", tuned)

@@ -35,7 +35,7 @@ def top_k(df: DataFrame, what: Column, k: int = 5) -> DataFrame:
 
 def dashboard_stats(requests: DataFrame, blocks: DataFrame, rules: DataFrame, decoys: DataFrame, scores: DataFrame,
                     state: DataFrame, now_us: int) -> DataFrame:
-    """One row of headline numbers at ``now_us``; each input is reduced to one row before they are put together."""
+    """One row of headline numbers at ``now_us``; each input is reduced to one row, and the rows are merged."""
     c = F.col
     hour_ago = now_us - HOUR_US
     last_hour = (c("t_us") > hour_ago) & (c("t_us") <= now_us)
@@ -50,8 +50,13 @@ def dashboard_stats(requests: DataFrame, blocks: DataFrame, rules: DataFrame, de
         scores.agg(F.count_if(c("score") > 60).alias("high_risk_ips")),
         state.agg(F.max("level").alias("defense_level"), F.max("rate_limit").alias("rate_limit")),
     ]
-    one = F.lit(1).alias("_one")  # every part is a single row
-    return reduce(lambda a, b: a.join(b, "_one"), [p.select("*", one) for p in parts]).drop("_one")
+    return merged(parts)
+
+
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """One row out of one-row inputs with different columns."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.max(x).alias(x) for x in rows.columns])
 
 
 def attacker_profiles(decoys: DataFrame, n: int = 500) -> DataFrame:

@@ -4,11 +4,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqguard import constants as C
+from reqguard.config import Config
 from reqguard.functions import text
+from reqguard.operators.running import running
 from reqguard.sources.schemas import RULES
 from reqguard.sources.tables import insert_absent
 
 MATCH_BATCH = 500
+FAN = 1024
 
 
 def default_rules(spark: SparkSession, created_us: int = 0) -> DataFrame:
@@ -95,28 +98,32 @@ def rule_performance(rules: DataFrame, effectiveness: DataFrame) -> DataFrame:
             .orderBy(F.desc("effectiveness"), "rule_name"))
 
 
-def signature_confidence(changes: DataFrame, segment_us: int, start: float = 0.5) -> DataFrame:
+def signature_confidence(changes: DataFrame, cfg: Config, start: float = 0.5) -> DataFrame:
     """Confidence per signature after its changes (signature, t_us, event_id, delta), clamped to [0, 1] at each one.
 
-    A run of clamped additions is again "add, then clamp": x -> min(hi, max(lo, x + add)). Each time segment is reduced
-    to these three numbers, and a signature's segments are then applied in order.
+    "Add, then clamp" steps combine to one such step: x -> min(hi, max(lo, x + add)). A signature's changes are numbered
+    and cut into blocks, each block is reduced to one step, runs of blocks again, and what is left is applied in order.
     """
     c = F.col
 
-    def clamp(x):
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-
-    ordered = F.array_sort(F.collect_list(F.struct("t_us", "event_id", "delta")))
-    open_ended = F.struct(F.lit(0.0).alias("add"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
-    parts = (changes.withColumn("seg", F.expr(f"t_us div {segment_us}")).groupBy("signature", "seg")
-             .agg(ordered.alias("ds"), F.count("*").alias("n")))
-    parts = parts.select("signature", "seg", "n", F.aggregate("ds", open_ended, lambda f, d: F.struct(
-        (f["add"] + d["delta"]).alias("add"), clamp(f["lo"] + d["delta"]).alias("lo"),
-        clamp(f["hi"] + d["delta"]).alias("hi"))).alias("f"))
-    steps = F.array_sort(F.collect_list(F.struct("seg", "f")))
-    return (parts.groupBy("signature").agg(steps.alias("fs"), F.sum("n").alias("changes"))
-            .select("signature", "changes", F.aggregate("fs", F.lit(start), lambda x, s: F.least(
-                s["f"]["hi"], F.greatest(s["f"]["lo"], x + s["f"]["add"]))).alias("confidence")))
+    def then(f, g):
+        def clamp(x):
+            return F.greatest(g["lo"], F.least(g["hi"], x))
+        return F.struct((f["add"] + g["add"]).alias("add"), clamp(f["lo"] + g["add"]).alias("lo"),
+                        clamp(f["hi"] + g["add"]).alias("hi"))
+
+    nothing = F.struct(F.lit(0.0).alias("add"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    rows = running(changes, ["signature"], {"at": ("sum", F.lit(1).cast("long"))}, cfg.segment_us)
+    steps = rows.select("signature", (c("at") - 1).alias("at"), F.lit(1).cast("long").alias("changes"), F.struct(
+        c("delta").alias("add"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")).alias("f"))
+    for size in (cfg.block_rows, FAN):
+        steps = (steps.groupBy("signature", F.expr(f"at div {size}").alias("at"))
+                 .agg(F.sum("changes").alias("changes"), F.array_sort(F.collect_list(F.struct("at", "f"))).alias("fs"))
+                 .select("signature", "at", "changes", F.aggregate("fs", nothing, lambda f, s: then(f, s["f"])).alias("f")))
+    last = steps.groupBy("signature").agg(F.sum("changes").alias("changes"),
+                                          F.array_sort(F.collect_list(F.struct("at", "f"))).alias("fs"))
+    return last.select("signature", "changes", F.aggregate("fs", F.lit(start), lambda x, s: F.least(
+        s["f"]["hi"], F.greatest(s["f"]["lo"], x + s["f"]["add"]))).alias("confidence"))
 
 
 def attack_signatures(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

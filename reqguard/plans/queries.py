@@ -382,7 +382,7 @@ def signature_confidence(r):
     changes = r.filter("payload <> ''").select(
         F.md5("payload").alias("signature"), "t_us", "event_id",
         F.when(c("status_code") == 200, -0.07).otherwise(0.05).alias("delta"))
-    return RU.signature_confidence(changes, CFG.segment_us)
+    return RU.signature_confidence(changes, CFG)
 
 
 def healing_status(r):

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,15 +46,16 @@ def test_effectiveness_and_confidence(spark):
     assert {r["rule_name"]: r["confidence"] for r in RU.with_confidence(rules, eff).collect()} == {"a": pytest.approx(0.6), "b": 0.5}
 
 
-@pytest.mark.parametrize("segment", [1, 7, 1000])
-def test_signature_confidence_clamps_at_every_change(spark, segment):
+@pytest.mark.parametrize("block", [1, 2, 1000])
+def test_signature_confidence_clamps_at_every_change(spark, block, monkeypatch):
+    monkeypatch.setattr(RU, "FAN", 2)
     deltas = [0.3, 0.4, -0.2, 0.5, -0.9, -0.4, 0.25, 0.1, -0.05]
     df = spark.createDataFrame([("s", i, i, d) for i, d in enumerate(deltas)] + [("q", 3, 99, 0.9)],
                                "signature string, t_us long, event_id long, delta double")
     x = 0.5
     for d in deltas:
         x = max(0.0, min(1.0, x + d))
-    got = {r["signature"]: r["confidence"] for r in RU.signature_confidence(df, segment).collect()}
+    got = {r["signature"]: r["confidence"] for r in RU.signature_confidence(df, replace(LIVE, block_rows=block)).collect()}
     assert got == {"s": pytest.approx(x), "q": 1.0}
 
 
