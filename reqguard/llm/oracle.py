@@ -1,6 +1,6 @@
 """The same results in DuckDB SQL, where SQL can express them."""
 
-from reqguard.llm import quality
+from reqguard.llm import imatch, license, mixing, preference, quality
 
 #: Words of a text, as the contracts define them.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -33,5 +33,90 @@ def op7():
            NOT base_failed AND {verdict} AS kept FROM f"""
 
 
+def lower_words(text):
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def op2():
+    rows = ", ".join(f"({quoted([k])}, {quoted([v])})" for k, v in license.TEMPLATES.items())
+    n = license.SHINGLE
+    return f"""
+    WITH t AS (SELECT license, {lower_words("v")} AS w FROM (VALUES {rows}) AS x(license, v)),
+    own AS (SELECT DISTINCT license, array_to_string(w[i:i + {n - 1}], ' ') AS s FROM t, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS u(i)),
+    sizes AS (SELECT license, count(*) AS n_template FROM own GROUP BY license),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {lower_words("text")} AS w FROM documents),
+    have AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + {n - 1}], ' ') AS s
+             FROM d, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS u(i) WHERE len(w) > 0),
+    hits AS (SELECT r, doc_id, license, count(*) AS n_found FROM have JOIN own USING (s) GROUP BY r, doc_id, license)
+    SELECT doc_id, license, n_found, n_template, n_found / n_template AS containment FROM hits JOIN sizes USING (license)
+    WHERE n_found >= {license.CONTAINED}::DOUBLE * n_template"""
+
+
+def op5():
+    open_, close = quoted([preference.OPEN]), "'<|im_end|>' || chr(10)"
+    turn = lambda x: f"{open_} || {x}.role || chr(10) || {x}.text || {close}"
+    shown = lambda ts: f"array_to_string(list_transform({ts}, lambda x: {turn('x')}), '')"
+    # a turn's end is the length of all rendered up to it
+    spans = lambda ts: (f"list_transform(list_filter(range(1, len({ts}) + 1), lambda i: {ts}[i].role = 'assistant'), lambda i: "
+                        f"{{'start': (length({shown(f'{ts}[1:i]')}) - length({ts}[i].text || {close}))::INT, "
+                        f"'end': length({shown(f'{ts}[1:i]')})::INT}})")
+    return f"""
+    WITH c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn, role, text) AS t
+               FROM conversations GROUP BY conv_id),
+    l AS (SELECT *, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS pos FROM c),
+    n AS (SELECT *, coalesce(lead({{'v': t[pos]}}) OVER w, first_value({{'v': t[pos]}}) OVER w).v AS other FROM l
+          WINDOW w AS (ORDER BY conv_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    p AS (SELECT conv_id, t AS a, list_transform(t, lambda x, i: CASE WHEN i = pos AND other IS NOT NULL THEN other ELSE x END) AS b FROM n),
+    q AS (SELECT *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) - 1, len(a))::INT AS k FROM p),
+    s AS (SELECT conv_id, k, a[1:k] AS p, a[k + 1:] AS a, b[k + 1:] AS b FROM q)
+    SELECT conv_id, k AS prompt_turns, {shown('p')} AS prompt, {shown('a')} AS chosen, {shown('b')} AS rejected,
+           {spans('a')} AS chosen_mask, {spans('b')} AS rejected_mask FROM s"""
+
+
+def op6():
+    w = ", ".join(f"{float(x)}::DOUBLE" for x in mixing.WEIGHTS)
+    cap, share = mixing.CAP, f"{mixing.SHARE}::DOUBLE"
+    return f"""
+    WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+    v AS (SELECT *, ([{w}])[1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(mixing.WEIGHTS)}] AS weight FROM s),
+    f AS (SELECT *, {cap} * source_size / weight AS filled FROM v),
+    l AS (SELECT *, ({share} * (sum(source_size) OVER ())::BIGINT - {cap} * coalesce((sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0))
+                 / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+          FROM f WINDOW o AS (ORDER BY filled, source ASC NULLS LAST)),
+    g AS (SELECT source, source_size, least(weight * (SELECT level FROM l WHERE filled >= level ORDER BY filled, level LIMIT 1),
+                                            ({cap} * source_size)::DOUBLE) AS target FROM l),
+    p AS (SELECT doc_id, size, source_size, target, coalesce((sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS before
+          FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+    SELECT doc_id, size, source_size, target,
+           CASE WHEN source_size = 0 THEN 0 ELSE (floor(target)::BIGINT // source_size) * size
+                + greatest(0, least(size, floor(target)::BIGINT % source_size - before)) END::BIGINT AS taken FROM p"""
+
+
+def op9():
+    lo, hi = imatch.BAND
+    subsets = lambda t: (f"list_transform(range(0, {imatch.SUBSETS}), lambda k: CASE WHEN len(list_filter({t}, lambda x: x.s = k)) = 0 "
+                         f"THEN '{imatch.NOTHING}' ELSE substr(md5(array_to_string(list_transform(list_filter({t}, lambda x: x.s = k), lambda x: x.t), ' ')), 1, 8) END)")
+    def likeness(a, b):
+        z = f"list_filter(list_zip({a}, {b}), lambda x: x[1] <> '{imatch.NOTHING}' OR x[2] <> '{imatch.NOTHING}')"
+        return f"CASE WHEN len({z}) = 0 THEN 1.0::DOUBLE ELSE len(list_filter({z}, lambda x: x[1] = x[2])) / len({z}) END"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
+    n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nx, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS nid
+          FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    e AS (SELECT *, substr(text, 1, n_chars - n_chars // 2) || substr(nx, 1, n_chars // 2) AS edited FROM n),
+    own AS (SELECT doc_id, unnest(list_distinct({lower_words("text")})) AS t FROM d),
+    lex AS (SELECT t FROM own GROUP BY t HAVING count(*) >= {lo}::DOUBLE * (SELECT count(*) FROM d) AND count(*) <= {hi}::DOUBLE * (SELECT count(*) FROM d)),
+    terms AS (SELECT doc_id, false AS edited, t FROM own UNION ALL SELECT doc_id, true, unnest(list_distinct({lower_words("edited")})) FROM e),
+    f AS (SELECT doc_id, edited, list({{'s': ('0x' || substr(md5(t), 1, 4))::INT % {imatch.SUBSETS}, 't': t}} ORDER BY t) AS ts
+          FROM terms JOIN lex USING (t) GROUP BY doc_id, edited),
+    x AS (SELECT e.doc_id, e.n_chars, e.nid, sha256(e.edited) AS edited_sha256, coalesce(a.ts, []) AS ta, coalesce(b.ts, []) AS tb
+          FROM e LEFT JOIN f a ON a.doc_id = e.doc_id AND NOT a.edited LEFT JOIN f b ON b.doc_id = e.doc_id AND b.edited),
+    g AS (SELECT *, {subsets('ta')} AS fa, {subsets('tb')} AS fb FROM x)
+    SELECT g.doc_id, g.n_chars, g.edited_sha256, array_to_string(g.fa, '') AS fingerprint, array_to_string(g.fb, '') AS edited_fingerprint,
+           {likeness('g.fa', 'g.fb')} AS near_edited, {likeness('g.fa', 'h.fa')} AS near_next FROM g JOIN g AS h ON h.doc_id = g.nid"""
+
+
 def oracle_sql():
-    return {"op7_quality": op7()}
+    return {"op2_license_scan": op2(), "op5_preferences": op5(), "op6_mixing": op6(), "op7_quality": op7(), "op9_imatch": op9()}

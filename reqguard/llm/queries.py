@@ -2,6 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reqguard.llm.imatch import fingerprints
+from reqguard.llm.license import license_scan
+from reqguard.llm.mixing import mixed_sizes
+from reqguard.llm.preference import preferences, swapped_pairs
 from reqguard.llm.quality import quality
 
 
@@ -9,10 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_preferences(spark, sf_dir):
+    return preferences(swapped_pairs(table(spark, sf_dir, "conversations")))
+
+
+def op6_mixing(spark, sf_dir):
+    return mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_imatch(spark, sf_dir):
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op7_quality": op7_quality}
+    return {"op2_license_scan": op2_license_scan, "op5_preferences": op5_preferences, "op6_mixing": op6_mixing,
+            "op7_quality": op7_quality, "op9_imatch": op9_imatch}
