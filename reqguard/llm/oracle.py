@@ -57,9 +57,9 @@ def op5():
     turn = lambda x: f"{open_} || {x}.role || chr(10) || {x}.text || {close}"
     shown = lambda ts: f"array_to_string(list_transform({ts}, lambda x: {turn('x')}), '')"
     # a turn's end is the length of all rendered up to it
-    spans = lambda ts: (f"list_transform(list_filter(range(1, len({ts}) + 1), lambda i: {ts}[i].role = 'assistant'), lambda i: "
-                        f"{{'start': (length({shown(f'{ts}[1:i]')}) - length({ts}[i].text || {close}))::INT, "
-                        f"'end': length({shown(f'{ts}[1:i]')})::INT}})")
+    end = lambda ts: f"length({shown(f'{ts}[1:i]')})"
+    spans = lambda ts: (f"array_to_string(list_transform(list_filter(range(1, len({ts}) + 1), lambda i: {ts}[i].role = 'assistant'), "
+                        f"lambda i: ({end(ts)} - length({ts}[i].text || {close}))::VARCHAR || ':' || {end(ts)}::VARCHAR), ' ')")
     return f"""
     WITH c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn, role, text) AS t
                FROM conversations GROUP BY conv_id),

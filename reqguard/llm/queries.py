@@ -1,12 +1,15 @@
 """Registered queries: each applies one operator to its whole table."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reqguard.llm.imatch import fingerprints
+from reqguard.llm.langid import languages
 from reqguard.llm.license import license_scan
 from reqguard.llm.mixing import mixed_sizes
 from reqguard.llm.preference import preferences, swapped_pairs
 from reqguard.llm.quality import quality
+from reqguard.llm.suffixes import removed_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +20,17 @@ def op2_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark, sf_dir):
+    return removed_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_preferences(spark, sf_dir):
-    return preferences(swapped_pairs(table(spark, sf_dir, "conversations")))
+    """Masks as text, start:end of each span."""
+    def shown(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat(x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), " ")
+
+    made = preferences(swapped_pairs(table(spark, sf_dir, "conversations")))
+    return made.withColumn("chosen_mask", shown("chosen_mask")).withColumn("rejected_mask", shown("rejected_mask"))
 
 
 def op6_mixing(spark, sf_dir):
@@ -30,10 +42,14 @@ def op7_quality(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_language(spark, sf_dir):
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op9_imatch(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op2_license_scan": op2_license_scan, "op5_preferences": op5_preferences, "op6_mixing": op6_mixing,
-            "op7_quality": op7_quality, "op9_imatch": op9_imatch}
+    found = (op2_license_scan, op3_suffix_array, op5_preferences, op6_mixing, op7_quality, op8_language, op9_imatch)
+    return {q.__name__: q for q in found}

@@ -1,5 +1,6 @@
 """Intermediate tables in the folder that the cluster shares."""
 
+import gc
 import tempfile
 import uuid
 
@@ -22,3 +23,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of a finished step go when the driver finds that nothing refers to them; this makes it look now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
