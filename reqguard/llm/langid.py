@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reqguard.llm.stage import sent
 from reqguard.llm.text import crc_remainder, text_or_empty
 
 #: Bounds of the sample an automaton is built from: labelled texts per language, and bytes per language.
@@ -134,13 +135,13 @@ def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     phrase_rate is the winner's phrases per byte. A null text, one without letters, and any text if no language was
     learned, are `und` with score 0 and a null phrase_rate.
     """
-    parser = docs.sparkSession.sparkContext.broadcast(Parser(samples))  # bounded by the sample
+    parser = sent(docs.sparkSession, Parser(samples))  # bounded by the sample
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "phrase_rate")]
     rows = docs.select(*names, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     schema = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).cast("double").alias("phrase_rate")).schema
 
     def run(batches):
-        p = parser.value
+        p = parser()
         langs = np.array(p.langs + [UNKNOWN], dtype=object)
         for batch in batches:
             known = np.array(batch.column("_letters").to_pylist(), dtype=bool) & bool(p.langs)

@@ -1,8 +1,10 @@
 """Registered queries: each applies one operator to its whole table."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reqguard.llm.bpe import token_digests
 from reqguard.llm.imatch import fingerprints
 from reqguard.llm.langid import languages
 from reqguard.llm.license import license_scan
@@ -50,6 +52,11 @@ def op9_imatch(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark, sf_dir):
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries():
-    found = (op2_license_scan, op3_suffix_array, op5_preferences, op6_mixing, op7_quality, op8_language, op9_imatch)
+    found = (op2_license_scan, op3_suffix_array, op5_preferences, op6_mixing, op7_quality, op8_language, op9_imatch,
+             op10_byte_bpe)
     return {q.__name__: q for q in found}

@@ -4,6 +4,7 @@ import gc
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +30,17 @@ def release(spark: SparkSession) -> None:
     """Shuffle files of a finished step go when the driver finds that nothing refers to them; this makes it look now."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def sent(spark: SparkSession, value):
+    """Sends a value of bounded size to each executor once; the function returned gives it in a task. It travels by
+    value, classes included, and is unpacked once in each worker."""
+    box = spark.sparkContext.broadcast([cloudpickle.dumps(value)])
+
+    def get():
+        held = box.value
+        if len(held) == 1:
+            held.append(cloudpickle.loads(held[0]))
+        return held[1]
+
+    return get
