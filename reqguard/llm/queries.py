@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reqguard.llm.bpe import token_digests
 from reqguard.llm.imatch import fingerprints
+from reqguard.llm.jaccard import near_duplicates
 from reqguard.llm.langid import languages
 from reqguard.llm.license import license_scan
 from reqguard.llm.mixing import mixed_sizes
@@ -26,6 +27,10 @@ def op3_suffix_array(spark, sf_dir):
     return removed_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_preferences(spark, sf_dir):
     """Masks as text, start:end of each span."""
     def shown(spans):
@@ -57,6 +62,6 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries():
-    found = (op2_license_scan, op3_suffix_array, op5_preferences, op6_mixing, op7_quality, op8_language, op9_imatch,
+    found = (op2_license_scan, op3_suffix_array, op4_jaccard_join, op5_preferences, op6_mixing, op7_quality, op8_language, op9_imatch,
              op10_byte_bpe)
     return {q.__name__: q for q in found}
