@@ -10,6 +10,7 @@ from reqguard.llm.jaccard import near_duplicates
 from reqguard.llm.langid import languages
 from reqguard.llm.license import license_scan
 from reqguard.llm.mixing import mixed_sizes
+from reqguard.llm.pitman_yor import scored_documents
 from reqguard.llm.preference import preferences, swapped_pairs
 from reqguard.llm.quality import quality
 from reqguard.llm.suffixes import removed_repeats
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pitman_yor(spark, sf_dir):
+    return scored_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,6 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 def queries():
-    found = (op2_license_scan, op3_suffix_array, op4_jaccard_join, op5_preferences, op6_mixing, op7_quality, op8_language, op9_imatch,
+    found = (op1_pitman_yor, op2_license_scan, op3_suffix_array, op4_jaccard_join, op5_preferences, op6_mixing, op7_quality, op8_language, op9_imatch,
              op10_byte_bpe)
     return {q.__name__: q for q in found}
