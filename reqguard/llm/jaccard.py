@@ -180,3 +180,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row of docs -> doc_id, n_shingles, component_id. A null id stays null, also as a component."""
     null = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return components_by_shingles(docs).select(null("_id").alias("doc_id"), "n_shingles", null("component").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with the columns of docs: of each group of linked documents the one with the smallest id,
+    and of rows that repeat this id the one whose text hashes least. Documents without words stay, one row per id."""
+    ids = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
+    kept = components_by_shingles(docs).filter("_id = component").select(F.col("_id").alias("_kept")).distinct()
+    rows = docs.withColumn("_jid", ids).join(kept, F.col("_jid") == F.col("_kept"), "left_semi")
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64("text"))
+    return rows.groupBy("_jid").agg(first.alias("row")).select("row.*")

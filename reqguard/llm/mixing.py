@@ -85,5 +85,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     copies = F.transform(F.sequence(F.lit(1), F.expr("cast(ceil(taken / size) as int)")),
                          lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")))
     rows = m.filter("taken > 0").withColumn("_words", F.explode(copies))
-    first = F.expr(f"regexp_extract(text, concat('^{SPACE}*(?:{SPACE}*[^ \\t-\\r]+){{', _words, '}}'), 0)".replace("\\", "\\\\"))
-    return rows.withColumn("text", F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(first)).select(*kept)
+    pieces = F.regexp_extract_all("text", F.lit(f"{SPACE}*[^ \\t-\\r]+"), F.lit(0))  # a word with what stands before it
+    first = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(first))
+    if "n_chars" in kept:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*kept)

@@ -395,3 +395,15 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
     """The digest of remove_repeats: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeats(docs.select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with what remains as text and, if there is the column, its length as n_chars. A character of which a part is
+    cut goes whole, and so does a document without a word left."""
+    cut = remove_repeats(docs)
+    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    changed = {"text": F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))}
+    rows = cut.withColumns(changed).filter(F.col("text").rlike(r"[^ \t-\r]"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
