@@ -74,8 +74,8 @@ class Parser:
         self.code[used] = np.arange(1, len(used) + 1)
         self.tables = []
         for t in tables:
-            flat = np.full((len(t), self.width), -1, dtype=np.int32)
-            flat[:, 1:] = np.where(t[:, used] >= 0, t[:, used] * self.width, -1)  # states as offsets of their rows
+            flat = np.full((len(t) + 1, self.width), -1, dtype=np.int32)  # no way leads on from the last row
+            flat[:-1, 1:] = np.where(t[:, used] >= 0, t[:, used] * self.width, -1)  # states as offsets of their rows
             self.tables.append(flat.ravel())
 
     def phrases(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -87,9 +87,10 @@ class Parser:
         out = np.zeros((len(starts), len(self.tables)), dtype=np.int64)
         alive = np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), side="left")
         for j, table in enumerate(self.tables):
-            state = np.zeros(len(starts), dtype=np.int32)
-            count = np.ones(len(starts), dtype=np.int64)
-            first = np.maximum(table[: self.width], 0)
+            nowhere = len(table) - self.width
+            state = np.full(len(starts), nowhere, dtype=np.int32)
+            count = np.zeros(len(starts), dtype=np.int64)
+            first = np.where(table[: self.width] < 0, nowhere, table[: self.width]).astype(np.int32)
             for t, n in enumerate(alive):
                 c = codes[starts[:n] + t]
                 to = table[state[:n] + c]
@@ -138,7 +139,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     parser = sent(docs.sparkSession, Parser(samples))  # bounded by the sample
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "phrase_rate")]
     rows = docs.select(*names, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    schema = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).cast("double").alias("phrase_rate")).schema
+    schema = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("phrase_rate")).schema
 
     def run(batches):
         p = parser()

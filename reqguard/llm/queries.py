@@ -36,15 +36,19 @@ def op4_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def op5_preferences(spark, sf_dir):
+def op5_of(turns):
     """Masks as text, start:end of each span."""
     def shown(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat(x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), " ")
 
-    made = preferences(swapped_pairs(table(spark, sf_dir, "conversations")))
+    made = preferences(swapped_pairs(turns))
     return made.withColumn("chosen_mask", shown("chosen_mask")).withColumn("rejected_mask", shown("rejected_mask"))
 
 
+def op5_preferences(spark, sf_dir):
+    return op5_of(table(spark, sf_dir, "conversations"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixed_sizes(table(spark, sf_dir, "documents"))
 

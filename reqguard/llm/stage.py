@@ -2,6 +2,7 @@
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark import cloudpickle
@@ -26,10 +27,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files of a finished step go when the driver finds that nothing refers to them; this makes it look now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, rounds: int = 3) -> None:
+    """Shuffle files of a finished step go when the driver's collector finds that nothing refers to them; this makes it
+    look now. What the first look frees holds the rest, so it takes more than one."""
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def sent(spark: SparkSession, value):
