@@ -31,7 +31,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     total = share * F.sum("source_size").over(Window.partitionBy())
     rows = rows.withColumn("_level", (total - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("_weight").over(after))
     # levels of sources that stay below their caps; the first of them in this order counts
-    level = F.min(F.when(F.col("_full") >= F.col("_level"), F.struct("_full", "_level"))).over(Window.partitionBy())
+    rows = rows.withColumn("_place", F.row_number().over(filling))
+    level = F.min(F.when(F.col("_full") >= F.col("_level"), F.struct("_place", "_level"))).over(Window.partitionBy())
     target = F.least(F.col("_weight") * F.coalesce(level["_level"], F.lit(float("inf"))), (cap * F.col("source_size")).cast("double"))
     return rows.withColumn("target", target).select("source", "source_size", "target")
 

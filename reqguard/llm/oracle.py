@@ -84,7 +84,7 @@ def op6():
     l AS (SELECT *, ({share} * (sum(source_size) OVER ())::BIGINT - {cap} * coalesce((sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0))
                  / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
           FROM f WINDOW o AS (ORDER BY filled, source ASC NULLS LAST)),
-    g AS (SELECT source, source_size, least(weight * (SELECT level FROM l WHERE filled >= level ORDER BY filled, level LIMIT 1),
+    g AS (SELECT source, source_size, least(weight * (SELECT level FROM l WHERE filled >= level ORDER BY filled, source ASC NULLS LAST LIMIT 1),
                                             ({cap} * source_size)::DOUBLE) AS target FROM l),
     p AS (SELECT doc_id, size, source_size, target, coalesce((sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0) AS before
