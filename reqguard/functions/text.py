@@ -62,9 +62,8 @@ def fingerprint(user_agent: Column, path: Column, method: Column, payload: Colum
 
 
 def structural_fingerprint(payload: Column) -> Column:
-    """Shape of a payload: digit runs become D, then letter runs (with those D) become A; 512 characters."""
-    shape = F.regexp_replace(F.regexp_replace(payload, "[0-9]+", "D"), "[a-zA-Z]+", "A")
-    return F.substring(shape, 1, C.FINGERPRINT_CHARS)
+    """Shape of a whole payload: digit runs become D, then letter runs (with those D) become A."""
+    return F.regexp_replace(F.regexp_replace(payload, "[0-9]+", "D"), "[a-zA-Z]+", "A")
 
 
 def ngrams(text: Column, n: int) -> Column:

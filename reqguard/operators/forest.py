@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reqguard import constants as C
 from reqguard.functions import scoring
 from reqguard.operators.memory import newest
+from reqguard.session import sent
 
 
 def average_path(n):
@@ -60,13 +61,20 @@ def _grow(seed: int, height: int):
 
 def fit(rows: DataFrame, trees: int = C.FOREST_TREES, contamination: float = C.FOREST_CONTAMINATION, seed: int = 42,
         subsample: int = C.FOREST_SUBSAMPLE) -> Forest:
-    """Fit on training rows (id, x). Sub-samples are drawn by hash, so they do not depend on the partitioning."""
+    """Fit on training rows (id, x). Sub-samples are drawn by hash, so they do not depend on the partitioning.
+
+    A row offers itself to the trees whose hash of it lies below a threshold, about four times as many rows as a tree
+    takes; each tree takes the first by hash, counted before the shuffle. The score offset is the contamination quantile
+    over all rows (approximate, to one in 100,000 ranks).
+    """
     rows = rows.select("id", "x")
     n = rows.count()
     size = min(subsample, n)
     height = max(1, int(np.ceil(np.log2(max(size, 2)))))
-    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    w = Window.partitionBy("tree").orderBy(F.xxhash64("id", "tree", F.lit(seed)), "id")
+    offer = int(min(1.0, 4 * size / max(n, 1)) * (1 << 30))
+    drawn = rows.withColumn("tree", F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(1 << 30)) <= offer)))
+    w = Window.partitionBy("tree").orderBy(F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1 << 30)), "id")
     drawn = drawn.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size).drop("_n")
     nodes = drawn.groupBy("tree").applyInPandas(_grow(seed, height), _NODES).toPandas()  # trees x 511 rows at most
     shape = (trees, int(nodes["node"].max()) + 1)
@@ -75,7 +83,7 @@ def fit(rows: DataFrame, trees: int = C.FOREST_TREES, contamination: float = C.F
         parts[name] = np.full(shape, empty)
         parts[name][nodes["tree"], nodes["node"]] = nodes[name]
     forest = Forest(**parts, height=height, norm=float(average_path(size)))
-    offset = raw_score(rows, forest).agg(F.percentile(-F.col("score"), contamination)).first()[0]
+    offset = raw_score(rows, forest).agg(F.percentile_approx(-F.col("score"), contamination, 100_000)).first()[0]
     return replace(forest, offset=float(offset))
 
 
@@ -94,11 +102,11 @@ def _paths(x: np.ndarray, f: Forest) -> np.ndarray:
 
 def raw_score(rows: DataFrame, forest: Forest) -> DataFrame:
     """Add ``score`` in (0, 1); the forest goes to the tasks as one bounded broadcast."""
-    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    shared = sent(rows.sparkSession, forest)
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
-        f = shared.value
+        f = shared()
         if not len(x):
             return pd.Series([], dtype=float)
         return pd.Series(2.0 ** (-_paths(np.stack(x.to_numpy()).astype(float), f) / f.norm))
@@ -123,12 +131,9 @@ def feature_anomaly(decided: DataFrame) -> DataFrame:
     return decided.withColumn("anomaly", scoring.sigmoid(F.col("decision") * -10.0 + 1.2))
 
 
-def fit_recent(rows: DataFrame, buffer: int = C.FOREST_BUFFER, **options) -> Forest | None:
-    """Telemetry model from the newest rows (id, t_us, x); None, for the cold-start scores, below 100 rows."""
-    recent = newest(rows.withColumn("event_id", F.col("id")), buffer)
-    if recent.count() < C.FOREST_MIN_ROWS:
-        return None
-    return fit(recent, **options)
+def fit_telemetry(rows: DataFrame, **options) -> Forest | None:
+    """Telemetry model from all rows (id, x); None, for the cold-start scores, below 100 rows."""
+    return fit(rows, **options) if rows.limit(C.FOREST_MIN_ROWS).count() == C.FOREST_MIN_ROWS else None
 
 
 def fit_labelled(normals: DataFrame, attacks: DataFrame, seed: int = 42) -> Forest | None:

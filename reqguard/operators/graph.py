@@ -28,17 +28,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 least.select("u", c("m").alias("v")))
         return out.filter(c("u") != c("v")).distinct()
 
-    def mark(e):
-        return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).cast("long")).first())
-
     e = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(c("u") != c("v")).distinct(),
               "edges")
-    before = None
     while True:
-        e = stage(link(link(e, True), False), "edges")
-        now = mark(e)
-        if now == before:
+        after = stage(link(link(e, True), False), "edges")
+        same = after.count() == e.count() and after.join(e, ["u", "v"], "left_anti").isEmpty()
+        e = after
+        if same:
             break
-        before = now
     roots = e.select(c("v").alias("id"), c("v").alias("component")).distinct()
     return e.select(c("u").alias("id"), c("v").alias("component")).unionByName(roots)

@@ -43,7 +43,7 @@ def rare_prefixes(shape_rows: DataFrame, min_cosine: float) -> DataFrame:
             .rowsBetween(Window.unboundedPreceding, 0))  # from the most common gram up to this one
     known = known.withColumn("left", F.sum(c("weight") * c("weight")).over(rest))
     entry = F.struct("df", "gram", c("weight").alias("w"), (c("left") >= min_cosine ** 2 - 1e-9).alias("use"))
-    vectors = known.groupBy("fid").agg(F.array_sort(F.collect_list(entry)).alias("v"))  # at most 510 grams
+    vectors = known.groupBy("fid").agg(F.array_sort(F.collect_list(entry)).alias("v"))
     used = F.filter("v", lambda e: e["use"])
     rows = vectors.join(shape_rows.select("fid", c("weight").alias("n")), "fid").select(
         "fid", "n", c("v.gram").alias("grams"), c("v.w").alias("weights"), used.alias("u"))

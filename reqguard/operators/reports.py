@@ -59,19 +59,24 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     return rows.agg(*[F.max(x).alias(x) for x in rows.columns])
 
 
-def attacker_profiles(decoys: DataFrame, n: int = 500) -> DataFrame:
-    """Profiles of the ips among the newest n decoy interactions; the lists are bounded by n."""
-    recent = newest(decoys, n)
-    return recent.groupBy("ip_address").agg(
-        F.count("*").alias("interactions"), F.array_sort(F.collect_set("endpoint")).alias("endpoints"),
-        F.array_sort(F.collect_set("method")).alias("methods"),
-        F.array_sort(F.collect_set("interaction_type")).alias("types"), F.min("t_us").alias("first_us"),
-        F.max("t_us").alias("last_us"), F.count_if(F.col("payload") != "").alias("payloads"))
+def attacker_profiles(decoys: DataFrame) -> DataFrame:
+    """Every ip in the decoy log: counts and times. What it touched, ``attacker_members`` has as rows."""
+    return decoys.groupBy("ip_address").agg(
+        F.count("*").alias("interactions"), F.count_distinct("endpoint").alias("endpoints"),
+        F.count_distinct("method").alias("methods"), F.count_distinct("interaction_type").alias("types"),
+        F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.count_if(F.col("payload") != "").alias("payloads"))
 
 
-def honeypot_summary(decoys: DataFrame, n: int = 1000, k: int = 5, recent: int = 10) -> DataFrame:
-    """Rows (section, rank, item, n): totals, top endpoints, top ips and recent activity of the newest n hits."""
-    rows = newest(decoys, n)
+def attacker_members(decoys: DataFrame) -> DataFrame:
+    """(ip_address, kind, member): the endpoints, methods and interaction types of each ip in the decoy log."""
+    items = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(col).alias("member")) for kind, col in (
+        ("endpoint", "endpoint"), ("method", "method"), ("type", "interaction_type"))])
+    return decoys.select("ip_address", F.explode(items).alias("m")).select("ip_address", "m.kind", "m.member").distinct()
+
+
+def honeypot_summary(decoys: DataFrame, k: int = 5, recent: int = 10) -> DataFrame:
+    """Rows (section, rank, item, n): totals, top endpoints, top ips and recent activity of the whole decoy log."""
+    rows = decoys
 
     def ranked(df, section, *order):
         w = Window.orderBy(*order)  # at most k or ``recent`` rows
@@ -103,7 +108,7 @@ def forensic_reports(incident_rows: DataFrame) -> DataFrame:
     head = incident_rows.groupBy("fingerprint").agg(
         F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.count("*").alias("incidents"),
         F.count_distinct("ip").alias("n_ips"), F.count_distinct("endpoint").alias("n_endpoints"),
-        F.count_distinct(F.when(kept_payload(), F.substring("payload", 1, 100))).alias("n_payloads"),
+        F.count_distinct(F.when(kept_payload(), F.sha2("payload", 256))).alias("n_payloads"),
         F.count_if(hit).alias("deception_hits"),
         *[F.count_if(c("action") == a).alias(f"n_{a}") for a in ACTIONS])
     trend = (newest_per_key(incident_rows.select("fingerprint", "t_us", "event_id", "anomaly"), ["fingerprint"], 10)
@@ -129,7 +134,7 @@ def forensic_members(incident_rows: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), value.alias("member"))
 
     items = F.array(item("ip", F.col("ip")), item("endpoint", F.col("endpoint")),
-                    F.when(kept_payload(), item("payload", F.substring("payload", 1, 100))))
+                    F.when(kept_payload(), item("payload", F.col("payload"))))
     rows = incident_rows.select("fingerprint", F.explode(items).alias("m")).filter(F.col("m").isNotNull())
     return rows.select("fingerprint", "m.kind", "m.member").distinct()
 
@@ -173,8 +178,13 @@ def in_window(log: DataFrame, now_us: int, window_us: int) -> DataFrame:
     return log.filter((F.col("t_us") > now_us - window_us) & (F.col("t_us") <= now_us))
 
 
-def behavior_profile(requests: DataFrame, now_us: int, window_us: int, k: int = 50) -> DataFrame:
-    """Per actor over the window: totals, first k endpoints by name, and requests per hour of day."""
+def behavior_endpoints(requests: DataFrame, now_us: int, window_us: int) -> DataFrame:
+    """(ip, endpoint): what each actor called within the window."""
+    return in_window(requests, now_us, window_us).select("ip", "endpoint").distinct()
+
+
+def behavior_profile(requests: DataFrame, now_us: int, window_us: int) -> DataFrame:
+    """Per actor over the window: totals and requests per hour of day; ``behavior_endpoints`` lists what it called."""
     c = F.col
     rows = in_window(requests, now_us, window_us)
     head = rows.groupBy("ip").agg(
@@ -188,10 +198,7 @@ def behavior_profile(requests: DataFrame, now_us: int, window_us: int, k: int =
              .agg(F.count("*").alias("n")).groupBy("ip")
              .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
                  F.lpad(c("hour").cast("string"), 2, "0"), "n")))).alias("hourly_distribution")))
-    w = Window.partitionBy("ip").orderBy("endpoint")
-    paths = (rows.select("ip", "endpoint").distinct().withColumn("_n", F.row_number().over(w)).filter(c("_n") <= k)
-             .groupBy("ip").agg(F.array_sort(F.collect_list("endpoint")).alias("endpoints_accessed")))
-    return head.join(hours, "ip").join(paths, "ip")
+    return head.join(hours, "ip")
 
 
 def profile_summary(requests: DataFrame, now_us: int, window_us: int) -> DataFrame:
@@ -223,7 +230,7 @@ def component_stats(outcomes: DataFrame, memory: DataFrame, vectors: DataFrame,
     c = F.col
     parts = [outcomes.agg(F.count_if("is_attack").alias("attack_samples"),
                           F.count_if(~c("is_attack") & c("trusted")).alias("normal_samples")),
-             memory.agg(F.least(F.count("*"), F.lit(C.MEMORY_ENTRIES)).alias("memory_entries")),
+             memory.agg(F.count("*").alias("memory_entries")),
              in_window(vectors, now_us, window_us).agg(F.count_distinct("ip").alias("active_actors"))]
     rows = [p.select(F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in p.columns]),
                                                  F.array(*[c(x) for x in p.columns]))).alias("component", "n"))

@@ -119,7 +119,8 @@ def decayed_risk(risks: DataFrame, cfg: Config, lam: float = C.DECAY_LAMBDA, sta
 
     risks has event_id, key, rn (row number per key), t_us, t1 (previous request) and raw. Blocks of a busy key are
     folded in parallel once their starting scores are known; other keys are a single block. ``state`` (key, t_us, score)
-    holds the last scores of earlier rows; without it every key starts from 0.
+    holds the last scores of earlier rows; without it every key starts from 0. A row older than the state counts as if it
+    came with it: no decay, and never a gain.
     """
     c = F.col
     if state is not None:
@@ -130,13 +131,11 @@ def decayed_risk(risks: DataFrame, cfg: Config, lam: float = C.DECAY_LAMBDA, sta
         risks = risks.withColumn("first", F.lit(0.0))
     risks = stage(risks, "raw-risk")
     rows = risks.select("event_id", "key", "rn", "raw", "first",
-                        F.coalesce((c("t_us") - c("t1")) / 1e6, F.lit(0.0)).alias("seconds"),
+                        F.greatest(F.coalesce((c("t_us") - c("t1")) / 1e6, F.lit(0.0)), F.lit(0.0)).alias("seconds"),
                         F.expr(f"(rn - 1) div {cfg.block_rows}").alias("_blk"))
-    if risks.filter(c("rn") > cfg.block_rows).isEmpty():
-        rows = rows.withColumn("start", c("first"))
-    else:
-        rows = rows.join(block_starts(rows, cfg.block_rows, lam), ["key", "_blk"], "left")
-        rows = rows.withColumn("start", F.coalesce("start", "first"))
+    long_keys = rows.filter(c("rn") > cfg.block_rows).select("key").distinct()
+    starts = block_starts(rows.join(long_keys, "key", "left_semi"), cfg.block_rows, lam)
+    rows = rows.join(starts, ["key", "_blk"], "left").withColumn("start", F.coalesce("start", "first"))
     folded = (rows.select("event_id", "key", "_blk", "rn", "start", "raw", "seconds").repartition("key", "_blk")
               .sortWithinPartitions("key", "_blk", "rn").mapInPandas(_fold(lam), "event_id long, score double"))
     return risks.drop("first").join(folded, "event_id").withColumn("risk_level", scoring.risk_level(c("score")))

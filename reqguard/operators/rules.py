@@ -1,5 +1,7 @@
 """Defense rules: defaults, matching, effectiveness, generation from behaviour and payloads."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ FAN = 1024
 
 
 def default_rules(spark: SparkSession, created_us: int = 0) -> DataFrame:
-    rows = [(i, name, kind, pattern, action, severity, True, 0, 0.5, created_us, None, False, text_)
-            for i, (name, kind, pattern, action, severity, text_) in enumerate(C.DEFAULT_RULES, start=1)]
+    rows = [(i, name, kind, pattern, action, severity, True, 0, 0.5, created_us, None, False, None)
+            for i, (name, kind, pattern, action, severity) in enumerate(C.DEFAULT_RULES, start=1)]
     return spark.createDataFrame(rows, RULES)
 
 
@@ -44,34 +46,51 @@ def _usable(spark: SparkSession, pattern: str) -> bool:
         return False
 
 
-def rule_match(payloads: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``matched_rules`` (names, in rule order) and ``blocked`` to rows with a payload.
+def pattern_hits(payloads: DataFrame, rules: DataFrame, key: str = "event_id") -> DataFrame:
+    """(key, pattern) for each distinct pattern of an active payload rule that a payload matches.
 
-    Patterns are literals in the plan, so each compiles once per task and rows are matched without a shuffle. The rules
-    are read in batches, so any number of them is applied; patterns that do not compile are left out.
+    Generated rules repeat few patterns under many names, so each distinct pattern is evaluated once. Patterns are
+    literals in the plan, compiled once per task; rows are matched without a shuffle, in batches of patterns, and any
+    number of patterns is applied. Those that do not compile are left out.
     """
-    spark = payloads.sparkSession
-    wanted = rules.filter("is_active").filter("rule_type = 'PAYLOAD' and pattern is not null and pattern <> ''")
-    wanted = wanted.select("rule_name", "pattern", "action").orderBy(F.desc("severity"), "rule_name")
-    target = F.lower("payload")
-    out = payloads.withColumns({"matched_rules": F.array().cast("array<string>"), "blocked": F.lit(False)})
-    batch = []
-
-    def apply(df):
-        hits = [(r, (target != "") & target.rlike("(?di)" + r["pattern"])) for r in batch]
-        names = F.filter(F.array(*[F.when(h, F.lit(r["rule_name"])) for r, h in hits]), lambda x: x.isNotNull())
-        block = F.lit(False)
-        for r, h in hits:
-            if r["action"] == "BLOCK":
-                block = block | h
-        return df.withColumns({"matched_rules": F.concat("matched_rules", names), "blocked": F.col("blocked") | block})
-
-    for rule in wanted.toLocalIterator():
-        if _usable(spark, rule["pattern"]):
-            batch.append(rule)
+    spark, target = payloads.sparkSession, F.lower("payload")
+    wanted = usable_rules(rules).select("pattern").distinct().orderBy("pattern")
+    parts, batch = [], []
+
+    def matched():
+        hits = F.array(*[F.when((target != "") & target.rlike("(?di)" + p), F.lit(p)) for p in batch])
+        return payloads.select(key, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("pattern"))
+
+    for row in wanted.toLocalIterator():
+        if _usable(spark, row["pattern"]):
+            batch.append(row["pattern"])
         if len(batch) == MATCH_BATCH:
-            out, batch = apply(out), []
-    return apply(out) if batch else out
+            parts.append(matched())
+            batch = []
+    if batch or not parts:
+        batch = batch or ["(?!)"]
+        parts.append(matched())
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def usable_rules(rules: DataFrame) -> DataFrame:
+    return rules.filter("is_active").filter("rule_type = 'PAYLOAD' and pattern is not null and pattern <> ''")
+
+
+def rule_hits(payloads: DataFrame, rules: DataFrame, key: str = "event_id") -> DataFrame:
+    """(key, rule_name, action, severity): each active payload rule that a payload matches."""
+    return pattern_hits(payloads, rules, key).join(usable_rules(rules).select("pattern", "rule_name", "action", "severity"), "pattern").drop("pattern")
+
+
+def rule_match(payloads: DataFrame, rules: DataFrame, key: str = "event_id") -> DataFrame:
+    """Add ``matched_rules`` (names of all active rules that match, in rule order) and ``blocked`` to rows with a payload."""
+    names = F.array_sort(F.collect_list(F.struct("severity", "rule_name")), lambda a, b: (
+        F.when(a["severity"] > b["severity"], -1).when(a["severity"] < b["severity"], 1)
+        .when(a["rule_name"] < b["rule_name"], -1).when(a["rule_name"] > b["rule_name"], 1).otherwise(0)))
+    found = rule_hits(payloads, rules, key).groupBy(key).agg(
+        F.transform(names, lambda x: x["rule_name"]).alias("matched_rules"), F.max(F.col("action") == "BLOCK").alias("blocked"))
+    return payloads.join(found, key, "left").withColumns({
+        "matched_rules": F.coalesce("matched_rules", F.array().cast("array<string>")), "blocked": F.coalesce("blocked", F.lit(False))})
 
 
 def rule_effectiveness(rules: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -214,5 +233,5 @@ def evolved_rules(cores: DataFrame, now_us: Column, min_confidence: float = 0.6)
         F.lit("PAYLOAD").alias("rule_type"), "pattern", F.lit("BLOCK").alias("action"), high.alias("severity"),
         F.lit(C.AUTO_RULE_CONFIDENCE).alias("confidence"), now_us.alias("created_us"),
         (now_us + C.RULE_TTL_S * 1_000_000).alias("expires_us"), F.lit(True).alias("auto_generated"),
-        F.concat(F.lit("PolyGen: confidence="), F.format_string("%.2f", F.col("confidence")), F.lit(", n="),
+        F.concat(F.lit("mined, sure to "), F.format_string("%.2f", F.col("confidence")), F.lit(", payloads "),
                  F.col("cluster_size").cast("string")).alias("description"))

@@ -23,23 +23,24 @@ def running(df: DataFrame, keys: list[str], aggs: dict, segment_us: int, order=(
 
     ``aggs`` maps a new column to ``(sum|min|max, Column)`` or, when a row must not see itself, to
     ``(sum|min|max, Column, "before")``. Totals have at most (time span / segment) rows per key, however many events the
-    key has. Keys must not be null. Structs compare field by field, so ``max(struct(t, id, x))`` gives the latest x.
+    key has. A null is a key like any other. Structs compare field by field, so ``max(struct(t, id, x))`` gives the
+    latest x. The rows are dealt by (key, segment) once, and both the totals and the sums within a segment read that.
     """
     cols, names = df.columns, list(aggs)
     how = {n: a[0] for n, a in aggs.items()}
-    df = df.withColumns({"_seg": F.expr(f"{order[0]} div {int(segment_us)}"),
-                         **{f"_v_{n}": a[1] for n, a in aggs.items()}})
-    totals = df.groupBy(*keys, "_seg").agg(*[F.expr(f"{how[n]}(_v_{n}) AS _c_{n}") for n in names])
-    earlier = f"(PARTITION BY {', '.join(keys)} ORDER BY _seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    carry = totals.selectExpr(*keys, "_seg", *[f"{how[n]}(_c_{n}) OVER {earlier} AS _c_{n}" for n in names])
+    # keys are compared as a struct, in which a null equals a null
+    df = df.withColumns({"_key": F.struct(*keys), "_seg": F.expr(f"{order[0]} div {int(segment_us)}"),
+                         **{f"_v_{n}": a[1] for n, a in aggs.items()}}).repartition("_key", "_seg")
+    totals = df.groupBy("_key", "_seg").agg(*[F.expr(f"{how[n]}(_v_{n}) AS _c_{n}") for n in names])
+    earlier = "(PARTITION BY _key ORDER BY _seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carry = totals.selectExpr("_key", "_seg", *[f"{how[n]}(_c_{n}) OVER {earlier} AS _c_{n}" for n in names])
 
     def inside(n):
         last = "1 PRECEDING" if len(aggs[n]) == 3 else "CURRENT ROW"
-        return (f"(PARTITION BY {', '.join(keys)}, _seg ORDER BY {', '.join(order)} "
-                f"ROWS BETWEEN UNBOUNDED PRECEDING AND {last})")
+        return f"(PARTITION BY _key, _seg ORDER BY {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND {last})"
 
-    rows = df.selectExpr(*cols, "_seg", *[f"{how[n]}(_v_{n}) OVER {inside(n)} AS _r_{n}" for n in names])
-    out = rows.join(carry, [*keys, "_seg"])
+    rows = df.selectExpr(*cols, "_key", "_seg", *[f"{how[n]}(_v_{n}) OVER {inside(n)} AS _r_{n}" for n in names])
+    out = rows.join(carry, ["_key", "_seg"])
     return out.selectExpr(*[x for x in cols if x not in names], *[_combined(how[n], n) for n in names])
 
 

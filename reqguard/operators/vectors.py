@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +53,8 @@ def _with(value: Column, fn) -> Column:
 
 
 def lexical(payload: Column) -> Column:
-    """52 bigram buckets of the lower-cased payload's first 512 characters, scaled to a maximum of 1."""
-    low = F.substring(F.lower(payload), 1, C.FINGERPRINT_CHARS)
+    """52 bigram buckets of the whole lower-cased payload, scaled to a maximum of 1."""
+    low = F.lower(payload)
 
     def buckets(text_):
         return F.transform(text.ngrams(text_, 2), lambda g: F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("int")
@@ -86,45 +87,54 @@ def behavior_embedding(features: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ memory of known attacks
-def memorize(memory: DataFrame, new: DataFrame, cap: int = C.MEMORY_ENTRIES) -> DataFrame:
-    """Memory with new entries (entry_id, vec, stored_us) as unit vectors; the oldest leave when it is full."""
+def memorize(memory: DataFrame, new: DataFrame, cap: int | None = None) -> DataFrame:
+    """Memory with new entries (entry_id, vec, stored_us) as unit vectors; with a cap, the oldest leave when it is full."""
     both = memory.unionByName(new.withColumn("vec", unit(F.col("vec").cast("array<double>"))))
-    return newest(both, cap, ("stored_us", "entry_id"))
+    return both if cap is None else newest(both, cap, ("stored_us", "entry_id"))
 
 
-def _matrix(memory: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The memory as a matrix. Its size is bounded by the cap, which is checked here."""
-    rows = memory.select("entry_id", "vec").orderBy("entry_id").limit(C.MEMORY_ENTRIES + 1).collect()
-    if len(rows) > C.MEMORY_ENTRIES:
-        raise ValueError("the memory holds more than its cap; apply memorize first")
-    ids = np.array([r["entry_id"] for r in rows], dtype=np.int64)
-    return ids, np.array([r["vec"] for r in rows], dtype=np.float64)
+MEMORY_TILE = 4096
 
 
-def top1(queries: DataFrame, memory: DataFrame, id_col: str = "event_id") -> DataFrame:
+def _nearest(queries: pa.Table, entries: pa.Table) -> pa.Table:
+    """The most similar entry of one memory tile for each query of one block; the smaller id at ties."""
+    ids, order = entries.column("entry_id").to_numpy(), np.argsort(entries.column("entry_id").to_numpy())
+    best, sims = np.empty(0, np.int64), np.empty(0)
+    if len(ids) and queries.num_rows:
+        m = np.stack(entries.column("vec").to_numpy())[order]
+        q = np.stack(queries.column("vec").to_numpy())
+        q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)
+        for at in range(0, len(q), 2048):
+            s = q[at:at + 2048] @ m.T
+            best, sims = np.append(best, ids[order][s.argmax(axis=1)]), np.append(sims, s.max(axis=1))
+        return pa.table({"id": queries.column("id"), "entry_id": pa.array(best), "similarity": pa.array(sims)})
+    return pa.table({"id": pa.array([], pa.int64()), "entry_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+
+
+def top1(queries: DataFrame, memory: DataFrame, id_col: str = "event_id", tile: int = MEMORY_TILE) -> DataFrame:
     """(id, entry_id, similarity): the most similar memory entry per vector; similarity 0 for an empty memory.
 
-    The memory (at most 10,000 x 64 numbers, 5 MB) goes to the tasks once; vectors are multiplied batch by batch.
+    The memory is cut into tiles of about ``tile`` entries and the queries into as large blocks; each block meets each
+    tile in a task of its own as a matrix product, and a query's best is the best of its tiles. Nothing is collected.
     """
-    ids, matrix = _matrix(memory)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(batches):
-        entry, m = shared.value
-        for pdf in batches:
-            if len(entry) == 0 or len(pdf) == 0:
-                yield pd.DataFrame({id_col: pdf[id_col], "entry_id": None, "similarity": 0.0})
-                continue
-            q = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            q /= np.linalg.norm(q, axis=1, keepdims=True) + 1e-12
-            best, sims = np.empty(len(q), np.int64), np.empty(len(q))
-            for at in range(0, len(q), 2048):
-                s = q[at:at + 2048] @ m.T
-                best[at:at + 2048] = s.argmax(axis=1)
-                sims[at:at + 2048] = s.max(axis=1)
-            yield pd.DataFrame({id_col: pdf[id_col], "entry_id": entry[best], "similarity": sims})
-
-    return queries.select(id_col, "vec").mapInPandas(run, f"{id_col} long, entry_id long, similarity double")
+    c = F.col
+
+    def cut(df, name):
+        return df.withColumn(name, F.pmod(F.xxhash64("id" if name == "_block" else "entry_id"), c("_n")).cast("int"))
+
+    def pieces(df):
+        return df.agg(F.greatest(F.ceil(F.count("*") / F.lit(float(tile))), F.lit(1)).cast("int").alias("n")).first()["n"]
+
+    asked = queries.select(c(id_col).alias("id"), c("vec").cast("array<double>").alias("vec"))
+    n_blocks, n_tiles = pieces(asked), pieces(memory)
+    q = cut(asked.withColumn("_n", F.lit(n_blocks)), "_block").withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))))
+    m = cut(memory.select("entry_id", "vec").withColumn("_n", F.lit(n_tiles)), "_tile").withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    near = q.groupBy("_block", "_tile").cogroup(m.groupBy("_block", "_tile")).applyInArrow(
+        _nearest, "id long, entry_id long, similarity double")
+    best = near.groupBy("id").agg(F.max(F.struct("similarity", (-c("entry_id")).alias("back"))).alias("b"))
+    return asked.select("id").join(best, "id", "left").select(
+        c("id").alias(id_col), (-c("b.back")).alias("entry_id"), F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"))
 
 
 def remove(memory: DataFrame, cleared: DataFrame, id_col: str = "event_id") -> DataFrame:

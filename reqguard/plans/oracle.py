@@ -256,7 +256,7 @@ RULES = f"""auto AS (
 rules AS (SELECT rule_name, rule_type, pattern, action, severity, false AS auto_generated, NULL::BIGINT AS expires_us FROM defaults
   UNION ALL SELECT rule_name, rule_type, pattern, action, severity, true, t_us + {DAY_US} FROM auto)"""
 RULE_HITS = f"""hit AS (
-  SELECT r.*, d.rule_name, d.action, d.severity FROM req r JOIN defaults d
+  SELECT r.*, d.rule_name, d.action, d.severity FROM req r JOIN rules d
   ON payload <> '' AND rule_type = 'PAYLOAD' AND regexp_matches(lower(payload), '(?i)' || pattern))"""
 EFFECT = """eff AS (
   SELECT rule_name, count(*) FILTER (status_code <> 200) AS true_positives, count(*) FILTER (status_code = 200) AS false_positives,
@@ -297,7 +297,7 @@ EMBED = """lexed AS (
     SELECT payload, list_transform(range(52), lambda b: len(list_filter(buckets, lambda x: x = b))::DOUBLE) AS counts FROM (
       SELECT payload, list_transform(range(1, length(payload)), lambda i:
         ('0x' || substr(md5(substr(lower(payload), i, 2)), 1, 7))::BIGINT %% 52) AS buckets
-      FROM (SELECT DISTINCT substr(payload, 1, 512) AS payload FROM req)))),
+      FROM (SELECT DISTINCT payload FROM req)))),
 joined AS (
   SELECT s.*, list_concat([%s], lex) AS v FROM scores s JOIN lexed USING (payload)),
 embed AS (
@@ -320,7 +320,7 @@ comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"""
 
 
 # ---------------------------------------------------------------- mining over page urls
-SHAPE = "substr(regexp_replace(regexp_replace({0}, '[0-9]+', 'D', 'g'), '[a-zA-Z]+', 'A', 'g'), 1, 512)"
+SHAPE = "regexp_replace(regexp_replace({0}, '[0-9]+', 'D', 'g'), '[a-zA-Z]+', 'A', 'g')"
 SHAPES = f"""shapes AS (
   SELECT shape, count(*) AS weight, ('0x' || substr(md5(shape), 1, 15))::BIGINT AS id
   FROM (SELECT {SHAPE.format('url')} AS shape FROM pages) GROUP BY shape HAVING length(shape) >= 3),
@@ -368,7 +368,7 @@ def oracle_sql():
         "log_requests": with_req(f"""SELECT event_id, ip AS ip_address, user_agent, endpoint, method, status_code,
             substr(md5(payload), 1, 16) AS payload_hash, array_to_string({flags_of('payload')}, ',') AS payload_flags, t_us, session_id,
             {rnd('response_time_ms')} AS response_time_ms FROM req"""),
-        "honeypot_log": with_req("""SELECT event_id, ip AS ip_address, endpoint, method, substr(payload, 1, 2000) AS payload,
+        "honeypot_log": with_req("""SELECT event_id, ip AS ip_address, endpoint, method, payload,
             user_agent, t_us, session_id, interaction_type FROM decoy""", HONEYPOT),
         "system_events": with_req(f"""
             SELECT event_id, 'PAYLOAD_ALERT' AS event_type, CASE WHEN list_contains(f, 'SQL_INJECTION') OR
@@ -399,16 +399,16 @@ def oracle_sql():
         "failed_login": with_req(f"SELECT event_id, ip, t_us FROM req WHERE {FAILED}"),
         "deceptive_hits": with_req(f"SELECT event_id, ip, endpoint, method FROM req WHERE {DECEPTIVE}"),
         "events_by_type": with_req("""SELECT event_id, 'HONEYPOT_INTERACTION' AS event_type, 'HIGH' AS severity,
-            'Honeypot accessed: ' || method || ' ' || endpoint AS description, t_us FROM decoy
+            'decoy hit ' || method || ' ' || endpoint AS description, t_us FROM decoy
             ORDER BY t_us DESC, event_id DESC LIMIT 200""", HONEYPOT),
         "rule_performance": with_req(f"""SELECT rule_name, true_positives, false_positives, {rnd('effectiveness')} AS effectiveness
-            FROM eff""", DEFAULT, RULE_HITS, EFFECT),
+            FROM eff""", DEFAULT, AUTO, RULES, RULE_HITS, EFFECT),
         "asof_blocks": with_req("""SELECT r.event_id, r.ip, r.t_us, CASE WHEN o.is_block THEN o.t_us END AS blocked_us,
             CASE WHEN o.is_block THEN o.expires_us END AS expires_us, coalesce(o.is_block AND r.t_us <= o.expires_us, false) AS is_blocked
             FROM req r ASOF LEFT JOIN ops o ON r.ip = o.ip AND r.t_us > o.t_us""", blocks(1)),
         "rule_match": with_req("""SELECT r.event_id, coalesce(string_agg(h.rule_name, ',' ORDER BY h.severity DESC, h.rule_name), '')
             AS matched_rules, coalesce(bool_or(h.action = 'BLOCK'), false) AS blocked
-            FROM req r LEFT JOIN hit h ON h.event_id = r.event_id WHERE r.payload <> '' GROUP BY r.event_id""", DEFAULT, RULE_HITS),
+            FROM req r LEFT JOIN hit h ON h.event_id = r.event_id WHERE r.payload <> '' GROUP BY r.event_id""", DEFAULT, AUTO, RULES, RULE_HITS),
         "evolution_multipliers": with_req(f"""SELECT event_id, {rnd('path_mult')} AS path_mult, {rnd('fingerprint_mult')} AS
             fingerprint_mult, {rnd('signature_mult')} AS signature_mult FROM adjusted""", *TO_FIRST, MULT),
         "dashboard_stats": with_req(f"""SELECT
@@ -422,11 +422,10 @@ def oracle_sql():
             (SELECT 60 - arg_max(k % 5, t_us) * 10 FROM req WHERE event_type = 'error') AS rate_limit""",
                                     *TO_RISK, blocks(5), DEFAULT, AUTO, RULES, HONEYPOT),
         "attacker_profiles": with_req("""SELECT ip AS ip_address, count(*) AS interactions,
-            array_to_string(list_sort(list_distinct(list(endpoint))), ',') AS endpoints,
-            array_to_string(list_sort(list_distinct(list(method))), ',') AS methods,
-            array_to_string(list_sort(list_distinct(list(interaction_type))), ',') AS types, min(t_us) AS first_us,
-            max(t_us) AS last_us, count(*) FILTER (payload <> '') AS payloads
-            FROM (SELECT * FROM decoy ORDER BY t_us DESC, event_id DESC LIMIT 500) GROUP BY ip""", HONEYPOT),
+            count(DISTINCT endpoint) AS endpoints, count(DISTINCT method) AS methods, count(DISTINCT interaction_type) AS types,
+            min(t_us) AS first_us, max(t_us) AS last_us, count(*) FILTER (payload <> '') AS payloads FROM decoy GROUP BY ip""", HONEYPOT),
+        "attacker_members": with_req("""SELECT DISTINCT ip AS ip_address, 'endpoint' AS kind, endpoint AS member FROM decoy
+            UNION SELECT ip, 'method', method FROM decoy UNION SELECT ip, 'type', interaction_type FROM decoy""", HONEYPOT),
         "honeypot_summary": with_req("""
             SELECT 'total' AS section, 1::BIGINT AS rank, 'interactions' AS item, count(*) AS n FROM newest
             UNION ALL SELECT 'total', 2, 'attackers', count(DISTINCT ip) FROM newest
@@ -436,10 +435,10 @@ def oracle_sql():
               FROM newest GROUP BY ip) WHERE r <= 5
             UNION ALL SELECT * FROM (SELECT 'recent', row_number() OVER (ORDER BY t_us DESC, event_id DESC) AS r,
               method || ' ' || endpoint || ' ' || ip, event_id FROM newest) WHERE r <= 10""", HONEYPOT,
-                                     "newest AS (SELECT * FROM decoy ORDER BY t_us DESC, event_id DESC LIMIT 1000)"),
+                                     "newest AS (SELECT * FROM decoy)"),
         "forensic_reports": with_req(f"""
             SELECT fingerprint, min(t_us) AS first_us, max(t_us) AS last_us, count(*) AS incidents, count(DISTINCT ip) AS n_ips,
-              count(DISTINCT endpoint) AS n_endpoints, count(DISTINCT CASE WHEN payload NOT IN ('', '{{}}') THEN substr(payload, 1, 100) END)
+              count(DISTINCT endpoint) AS n_endpoints, count(DISTINCT CASE WHEN payload NOT IN ('', '{{}}') THEN payload END)
               AS n_payloads, count(*) FILTER (deception > 0) AS deception_hits, sha256(fingerprint) AS report_id,
               CASE WHEN bool_or(action IN ('block', 'quarantine')) THEN 'MALICIOUS'
                 WHEN count(*) FILTER (deception > 0) > 2 THEN 'PROBING_ATTACKER' ELSE 'SUSPICIOUS' END AS classification,
@@ -451,7 +450,7 @@ def oracle_sql():
             GROUP BY fingerprint""", *TO_FINAL, INCIDENTS),
         "forensic_members": with_req("""SELECT DISTINCT fingerprint, 'ip' AS kind, ip AS member FROM inc
             UNION SELECT fingerprint, 'endpoint', endpoint FROM inc
-            UNION SELECT fingerprint, 'payload', substr(payload, 1, 100) FROM inc WHERE payload NOT IN ('', '{}')""",
+            UNION SELECT fingerprint, 'payload', payload FROM inc WHERE payload NOT IN ('', '{}')""",
                                      *TO_FINAL, INCIDENTS),
         "live_dashboard": with_req(f"""
             SELECT 'action' AS section, 0::BIGINT AS rank, action AS item, count(*)::DOUBLE AS value FROM final GROUP BY action
@@ -463,15 +462,14 @@ def oracle_sql():
             UNION ALL SELECT * FROM (SELECT 'endpoint', row_number() OVER (ORDER BY count(*) DESC, endpoint) AS r, endpoint, count(*)
               FROM final WHERE total_risk > 50 GROUP BY endpoint) WHERE r <= 5
             UNION ALL SELECT * FROM (SELECT 'payload', row_number() OVER (ORDER BY count(*) DESC, p) AS r, p, count(*)
-              FROM (SELECT DISTINCT fingerprint, substr(payload, 1, 100) AS p FROM inc WHERE payload NOT IN ('', '{{}}')) GROUP BY p)
+              FROM (SELECT DISTINCT fingerprint, payload AS p FROM inc WHERE payload NOT IN ('', '{{}}')) GROUP BY p)
               WHERE r <= 5""", *TO_FINAL, INCIDENTS),
         "behavior_profile": with_req(f"""
             SELECT ip, count(*) AS total_requests, count(*) FILTER (status_code IN (401, 403, 422)) AS failed_logins,
               count(DISTINCT endpoint) AS unique_endpoints, count(DISTINCT nullif(session_id, '')) AS session_count, max(t_us) AS last_us,
               {rnd('CASE WHEN count(*) > 1 THEN (max(t_us) - min(t_us)) / 1e6 / (count(*) - 1) ELSE 0 END')} AS avg_request_interval,
               (SELECT string_agg(h || ':' || n, ',' ORDER BY h) FROM (SELECT lpad(((t_us // 3600000000) % 24)::VARCHAR, 2, '0') AS h,
-                count(*) AS n FROM req x WHERE x.ip = req.ip AND t_us > {NOW} - {SHORT} GROUP BY 1)) AS hourly_distribution,
-              array_to_string(list_sort(list_distinct(list(endpoint)))[1:50], ',') AS endpoints_accessed
+                count(*) AS n FROM req x WHERE x.ip = req.ip AND t_us > {NOW} - {SHORT} GROUP BY 1)) AS hourly_distribution
             FROM req WHERE t_us > {NOW} - {SHORT} GROUP BY ip"""),
         "feature_rollup": with_req(f"""
             SELECT ip, t_us // {DAY_US} * {DAY_US} AS window_us, count(*) AS requests,
@@ -482,12 +480,13 @@ def oracle_sql():
               sum(len({flags_of('payload')}))::BIGINT AS payload_flags, count(DISTINCT endpoint) AS unique_endpoints,
               count(DISTINCT nullif(session_id, '')) AS unique_sessions, count(DISTINCT nullif(user_agent, '')) AS unique_user_agents,
               min(t_us) AS first_us, max(t_us) AS last_us FROM req GROUP BY 1, 2"""),
+        "behavior_endpoints": with_req(f"SELECT DISTINCT ip, endpoint FROM req WHERE t_us > {NOW} - {SHORT}"),
         "profile_summary": with_req(f"""SELECT ip, count(*) AS requests, count(DISTINCT endpoint) AS unique_endpoints,
             {rnd("count(*) FILTER (status_code IN (401, 403)) / count(*)::DOUBLE")} AS failure_rate,
             count(DISTINCT user_agent) AS n_user_agents FROM req WHERE t_us > {NOW} - {SHORT} GROUP BY ip"""),
         "profile_agents": with_req(f"SELECT DISTINCT ip, user_agent FROM req WHERE t_us > {NOW} - {SHORT}"),
         "rule_effectiveness": with_req(f"""SELECT rule_name, true_positives, false_positives, {rnd('effectiveness')} AS effectiveness,
-            last_us FROM eff""", DEFAULT, RULE_HITS, EFFECT),
+            last_us FROM eff""", DEFAULT, AUTO, RULES, RULE_HITS, EFFECT),
         "signature_confidence": with_req(f"""SELECT signature, max(rn) AS changes, {rnd('arg_max(conf, rn)')} AS confidence FROM walk
             GROUP BY signature""", """delta AS (SELECT md5(payload) AS signature, CASE WHEN status_code = 200 THEN -0.07e0 ELSE 0.05e0 END AS d,
             row_number() OVER (PARTITION BY payload ORDER BY t_us, event_id) AS rn FROM req WHERE payload <> '')""",
@@ -571,9 +570,10 @@ def oracle_sql():
               UNION ALL SELECT 'chat', conv_id * 1000 + turn, text FROM conversations
               UNION ALL SELECT 'document', doc_id, text FROM documents)"""),
         "struct_fingerprint": f"SELECT doc_id AS event_id, {SHAPE.format('text')} AS shape FROM documents",
-        "trigram_tf": f"""WITH g AS (SELECT page_id, gram, count(*) AS n FROM (SELECT page_id, unnest(list_transform(
-            range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS gram FROM (SELECT page_id, {SHAPE.format('url')} AS s FROM pages))
-            GROUP BY ALL) SELECT page_id, gram, n, {rnd('n / sqrt(sum(n * n) OVER (PARTITION BY page_id)::DOUBLE)')} AS weight FROM g""",
+        "trigram_tf": f"""WITH g AS (SELECT id, gram, count(*) AS n FROM (SELECT id, unnest(list_transform(
+            range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS gram FROM (SELECT 'page ' || page_id AS id, {SHAPE.format('url')} AS s FROM pages
+            UNION ALL SELECT 'document ' || doc_id, {SHAPE.format('text')} FROM documents))
+            GROUP BY ALL) SELECT id, gram, n, {rnd('n / sqrt(sum(n * n) OVER (PARTITION BY id)::DOUBLE)')} AS weight FROM g""",
         "json_props": """SELECT event_id, k, NULL::VARCHAR AS extra, '{"k":' || k || '}' AS again, true AS bad_is_null
             FROM (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events)""",
         "lr_calibration": f"""SELECT event_id, {rnd('greatest(0.05e0, 1 / (1 + exp(-8 * (k / 100e0 - 0.5e0))) / 0.5e0)')} AS ratio
@@ -589,12 +589,12 @@ def oracle_sql():
         "adaptive_decision_ip": with_req(f"SELECT event_id, {rnd('total_risk')} AS total_risk, action FROM first", SIG, bm, FIRST),
         "feedback_decision": with_req(f"""SELECT event_id, {rnd('adj_deviation')} AS adj_deviation, {rnd('adj_anomaly')} AS adj_anomaly,
             {rnd('adj_signature')} AS adj_signature, {rnd('adj_deception')} AS adj_deception, {rnd('total_risk')} AS total_risk, action,
-            CASE WHEN adj_signature > 90 THEN 'Critical payload signature match' WHEN adj_deception > 80 THEN 'High deception intent'
-              WHEN total_risk > 85 THEN 'Combined extreme risk score (' || printf('%.1f', total_risk) || ')'
-              WHEN total_risk > 70 THEN 'High risk score (' || printf('%.1f', total_risk) || ') - isolation required'
-              WHEN total_risk > 50 THEN 'Elevated risk (' || printf('%.1f', total_risk) || ') - rate limiting applied'
-              WHEN action = 'shadow_monitor' THEN 'Anomalous patterns detected - silent monitoring engaged'
-              ELSE 'Normal behavior' END AS reason FROM final""", *TO_FINAL),
+            CASE WHEN adj_signature > 90 THEN 'signature over 90' WHEN adj_deception > 80 THEN 'deception over 80'
+              WHEN total_risk > 85 THEN 'total over 85: ' || printf('%.1f', total_risk)
+              WHEN total_risk > 70 THEN 'total over 70: ' || printf('%.1f', total_risk)
+              WHEN total_risk > 50 THEN 'total over 50: ' || printf('%.1f', total_risk)
+              WHEN action = 'shadow_monitor' THEN 'anomaly or deviation alone'
+              ELSE 'nothing over a limit' END AS reason FROM final""", *TO_FINAL),
         "decision_summary": with_req(f"""SELECT action, count(*) AS requests, {rnd('avg(total_risk)')} AS mean_risk FROM first
             GROUP BY action""", *TO_FIRST),
         "anomaly_heuristic": with_req(f"""SELECT m.event_id, {rnd('anomaly')} AS anomaly, CASE WHEN anomaly > 0.6e0 THEN 'ANOMALY' ELSE
@@ -611,7 +611,7 @@ def oracle_sql():
               + CASE WHEN memory_sim > 0.3e0 THEN -6 * ln(1.0001e0 - memory_sim) - 3 ELSE 0 END
               + CASE WHEN correlation > 0.4e0 THEN -5 * ln(1.0001e0 - correlation) - 2.5e0 ELSE 0 END
               + 6 * (risk / 100 - 0.65e0))))) END AS posterior FROM evidence)""", *TO_RISK, EMBED, LATEST, OUTCOMES,
-                                 f"mem AS (SELECT vec FROM embed WHERE {DECEPTIVE} ORDER BY t_us DESC, event_id DESC LIMIT 10000)",
+                                 f"mem AS (SELECT vec FROM embed WHERE {DECEPTIVE})",
                                  """sims AS (SELECT e.event_id, least(1e0, max(list_dot_product(e.vec, m.vec))) AS memory_sim
               FROM embed e CROSS JOIN mem m GROUP BY e.event_id)""",
                                  """pairs AS (SELECT a.ip, least(1e0, max(list_dot_product(a.vec, b.vec))) AS correlation
@@ -646,15 +646,15 @@ def oracle_sql():
             {rnd('count(DISTINCT payload) / count(*)::DOUBLE')} AS share FROM req WHERE {DECEPTIVE} AND length(payload) > 10
             GROUP BY 1 HAVING count(*) >= 8 AND count(DISTINCT payload) / count(*)::DOUBLE > 0.4e0"""),
         "apply_corrections": with_req(f"""
-            SELECT d.rule_name, {rnd('coalesce(effectiveness, 0.5e0)')} AS confidence FROM defaults d LEFT JOIN eff USING (rule_name)
+            SELECT d.rule_name, {rnd('coalesce(effectiveness, d.confidence)')} AS confidence FROM (SELECT rule_name, CASE WHEN auto_generated THEN 0.7e0 ELSE 0.5e0 END AS confidence FROM rules) d LEFT JOIN eff USING (rule_name)
             UNION ALL SELECT 'errors:' || error, count(*) FROM (
               SELECT CASE WHEN blocked AND status_code = 200 THEN 'false_positive' WHEN NOT blocked AND status_code <> 200 THEN 'false_negative'
                 ELSE 'none' END AS error FROM (SELECT r.event_id, r.status_code, coalesce(bool_or(h.action = 'BLOCK'), false) AS blocked
                 FROM req r LEFT JOIN hit h ON h.event_id = r.event_id WHERE r.payload <> '' GROUP BY ALL)) GROUP BY error""",
-                                      DEFAULT, RULE_HITS, EFFECT),
+                                      DEFAULT, AUTO, RULES, RULE_HITS, EFFECT),
         "component_stats": with_req(f"""SELECT 'attack_samples' AS component, count(*) AS n FROM outcome WHERE is_attack
             UNION ALL SELECT 'normal_samples', count(*) FROM outcome WHERE NOT is_attack
-            UNION ALL SELECT 'memory_entries', least(count(*), 10000) FROM outcome WHERE is_attack
+            UNION ALL SELECT 'memory_entries', count(*) FROM outcome WHERE is_attack
             UNION ALL SELECT 'active_actors', count(DISTINCT ip) FROM outcome WHERE t_us > {NOW} - {SHORT}""", OUTCOMES),
         "defense_state": with_req("""SELECT 1::BIGINT AS id, k % 5 AS level, 60 - (k % 5) * 10 AS rate_limit, endpoint AS reason, t_us
             FROM req WHERE event_type = 'error' ORDER BY t_us DESC, event_id DESC LIMIT 1"""),
@@ -683,7 +683,7 @@ def oracle_sql():
         "evolved_rules": with_req(f"""SELECT 'Evolve_' || substr(md5(pattern), 1, 8) AS rule_name, 'PAYLOAD' AS rule_type, pattern,
             'BLOCK' AS action, CASE WHEN confidence > 0.8e0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 0.7e0 AS confidence,
             {NOW} AS created_us, {NOW} + {DAY_US} AS expires_us,
-            'PolyGen: confidence=' || printf('%.2f', confidence) || ', n=' || cluster_size AS description
+            'mined, sure to ' || printf('%.2f', confidence) || ', payloads ' || cluster_size AS description
             FROM (SELECT *, '.*' || regexp_replace(core, '([^A-Za-z0-9_])', '\\\\\\1', 'g') || '.*' AS pattern FROM mined)
             WHERE confidence > 0.6e0""", SHAPES, CORES),
     }

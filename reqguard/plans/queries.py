@@ -25,6 +25,7 @@ from reqguard.session import shared_dir, stage
 from reqguard.sources import logs, requests as RQ, tables
 
 CFG = SAMPLE
+SPREAD = True  # the sample tables are one file each
 c = F.col
 
 
@@ -54,7 +55,7 @@ def latest_us(df: DataFrame) -> int:
 
 def named(fn):
     """Register a function of the request view."""
-    return lambda spark, sf: rounded(fn(RQ.requests(spark, sf)))
+    return lambda spark, sf: rounded(fn(RQ.requests(spark, sf, SPREAD)))
 
 
 # ---------------------------------------------------------------- shared inputs derived from the tables
@@ -90,9 +91,8 @@ def system_events(r: DataFrame) -> DataFrame:
 
 def rule_outcomes(r: DataFrame) -> DataFrame:
     """Each rule matched by a request's payload, true positive when the request did not succeed."""
-    hits = RU.rule_match(r.filter("payload <> ''"), RU.default_rules(r.sparkSession))
-    return hits.select(F.explode("matched_rules").alias("rule_name"), (c("status_code") != 200).alias("is_true_positive"),
-                       "t_us", "event_id")
+    hits = RU.rule_hits(r.filter("payload <> ''"), observed_rules(r)).select("event_id", "rule_name")
+    return hits.join(r, "event_id").select("rule_name", (c("status_code") != 200).alias("is_true_positive"), "t_us", "event_id")
 
 
 def outcomes(r: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def attack_memory(vectors: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sources and logs
 def src_requests(spark, sf):
     """Write the requests as JSON lines without default values, and ingest them again."""
-    r = RQ.requests(spark, sf)
+    r = RQ.requests(spark, sf, SPREAD)
     lean = r.select("ip", F.nullif("endpoint", F.lit("/")).alias("path"), F.nullif("method", F.lit("GET")).alias("method"),
                     F.nullif("user_agent", F.lit("")).alias("user_agent"), F.nullif("payload", F.lit("")).alias("payload"),
                     F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
@@ -134,7 +134,7 @@ def src_requests(spark, sf):
 
 def log_scan(spark, sf):
     """Decision log lines in both formats, with crash lines between them, scanned and counted by decision."""
-    r = RQ.requests(spark, sf)
+    r = RQ.requests(spark, sf, SPREAD)
     when = F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd HH:mm:ss,SSS")
     verdict = F.when(c("status_code") == 200, "ALLOW").otherwise("BLOCK")
     line = (F.when(c("k") % 3 == 0, F.concat_ws(" | ", when, F.concat(F.lit("SOURCE: "), "ip"),
@@ -196,7 +196,7 @@ def asof_blocks(r):
 
 
 def rule_match(r):
-    out = RU.rule_match(r.filter("payload <> ''"), observed_rules(r).filter("not auto_generated"))
+    out = RU.rule_match(r.filter("payload <> ''"), observed_rules(r))
     return out.select("event_id", "matched_rules", "blocked")
 
 
@@ -367,13 +367,13 @@ def level_changes(r):
 
 # ---------------------------------------------------------------- rules over time
 def rule_effectiveness(r):
-    rules = RU.default_rules(r.sparkSession)
+    rules = observed_rules(r)
     return RU.rule_effectiveness(rules, rule_outcomes(r)).select(
         "rule_name", "true_positives", "false_positives", "effectiveness", "last_us")
 
 
 def rule_performance(r):
-    rules = RU.default_rules(r.sparkSession)
+    rules = observed_rules(r)
     return RU.rule_performance(rules, RU.rule_effectiveness(rules, rule_outcomes(r))).select(
         "rule_name", "true_positives", "false_positives", "effectiveness")
 
@@ -393,11 +393,11 @@ def healing_status(r):
 
 def apply_corrections(r):
     """Feedback on every request with a payload: it was an attack when the request failed."""
-    hits = RU.rule_match(r.filter("payload <> ''"), RU.default_rules(r.sparkSession)).withColumn(
+    hits = RU.rule_match(r.filter("payload <> ''"), observed_rules(r)).withColumn(
         "action", F.when(c("blocked"), "block").otherwise("allow"))
     feedback = r.select("event_id", (c("status_code") != 200).alias("was_attack"))
     fixed = FB.corrected_outcomes(hits, feedback)
-    rules = FB.apply_corrections(fixed, RU.default_rules(r.sparkSession)).select("rule_name", "confidence")
+    rules = FB.apply_corrections(fixed, observed_rules(r)).select("rule_name", "confidence")
     errors = fixed.groupBy("error").agg(F.count("*").cast("double").alias("confidence"))
     return rules.unionByName(errors.select(F.concat(F.lit("errors:"), "error").alias("rule_name"), "confidence"))
 
@@ -424,15 +424,15 @@ def threshold_tuning(r):
 
 # ---------------------------------------------------------------- text
 def documents(spark, sf):
-    docs = RQ.spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     return docs.select(c("doc_id").alias("event_id"), c("text").alias("payload"))
 
 
 def signature_match(spark, sf):
     """Signatures over requests, documents, pages and chats."""
     blank = F.lit("")
-    r = RQ.requests(spark, sf).select(F.lit("request").alias("src"), "event_id", "payload", "user_agent", "endpoint")
-    pages = RQ.spread(spark.read.parquet(f"{sf}/pages.parquet"), "page_id").select(
+    r = RQ.requests(spark, sf, SPREAD).select(F.lit("request").alias("src"), "event_id", "payload", "user_agent", "endpoint")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(
         F.lit("page").alias("src"), c("page_id").alias("event_id"), c("html").alias("payload"),
         blank.alias("user_agent"), c("url").alias("endpoint"))
     docs = documents(spark, sf).select(F.lit("document").alias("src"), "event_id", "payload", blank.alias("user_agent"),
@@ -442,7 +442,7 @@ def signature_match(spark, sf):
 
 
 def payload_flags(spark, sf):
-    r = RQ.requests(spark, sf).filter("payload <> ''").select(F.lit("request").alias("src"), "event_id", "payload")
+    r = RQ.requests(spark, sf, SPREAD).filter("payload <> ''").select(F.lit("request").alias("src"), "event_id", "payload")
     chats = spark.read.parquet(f"{sf}/conversations.parquet").select(
         F.lit("chat").alias("src"), (c("conv_id") * 1000 + c("turn")).alias("event_id"), c("text").alias("payload"))
     docs = documents(spark, sf).select(F.lit("document").alias("src"), "event_id", "payload")
@@ -450,14 +450,25 @@ def payload_flags(spark, sf):
     return rounded(rows.select("src", "event_id", text.payload_flags(c("payload")).alias("flags")))
 
 
+def attacker_members(r):
+    return RP.attacker_members(decoys(r))
+
+
+def behavior_endpoints(r):
+    return RP.behavior_endpoints(r, latest_us(r), CFG.short_us)
+
+
 def struct_fingerprint(spark, sf):
     return documents(spark, sf).select("event_id", text.structural_fingerprint(c("payload")).alias("shape"))
 
 
 def trigram_tf(spark, sf):
+    """Over the shapes of documents and page urls."""
     pages = spark.read.parquet(f"{sf}/pages.parquet").select(
-        "page_id", text.structural_fingerprint(c("url")).alias("shape"))
-    return rounded(text.trigram_counts(pages, "page_id", "shape"))
+        F.concat(F.lit("page "), c("page_id").cast("string")).alias("id"), text.structural_fingerprint(c("url")).alias("shape"))
+    docs = documents(spark, sf).select(
+        F.concat(F.lit("document "), c("event_id").cast("string")).alias("id"), text.structural_fingerprint(c("payload")).alias("shape"))
+    return rounded(text.trigram_counts(pages.unionByName(docs), "id", "shape"))
 
 
 def lr_calibration(spark, sf):
@@ -550,7 +561,7 @@ def telemetry_rows(r):
 
 def iforest_score(r):
     rows = stage(telemetry_rows(r), "telemetry")
-    forest = IF.fit_recent(rows)
+    forest = IF.fit_telemetry(rows)
     return IF.telemetry_anomaly(IF.decision(rows, forest)).select(c("id").alias("event_id"), "decision", "anomaly", "label")
 
 
@@ -587,7 +598,7 @@ def cluster_core(spark, sf):
 
 
 def evolved_rules(spark, sf):
-    now = latest_us(RQ.requests(spark, sf))
+    now = latest_us(RQ.requests(spark, sf, SPREAD))
     return rounded(RU.evolved_rules(MI.mine_rules(url_payloads(spark, sf)), F.lit(now)).drop("auto_generated"))
 
 
@@ -623,6 +634,8 @@ def queries():
         "evolution_multipliers": named(evolution_multipliers),
         # aggregations
         "dashboard_stats": named(dashboard_stats),
+        "attacker_members": named(attacker_members),
+        "behavior_endpoints": named(behavior_endpoints),
         "attacker_profiles": named(lambda r: RP.attacker_profiles(decoys(r))),
         "honeypot_summary": named(lambda r: RP.honeypot_summary(decoys(r))),
         "forensic_reports": named(forensic_reports),

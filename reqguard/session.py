@@ -1,21 +1,32 @@
 """Session and shared-folder helpers."""
 
-import tempfile
+import atexit
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+_owned: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, taken from the session; a temporary one only for a local session without it."""
+    """This application's folder below spark.checkpoint.dir or, where that is unset, below the warehouse, both of which
+    all executors share. It is deleted when the driver's process ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="reqguard-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+    folder = (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    own = f"{folder}/reqguard-{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        atexit.register(_delete, spark, own)
+    return own
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may have ended first; then the folder's owner cleans it up
+        pass
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -27,3 +38,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent(spark: SparkSession, value):
+    """Sends a value of bounded size to each executor once; the function returned gives it in a task. It travels by
+    value, classes included."""
+    box = spark.sparkContext.broadcast([cloudpickle.dumps(value)])
+
+    def get():
+        held = box.value
+        if len(held) == 1:
+            held.append(cloudpickle.loads(held[0]))
+        return held[1]
+
+    return get

@@ -35,13 +35,13 @@ def honeypot_log(requests: DataFrame) -> DataFrame:
     hits = requests.filter(text.deceptive_route(F.col("endpoint")))
     return hits.select(
         "event_id", F.col("ip").alias("ip_address"), "endpoint", "method",
-        F.substring("payload", 1, C.DECOY_PAYLOAD_CHARS).alias("payload"), "user_agent", "t_us", "session_id",
+        "payload", "user_agent", "t_us", "session_id",
         interaction_type(F.col("endpoint"), F.col("method")).alias("interaction_type"))
 
 
 def decode_payload(body: Column) -> Column:
     """Decoy payload text from raw request bytes: invalid bytes become the replacement character."""
-    decoded = F.substring(F.make_valid_utf8(body.cast("string")), 1, C.DECOY_PAYLOAD_CHARS)
+    decoded = F.make_valid_utf8(body.cast("string"))
     return F.when(body.isNull(), "").otherwise(F.coalesce(decoded, F.lit("<unparseable>")))
 
 
@@ -55,13 +55,13 @@ def payload_alerts(requests: DataFrame) -> DataFrame:
     found = requests.withColumn("flags", flags).filter(F.size("flags") > 0)
     high = F.arrays_overlap("flags", F.array(F.lit("SQL_INJECTION"), F.lit("COMMAND_INJECTION")))
     return _event(found, "PAYLOAD_ALERT", F.when(high, "HIGH").otherwise("MEDIUM"), F.lit(None).cast("string"),
-                  F.concat(F.lit("Payload flags detected: "), F.array_join("flags", ",")), F.lit("{}"))
+                  F.concat(F.lit("flags in payload: "), F.array_join("flags", ",")), F.lit("{}"))
 
 
 def honeypot_events(log: DataFrame) -> DataFrame:
     meta = F.to_json(F.struct("user_agent", F.col("interaction_type").alias("type")))
     return _event(log, "HONEYPOT_INTERACTION", F.lit("HIGH"), F.col("ip_address"),
-                  F.concat_ws(" ", F.lit("Honeypot accessed:"), F.col("method"), F.col("endpoint")), meta)
+                  F.concat_ws(" ", F.lit("decoy hit"), F.col("method"), F.col("endpoint")), meta)
 
 
 def risk_escalations(scores: DataFrame) -> DataFrame:
@@ -71,21 +71,21 @@ def risk_escalations(scores: DataFrame) -> DataFrame:
         F.col("freq_score").alias("frequency"), F.col("failure_score").alias("failure"),
         F.col("pattern_score").alias("pattern"), F.col("payload_score").alias("payload")).alias("score_breakdown")))
     return _event(up, "RISK_ESCALATION", F.when(F.col("risk_level") == "MALICIOUS", "HIGH").otherwise("WARNING"),
-                  F.col("ip"), F.concat(F.lit("Risk escalated to "), F.col("risk_level")), meta)
+                  F.col("ip"), F.concat(F.col("risk_level"), F.lit(" at score "), F.format_string("%.1f", F.col("score"))), meta)
 
 
 def healing_events(rules: DataFrame) -> DataFrame:
     """One event per (ip, time) at which rules were generated; rules has ip, t_us, event_id, kind."""
     made = rules.groupBy("event_id", "ip", "t_us").agg(F.count("*").alias("n"))
     return _event(made, "SELF_HEALING", F.lit("HIGH"), F.col("ip"),
-                  F.concat(F.lit("Generated "), F.col("n").cast("string"), F.lit(" new defense rules")), F.lit("{}"))
+                  F.concat(F.lit("rules made: "), F.col("n").cast("string")), F.lit("{}"))
 
 
 def injected_rule_events(rules: DataFrame) -> DataFrame:
     """Events for mined rules that were injected; rules has rule_name, severity, pattern, description, created_us."""
     rows = rules.withColumns({"event_id": F.lit(None).cast("long"), "t_us": F.col("created_us")})
     return _event(rows, "GEN_RULE_INJECTED", F.col("severity"), F.lit(None).cast("string"),
-                  F.concat(F.lit("Injected evolve rule: "), F.col("rule_name")),
+                  F.concat(F.lit("mined rule added: "), F.col("rule_name")),
                   F.to_json(F.struct("pattern", F.col("description").alias("desc"))))
 
 

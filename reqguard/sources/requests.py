@@ -39,15 +39,11 @@ def _pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input of fewer splits than cores by a row key, so that the work on each row runs on all of them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests derived from the events table: one row per event."""
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
+def requests(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Requests derived from the events table: one row per event. With spread, rows are dealt by id first, for an input
+    of few splits."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = events.repartition("event_id") if spread else events
     k, kind = F.col("k"), F.col("event_type")
     view = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     method = (F.when(kind.isin("purchase", "signup"), "POST")

@@ -83,4 +83,4 @@ def test_forest_finds_outliers_whatever_the_partitioning(spark):
     assert {r["id"] for r in rows[:6]} == set(range(600, 606))
     assert all(r["is_anomaly"] and r["label"] == "ANOMALY" and r["anomaly"] > 0.5 for r in rows[:6])
     assert 8 <= sum(r["is_anomaly"] for r in rows) <= 16
-    assert IF.fit_recent(df.limit(99)) is None
+    assert IF.fit_telemetry(df.limit(99)) is None
