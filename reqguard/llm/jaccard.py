@@ -13,7 +13,11 @@ from reqguard.operators.graph import components
 PERCENT = 75
 #: Cells that count in how many documents the shingles of a hash range occur (2 ** CELL_BITS); the order of shingles
 #: from rare to frequent is that of (count of the cell, hash).
-CELL_BITS = 17
+CELL_BITS = 20
+#: Cells of a row in the table of counts.
+CHUNK = 1 << 14
+#: Rounds in which nodes are compared with one hub each, before the pairs that are left.
+ROUNDS = 2
 #: Bytes of prefix rows in a partition.
 PART_BYTES = 16 << 20
 LAST = 2 ** 63 - 1
@@ -24,18 +28,27 @@ def cell(tokens: np.ndarray) -> np.ndarray:
 
 
 def sets_and_counts(batches):
-    """(id, text) -> a row per document (id, n, d1, d2: size and digest of its set), and per task a row for each cell
-    (id: the cell, n: its documents, d1 and d2 null)."""
-    hasher, counts = Hasher(), np.zeros(1 << CELL_BITS, np.int64)
-    names = ["id", "n", "d1", "d2"]
+    """(id, text) -> a row per document (id, n, d1, d2: size and digest of its set), and per task a row for each chunk of
+    cells (id: the chunk, cells: documents per cell, d1 and d2 null)."""
+    hasher, counts = Hasher(), np.zeros(1 << CELL_BITS, np.uint32)
+    names = ["id", "n", "d1", "d2", "cells"]
     for ids, texts in text_parts(batches):
         sets = hasher.shingles(texts)
-        counts += np.bincount(cell(np.concatenate(sets)), minlength=len(counts))
+        counts += np.bincount(cell(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
         d = np.array([digest(s) for s in sets]).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])], names=names)
-    used = np.flatnonzero(counts)
-    none = pa.nulls(len(used), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used]), none, none], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]),
+                                          pa.nulls(len(ids), pa.binary())], names=names)
+    rows = counts.reshape(-1, CHUNK)
+    none = pa.nulls(len(rows), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), none, none, none, pa.array([r.tobytes() for r in rows], pa.binary())], names=names)
+
+
+def added_cells(rows: pa.Table) -> pa.Table:
+    """Counts of one chunk, added up over the tasks; whichever exceeds 32 bits stays at their end."""
+    total = np.zeros(CHUNK, np.uint64)
+    for r in rows.column("cells"):
+        total += np.frombuffer(r.as_buffer(), np.uint32)
+    return pa.table({"id": rows.column("id").slice(0, 1), "cells": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
 
 def prefix_size(n):
@@ -43,9 +56,20 @@ def prefix_size(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def index_size(n):
+    """The same for the smaller of two sets."""
+    return n - F.ceil(F.lit(2 * PERCENT) * n / F.lit(100 + PERCENT)) + 1
+
+
+def prefix_size_of(n):
+    """The same as an expression."""
+    return n - F.floor((PERCENT * n + 99) / 100) + 1
+
+
 def prefixes(get_counts):
     def run(batches):
-        """(id, text) -> (token, node, n): the rarest shingles of each set; a set that a task has met before shows nothing."""
+        """(id, text) -> (token, node, n, pos): the rarest shingles of each set, in order; a set that a task has met before
+        shows nothing."""
         counts, hasher, met = get_counts(), Hasher(), set()
         for _, texts in text_parts(batches):
             tokens, nodes, sizes, lengths = [], [], [], []
@@ -61,7 +85,8 @@ def prefixes(get_counts):
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)),
-                     pa.array(np.repeat(np.array(sizes, np.int64), lengths))], names=["token", "node", "n"])
+                     pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate([np.arange(p) for p in lengths]))],
+                    names=["token", "node", "n", "pos"])
 
     return run
 
@@ -119,6 +144,60 @@ def ordered_pair(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def with_components(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Lists with the component of each node by the links found so far."""
+    if links is None:
+        return lists.withColumn("component", F.col("node"))
+    together = components(links, "a", "b").withColumnRenamed("id", "node")
+    return lists.join(together, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def hub_pairs(marked: DataFrame) -> DataFrame:
+    """For each node the one node of another component that it should be compared with first.
+
+    In each shingle's list, the hub is the node most of whose prefix shingles are shared: the text that others are edited
+    from has few shingles of its own. Each node meets the hub, or the best of another component if the hub is in its own;
+    of all it meets so, the one met most often is its pair. So a group of near copies is compared with its hub only.
+    """
+    lists = Window.partitionBy("token")
+    one = F.struct("share", "node", "n", "component")
+    rows = marked.withColumn("_hub", F.max(one).over(lists))
+    rows = rows.withColumn("_next", F.max(F.when(F.col("component") != F.col("_hub.component"), one)).over(lists))
+    rows = rows.withColumn("_with", F.when(F.col("component") != F.col("_hub.component"), F.col("_hub")).otherwise(F.col("_next")))
+    met = rows.filter("_with IS NOT NULL").filter(near_size(F.col("n"), F.col("_with.n"))).groupBy("node", F.col("_with.node").alias("with")).agg(
+        F.count(F.lit(1)).alias("met"), F.max(fewest_common(F.col("n"), F.col("_with.n"))).alias("least"))
+    best = met.filter(2 * F.col("met") >= F.col("least")).groupBy("node").agg(F.max(F.struct("met", "with")).alias("w"))
+    return best.select(*ordered_pair(F.col("node"), F.col("w.with"))).distinct()
+
+
+def pairs_apart(marked: DataFrame) -> DataFrame:
+    """(a, b, na, nb): nodes of different components that a shingle brings together past the filters.
+
+    Of the smaller set, x, the shingle must lie in its short index prefix; sizes must be near; and what both can share
+    before the shingle's places and after them must reach what a link needs.
+    """
+    x, y = marked.alias("x"), marked.alias("y")
+    nx, ny, px, py = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
+    need = F.ceil((F.lit(PERCENT) * (nx + ny)) / F.lit(100 + PERCENT))
+    reach = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
+    smaller = (nx < ny) | ((nx == ny) & (F.col("x.node") < F.col("y.node")))
+    met = x.filter(F.col("pos") < index_size(F.col("n"))).join(
+        y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & near_size(nx, ny) & (reach >= need))
+    a, b = ordered_pair(F.col("x.node"), F.col("y.node"))
+    first = F.col("x.node") < F.col("y.node")
+    return met.select(a, b, F.when(first, nx).otherwise(ny).alias("na"), F.when(first, ny).otherwise(nx).alias("nb")).distinct()
+
+
+def with_enough_common(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, na, nb), those with as many common prefix shingles as a link has at least."""
+    pairs = stage(pairs, "jaccard-met")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    shown = stage(lists.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens")), "jaccard-shown")
+    sa, sb = (shown.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    both = pairs.join(sa, "a").join(sb, "b").withColumn("met", F.size(F.array_intersect("ta", "tb")))
+    return both.filter(F.col("met") >= fewest_common(F.col("na"), F.col("nb"))).select("a", "b")
+
+
 def components_by_shingles(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text, others) -> _id (its id as a long, a null one as the largest), n_shingles and
     component: the smallest id reachable by links, its own included; d1 and d2, the digest of its set.
@@ -129,47 +208,39 @@ def components_by_shingles(docs: DataFrame) -> DataFrame:
     1. One pass counts documents per hash cell, for the order from rare to frequent, and digests each set. Equal sets
        are one node from here on.
     2. The next pass emits prefix shingles; those met in one node alone end there.
-    3. In each shingle's list, by size, neighbours that meet in many shingles are verified first: groups of near copies
-       come together by about one link for each copy, not by all pairs.
-    4. Then every pair of nodes that share a prefix shingle, lie within the length filter and are not together yet is
-       counted; those with too few common prefix shingles can't link, the others are verified.
+    3. In ROUNDS rounds, each node is verified against one hub: groups of near copies come together by about one link
+       for each copy, not by all pairs.
+    4. Then every pair of nodes that are not together yet and that a shared prefix shingle brings together past the
+       length and positional filters is looked at once: with too few common prefix shingles, what lies behind the prefixes
+       (the suffixes) can't make up for it; the others are verified on their whole sets.
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    first = stage(base.mapInArrow(sets_and_counts, "id long, n long, d1 long, d2 long"), "jaccard-sets-counts")
+    first = stage(base.mapInArrow(sets_and_counts, "id long, n long, d1 long, d2 long, cells binary"), "jaccard-sets-counts")
     rows = first.filter("d1 IS NOT NULL")
     reps = stage(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "jaccard-reps")
-    counts = np.zeros(1 << CELL_BITS, np.int64)
-    for r in first.filter("d1 IS NULL").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a fixed number of cells
-        counts[r["id"]] = r["n"]
-    parts = max(1, int(counts.sum()) * 6 // PART_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = first.filter("d1 IS NULL").select("id", "cells").groupBy("id").applyInArrow(added_cells, "id long, cells binary").collect()
+    counts = np.zeros(1 << CELL_BITS, np.uint32)  # a fixed number of cells
+    for r in chunks:
+        counts[r["id"] * CHUNK:(r["id"] + 1) * CHUNK] = np.frombuffer(r["cells"], np.uint32)
+    parts = max(1, int(counts.sum(dtype=np.int64)) * 6 // PART_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     in_token = Window.partitionBy("token")
-    by_size = in_token.orderBy("n", "node")
-    shown = base.mapInArrow(prefixes(sent(spark, counts)), "token long, node long, n long")
-    lists = (shown.repartition(parts, "token").withColumn("prev", F.lag("node").over(by_size)).withColumn("prev_n", F.lag("n").over(by_size))
-             .withColumn("_low", F.min("node").over(in_token)).withColumn("_high", F.max("node").over(in_token)))
-    lists = stage(lists.filter("_low <> _high").drop("_low", "_high"), "jaccard-lists")
+    shown = base.mapInArrow(prefixes(sent(spark, counts)), "token long, node long, n long, pos long")
+    lists = shown.repartition(parts, "token").withColumn("_low", F.min("node").over(in_token)).withColumn("_high", F.max("node").over(in_token))
+    lists = stage(lists.filter("_low <> _high").select("token", "node", "n", "pos").distinct(), "jaccard-lists")
     del shown
     release(spark)
-
-    beside = lists.filter("prev IS NOT NULL AND prev <> node").filter(near_size(F.col("n"), F.col("prev_n")))
-    beside = (beside.groupBy(*ordered_pair(F.col("node"), F.col("prev"))).agg(
-        F.count(F.lit(1)).alias("met"), F.max(fewest_common(F.col("n"), F.col("prev_n"))).alias("least"))
-        .filter(2 * F.col("met") >= F.col("least")).select("a", "b"))
-    close = linked(base, reps, beside)
-    together = components(close, "a", "b").withColumnRenamed("id", "node")
-    marked = lists.select("token", "node", "n").join(together, "node", "left")
-    marked = marked.withColumn("component", F.coalesce("component", "node"))
-    marked = (marked.withColumn("_low", F.min("component").over(in_token)).withColumn("_high", F.max("component").over(in_token))
-              .filter("_low <> _high").drop("_low", "_high"))
-    marked = stage(marked.distinct(), "jaccard-apart")
-    x, y = marked.alias("x"), marked.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node"))
-                 & near_size(F.col("x.n"), F.col("y.n")))
-    apart = (met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.count(F.lit(1)).alias("met"), F.max(fewest_common(F.col("x.n"), F.col("y.n"))).alias("least"))
-        .filter("met >= least").select("a", "b"))
-    links = close.unionByName(linked(base, reps, apart)).select("rep_a", "rep_b")
+    shared = lists.groupBy("node").agg((F.count(F.lit(1)) / F.max(prefix_size_of(F.col("n")))).alias("share"))
+    lists = stage(lists.join(shared, "node"), "jaccard-shares")
+
+    close = None
+    for _ in range(ROUNDS):
+        found = linked(base, reps, hub_pairs(with_components(lists, close)))
+        close = found if close is None else stage(close.unionByName(found), "jaccard-close")
+    marked = with_components(lists, close).withColumn("_low", F.min("component").over(in_token)).withColumn("_high", F.max("component").over(in_token))
+    marked = stage(marked.filter("_low <> _high").select("token", "node", "n", "pos", "component"), "jaccard-apart")
+    apart = linked(base, reps, with_enough_common(lists, pairs_apart(marked)))
+    links = close.unionByName(apart).select("rep_a", "rep_b")
     found = components(links, "rep_a", "rep_b").withColumnRenamed("id", "rep")
     named = reps.join(found, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     return rows.join(named, ["d1", "d2"], "left").select(
