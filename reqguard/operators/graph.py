@@ -9,7 +9,7 @@ from reqguard.session import stage
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id connected to each node, for undirected edges between numbers.
 
-    Alternates two steps until nothing changes: every node links its larger neighbours, then its smaller ones, to the
+    Alternates two steps until all links are stars around the smallest: every node links its larger neighbours, then its smaller ones, to the
     smallest neighbour it has. The number of rounds grows with the logarithm of the size. Each round is written to the
     shared folder, which cuts the lineage.
     """
@@ -30,11 +30,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     e = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(c("u") != c("v")).distinct(),
               "edges")
-    while True:
-        after = stage(link(link(e, True), False), "edges")
-        same = after.count() == e.count() and after.join(e, ["u", "v"], "left_anti").isEmpty()
-        e = after
-        if same:
-            break
+    def starred(e):
+        """Every node has one link, to a node that has none: nothing is left to do."""
+        ends = e.select(c("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            e.select(c("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        odd = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1")
+        return odd.isEmpty()
+
+    while not starred(e):
+        e = stage(link(link(e, True), False), "edges")
     roots = e.select(c("v").alias("id"), c("v").alias("component")).distinct()
     return e.select(c("u").alias("id"), c("v").alias("component")).unionByName(roots)

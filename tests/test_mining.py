@@ -76,7 +76,7 @@ def test_similar_payloads_give_one_rule(spark):
     mined = MI.mine_rules(df).collect()
     assert len(mined) == 1 and mined[0]["core"] == "<?php echo 'attack_" and mined[0]["cluster_size"] == 16
     made = RU.evolved_rules(MI.mine_rules(df), F.lit(0)).first()
-    assert made["severity"] == "MEDIUM" and made["confidence"] == 0.7 and "n=16" in made["description"]
+    assert made["severity"] == "MEDIUM" and made["confidence"] == 0.7 and "payloads 16" in made["description"]
     assert all(re.search(made["pattern"], r[0]) for r in rows[:16]) and not re.search(made["pattern"], "noise words")
     assert MI.mine_rules(df.limit(5)).count() == 0
 
