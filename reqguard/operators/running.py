@@ -12,25 +12,33 @@ a large share of the data. Both helpers below cut a key's ordered rows into piec
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reqguard.session import stage
+
+
 def _combined(how: str, name: str) -> str:
     if how == "sum":
         return f"coalesce(_c_{name}, 0) + coalesce(_r_{name}, 0) AS {name}"
     return f"{'greatest' if how == 'max' else 'least'}(_c_{name}, _r_{name}) AS {name}"
 
 
-def running(df: DataFrame, keys: list[str], aggs: dict, segment_us: int, order=("t_us", "event_id")) -> DataFrame:
+def running(df: DataFrame, keys: list[str], aggs: dict, segment_us: int, order=("t_us", "event_id"), written: bool = False) -> DataFrame:
     """Add running aggregates per key.
 
     ``aggs`` maps a new column to ``(sum|min|max, Column)`` or, when a row must not see itself, to
     ``(sum|min|max, Column, "before")``. Totals have at most (time span / segment) rows per key, however many events the
     key has. A null is a key like any other. Structs compare field by field, so ``max(struct(t, id, x))`` gives the
-    latest x. The rows are dealt by (key, segment) once, and both the totals and the sums within a segment read that.
+    latest x.
+
+    The totals and the sums within a segment each read the input, the former only a few of its columns. With ``written``,
+    the rows are written to the shared folder first, so that a costly input is evaluated once.
     """
     cols, names = df.columns, list(aggs)
     how = {n: a[0] for n, a in aggs.items()}
     # keys are compared as a struct, in which a null equals a null
     df = df.withColumns({"_key": F.struct(*keys), "_seg": F.expr(f"{order[0]} div {int(segment_us)}"),
-                         **{f"_v_{n}": a[1] for n, a in aggs.items()}}).repartition("_key", "_seg")
+                         **{f"_v_{n}": a[1] for n, a in aggs.items()}})
+    if written:
+        df = stage(df, "running")
     totals = df.groupBy("_key", "_seg").agg(*[F.expr(f"{how[n]}(_v_{n}) AS _c_{n}") for n in names])
     earlier = "(PARTITION BY _key ORDER BY _seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     carry = totals.selectExpr("_key", "_seg", *[f"{how[n]}(_c_{n}) OVER {earlier} AS _c_{n}" for n in names])

@@ -20,8 +20,8 @@ def test_rule_match_skips_broken_inactive_and_other_rules(spark, monkeypatch):
     rules = spark.createDataFrame([
         rule(1, "flag", "cat", "FLAG"), rule(2, "broken", "(unclosed"), rule(3, "off", "cat", active=False),
         rule(4, "rate", "cat", kind="RATE"), rule(5, "empty", ""), rule(6, "caps", "SELECT"), rule(7, "all", ".")], RULES)
-    df = spark.createDataFrame([("a cat",), ("Select",), ("",), ("\n",)], "payload string")
-    got = [(r["matched_rules"], r["blocked"]) for r in RU.rule_match(df, rules).collect()]
+    df = spark.createDataFrame(list(enumerate(["a cat", "Select", "", "\n"])), "event_id long, payload string")
+    got = [(r["matched_rules"], r["blocked"]) for r in RU.rule_match(df, rules).orderBy("event_id").collect()]
     assert got == [(["all", "flag"], True), (["all", "caps"], True), ([], False), ([], False)]
 
 

@@ -40,7 +40,27 @@ def test_blocks_see_the_rows_before_them(rows, block):
     assert (by.transform(lambda s: s.rolling(3, min_periods=1).sum()) == got["sum3"]).all()
 
 
-def test_hot_key_is_spread_over_segments(rows):
-    out = running(rows, ["key"], {"n": ("sum", F.lit(1))}, 50)
+def test_hot_key_is_spread_over_segments_and_input_read_once(rows):
+    seen = rows.sparkSession.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    out = running(rows.mapInArrow(counted, rows.schema), ["key"], {"n": ("sum", F.lit(1))}, 50, written=True)
+    assert out.count() == 300 and seen.value == 300
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(key" in plan and "_seg" in plan
+    assert "hashpartitioning(_key" in plan and "_seg" in plan
+
+
+def test_null_keys_count_like_any_other(spark):
+    rows = spark.createDataFrame([(1, 10, None, "x"), (2, 20, "a", None), (3, 30, None, "x"), (4, 40, "a", None)], "event_id long, t_us long, k string, l string")
+    got = running(rows, ["k", "l"], {"n": ("sum", F.lit(1))}, 15).orderBy("event_id").collect()
+    assert [r["n"] for r in got] == [1, 1, 2, 2]
+
+
+def test_a_flood_of_one_key_in_one_second(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("event_id"), (F.col("id") * 10).alias("t_us"), F.lit("hot").alias("key"))
+    got = running(rows, ["key"], {"n": ("sum", F.lit(1))}, 50_000)
+    assert got.filter("n <> event_id + 1").count() == 0 and got.count() == 100_000
