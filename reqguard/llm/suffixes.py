@@ -63,6 +63,27 @@ def packed(place, first, last):
     return place << 10 | first << 5 | last
 
 
+#: Keys from here on are not of grams: they spread suffixes that are known to be shared.
+KNOWN = 1 << 62
+
+
+def spread_known(key, ids, suffix):
+    """A gram that a chunk has under two ids or more is known to be shared. Two rows without suffixes, of two of
+    these ids, tell the other chunks; the chunk's own suffixes then go anywhere, so that a very frequent gram is two rows
+    per chunk."""
+    order = np.lexsort((ids, key))
+    k, i = key[order], ids[order]
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
+    count = np.diff(np.append(start, len(k)))
+    twice = i[start] != i[start + count - 1]
+    known = np.zeros(len(key), bool)
+    known[order] = np.repeat(twice, count)
+    tell = np.concatenate([start[twice], (start + count - 1)[twice]])
+    anywhere = (mixed(suffix.astype(np.uint64) ^ mixed(ids.astype(np.uint64))) >> np.uint64(2)).astype(np.int64) | KNOWN
+    return (np.concatenate([np.where(known, anywhere, key), k[tell]]), np.concatenate([ids, i[tell]]),
+            np.concatenate([suffix, np.full(len(tell), -1)]))
+
+
 def suffixes(batches):
     """Batches of (id, data) -> (key, id, suffix): every sampled suffix, its place packed with its windows' reach."""
     for batch in batches:
@@ -74,9 +95,8 @@ def suffixes(batches):
             sizes = np.array([len(p) for p in pieces], dtype=np.int64)
             text, at, first, last, key = anchors(b"".join(pieces), np.cumsum(sizes) - sizes, sizes)
             at = at + np.array(offsets, dtype=np.int64)[text]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(ids[np.array(owners, dtype=np.int64)[text]]), pa.array(packed(at, first, last))],
-                names=["key", "id", "suffix"])
+            rows = spread_known(key, ids[np.array(owners, dtype=np.int64)[text]], packed(at, first, last))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["key", "id", "suffix"])
 
         for i in range(len(ids)):
             whole = data[i].as_py()
@@ -107,8 +127,9 @@ def shared(batches):
         twice = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
         if known and k[0] == key:
             twice[0] = True
-        emit = np.repeat(twice, count)
+        emit = (np.repeat(twice, count) | (k >= KNOWN)) & (s >= 0)
         key, known = k[-1], bool(twice[-1])
+        known = known or key >= KNOWN
         held = None if known else (k[first[-1]:], ids[first[-1]:], s[first[-1]:])
         yield pa.RecordBatch.from_arrays([pa.array(ids[emit]), pa.array(s[emit])], names=["id", "suffix"])
 

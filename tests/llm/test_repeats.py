@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from brute import repeats
 
 from reqguard.llm import suffixes
@@ -53,3 +54,10 @@ def test_odd_rows(odd_rows, no_rows):
     assert suffixes.removed_repeats(no_rows).count() == 0
     left = suffixes.without_repeats(odd_rows)
     assert left.columns == odd_rows.columns and left.filter("text IS NULL").count() == 0
+
+
+def test_a_frequent_gram_is_two_rows_per_chunk():
+    key, ids, suffix = np.array([7, 7, 7, 9, 5, 5]), np.array([3, 1, 3, 1, 2, 2]), np.arange(6)
+    k, i, s = suffixes.spread_known(key, ids, suffix)
+    assert sorted(zip(k[s == -1], i[s == -1])) == [(7, 1), (7, 3)]
+    assert (k[:3] >= suffixes.KNOWN).all() and k[3:6].tolist() == [9, 5, 5] and s[:6].tolist() == list(range(6))
