@@ -176,22 +176,24 @@ def _compare(threshold: float):
     return run
 
 
-def _compared(actors: DataFrame, threshold: float, tile_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(actors with ``vid``, what the tile comparisons found); equal vectors are compared once."""
+def _compared(actors: DataFrame, threshold: float, tile_rows: int, group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(actors with ``vid``, what the tile comparisons found); equal vectors of a group are compared once."""
     text_of = F.array_join(F.transform("vec", lambda x: x.cast("string")), ",")
-    tagged = stage(actors.withColumn("vid", F.xxhash64(text_of)), "actors")
-    rows = tagged.groupBy("vid").agg(F.first("vec").alias("vec"), F.count("*").alias("n")).withColumn("g", F.lit(0))
+    own = actors.withColumn("g", F.col(group) if group else F.lit(0))
+    tagged = stage(own.withColumn("vid", F.xxhash64("g", text_of)), "actors")
+    rows = tagged.groupBy("vid").agg(F.first("vec").alias("vec"), F.first("g").alias("g"), F.count("*").alias("n"))
     pairs = tile_pairs(rows, ["g"], "vid", tile_rows)
     return tagged, stage(pairs.groupBy("g", "_i", "_j").applyInPandas(_compare(threshold), _FOUND), "similar")
 
 
-def correlate(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows: int = TILE_ROWS) -> DataFrame:
+def correlate(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows: int = TILE_ROWS, group: str | None = None) -> DataFrame:
     """(ip, max_similarity, peers): highest cosine to any other actor and the number of actors above the threshold.
 
-    Exact. Actors with equal vectors are compared once; the distinct vectors are compared tile by tile as matrix
-    products, which return one row per vector and tile.
+    Exact. With a group column (kept in the result), actors are compared within each group, all groups in one job. Actors
+    with equal vectors are compared once; the distinct vectors are compared tile by tile as matrix products, which return
+    one row per vector and tile.
     """
-    tagged, found = _compared(actors, threshold, tile_rows)
+    tagged, found = _compared(actors, threshold, tile_rows, group)
     best = found.filter("a = b").groupBy(F.col("a").alias("vid")).agg(F.max("best").alias("best"), F.sum("twins").alias("twins"))
     copies = tagged.groupBy("vid").agg(F.count("*").alias("n"), F.first("vec").alias("v")).select(
         "vid", "n", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("self"))
@@ -199,8 +201,9 @@ def correlate(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows
         "vid", F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n") > 1, F.col("self")).otherwise(0.0)).alias(
             "max_similarity"),
         (F.coalesce("twins", F.lit(0)) + F.when(F.col("self") > threshold, F.col("n") - 1).otherwise(0)).alias("peers"))
-    return tagged.select("ip", "vid").join(per_vec, "vid").select(
-        "ip", F.greatest("max_similarity", F.lit(0.0)).alias("max_similarity"), "peers")
+    kept = [group] if group else []
+    return tagged.select("ip", "vid", *kept).join(per_vec, "vid").select(
+        "ip", F.greatest("max_similarity", F.lit(0.0)).alias("max_similarity"), "peers", *kept)
 
 
 def campaigns(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows: int = TILE_ROWS) -> DataFrame:

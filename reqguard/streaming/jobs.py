@@ -85,8 +85,10 @@ def memory_batch(state: str, out: str, cfg: Config, key: str = "fingerprint") ->
     return run
 
 
-def risk_batch(state: str, out: str, cfg: Config, lam: float = C.DECAY_LAMBDA) -> Callable:
-    """Decayed risk of each batch's rows (event_id, key, t_us, raw); scores that fell below 1 leave the state."""
+def risk_batch(state: str, out: str, cfg: Config, lam: float = C.DECAY_LAMBDA, evict: bool = True) -> Callable:
+    """Decayed risk of each batch's rows (event_id, key, t_us, raw). With evict, scores that have fallen below 1 by the
+    newest event time seen leave the state; their actors start anew. A row older than the state never raises a score by
+    its age."""
     def run(batch: DataFrame, n: int) -> None:
         before = load_snapshot(batch.sparkSession, state, before=n + 1)
         scored = stage(RK.decayed_risk(RK.numbered(batch.select("event_id", "key", "t_us", "raw"), cfg), cfg, lam, before),
@@ -94,16 +96,27 @@ def risk_batch(state: str, out: str, cfg: Config, lam: float = C.DECAY_LAMBDA) -
         _write(scored.select("event_id", "key", "t_us", "raw", "score", "risk_level"), out, n)
         rows = scored.select("key", "t_us", "event_id", "score")
         last = latest_per_key(rows if before is None else before.unionByName(rows), ["key"])
+        if evict:
+            last = stage(last, "last")
+            newest_us = last.agg(F.max("t_us")).first()[0]
+            last = last if newest_us is None else RK.sweep(last, F.lit(newest_us), lam).select("key", "t_us", "event_id", "score")
         save_snapshot(last, state, n + 1)
     return run
 
 
-def expiry_batch(state: str) -> Callable:
-    """Blocks and locks (item, op, t_us, event_id, expires_us): the last operation per item, kept while in force."""
+def expiry_batch(state: str, late_us: int = 0) -> Callable:
+    """Blocks and locks (item, op, t_us, event_id, expires_us): the last operation per item, kept while in force at the
+    newest event time seen, and for late_us more, in which older operations may still come."""
     def run(batch: DataFrame, n: int) -> None:
         before = load_snapshot(batch.sparkSession, state, before=n + 1)
         rows = batch.select("item", "op", "t_us", "event_id", "expires_us")
-        save_snapshot(latest_per_key(rows if before is None else before.unionByName(rows), ["item"]), state, n + 1)
+        last = stage(latest_per_key(rows if before is None else before.unionByName(rows), ["item"]), "last")
+        newest_us = last.agg(F.max("t_us")).first()[0]
+        if newest_us is not None:
+            recent = F.greatest("t_us", F.coalesce("expires_us", "t_us")) > newest_us - late_us
+            forever = (F.col("op") != "unblock") & F.col("expires_us").isNull()
+            last = last.filter(forever | recent if late_us else forever | ((F.col("op") != "unblock") & (F.col("expires_us") > newest_us)))
+        save_snapshot(last, state, n + 1)
     return run
 
 
@@ -114,12 +127,8 @@ def in_force(table: DataFrame, now_us: Column) -> DataFrame:
 def correlation_batch(out: str, threshold: float = C.CORRELATION_SIM) -> Callable:
     """Correlation between the actors of each finished window of ``active_actors``."""
     def run(batch: DataFrame, n: int) -> None:
-        actors = stage(batch, "actors")
-        parts = [V.correlate(V.latest_vectors(actors.filter(F.col("window_us") == w["window_us"]).select(
-            "ip", F.lit(0).alias("t_us"), F.lit(0).alias("event_id"), "vec")), threshold).withColumn(
-            "window_us", F.lit(w["window_us"])) for w in actors.select("window_us").distinct().toLocalIterator()]
-        for i, part in enumerate(parts):
-            part.write.mode("overwrite" if i == 0 else "append").parquet(f"{out}/batch={n}")
+        actors = batch.select("window_us", "ip", V.unit(F.col("vec").cast("array<double>")).alias("vec"))
+        _write(V.correlate(actors, threshold, group="window_us"), out, n)
     return run
 
 

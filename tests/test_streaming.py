@@ -45,7 +45,7 @@ def test_risk_stream_equals_batch(spark, traffic, tmp_path):
     for low, high in ((0, 250), (250, 600)):
         rows.filter((F.col("event_id") >= low) & (F.col("event_id") < high)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         time.sleep(1.1)
-    J.start(stream(spark, f"{tmp_path}/in", rows.schema), J.risk_batch(f"{tmp_path}/s", f"{tmp_path}/out", CFG),
+    J.start(stream(spark, f"{tmp_path}/in", rows.schema), J.risk_batch(f"{tmp_path}/s", f"{tmp_path}/out", CFG, evict=False),
             f"{tmp_path}/c").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").select("event_id", "score")
     want = RK.decayed_risk(RK.numbered(rows, CFG), CFG).select("event_id", "score")
@@ -98,3 +98,25 @@ def test_expiry_and_correlation_batches(spark, tmp_path):
     J.correlation_batch(f"{tmp_path}/corr")(spark.createDataFrame(rows, "window_us long, ip string, vec array<double>"), 0)
     got = {(r["window_us"], r["ip"]): r["peers"] for r in spark.read.parquet(f"{tmp_path}/corr").collect()}
     assert got == {(0, "a"): 1, (0, "b"): 1, (300, "c"): 0}
+
+
+def test_late_rows_do_not_raise_scores_and_old_scores_leave(spark, tmp_path):
+    from reqguard.sources.tables import load_snapshot
+    second = 1_000_000
+    run = J.risk_batch(f"{tmp_path}/s", f"{tmp_path}/out", CFG)
+    names = "event_id long, key string, t_us long, raw double"
+    run(spark.createDataFrame([(1, "a", 1000 * second, 50.0), (2, "b", 1000 * second, 2.0)], names), 0)
+    run(spark.createDataFrame([(3, "a", 400 * second, 10.0)], names), 1)
+    assert {r["event_id"]: r["score"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {1: 50.0, 2: 2.0, 3: 50.0}
+    run(spark.createDataFrame([(4, "c", 1400 * second, 30.0)], names), 2)
+    left = load_snapshot(spark, f"{tmp_path}/s", before=4)
+    assert {r["key"]: r["t_us"] // second for r in left.collect()} == {"a": 1000, "c": 1400}
+
+
+def test_expired_blocks_leave_the_state(spark, tmp_path):
+    from reqguard.sources.tables import load_snapshot
+    run = J.expiry_batch(f"{tmp_path}/s")
+    names = "item string, op string, t_us long, event_id long, expires_us long"
+    run(spark.createDataFrame([("a", "block", 1, 1, 10), ("b", "block", 1, 2, 100), ("c", "block", 1, 3, None)], names), 0)
+    run(spark.createDataFrame([("d", "block", 50, 4, 60), ("b", "unblock", 50, 5, None)], names), 1)
+    assert {r["item"] for r in load_snapshot(spark, f"{tmp_path}/s", before=3).collect()} == {"c", "d"}
