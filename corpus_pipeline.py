@@ -10,7 +10,7 @@ tokens          byte-level BPE: token counts and digests of each row of the mixt
 import public_tokenizers
 
 from reqguard.llm import bpe, jaccard, langid, mixing, suffixes
-from reqguard.llm.stage import stage
+from reqguard.llm.stage import discard, stage
 
 
 def language(spark, docs, sf_dir):
@@ -41,7 +41,9 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages on the documents of the folder; every stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqguard.llm.shingles import Hasher, digest, text_parts
-from reqguard.llm.stage import release, sent, stage
+from reqguard.llm.stage import discard, release, sent, stage
 from reqguard.operators.graph import components
 
 #: Links: 100 * |both| >= PERCENT * |either|.
@@ -136,6 +136,7 @@ def linked(base: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     met = named.join(sa, "rep_a").join(sb, "rep_b").withColumn("both", both)
     either = F.size("ta") + F.size("tb") - F.col("both")
     found = stage(met.filter(100 * F.col("both") >= PERCENT * either).select("rep_a", "rep_b", "a", "b"), "jaccard-links")
+    discard(named, wanted, sets)
     release(base.sparkSession)
     return found
 
@@ -190,9 +191,8 @@ def pairs_apart(marked: DataFrame) -> DataFrame:
 
 def with_enough_common(lists: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b, na, nb), those with as many common prefix shingles as a link has at least."""
-    pairs = stage(pairs, "jaccard-met")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    shown = stage(lists.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens")), "jaccard-shown")
+    shown = lists.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens"))
     sa, sb = (shown.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     both = pairs.join(sa, "a").join(sb, "b").withColumn("met", F.size(F.array_intersect("ta", "tb")))
     return both.filter(F.col("met") >= fewest_common(F.col("na"), F.col("nb"))).select("a", "b")
@@ -217,12 +217,13 @@ def components_by_shingles(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     first = stage(base.mapInArrow(sets_and_counts, "id long, n long, d1 long, d2 long, cells binary"), "jaccard-sets-counts")
-    rows = first.filter("d1 IS NOT NULL")
+    rows = stage(first.filter("d1 IS NOT NULL").drop("cells"), "jaccard-rows")
     reps = stage(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "jaccard-reps")
     chunks = first.filter("d1 IS NULL").select("id", "cells").groupBy("id").applyInArrow(added_cells, "id long, cells binary").collect()
     counts = np.zeros(1 << CELL_BITS, np.uint32)  # a fixed number of cells
     for r in chunks:
         counts[r["id"] * CHUNK:(r["id"] + 1) * CHUNK] = np.frombuffer(r["cells"], np.uint32)
+    discard(first)
     parts = max(1, int(counts.sum(dtype=np.int64)) * 6 // PART_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     in_token = Window.partitionBy("token")
     shown = base.mapInArrow(prefixes(sent(spark, counts)), "token long, node long, n long, pos long")
@@ -231,7 +232,9 @@ def components_by_shingles(docs: DataFrame) -> DataFrame:
     del shown
     release(spark)
     shared = lists.groupBy("node").agg((F.count(F.lit(1)) / F.max(prefix_size_of(F.col("n")))).alias("share"))
-    lists = stage(lists.join(shared, "node"), "jaccard-shares")
+    with_shares = stage(lists.join(shared, "node"), "jaccard-shares")
+    discard(lists)
+    lists = with_shares
 
     close = None
     for _ in range(ROUNDS):
@@ -239,7 +242,11 @@ def components_by_shingles(docs: DataFrame) -> DataFrame:
         close = found if close is None else stage(close.unionByName(found), "jaccard-close")
     marked = with_components(lists, close).withColumn("_low", F.min("component").over(in_token)).withColumn("_high", F.max("component").over(in_token))
     marked = stage(marked.filter("_low <> _high").select("token", "node", "n", "pos", "component"), "jaccard-apart")
-    apart = linked(base, reps, with_enough_common(lists, pairs_apart(marked)))
+    met = stage(pairs_apart(marked), "jaccard-met")
+    discard(marked)
+    enough = stage(with_enough_common(lists, met), "jaccard-enough")
+    discard(met, lists)
+    apart = linked(base, reps, enough)
     links = close.unionByName(apart).select("rep_a", "rep_b")
     found = components(links, "rep_a", "rep_b").withColumnRenamed("id", "rep")
     named = reps.join(found, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))

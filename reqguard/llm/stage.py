@@ -1,30 +1,31 @@
 """Intermediate tables in the folder that the cluster shares."""
 
 import gc
-import tempfile
 import time
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from reqguard.session import sent, shared_dir
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only a local session without it gets a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shared-"))
-    return spark.conf.get("spark.checkpoint.dir")
+__all__ = ["discard", "release", "sent", "stage"]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs a re-read."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables made by `stage` that no result still to come reads."""
+    for df in staged:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession, rounds: int = 3) -> None:
@@ -34,17 +35,3 @@ def release(spark: SparkSession, rounds: int = 3) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.4)
-
-
-def sent(spark: SparkSession, value):
-    """Sends a value of bounded size to each executor once; the function returned gives it in a task. It travels by
-    value, classes included, and is unpacked once in each worker."""
-    box = spark.sparkContext.broadcast([cloudpickle.dumps(value)])
-
-    def get():
-        held = box.value
-        if len(held) == 1:
-            held.append(cloudpickle.loads(held[0]))
-        return held[1]
-
-    return get

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqguard.llm.stage import release, stage
+from reqguard.llm.stage import discard, release, stage
 
 #: Bytes a repeated string has at least.
 MATCH = 50
@@ -401,6 +401,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     marked = around.repartitionByRange(parts, "context").sortWithinPartitions("context", F.expr("suffix & 1023"), "id") \
                    .mapInArrow(covered, "id long, suffix long, windows long")
     marked = stage(marked, "suffix-windows")
+    discard(candidates)
     release(spark)
     back = marked.select(F.col("id").alias("_sa_id"), F.lit(0).cast("long").alias("_sa_mark"), "suffix", "windows") \
                  .unionByName(first_marks.withColumn("windows", F.lit(0).cast("long")))
