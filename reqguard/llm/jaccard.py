@@ -115,6 +115,11 @@ def near_size(na, nb):
     return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
 
 
+def can_reach(na, nb, most_a, most_b):
+    """Whether both sets can have as many shingles in common as a link needs, from the most that each can share at all."""
+    return F.least(most_a, most_b) >= F.ceil((F.lit(PERCENT) * (na + nb)) / F.lit(100 + PERCENT))
+
+
 def linked(base: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b) of nodes -> (rep_a, rep_b, a, b) of those whose sets link, each pair verified once on its whole sets.
 
@@ -161,11 +166,12 @@ def hub_pairs(marked: DataFrame) -> DataFrame:
     of all it meets so, the one met most often is its pair. So a group of near copies is compared with its hub only.
     """
     lists = Window.partitionBy("token")
-    one = F.struct("share", "node", "n", "component")
+    one = F.struct("share", "node", "n", "most", "component")
     rows = marked.withColumn("_hub", F.max(one).over(lists))
     rows = rows.withColumn("_next", F.max(F.when(F.col("component") != F.col("_hub.component"), one)).over(lists))
     rows = rows.withColumn("_with", F.when(F.col("component") != F.col("_hub.component"), F.col("_hub")).otherwise(F.col("_next")))
-    met = rows.filter("_with IS NOT NULL").filter(near_size(F.col("n"), F.col("_with.n"))).groupBy("node", F.col("_with.node").alias("with")).agg(
+    met = rows.filter("_with IS NOT NULL").filter(
+        near_size(F.col("n"), F.col("_with.n")) & can_reach(F.col("n"), F.col("_with.n"), F.col("most"), F.col("_with.most"))).groupBy("node", F.col("_with.node").alias("with")).agg(
         F.count(F.lit(1)).alias("met"), F.max(fewest_common(F.col("n"), F.col("_with.n"))).alias("least"))
     best = met.filter(2 * F.col("met") >= F.col("least")).groupBy("node").agg(F.max(F.struct("met", "with")).alias("w"))
     return best.select(*ordered_pair(F.col("node"), F.col("w.with"))).distinct()
@@ -174,8 +180,9 @@ def hub_pairs(marked: DataFrame) -> DataFrame:
 def pairs_apart(marked: DataFrame) -> DataFrame:
     """(a, b, na, nb): nodes of different components that a shingle brings together past the filters.
 
-    Of the smaller set, x, the shingle must lie in its short index prefix; sizes must be near; and what both can share
-    before the shingle's places and after them must reach what a link needs.
+    Of the smaller set, x, the shingle must lie in its short index prefix; sizes must be near; what both can share before
+    the shingle's places and after them must reach what a link needs, and so must what either has besides the prefix
+    shingles that no other node shows.
     """
     x, y = marked.alias("x"), marked.alias("y")
     nx, ny, px, py = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
@@ -183,7 +190,8 @@ def pairs_apart(marked: DataFrame) -> DataFrame:
     reach = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
     smaller = (nx < ny) | ((nx == ny) & (F.col("x.node") < F.col("y.node")))
     met = x.filter(F.col("pos") < index_size(F.col("n"))).join(
-        y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & near_size(nx, ny) & (reach >= need))
+        y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & near_size(nx, ny) & (reach >= need)
+        & can_reach(nx, ny, F.col("x.most"), F.col("y.most")))
     a, b = ordered_pair(F.col("x.node"), F.col("y.node"))
     first = F.col("x.node") < F.col("y.node")
     return met.select(a, b, F.when(first, nx).otherwise(ny).alias("na"), F.when(first, ny).otherwise(nx).alias("nb")).distinct()
@@ -231,7 +239,9 @@ def components_by_shingles(docs: DataFrame) -> DataFrame:
     lists = stage(lists.filter("_low <> _high").select("token", "node", "n", "pos").distinct(), "jaccard-lists")
     del shown
     release(spark)
-    shared = lists.groupBy("node").agg((F.count(F.lit(1)) / F.max(prefix_size_of(F.col("n")))).alias("share"))
+    # prefix shingles that no other node shows are in no intersection
+    own = prefix_size_of(F.max("n")) - F.count(F.lit(1))
+    shared = lists.groupBy("node").agg((F.count(F.lit(1)) / prefix_size_of(F.max("n"))).alias("share"), (F.max("n") - own).cast("long").alias("most"))
     with_shares = stage(lists.join(shared, "node"), "jaccard-shares")
     discard(lists)
     lists = with_shares
@@ -241,7 +251,7 @@ def components_by_shingles(docs: DataFrame) -> DataFrame:
         found = linked(base, reps, hub_pairs(with_components(lists, close)))
         close = found if close is None else stage(close.unionByName(found), "jaccard-close")
     marked = with_components(lists, close).withColumn("_low", F.min("component").over(in_token)).withColumn("_high", F.max("component").over(in_token))
-    marked = stage(marked.filter("_low <> _high").select("token", "node", "n", "pos", "component"), "jaccard-apart")
+    marked = stage(marked.filter("_low <> _high").select("token", "node", "n", "pos", "most", "component"), "jaccard-apart")
     met = stage(pairs_apart(marked), "jaccard-met")
     discard(marked)
     enough = stage(with_enough_common(lists, met), "jaccard-enough")
