@@ -180,14 +180,14 @@ def hub_pairs(marked: DataFrame) -> DataFrame:
 def pairs_apart(marked: DataFrame) -> DataFrame:
     """(a, b, na, nb): nodes of different components that a shingle brings together past the filters.
 
-    Of the smaller set, x, the shingle must lie in its short index prefix; sizes must be near; what both can share before
-    the shingle's places and after them must reach what a link needs, and so must what either has besides the prefix
-    shingles that no other node shows.
+    Of the smaller set, x, the shingle must lie in its short index prefix; sizes must be near; from the shingle on,
+    both must have as many as a link needs (so it is for the first one that a linking pair shares), and so must either
+    besides the prefix shingles that no other node shows.
     """
     x, y = marked.alias("x"), marked.alias("y")
     nx, ny, px, py = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
     need = F.ceil((F.lit(PERCENT) * (nx + ny)) / F.lit(100 + PERCENT))
-    reach = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
+    reach = F.least(nx - px, ny - py)  # the first shingle that a pair has in common has all others behind it
     smaller = (nx < ny) | ((nx == ny) & (F.col("x.node") < F.col("y.node")))
     met = x.filter(F.col("pos") < index_size(F.col("n"))).join(
         y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & near_size(nx, ny) & (reach >= need)
