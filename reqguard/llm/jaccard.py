@@ -68,25 +68,27 @@ def prefix_size_of(n):
 
 def prefixes(get_counts):
     def run(batches):
-        """(id, text) -> (token, node, n, pos): the rarest shingles of each set, in order; a set that a task has met before
-        shows nothing."""
+        """(id, text) -> (token, node, n, pos, freq: the count of the token's cell): the rarest shingles of each set, in
+        order; a set that a task has met before shows nothing."""
         counts, hasher, met = get_counts(), Hasher(), set()
         for _, texts in text_parts(batches):
-            tokens, nodes, sizes, lengths = [], [], [], []
+            tokens, nodes, sizes, lengths, often = [], [], [], [], []
             for s in hasher.shingles(texts):
                 d = tuple(digest(s).tolist())
                 if len(s) and d not in met:
                     met.add(d)
                     p = prefix_size(len(s))
                     tokens.append(s[np.argsort(counts[cell(s)], kind="stable")[:p]])
+                    often.append(counts[cell(tokens[-1])])
                     nodes.append(d[0])
                     sizes.append(len(s))
                     lengths.append(p)
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)),
-                     pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate([np.arange(p) for p in lengths]))],
-                    names=["token", "node", "n", "pos"])
+                     pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate([np.arange(p) for p in lengths])),
+                     pa.array(np.concatenate(often).astype(np.int64))],
+                    names=["token", "node", "n", "pos", "freq"])
 
     return run
 
@@ -115,32 +117,41 @@ def near_size(na, nb):
     return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
 
 
-def can_reach(na, nb, most_a, most_b):
-    """Whether both sets can have as many shingles in common as a link needs, from the most that each can share at all."""
-    return F.least(most_a, most_b) >= F.ceil((F.lit(PERCENT) * (na + nb)) / F.lit(100 + PERCENT))
+def with_reach(lists: DataFrame) -> DataFrame:
+    """Rows of shared prefix shingles -> with share, the part of its prefix that a node shares; last_freq and last_token,
+    the place in the common order of the last shingle it shares; after, how many it shares from this one on; and most.
+
+    most is how many shingles a node can share, from this one on, with a node whose last shared shingle comes no sooner.
+    A shingle that no other prefix shows and that comes before the last shared one would lie in the prefix of such a node
+    if its set had it; so it is in none. A node whose last shared shingle comes sooner may have it behind its prefix.
+    """
+    node = Window.partitionBy("node")
+    behind = node.orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    last = F.max(F.struct("freq", F.col("token").bitwiseXOR(F.lit(-2 ** 63)).alias("token"))).over(node)  # tokens have no sign
+    shared = F.count(F.lit(1))
+    return lists.select("token", "node", "n", "pos", (shared.over(node) / prefix_size_of(F.col("n"))).alias("share"),
+                        shared.over(behind).alias("after"), (shared.over(behind) + F.col("n") - 1 - F.max("pos").over(node)).alias("most"), last.alias("_last")).select(
+        "token", "node", "n", "pos", "share", "after", "most", F.col("_last.freq").alias("last_freq"), F.col("_last.token").alias("last_token"))
 
 
 def linked(base: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) of nodes -> (rep_a, rep_b, a, b) of those whose sets link, each pair verified once on its whole sets.
+    """(a, b) of nodes -> those whose sets link, each pair verified once on its whole sets.
 
     Only texts of documents in some pair are turned into sets; sets go to the pairs by joins.
     """
-    node = reps.select(F.col("d1").alias("node"), "rep", "d2")
-    named = (pairs.join(node.select(F.col("node").alias("a"), F.col("rep").alias("rep_a")), "a")
-             .join(node.select(F.col("node").alias("b"), F.col("rep").alias("rep_b")), "b"))
-    named = stage(named, "jaccard-pairs")
-    wanted = named.select(F.col("rep_a").alias("rep")).union(named.select("rep_b")).distinct()
-    wanted = stage(wanted.join(reps, "rep").select("rep", "d1", "d2"), "jaccard-wanted")
+    named = stage(pairs.select("a", "b"), "jaccard-pairs")
+    nodes = named.select(F.col("a").alias("d1")).union(named.select("b")).distinct()
+    wanted = stage(nodes.join(reps, "d1").select("rep", "d1", "d2"), "jaccard-wanted")
     ids = wanted.select(F.col("rep").alias("id")).hint("shuffle_hash")
     sets = base.join(ids, "id", "left_semi").mapInArrow(whole_sets, "id long, d1 long, d2 long, tokens array<long>")
     sets = stage(sets.join(wanted, (sets["id"] == wanted["rep"]) & (sets["d1"] == wanted["d1"]) & (sets["d2"] == wanted["d2"]), "left_semi")
-                 .dropDuplicates(["id"]).select("id", "tokens"), "jaccard-sets")
+                 .dropDuplicates(["d1", "d2"]).select("d1", "tokens"), "jaccard-sets")
     release(base.sparkSession)
-    sa, sb = (sets.select(F.col("id").alias(f"rep_{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    sa, sb = (sets.select(F.col("d1").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
-    met = named.join(sa, "rep_a").join(sb, "rep_b").withColumn("both", both)
+    met = named.join(sa, "a").join(sb, "b").withColumn("both", both)
     either = F.size("ta") + F.size("tb") - F.col("both")
-    found = stage(met.filter(100 * F.col("both") >= PERCENT * either).select("rep_a", "rep_b", "a", "b"), "jaccard-links")
+    found = stage(met.filter(100 * F.col("both") >= PERCENT * either).select("a", "b"), "jaccard-links")
     discard(named, wanted, sets)
     release(base.sparkSession)
     return found
@@ -166,12 +177,12 @@ def hub_pairs(marked: DataFrame) -> DataFrame:
     of all it meets so, the one met most often is its pair. So a group of near copies is compared with its hub only.
     """
     lists = Window.partitionBy("token")
-    one = F.struct("share", "node", "n", "most", "component")
+    one = F.struct("share", "node", "n", "component")
     rows = marked.withColumn("_hub", F.max(one).over(lists))
     rows = rows.withColumn("_next", F.max(F.when(F.col("component") != F.col("_hub.component"), one)).over(lists))
     rows = rows.withColumn("_with", F.when(F.col("component") != F.col("_hub.component"), F.col("_hub")).otherwise(F.col("_next")))
     met = rows.filter("_with IS NOT NULL").filter(
-        near_size(F.col("n"), F.col("_with.n")) & can_reach(F.col("n"), F.col("_with.n"), F.col("most"), F.col("_with.most"))).groupBy("node", F.col("_with.node").alias("with")).agg(
+        near_size(F.col("n"), F.col("_with.n"))).groupBy("node", F.col("_with.node").alias("with")).agg(
         F.count(F.lit(1)).alias("met"), F.max(fewest_common(F.col("n"), F.col("_with.n"))).alias("least"))
     best = met.filter(2 * F.col("met") >= F.col("least")).groupBy("node").agg(F.max(F.struct("met", "with")).alias("w"))
     return best.select(*ordered_pair(F.col("node"), F.col("w.with"))).distinct()
@@ -181,17 +192,21 @@ def pairs_apart(marked: DataFrame) -> DataFrame:
     """(a, b, na, nb): nodes of different components that a shingle brings together past the filters.
 
     Of the smaller set, x, the shingle must lie in its short index prefix; sizes must be near; from the shingle on,
-    both must have as many as a link needs (so it is for the first one that a linking pair shares), and so must either
-    besides the prefix shingles that no other node shows.
+    both must have as many as a link needs (so it is for the first one that a linking pair shares), and the one whose
+    last shared shingle comes sooner must have them besides the prefix shingles that no other node shows; and from the
+    shingle on, both must share as many prefix shingles as a linking pair has in common at least.
     """
     x, y = marked.alias("x"), marked.alias("y")
     nx, ny, px, py = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
     need = F.ceil((F.lit(PERCENT) * (nx + ny)) / F.lit(100 + PERCENT))
-    reach = F.least(nx - px, ny - py)  # the first shingle that a pair has in common has all others behind it
+    sooner = lambda u, v: (F.col(f"{u}.last_freq") < F.col(f"{v}.last_freq")) | (
+        (F.col(f"{u}.last_freq") == F.col(f"{v}.last_freq")) & (F.col(f"{u}.last_token") <= F.col(f"{v}.last_token")))
+    # the first shingle that a pair has in common has all others behind it
+    reach = F.least(nx - px, ny - py, F.when(sooner("x", "y"), F.col("x.most")), F.when(sooner("y", "x"), F.col("y.most")))
     smaller = (nx < ny) | ((nx == ny) & (F.col("x.node") < F.col("y.node")))
     met = x.filter(F.col("pos") < index_size(F.col("n"))).join(
         y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & near_size(nx, ny) & (reach >= need)
-        & can_reach(nx, ny, F.col("x.most"), F.col("y.most")))
+        & (F.least(F.col("x.after"), F.col("y.after")) >= fewest_common(nx, ny)))
     a, b = ordered_pair(F.col("x.node"), F.col("y.node"))
     first = F.col("x.node") < F.col("y.node")
     return met.select(a, b, F.when(first, nx).otherwise(ny).alias("na"), F.when(first, ny).otherwise(nx).alias("nb")).distinct()
@@ -234,15 +249,12 @@ def components_by_shingles(docs: DataFrame) -> DataFrame:
     discard(first)
     parts = max(1, int(counts.sum(dtype=np.int64)) * 6 // PART_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     in_token = Window.partitionBy("token")
-    shown = base.mapInArrow(prefixes(sent(spark, counts)), "token long, node long, n long, pos long")
+    shown = base.mapInArrow(prefixes(sent(spark, counts)), "token long, node long, n long, pos long, freq long")
     lists = shown.repartition(parts, "token").withColumn("_low", F.min("node").over(in_token)).withColumn("_high", F.max("node").over(in_token))
-    lists = stage(lists.filter("_low <> _high").select("token", "node", "n", "pos").distinct(), "jaccard-lists")
+    lists = stage(lists.filter("_low <> _high").select("token", "node", "n", "pos", "freq").distinct(), "jaccard-lists")
     del shown
     release(spark)
-    # prefix shingles that no other node shows are in no intersection
-    own = prefix_size_of(F.max("n")) - F.count(F.lit(1))
-    shared = lists.groupBy("node").agg((F.count(F.lit(1)) / prefix_size_of(F.max("n"))).alias("share"), (F.max("n") - own).cast("long").alias("most"))
-    with_shares = stage(lists.join(shared, "node"), "jaccard-shares")
+    with_shares = stage(with_reach(lists), "jaccard-shares")
     discard(lists)
     lists = with_shares
 
@@ -251,15 +263,17 @@ def components_by_shingles(docs: DataFrame) -> DataFrame:
         found = linked(base, reps, hub_pairs(with_components(lists, close)))
         close = found if close is None else stage(close.unionByName(found), "jaccard-close")
     marked = with_components(lists, close).withColumn("_low", F.min("component").over(in_token)).withColumn("_high", F.max("component").over(in_token))
-    marked = stage(marked.filter("_low <> _high").select("token", "node", "n", "pos", "most", "component"), "jaccard-apart")
+    marked = stage(marked.filter("_low <> _high").select("token", "node", "n", "pos", "after", "most", "last_freq", "last_token", "component"), "jaccard-apart")
     met = stage(pairs_apart(marked), "jaccard-met")
     discard(marked)
     enough = stage(with_enough_common(lists, met), "jaccard-enough")
     discard(met, lists)
     apart = linked(base, reps, enough)
-    links = close.unionByName(apart).select("rep_a", "rep_b")
-    found = components(links, "rep_a", "rep_b").withColumnRenamed("id", "rep")
-    named = reps.join(found, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    found = components(close.unionByName(apart), "a", "b").select(F.col("id").alias("d1"), F.col("component").alias("group"))
+    together = reps.join(found, "d1")
+    least = together.groupBy("group").agg(F.min("rep").alias("component"))
+    named = stage(together.join(least, "group").select("d1", "d2", "component"), "jaccard-components")
+    named = reps.join(named, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     return rows.join(named, ["d1", "d2"], "left").select(
         F.col("id").alias("_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"), "d1", "d2")
 

@@ -34,6 +34,34 @@ def test_groups_of_near_copies_and_shared_passages(spark, seed):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == components(rows)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_appended_truncated_and_contained_texts(spark, seed):
+    """Pairs of sets of different size, alone with their shingles: those of the smaller lie behind the prefix of the larger."""
+    rng = random.Random(seed)
+    rows = [(0, " ".join(f"only{i}" for i in range(84))), (1, " ".join(f"only{i}" for i in range(104)))]
+    for g in range(60):
+        n = rng.randint(40, 160)
+        text = [f"g{g}w{i}" for i in range(n)]
+        keep = int(n * rng.choice([0.73, 0.76, 0.78, 0.8, 0.85, 0.9]))
+        begin = rng.choice([0, n - keep, rng.randint(0, n - keep)])  # y appends to x, or x is its end, or lies within
+        rows += [(10 * g + 10, " ".join(text)), (10 * g + 11, " ".join(text[begin:begin + keep]))]
+        if g % 3 == 0:
+            rows.append((10 * g + 12, " ".join(text[:n // 2] + [f"g{g}own{i}" for i in range(n // 20)] + text[n // 2:])))
+    want = components(rows)
+    assert want[1] == (100, 0) and 20 < sum(i != c for i, (_, c) in want.items()) < len(rows) - 60
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+
+
+def test_links_of_repeated_and_null_ids(spark):
+    """Texts that only share an id are linked each by its own words, and do not join the groups of one another."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(100))
+    rows = [(7, text(0)), (7, text(1)), (None, text(2)), (None, text(3)), (1, text(0) + " end"), (2, text(1) + " end"), (3, text(2) + " end"), (4, text(3) + " end")]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=key) == [
+        (1, 97, 1), (2, 97, 2), (3, 97, 3), (4, 97, 4), (7, 96, 1), (7, 96, 2), (None, 96, 3), (None, 96, 4)]
+
+
 def test_bounds_of_filters():
     assert [jaccard.prefix_size(n) for n in (1, 2, 4, 5, 100)] == [1, 1, 2, 2, 26]
 
