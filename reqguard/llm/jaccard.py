@@ -1,5 +1,7 @@
 """Operator 4: documents linked by the Jaccard similarity of their word shingles, by rare-first prefix filtering."""
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,19 +30,19 @@ def cell(tokens: np.ndarray) -> np.ndarray:
 
 
 def sets_and_counts(batches):
-    """(id, text) -> a row per document (id, n, d1, d2: size and digest of its set), and per task a row for each chunk of
-    cells (id: the chunk, cells: documents per cell, d1 and d2 null)."""
+    """(id, text) -> a row per document (id, n, d1, d2: size and digest of its set, mark: md5 of the text), and per task a
+    row for each chunk of cells (id: the chunk, cells: documents per cell, d1, d2 and mark null)."""
     hasher, counts = Hasher(), np.zeros(1 << CELL_BITS, np.uint32)
-    names = ["id", "n", "d1", "d2", "cells"]
+    names = ["id", "n", "d1", "d2", "mark", "cells"]
     for ids, texts in text_parts(batches):
         sets = hasher.shingles(texts)
         counts += np.bincount(cell(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
         d = np.array([digest(s) for s in sets]).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]),
-                                          pa.nulls(len(ids), pa.binary())], names=names)
+                                          pa.array([md5(t).digest() for t in texts], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
     rows = counts.reshape(-1, CHUNK)
     none = pa.nulls(len(rows), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), none, none, none, pa.array([r.tobytes() for r in rows], pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), none, none, none, pa.nulls(len(rows), pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())], names=names)
 
 
 def added_cells(rows: pa.Table) -> pa.Table:
@@ -223,7 +225,8 @@ def with_enough_common(lists: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def components_by_shingles(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text, others) -> _id (its id as a long, a null one as the largest), n_shingles and
-    component: the smallest id reachable by links, its own included; d1 and d2, the digest of its set.
+    component: the smallest id reachable by links, its own included; group, which tells components of the same smallest id
+    apart (null without shingles); mark, the md5 of its text.
 
     Null and empty texts have no shingles and link with nothing. Rows of equal sets belong together by their digest; rows
     that repeat an id stand for themselves. An empty table gives an empty result.
@@ -239,7 +242,7 @@ def components_by_shingles(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    first = stage(base.mapInArrow(sets_and_counts, "id long, n long, d1 long, d2 long, cells binary"), "jaccard-sets-counts")
+    first = stage(base.mapInArrow(sets_and_counts, "id long, n long, d1 long, d2 long, mark binary, cells binary"), "jaccard-sets-counts")
     rows = stage(first.filter("d1 IS NOT NULL").drop("cells"), "jaccard-rows")
     reps = stage(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "jaccard-reps")
     chunks = first.filter("d1 IS NULL").select("id", "cells").groupBy("id").applyInArrow(added_cells, "id long, cells binary").collect()
@@ -272,10 +275,10 @@ def components_by_shingles(docs: DataFrame) -> DataFrame:
     found = components(close.unionByName(apart), "a", "b").select(F.col("id").alias("d1"), F.col("component").alias("group"))
     together = reps.join(found, "d1")
     least = together.groupBy("group").agg(F.min("rep").alias("component"))
-    named = stage(together.join(least, "group").select("d1", "d2", "component"), "jaccard-components")
-    named = reps.join(named, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    named = stage(together.join(least, "group").select("d1", "d2", "group", "component"), "jaccard-components")
+    named = reps.join(named, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("group", "d1").alias("group"), F.coalesce("component", "rep").alias("component"))
     return rows.join(named, ["d1", "d2"], "left").select(
-        F.col("id").alias("_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"), "d1", "d2")
+        F.col("id").alias("_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"), "group", "mark")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -286,9 +289,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of docs: of each group of linked documents the one with the smallest id,
-    and of rows that repeat this id the one whose text hashes least. Documents without words stay, one row per id."""
-    ids = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
-    kept = components_by_shingles(docs).filter("_id = component").select(F.col("_id").alias("_kept")).distinct()
-    rows = docs.withColumn("_jid", ids).join(kept, F.col("_jid") == F.col("_kept"), "left_semi")
-    first = F.min_by(F.struct(*docs.columns), F.xxhash64("text"))
-    return rows.groupBy("_jid").agg(first.alias("row")).select("row.*")
+    and of rows that repeat this id the one whose text's md5 is least. Rows that only share an id, null or not, are kept
+    apart; documents without words link with nothing, and all of them stay."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    words = text.rlike(r"[^ \t-\r]")
+    first = components_by_shingles(docs).filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct("_id", "mark")).alias("f"))
+    marked = docs.withColumn("_jid", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))).withColumn("_jmark", F.unhex(F.md5(text.cast("binary"))))
+    kept = first.select(F.col("f._id").alias("_jid"), F.col("f.mark").alias("_jmark"))
+    rows = marked.filter(words).join(kept, ["_jid", "_jmark"], "left_semi").dropDuplicates(["_jid", "_jmark"])
+    return rows.select(*docs.columns).unionByName(docs.filter(~words))

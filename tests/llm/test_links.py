@@ -62,6 +62,18 @@ def test_links_of_repeated_and_null_ids(spark):
         (1, 97, 1), (2, 97, 2), (3, 97, 3), (4, 97, 4), (7, 96, 1), (7, 96, 2), (None, 96, 3), (None, 96, 4)]
 
 
+def test_rows_that_share_an_id_stay_apart(spark):
+    """Null and repeated ids of unlinked texts, a null id that is a near copy of a smaller id, copies, and wordless rows."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(100))
+    gone = [(None, text(0) + " end"), (None, text(1) + " end"), (8, text(2) + " end")]
+    stay = [(1, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (None, text(4)), (None, text(5)), (None, None), (None, " "), (9, ""), (9, "\t")]
+    rows = spark.createDataFrame([*gone, *stay, (None, text(4)), (7, text(3))], "doc_id long, text string").repartition(3)
+    key = lambda x: (str(x[0]), str(x[1]))
+    found = sorted((tuple(r) for r in jaccard.one_of_each_group(rows).collect()), key=key)
+    # of the two null ids of one group, either may stay
+    assert [(i, t and t.removesuffix(" end")) for i, t in found] == sorted(stay, key=key)
+
+
 def test_bounds_of_filters():
     assert [jaccard.prefix_size(n) for n in (1, 2, 4, 5, 100)] == [1, 1, 2, 2, 26]
 
