@@ -247,11 +247,37 @@ def repeats(right: np.ndarray, left: np.ndarray, first: np.ndarray, last: np.nda
     return out
 
 
+def open_windows(x, masks: np.ndarray, edges: list[bytes]):
+    """Windows of sorted contexts that other partitions may hold under a smaller id -> a batch per offset: id, suffix, the
+    window's bit and its bytes.
+
+    Contexts that share the part of a window right of the suffix's start follow each other; so one in another partition
+    has all between, the first or last context of this partition (edges) too, in common with one in here.
+    """
+    right, left, first, last, ids, s = x
+    for edge in {e[:GRAM] for e in edges}:
+        near = np.flatnonzero((right[:, :GRAM] == np.frombuffer(edge, np.uint8)).all(axis=1))
+        for o in range(REACH + 1):
+            size = MATCH - o
+            own = near[(last[near] <= o) & (o <= first[near]) & (masks[near] >> o & 1 == 0)]
+            at = np.zeros(len(own), bool)
+            for e in {e[:size] for e in edges if len(e) >= size}:
+                at |= (right[own, :size] == np.frombuffer(e, np.uint8)).all(axis=1)
+            own = own[at]
+            if len(own):
+                window = np.concatenate([left[own, :o][:, ::-1], right[own, :size]], axis=1)
+                offsets = np.arange(len(own) + 1, dtype=np.int32) * MATCH
+                binary = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(window.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(s[own]), pa.array(np.full(len(own), 1 << o, np.int64)), binary],
+                                                 names=["id", "suffix", "windows", "open"])
+
+
 RIGHT, LEFT = -(-MATCH // 8) * 8, -(-REACH // 8) * 8
 
 
 def covered(batches):
-    """Contexts in their order (then by id) -> (id, suffix, windows): the windows that a smaller id has too.
+    """Contexts in their order (then by id) -> (id, suffix, windows, open): the windows that a smaller id has too; and
+    with their bytes as open, each in a row, those for which it takes other partitions to know.
 
     Suffixes of one gram are worked on together, across the bounds of batches. Of equal contexts, the one with the
     smallest id stands for all; the others repeat it whole, so a passage in very many documents takes no memory.
@@ -274,7 +300,8 @@ def covered(batches):
 
     def out(ids, s, mask):
         found = mask != 0
-        return pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(s[found]), pa.array(mask[found])], names=["id", "suffix", "windows"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(s[found]), pa.array(mask[found]), pa.nulls(int(found.sum()), pa.binary())],
+                                          names=["id", "suffix", "windows", "open"])
 
     def collapsed(x):
         """Rows that stand for equal contexts, and the windows of the others."""
@@ -286,11 +313,20 @@ def covered(batches):
         whole = (np.int64(2) << first[repeat]) - (np.int64(1) << last[repeat])
         return tuple(v[~repeat] for v in x), out(ids[repeat], s[repeat], whole)
 
-    def done(x):
+    def context(x, i):
+        right, left, first, last = (v[i] for v in x[:4])
+        return right[:MATCH - last].tobytes() + left[:first].tobytes()
+
+    def done(x, final):
+        nonlocal begun
         right, left, first, last, ids, s = x
-        return out(ids, s, repeats(right, left, first, last, ids))
+        masks = repeats(right, left, first, last, ids)
+        yield out(ids, s, masks)
+        if begun is None:
+            begun = context(x, 0)
+        yield from open_windows(x, masks, [begun] + [context(x, -1)] * final)
 
-    waiting, rows = [], 0
+    waiting, rows, begun = [], 0, None
 
     def work(final):
         nonlocal held, waiting, rows
@@ -305,7 +341,7 @@ def covered(batches):
             cut = int(np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]).any(axis=1)))[-1]) if len(gram) else 0
         held = tuple(v[cut:] for v in x)
         if cut:
-            yield done(tuple(v[:cut] for v in x))
+            yield from done(tuple(v[:cut] for v in x), final)
 
     for batch in batches:
         if batch.num_rows:
@@ -372,7 +408,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     2. Candidates: of all suffixes, those stay that start with the least gram of some window (about one in 14). Rows
        dealt by a hash of the gram show which grams occur under two ids; the others can't hold a repeat.
     3. Suffix array: sampled splitters (repartitionByRange) deal the candidates by their leading bytes, each partition
-       is sorted and read in order, and groups go on across batches. Bytes decide, not hashes.
+       is sorted and read in order, and groups go on across batches. Windows whose group may go on in another partition
+       are compared once more, by the least id that each partition has. Bytes decide, not hashes.
     4. What was found goes back to the documents, which are dealt by a hash of the id.
     """
     spark = docs.sparkSession
@@ -399,11 +436,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     around = (grouped.select("_sa_block", "_sa_id", "_sa_mark", "_sa_data").groupBy("_sa_block")
               .cogroup(in_blocks(side).groupBy("_sa_block")).applyInArrow(contexts, CONTEXT))
     marked = around.repartitionByRange(parts, "context").sortWithinPartitions("context", F.expr("suffix & 1023"), "id") \
-                   .mapInArrow(covered, "id long, suffix long, windows long")
+                   .mapInArrow(covered, "id long, suffix long, windows long, open binary")
     marked = stage(marked, "suffix-windows")
     discard(candidates)
     release(spark)
-    back = marked.select(F.col("id").alias("_sa_id"), F.lit(0).cast("long").alias("_sa_mark"), "suffix", "windows") \
+    across = marked.filter("open IS NOT NULL")
+    least = across.groupBy("open").agg(F.min("id").alias("least"))
+    across = across.join(least, "open").filter("id > least").select("id", "suffix", "windows")
+    found = marked.filter("open IS NULL").select("id", "suffix", "windows").unionByName(across)
+    back = found.select(F.col("id").alias("_sa_id"), F.lit(0).cast("long").alias("_sa_mark"), "suffix", "windows") \
                  .unionByName(first_marks.withColumn("windows", F.lit(0).cast("long")))
     span = "array<struct<start:bigint,end:bigint>>"
     schema = docs.select(*names, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),

@@ -46,6 +46,17 @@ def test_groups_go_on_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_groups_go_on_across_partitions(spark, monkeypatch):
+    """Passages in many documents with different bytes around them, in partitions of a few KB."""
+    monkeypatch.setattr(suffixes, "PART_BYTES", 2048)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passages = [word(90), word(60), word(51)]
+    rows = [(i, word(rng.randint(0, 40)) + rng.choice(passages) + word(rng.randint(0, 40))) for i in range(900)]
+    rng.shuffle(rows)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == digest(rows)
+
+
 def test_odd_rows(odd_rows, no_rows):
     rows = [(2**63 - 1 if r.doc_id is None else r.doc_id, r.text) for r in odd_rows.collect()]
     want = [(None if i == 2**63 - 1 else i, *rest) for i, *rest in digest(rows)]
