@@ -118,5 +118,22 @@ def op9():
            {likeness('g.fa', 'g.fb')} AS near_edited, {likeness('g.fa', 'h.fa')} AS near_next FROM g JOIN g AS h ON h.doc_id = g.nid"""
 
 
+def op12():
+    return """
+    WITH r AS (SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.n AS an, a.vec_id AS anchor_id, a.label = r.label AS alike, r.n, r.vec_id,
+                 list_inner_product(a.v, r.v)::BIGINT AS score
+          FROM r AS a JOIN r ON r.n <> a.n WHERE a.vec_id % 50 = 0),
+    p AS (SELECT *, row_number() OVER (PARTITION BY an ORDER BY score DESC, vec_id ASC NULLS LAST, n) AS place FROM s WHERE alike),
+    q AS (SELECT p.an, p.anchor_id, p.place, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.an, p.place ORDER BY s.score DESC, s.vec_id ASC NULLS LAST, s.n)::INTEGER AS rank
+          FROM p JOIN s ON s.an = p.an AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+          WHERE p.place <= 5)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM q WHERE rank <= 3"""
+
+
 def oracle_sql():
-    return {"op2_license_scan": op2(), "op5_preferences": op5(), "op6_mixing": op6(), "op7_quality": op7(), "op9_imatch": op9()}
+    return {"op2_license_scan": op2(), "op5_preferences": op5(), "op6_mixing": op6(), "op7_quality": op7(), "op9_imatch": op9(), "op12_hard_negatives": op12()}

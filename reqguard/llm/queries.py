@@ -10,6 +10,7 @@ from reqguard.llm.jaccard import near_duplicates
 from reqguard.llm.langid import languages
 from reqguard.llm.license import license_scan
 from reqguard.llm.mixing import mixed_sizes
+from reqguard.llm.negatives import hard_negatives
 from reqguard.llm.pitman_yor import scored_documents
 from reqguard.llm.preference import preferences, swapped_pairs
 from reqguard.llm.quality import quality
@@ -70,7 +71,17 @@ def op10_byte_bpe(spark, sf_dir):
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_of(embeddings):
+    """Rows whose id is divisible by 7 get the next of ten labels; those divisible by 50 are the anchors."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(embeddings.select("vec_id", moved.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return op12_of(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     found = (op1_pitman_yor, op2_license_scan, op3_suffix_array, op4_jaccard_join, op5_preferences, op6_mixing, op7_quality, op8_language, op9_imatch,
-             op10_byte_bpe)
+             op10_byte_bpe, op12_hard_negatives)
     return {q.__name__: q for q in found}
