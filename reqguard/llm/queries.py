@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reqguard.llm.align import Tokenizers, alignment_digests
 from reqguard.llm.bpe import token_digests
 from reqguard.llm.imatch import fingerprints
 from reqguard.llm.jaccard import near_duplicates
@@ -71,6 +72,11 @@ def op10_byte_bpe(spark, sf_dir):
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_alignment(spark, sf_dir):
+    pair = Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment_digests(table(spark, sf_dir, "documents"), pair)
+
+
 def op12_of(embeddings):
     """Rows whose id is divisible by 7 get the next of ten labels; those divisible by 50 are the anchors."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -83,5 +89,5 @@ def op12_hard_negatives(spark, sf_dir):
 
 def queries():
     found = (op1_pitman_yor, op2_license_scan, op3_suffix_array, op4_jaccard_join, op5_preferences, op6_mixing, op7_quality, op8_language, op9_imatch,
-             op10_byte_bpe, op12_hard_negatives)
+             op10_byte_bpe, op11_alignment, op12_hard_negatives)
     return {q.__name__: q for q in found}
