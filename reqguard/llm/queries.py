@@ -16,6 +16,7 @@ from reqguard.llm.pitman_yor import scored_documents
 from reqguard.llm.preference import preferences, swapped_pairs
 from reqguard.llm.quality import quality
 from reqguard.llm.suffixes import removed_repeats
+from reqguard.llm.token_store import stored_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +88,11 @@ def op12_hard_negatives(spark, sf_dir):
     return op12_of(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_store(spark, sf_dir):
+    return stored_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries():
     found = (op1_pitman_yor, op2_license_scan, op3_suffix_array, op4_jaccard_join, op5_preferences, op6_mixing, op7_quality, op8_language, op9_imatch,
-             op10_byte_bpe, op11_alignment, op12_hard_negatives)
+             op10_byte_bpe, op11_alignment, op12_hard_negatives, op13_token_store)
     return {q.__name__: q for q in found}
