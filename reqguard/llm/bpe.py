@@ -3,6 +3,7 @@
 import base64
 import heapq
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 
 from reqguard.llm.stage import sent
 
-#: Bytes of text encoded at once in a task, and pieces whose tokens a task remembers before it starts anew.
-CHUNK, REMEMBERED = 1 << 21, 300_000
+#: Bytes of text encoded at once in a task, and bytes of pieces and their tokens that a task remembers.
+CHUNK, REMEMBERED = 1 << 18, 48 << 20
+#: What a remembered piece takes besides its characters and tokens, in bytes.
+EACH = 200
 #: Pieces beyond so many bytes are merged one by one with a queue instead of side by side.
 LONG = 256
-NONE = np.iinfo(np.int64).max
+NONE = np.iinfo(np.int32).max
 
 
 @dataclass
@@ -43,8 +46,8 @@ class Vocabulary:
                 if a is not None and b is not None:
                     found[a * len(tokens) + b] = ranks[t]
         pairs = np.array(sorted(found), dtype=np.int64)
-        return Vocabulary(pattern, tokens, np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64), pairs,
-                          np.array([found[p] for p in pairs.tolist()], dtype=np.int64))
+        return Vocabulary(pattern, tokens, np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32), pairs,
+                          np.array([found[p] for p in pairs.tolist()], dtype=np.int32))
 
 
 class Encoder:
@@ -59,12 +62,13 @@ class Encoder:
 
     def forget(self):
         self.known: dict[str, int] = {}
+        self.size = 0
         self.flat = np.empty(0, np.uint32)
         self.count = self.begin = self.hits = np.empty(0, np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The token that each pair joins to, or NONE."""
-        key = left * len(self.v.tokens) + right
+        key = left * np.int64(len(self.v.tokens)) + right
         i = np.minimum(np.searchsorted(self.v.pairs, key), len(self.v.pairs) - 1)
         return np.where(self.v.pairs[i] == key, self.v.joined[i], NONE)
 
@@ -73,8 +77,8 @@ class Encoder:
         pair of least rank (the leftmost at ties) of every piece is joined, until no piece has one."""
         sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         ids = self.v.single[np.frombuffer(b"".join(pieces), np.uint8)]
-        piece = np.repeat(np.arange(len(pieces)), sizes)
-        rank = np.full(len(ids), NONE)
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        rank = np.full(len(ids), NONE, dtype=np.int32)
         inside = np.flatnonzero(piece[1:] == piece[:-1])
         rank[inside] = self.rank(ids[inside], ids[inside + 1])
         done_ids, done_piece = [], []
@@ -140,6 +144,7 @@ class Encoder:
         self.hits = np.concatenate([self.hits, np.zeros(len(count), np.int64)])
         self.flat = np.concatenate([self.flat, flat])
         self.known.update(zip(pieces, range(len(self.known), len(self.begin))))
+        self.size += sum(map(len, pieces)) + 4 * len(flat) + EACH * len(pieces)
 
     def learn(self, pieces: list[str]):
         raw = [(p, p.encode()) for p in pieces]
@@ -151,8 +156,12 @@ class Encoder:
                 self.remember([p], tokens, np.array([len(tokens)]))
 
     def make_room(self):
-        """Keeps the pieces that came up again and again, at most half of what fits."""
-        keep = [(p, i) for p, i in self.known.items() if self.hits[i] > 2][: REMEMBERED // 2]
+        """Keeps pieces that came up again and again, in at most half of what fits."""
+        keep, size = [], 0
+        for p, i in self.known.items():
+            if self.hits[i] > 2 and size < REMEMBERED // 2:
+                keep.append((p, i))
+                size += len(p) + 4 * int(self.count[i]) + EACH
         at = np.array([i for _, i in keep], dtype=np.int64)
         flat, count = runs(self.flat, self.begin[at], self.count[at]), self.count[at]
         self.forget()
@@ -162,7 +171,7 @@ class Encoder:
         """Token ids of each text as little-endian 32-bit integers."""
         pieces = [self.pattern.findall(t) for t in texts]
         every = [p for ps in pieces for p in ps]
-        if len(self.known) > REMEMBERED:
+        if self.size > REMEMBERED:
             self.make_room()
         new = list(dict.fromkeys(p for p in every if p not in self.known))
         if new:
@@ -229,8 +238,24 @@ def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encodes and decodes every row of docs: doc_id, n_tokens and the SHA-256 of the ids and of the decoded bytes."""
-    v = Vocabulary.read(path, pattern)
-    rows = decode(encode(docs.select("doc_id", "text"), v).drop("text"), v)
-    return rows.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encodes and decodes every row of docs (doc_id, text, others): doc_id, n_tokens and the SHA-256 of the ids and of the
+    decoded bytes. Both happen in one step, so a task has one worker, and only the digests leave it.
+
+    A null or empty text has no tokens and the digests of nothing. Long texts are encoded whole; rows that repeat give
+    equal rows; a null doc_id is kept; an empty table gives an empty result. Other columns are not read.
+    """
+    docs, v = docs.select("doc_id", "text"), Vocabulary.read(path, pattern)
+    schema = docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+    encoder = sent(docs.sparkSession, Encoder(v))
+
+    def run(batches):
+        e = encoder()
+        for batch in batches:
+            column = batch.column(1)
+            for a, b in chunks(column, lambda x: len(x.as_buffer() or b"") if x.is_valid else 0):
+                ids = e.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha256(x).hexdigest() for x in ids]),
+                     pa.array([sha256(e.decode(x)).hexdigest() for x in ids])], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
