@@ -4,19 +4,20 @@ import hashlib
 import os
 import re
 from bisect import bisect_left
-from dataclasses import dataclass, field
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqguard.llm.bpe import chunks
-from reqguard.llm.stage import sent
+from reqguard.llm.bpe import chunks, runs
+from reqguard.llm.stage import sent, stage
 
 #: Distinct parts of texts whose alignment a task remembers, in bytes of what is kept, and bytes of text aligned at once.
 REMEMBERED, CHUNK = 128 << 20, 1 << 20
+#: What a remembered part takes besides its text, its groups and links, in bytes.
+EACH = 260
 #: Neither tokenizer has a token across a single space between two characters that are not white space.
 SEAM = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
@@ -113,64 +114,90 @@ class Tokenizers:
         return np.array(sorted(found), dtype=np.int64)
 
 
-@dataclass
-class Found:
-    """What the distinct parts of texts have: numbers of tokens and groups, validity, and the linked pairs."""
-    known: dict = field(default_factory=dict)
-    numbers: list = field(default_factory=list)  # n_a, n_b, n_groups, 1 if the bytes are not those of the text
-    links: list = field(default_factory=list)    # the pairs that end together, as in Tokenizers.pairs
-    shown: list = field(default_factory=list)
-    size: int = 0
-
-
 class Aligner:
-    """Aligns texts part by part (between seams); a task remembers the distinct parts."""
+    """Aligns texts part by part (between seams); a task remembers what the distinct parts have: facts (numbers of tokens
+    of A, of B and of groups, and 1 if the bytes are not those of the text), the linked pairs, and the groups as text."""
 
     def __init__(self, tokenizers: Tokenizers):
-        self.t, self.found = tokenizers, Found()
-        self.names = [str(i) for i in range(max(len(tokenizers.a_bytes), len(tokenizers.b_bytes)))]
+        self.t, self.pairs = tokenizers, tokenizers.pairs()
+        self.sizes = [np.array([len(x) for x in tokens], dtype=np.int64) for tokens in (tokenizers.a_bytes, tokenizers.b_bytes)]
+        self.most = max(map(len, self.sizes))
+        # a token's id with what follows it: a comma, a bar (the last of A in a group) or a semicolon (the last of B)
+        self.names = [f"{i}{end}" for end in ",|;" for i in range(self.most)]
+        self.forget()
+
+    def forget(self):
+        self.known: dict[str, int] = {}
+        self.shown: list[str] = []
+        self.facts = np.zeros((0, 4), np.int64)
+        self.links = np.zeros(0, np.uint32)
+        self.begin = np.zeros(0, np.int64)
+        self.size = 0
 
     def tokens(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A for space+part, and of B for the part (B adds the space)."""
         a = self.t.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
         return [x.ids for x in a], self.t.b.encode(parts, num_threads=1)
 
+    def wrong(self, raw: list[bytes], tokens: list[list[int]], token_bytes: list[bytes]) -> np.ndarray:
+        """Which parts' tokens do not join to their bytes."""
+        get = token_bytes.__getitem__
+        if b"".join(map(get, chain.from_iterable(tokens))) == b"".join(raw):
+            return np.zeros(len(raw), bool)
+        return np.array([b"".join(map(get, ids)) != r for ids, r in zip(tokens, raw)])
+
     def learn(self, parts: list[str]) -> None:
-        f, names = self.found, self.names
-        a_bytes, b_bytes, n_b = self.t.a_bytes, self.t.b_bytes, len(self.t.b_bytes)
-        for part, a, b in zip(parts, *self.tokens(parts)):
-            in_a, in_b, raw = [a_bytes[i] for i in a], [b_bytes[i] for i in b], b" " + part.encode()
-            wrong = b"".join(in_a) != raw or b"".join(in_b) != raw
-            cuts = common_ends(list(accumulate(map(len, in_a))), list(accumulate(map(len, in_b)))) if not wrong else []
-            shown, x, y = [], 0, 0
-            for i, j in cuts:
-                shown.append(",".join([names[k] for k in a[x:i + 1]]) + "|" + ",".join([names[k] for k in b[y:j + 1]]))
-                x, y = i + 1, j + 1
-            text = ";".join(shown)
-            f.known[part] = len(f.numbers)
-            f.numbers.append((len(a), len(b), len(cuts), int(wrong)))
-            f.links.append([a[i] * n_b + b[j] for i, j in cuts])
-            f.shown.append(text)
-            f.size += len(raw) + len(text) + 32 * len(cuts) + 400
-
-    def parts(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-        """Parts of each text, the numbers under which all parts are known, one after the other, and where texts begin."""
+        """Aligns new parts, laid end to end as one text: the ends of both tokenizers' tokens are two ascending lists."""
+        a, b = self.tokens(parts)
+        raw = [b" " + p.encode() for p in parts]
+        wrong = self.wrong(raw, a, self.t.a_bytes) | self.wrong(raw, b, self.t.b_bytes)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        if wrong.any():  # they have no groups
+            a, b, raw = ([[] if w else v for v, w in zip(x, wrong)] for x in (a, b, raw))
+        in_a, in_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, in_a), (b, in_b)))
+        cuts = common_ends(np.cumsum(self.sizes[0][a]).tolist(), np.cumsum(self.sizes[1][b]).tolist())
+        i, j = np.array(cuts, dtype=np.int64).reshape(-1, 2).T
+        part = np.searchsorted(np.cumsum(in_a), i, side="right")
+        groups = np.bincount(part, minlength=len(parts))
+        links = np.searchsorted(self.pairs, a[i] * len(self.t.b_bytes) + b[j]).astype(np.uint32)
+        shown = self.as_text(a, b, i, j, in_a + in_b)
+        self.known.update(zip(parts, range(len(self.shown), len(self.shown) + len(parts))))
+        self.shown += shown
+        self.facts = np.concatenate([self.facts, np.column_stack([n_a, n_b, groups, wrong])])
+        self.begin = np.concatenate([self.begin, len(self.links) + np.cumsum(groups) - groups])
+        self.links = np.concatenate([self.links, links])
+        self.size += sum(map(len, raw)) + sum(map(len, shown)) + 4 * len(links) + EACH * len(parts)
+
+    def as_text(self, a, b, i, j, sizes) -> list[str]:
+        """The groups of each part; the last semicolon stays. sizes: tokens of each part, of both kinds."""
+        of_a, of_b = (np.diff(x, prepend=-1) for x in (i, j))  # tokens of each group
+        at_a = np.arange(len(a)) + np.repeat(np.cumsum(of_b) - of_b, of_a)
+        at_b = np.arange(len(b)) + np.repeat(np.cumsum(of_a), of_b)
+        code = np.empty(len(a) + len(b), np.int64)
+        a, b = a.copy(), b.copy()
+        a[i] += self.most
+        b[j] += 2 * self.most
+        code[at_a], code[at_b] = a, b
+        names, ends = list(map(self.names.__getitem__, code.tolist())), np.cumsum(sizes).tolist()
+        return ["".join(names[x:y]) for x, y in zip([0, *ends], ends)]
+
+    def parts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers under which the parts of all texts are known, one after the other, and where the texts begin."""
+        if self.size > REMEMBERED:
+            self.forget()
         cut = [self.t.seam.split(t) if t else [] for t in texts]
-        every = [p for ps in cut for p in ps]
-        new = [p for p in dict.fromkeys(every) if p not in self.found.known]
+        every = list(chain.from_iterable(cut))
+        new = [p for p in dict.fromkeys(every) if p not in self.known]
         if new:
             self.learn(new)
-        which = np.fromiter(map(self.found.known.__getitem__, every), np.int64, len(every))
-        return cut, which, np.cumsum([0, *map(len, cut)])
+        return np.fromiter(map(self.known.__getitem__, every), np.int64, len(every)), np.cumsum([0, *map(len, cut)])
 
-    def valid(self, texts, which, begins) -> np.ndarray:
-        """Whether a text has tokens, and all of them have the bytes of space+text."""
-        wrong = np.array([n[3] for n in self.found.numbers], dtype=np.int64)[which]
-        total = np.append(0, np.cumsum(wrong))
-        return (np.diff(begins) > 0) & (total[begins[1:]] == total[begins[:-1]])
 
-    def full(self) -> bool:
-        return self.found.size > REMEMBERED
+def summed(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows that begin at begins[:-1] and end before begins[1:]."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0, dtype=np.int64)])
+    return total[begins[1:]] - total[begins[:-1]]
 
 
 def of_texts(batch: pa.RecordBatch):
@@ -180,44 +207,56 @@ def of_texts(batch: pa.RecordBatch):
         yield a, b, column.slice(a, b - a).to_pylist()
 
 
-def link_counts(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
-    """Documents (text, others) -> a_id, b_id, n: how many links of the corpus hold the two.
+FACTS = ["n_a", "n_b", "n_groups"]
 
-    Each task counts its distinct parts and turns them into counts of pairs at its end (or when its memory of parts is
-    full), so a shuffle sees a row for each pair and task: at most as many as there are pairs of the vocabularies that
-    can end together. Texts that are null, empty or changed by a tokenizer have no tokens.
-    """
-    pairs, aligner = tokenizers.pairs(), Aligner(tokenizers)
-    shared, n_b = sent(docs.sparkSession, (pairs, aligner)), len(tokenizers.b_bytes)
 
-    def count(batches):
-        pairs, aligner = shared()
-        aligner.found = Found()
-        counts = np.zeros(0, np.int64)
-
-        def flushed():
-            total, f = np.zeros(len(pairs), np.int64), aligner.found
-            links = [x for ls in f.links for x in ls]
-            times = np.repeat(counts, [len(ls) for ls in f.links])
-            np.add.at(total, np.searchsorted(pairs, np.array(links, dtype=np.int64)), times)
-            aligner.found = Found()
-            at = np.flatnonzero(total)
-            return pa.RecordBatch.from_pydict({"pair": pairs[at], "n": total[at]})
+def aligned(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
+    """Documents (doc_id, text, others) -> doc_id, n_a, n_b, n_groups, groups_sha256 and links: the linked pairs in turn,
+    each as its place in Tokenizers.pairs (32-bit little-endian integers)."""
+    docs = docs.select("doc_id", "text")
+    schema = docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in FACTS), F.lit("").alias("groups_sha256"),
+                         F.lit(None).cast("binary").alias("links")).schema
+    aligner = sent(docs.sparkSession, Aligner(tokenizers))
 
+    def run(batches):
+        al = aligner()
+        for batch in batches:
+            for first, last, texts in of_texts(batch):
+                which, begins = al.parts(texts)
+                facts = summed(al.facts[which], begins)
+                right = (np.diff(begins) > 0) & (facts[:, 3] == 0)
+                facts[~right] = 0
+                count = al.facts[which, 2]
+                links, ends = runs(al.links, al.begin[which], count).astype("<u4"), np.append(0, np.cumsum(count))[begins]
+                shown = [hashlib.sha256("".join([al.shown[i] for i in which[x:y].tolist()])[:-1].encode()).hexdigest() if ok else ""
+                         for ok, x, y in zip(right, begins, begins[1:])]
+                linked = [links[x:y].tobytes() if ok else b"" for ok, x, y in zip(right, ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *(pa.array(facts[:, i]) for i in range(3)),
+                                                  pa.array(shown), pa.array(linked, pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def pair_counts(rows: DataFrame, n_pairs: int) -> DataFrame:
+    """Rows of `aligned` -> pair, n: how many links of the corpus hold it. A task adds up what it reads, so a shuffle sees
+    at most a row for each task and pair of the vocabularies that can end together."""
+    def count(batches):
+        total = np.zeros(n_pairs, np.int64)
         for batch in batches:
-            for _, _, texts in of_texts(batch):
-                _, which, begins = aligner.parts(texts)
-                here = np.repeat(aligner.valid(texts, which, begins), np.diff(begins))
-                counts = np.pad(counts, (0, len(aligner.found.numbers) - len(counts)))
-                counts += np.bincount(which[here], minlength=len(counts))
-                if aligner.full():
-                    yield flushed()
-                    counts = np.zeros(0, np.int64)
-        if len(counts):
-            yield flushed()
+            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
+            total += np.bincount(flat, minlength=n_pairs)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": at, "n": total[at]})
+
+    return rows.select("links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
-    counted = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return counted.select(F.expr(f"cast(pair div {n_b} as int)").alias("a_id"), (F.col("pair") % n_b).cast("int").alias("b_id"), "n")
+
+def link_counts(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
+    """Documents (doc_id, text, others) -> a_id, b_id, n: how many links of the corpus hold the two. Texts that are null,
+    empty or changed by a tokenizer have no tokens."""
+    pairs, n_b = tokenizers.pairs(), len(tokenizers.b_bytes)
+    known = docs.sparkSession.createDataFrame(pa.table({"pair": np.arange(len(pairs)), "a_id": pairs // n_b, "b_id": pairs % n_b}))
+    return pair_counts(aligned(docs, tokenizers), len(pairs)).join(known, "pair").select("a_id", "b_id", "n")
 
 
 def alignments(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
@@ -272,44 +311,24 @@ def alignment_digests(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     have equal results; a null doc_id is kept; long texts are aligned whole; an empty table gives an empty result. Other
     columns are not read.
     """
-    docs = docs.select("doc_id", "text")
     pairs, n_b = tokenizers.pairs(), len(tokenizers.b_bytes)
-    counted = link_counts(docs, tokenizers).collect()  # bounded by the vocabularies
+    rows = stage(aligned(docs, tokenizers), "alignments")
     count = np.zeros(len(pairs), np.int64)
-    count[np.searchsorted(pairs, np.array([r.a_id * n_b + r.b_id for r in counted], dtype=np.int64))] = [r.n for r in counted]
+    for r in pair_counts(rows, len(pairs)).toLocalIterator():  # bounded by the vocabularies
+        count[r["pair"]] = r["n"]
     most = np.zeros(n_b, np.int64)
     np.maximum.at(most, pairs % n_b, count)
-    shared = sent(docs.sparkSession, (pairs, count, count == most[pairs % n_b], Aligner(tokenizers)))
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    schema = docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in names), F.lit("").alias("groups_sha256")).schema
+    shared = sent(docs.sparkSession, (count, count == most[pairs % n_b]))
+    kept = ["doc_id", *FACTS, "groups_sha256"]
+    schema = rows.select(*kept, *(F.lit(0).cast("long").alias(c) for c in ("n_links", "n_best", "count_sum"))).schema
 
-    def digest(batches):
-        pairs, count, is_best, aligner = shared()
-        aligner.found, facts = Found(), np.zeros((0, 6), np.int64)
+    def score(batches):
+        count, is_best = shared()
         for batch in batches:
-            for first, last, texts in of_texts(batch):
-                if aligner.full():
-                    aligner.found, facts = Found(), facts[:0]
-                _, which, begins = aligner.parts(texts)
-                f, have = aligner.found, len(facts)
-                if len(f.numbers) > have:
-                    facts = np.concatenate([facts, facts_of(f, have, pairs, count, is_best)])
-                sums = np.vstack([np.zeros((1, 6), np.int64), np.cumsum(facts[which], axis=0)])
-                valid = aligner.valid(texts, which, begins)
-                total = (sums[begins[1:]] - sums[begins[:-1]]) * valid[:, None]
-                shown = [hashlib.sha256(";".join([f.shown[i] for i in which[x:y]]).encode()).hexdigest() if ok else ""
-                         for ok, x, y in zip(valid, begins, begins[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *(pa.array(total[:, i]) for i in range(6)), pa.array(shown)],
-                                                 names=["doc_id", *names, "groups_sha256"])
-
-    return docs.mapInArrow(digest, schema)
-
-
-def facts_of(f: Found, have: int, pairs, count, is_best) -> np.ndarray:
-    """n_a, n_b, n_groups, n_links, n_best and count_sum of the parts learnt since there were `have` of them."""
-    numbers = np.array(f.numbers[have:], dtype=np.int64)
-    sizes = np.array([len(ls) for ls in f.links[have:]], dtype=np.int64)
-    at = np.searchsorted(pairs, np.array([x for ls in f.links[have:] for x in ls], dtype=np.int64))
-    ends = np.append(0, np.cumsum(sizes))
-    summed = [np.append(0, np.cumsum(x[at])) for x in (is_best.astype(np.int64), count)]
-    return np.column_stack([numbers[:, :3], sizes, *(s[ends[1:]] - s[ends[:-1]] for s in summed)])
+            links = batch.column(len(kept)).to_pylist()
+            flat = np.frombuffer(b"".join(links), "<u4")
+            ends = np.cumsum([0, *(len(x) // 4 for x in links)])
+            sums = [np.diff(ends), summed(is_best[flat], ends), summed(count[flat], ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], *map(pa.array, sums)], names=schema.names)
+
+    return rows.select(*kept, "links").mapInArrow(score, schema)
