@@ -66,12 +66,8 @@ def corrected_outcomes(decisions: DataFrame, feedback: DataFrame) -> DataFrame:
         .otherwise("none")})
 
 
-def rule_outcomes(corrections: DataFrame) -> DataFrame:
-    """Outcomes per rule (rule_name, is_true_positive, t_us) of corrected decisions with ``matched_rules``."""
-    return corrections.select(F.explode("matched_rules").alias("rule_name"),
-                              F.col("is_attack").alias("is_true_positive"), "t_us")
-
-
-def apply_corrections(corrections: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules with the confidence that the corrected outcomes give them."""
-    return rule_ops.with_confidence(rules, rule_ops.rule_effectiveness(rules, rule_outcomes(corrections)))
+def apply_corrections(corrections: DataFrame, hits: DataFrame, rules: DataFrame, cfg: Config) -> DataFrame:
+    """Rules with the confidence that the corrected outcomes give them; hits (event_id, t_us, pattern) count for the rules
+    of their pattern that were in force."""
+    judged = hits.join(corrections.select("event_id", F.col("is_attack").alias("is_true_positive")), "event_id")
+    return rule_ops.with_confidence(rules, rule_ops.effectiveness_in_force(rules, judged, cfg))

@@ -46,8 +46,8 @@ def _usable(spark: SparkSession, pattern: str) -> bool:
         return False
 
 
-def pattern_hits(payloads: DataFrame, rules: DataFrame, key: str = "event_id") -> DataFrame:
-    """(key, pattern) for each distinct pattern of an active payload rule that a payload matches.
+def pattern_hits(payloads: DataFrame, rules: DataFrame, *kept: str) -> DataFrame:
+    """(kept columns, pattern) for each distinct pattern of an active payload rule that a payload matches.
 
     Generated rules repeat few patterns under many names, so each distinct pattern is evaluated once. Patterns are
     literals in the plan, compiled once per task; rows are matched without a shuffle, in batches of patterns, and any
@@ -59,7 +59,7 @@ def pattern_hits(payloads: DataFrame, rules: DataFrame, key: str = "event_id") -
 
     def matched():
         hits = F.array(*[F.when((target != "") & target.rlike("(?di)" + p), F.lit(p)) for p in batch])
-        return payloads.select(key, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("pattern"))
+        return payloads.select(*kept, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("pattern"))
 
     for row in wanted.toLocalIterator():
         if _usable(spark, row["pattern"]):
@@ -93,15 +93,111 @@ def rule_match(payloads: DataFrame, rules: DataFrame, key: str = "event_id") ->
         "matched_rules": F.coalesce("matched_rules", F.array().cast("array<string>")), "blocked": F.coalesce("blocked", F.lit(False))})
 
 
+# ------------------------------------------------------------------ rules in force at a request
+START, END = -(2 ** 62), 2 ** 62
+
+
+def rule_lives(rules: DataFrame) -> DataFrame:
+    """(id, rule_name, pattern, action, severity, from_us, until_us) of the usable rules: a rule is in force from its
+    creation until just before it expires. One that expires before it is created never is."""
+    born, gone = F.coalesce("created_us", F.lit(START)), F.coalesce("expires_us", F.lit(END))
+    return usable_rules(rules).filter(born < gone).select(
+        "id", "rule_name", "pattern", "action", "severity", born.alias("from_us"), gone.alias("until_us"))
+
+
+def rule_changes(rules: DataFrame) -> DataFrame:
+    """(pattern, at_us, rules, blocking): by how much the number of a pattern's rules in force, and of those that block,
+    changes at a time. At most two rows for each rule."""
+    steps = F.array(F.struct(F.col("from_us").alias("at_us"), F.lit(1).alias("step")),
+                    F.struct(F.col("until_us").alias("at_us"), F.lit(-1).alias("step")))
+    rows = rule_lives(rules).select("pattern", "action", F.explode(steps).alias("s")).filter(F.col("s.at_us") < END)
+    step = F.col("s.step").cast("long")
+    return rows.groupBy("pattern", "s.at_us").agg(
+        F.sum(step).alias("rules"), F.sum(F.when(F.col("action") == "BLOCK", step).otherwise(0)).alias("blocking"))
+
+
+def set_id(pattern: str = "pattern", since: str = "since_us") -> Column:
+    """Names the rules of a pattern that are in force together from some time on."""
+    return F.concat(F.substring(F.md5(pattern), 1, 16), F.lit("@"), F.col(since).cast("string"))
+
+
+def hits_in_force(hits: DataFrame, rules: DataFrame, cfg: Config) -> DataFrame:
+    """Hits (event_id, t_us, pattern) while a rule of their pattern is in force, with n_rules and n_blocking (how many
+    are, and block) and since_us (the last time that changed).
+
+    Hits and changes lie on one timeline per pattern, on which the changes are summed; a row is made for each hit, however
+    many rules share its pattern, and a pattern that many payloads match is spread over time segments.
+    """
+    zero = F.lit(0).cast("long")
+    asked = hits.select("pattern", "t_us", "event_id", F.lit(1).alias("turn"), zero.alias("rules"), zero.alias("blocking"),
+                        F.lit(None).cast("long").alias("change_us"))
+    changes = rule_changes(rules).select("pattern", F.col("at_us").alias("t_us"), zero.alias("event_id"), F.lit(0).alias("turn"), "rules",
+                                         "blocking", F.col("at_us").alias("change_us"))
+    seen = running(asked.unionByName(changes), ["pattern"], {
+        "n_rules": ("sum", F.col("rules")), "n_blocking": ("sum", F.col("blocking")), "since_us": ("max", F.col("change_us"))},
+        cfg.segment_us, ("t_us", "turn", "event_id"))
+    return seen.filter("turn = 1 AND n_rules > 0").select("event_id", "t_us", "pattern", "n_rules", "n_blocking", "since_us")
+
+
+def rules_at_requests(requests: DataFrame, rules: DataFrame, cfg: Config) -> DataFrame:
+    """Requests (event_id, t_us, payload) -> event_id, n_rules (matched rules in force at the time), blocked and rule_sets
+    (the sets of `rule_sets` whose rules match, in order): one row for each request."""
+    hits = hits_in_force(pattern_hits(requests, rules, "event_id", "t_us"), rules, cfg)
+    none = requests.select("event_id", F.lit(0).cast("long").alias("n_rules"), F.lit(False).alias("blocks"), F.lit(None).cast("string").alias("rule_set"))
+    found = hits.select("event_id", "n_rules", (F.col("n_blocking") > 0).alias("blocks"), set_id().alias("rule_set"))
+    return none.unionByName(found).groupBy("event_id").agg(
+        F.sum("n_rules").alias("n_rules"), F.bool_or("blocks").alias("blocked"), F.sort_array(F.collect_list("rule_set")).alias("rule_sets"))
+
+
+def rule_sets(rules: DataFrame) -> DataFrame:
+    """(rule_set, pattern, since_us, rule_name, action, severity): a row for each rule of each set of rules that are in
+    force together. Rules that expire are matched with the sets of the time cells they live in, whose width is the longest
+    life, so a rule meets the sets of two cells at most."""
+    lives = rule_lives(rules)
+    sets = rule_changes(rules).select("pattern", F.col("at_us").alias("since_us"))
+    mortal = lives.filter(F.col("until_us") < END)
+    width = mortal.agg(F.max(F.col("until_us") - F.col("from_us"))).first()[0] or 1
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(width))).cast("long")
+    short = mortal.withColumn("last_us", F.col("until_us") - 1).withColumn("_cell", F.explode(F.sequence(cell("from_us"), cell("last_us"))))
+    now = F.col("since_us").between(F.col("from_us"), F.col("until_us") - 1)
+    kept = [set_id().alias("rule_set"), "pattern", "since_us", "rule_name", "action", "severity"]
+    return (short.join(sets.withColumn("_cell", cell("since_us")), ["pattern", "_cell"]).filter(now).select(*kept)
+            .unionByName(lives.filter(F.col("until_us") >= END).join(sets, "pattern").filter(now).select(*kept)))
+
+
+def effectiveness_in_force(rules: DataFrame, hits: DataFrame, cfg: Config) -> DataFrame:
+    """Per rule with hits while it was in force: counts and smoothed effectiveness; hits has event_id, t_us, pattern and
+    is_true_positive.
+
+    A rule's counts are what the running counts of its pattern's hits gain between its creation and its expiry, so hits
+    are never multiplied by rules.
+    """
+    c, zero = F.col, F.lit(0).cast("long")
+    true = F.when(c("is_true_positive"), 1).otherwise(0).cast("long")
+    lives = rule_lives(rules)
+    shown = hits.select("pattern", "t_us", F.lit(1).alias("turn"), "event_id", true.alias("tp"), (F.lit(1) - true).alias("fp"), c("t_us").alias("hit_us"))
+    marks = lives.select("pattern", F.explode(F.array("from_us", "until_us")).alias("t_us"), F.lit(0).alias("turn"), c("id").alias("event_id"),
+                         zero.alias("tp"), zero.alias("fp"), "rule_name", "from_us")
+    seen = running(shown.unionByName(marks, allowMissingColumns=True), ["pattern"], {
+        "hits": ("sum", c("tp")), "misses": ("sum", c("fp")), "last_us": ("max", c("hit_us"))}, cfg.segment_us, ("t_us", "turn", "event_id"))
+    start = F.when(c("t_us") == c("from_us"), -1).otherwise(1)
+    counted = seen.filter("turn = 0").groupBy(c("event_id").alias("rule_id"), "rule_name").agg(
+        F.sum(c("hits") * start).alias("true_positives"), F.sum(c("misses") * start).alias("false_positives"), F.max("last_us").alias("last_us"))
+    return with_effectiveness(counted.filter(c("true_positives") + c("false_positives") > 0))
+
+
+def with_effectiveness(counts: DataFrame) -> DataFrame:
+    tp, fp = F.col("true_positives"), F.col("false_positives")
+    return counts.withColumns({"true_negatives": F.lit(0).cast("long"), "false_negatives": F.lit(0).cast("long"),
+                               "effectiveness": (tp + 1) / (tp + fp + 2)})
+
+
 def rule_effectiveness(rules: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Per rule with outcomes (rule_name, is_true_positive, t_us): counts and smoothed effectiveness."""
     seen = outcomes.groupBy("rule_name").agg(
         F.count_if("is_true_positive").alias("true_positives"),
         F.count_if(~F.col("is_true_positive")).alias("false_positives"), F.max("t_us").alias("last_us"))
-    tp, fp = F.col("true_positives"), F.col("false_positives")
-    return (rules.select(F.col("id").alias("rule_id"), "rule_name").join(seen, "rule_name")
-            .withColumns({"true_negatives": F.lit(0).cast("long"), "false_negatives": F.lit(0).cast("long"),
-                          "effectiveness": (tp + 1) / (tp + fp + 2)}))
+    return with_effectiveness(rules.select(F.col("id").alias("rule_id"), "rule_name").join(seen, "rule_name"))
 
 
 def with_confidence(rules: DataFrame, effectiveness: DataFrame) -> DataFrame:
@@ -214,7 +310,7 @@ def _as_rules(rows: DataFrame, name: Column) -> DataFrame:
 
 def healing_log(rules: DataFrame) -> DataFrame:
     """One log row per generated rule."""
-    pattern = F.when(F.col("rule_type") == "PAYLOAD", F.substring("pattern", 1, 60)).otherwise(
+    pattern = F.when(F.col("rule_type") == "PAYLOAD", F.col("pattern")).otherwise(
         F.concat(F.lit("IP="), F.col("key")))
     return rules.select("event_id", F.col("kind").alias("attack_type"), pattern.alias("pattern_detected"),
                         F.col("rule_name").alias("rule_generated"), F.col("t_us").alias("applied_us"))

@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqguard import constants as C
-from reqguard.config import SECOND
+from reqguard.config import SECOND, Config
 from reqguard.functions import scoring, text
 from reqguard.operators.graph import components
 from reqguard.operators.memory import newest
+from reqguard.operators.running import running
 from reqguard.operators.tiles import TILE_ROWS, sides, spanning_edges, tile_pairs
 from reqguard.session import stage
 
@@ -137,6 +138,62 @@ def top1(queries: DataFrame, memory: DataFrame, id_col: str = "event_id", tile:
         c("id").alias(id_col), (-c("b.back")).alias("entry_id"), F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"))
 
 
+def _nearest_before(queries: pa.Table, entries: pa.Table) -> pa.Table:
+    """For each query of one block, the most similar entry of one tile that was stored before it; the first at ties."""
+    entries = entries.sort_by("number")
+    ids, number, before = (x.to_numpy() for x in (entries["entry_id"], entries["number"], queries["before"]))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    if len(ids) and len(before):
+        m, q = matrix(entries["vec"]), matrix(queries["vec"])
+        asked, rows = queries["id"].to_numpy(), max(1, SCORES // len(m))
+        for at in range(0, len(q), rows):
+            s = q[at:at + rows] @ m.T
+            s[number[None, :] > before[at:at + rows, None]] = -np.inf
+            best, top = s.argmax(axis=1), s.max(axis=1)
+            some = np.isfinite(top)
+            found.append((asked[at:at + rows][some], ids[best[some]], top[some]))
+    a, b, sims = map(np.concatenate, zip(*found))
+    return pa.table({"id": a, "entry_id": b, "similarity": sims})
+
+
+def matrix(vectors) -> np.ndarray:
+    """Vectors of equal length as rows."""
+    flat = vectors.combine_chunks().flatten().to_numpy()
+    return flat.reshape(len(vectors), -1)
+
+
+#: Similarities held at once in a task.
+SCORES = 1 << 22
+
+
+def top1_before(queries: DataFrame, memory: DataFrame, cfg: Config, id_col: str = "event_id", tile: int = MEMORY_TILE) -> DataFrame:
+    """(id, entry_id, similarity): the most similar memory entry stored before each query (id, t_us, vec); similarity 0
+    where none was. At equal times, entries of smaller ids than the query's are before it, so none meets itself; at equal
+    similarity the entry stored first counts.
+
+    Of entries with equal vectors only the first is ever needed. Entries and queries are numbered on one timeline and cut
+    into tiles and blocks of consecutive ones. A query goes to the tiles that begin before it: wholly earlier ones, and
+    one that is open, where later entries are masked. A block and a tile meet in one task as a matrix product.
+    """
+    c, zero, one = F.col, F.lit(0).cast("long"), F.lit(1).cast("long")
+    firsts = memory.groupBy("vec").agg(F.min(F.struct("stored_us", "entry_id")).alias("f")).select("f.*", "vec")
+    asked = queries.select(c(id_col).alias("id"), "t_us", unit(c("vec").cast("array<double>")).alias("vec"))
+    timeline = firsts.select(c("stored_us").alias("t_us"), c("entry_id").alias("id"), F.lit(1).alias("turn"), one.alias("entry"), zero.alias("query"), "vec") \
+        .unionByName(asked.select("t_us", "id", F.lit(0).alias("turn"), zero.alias("entry"), one.alias("query"), "vec")).withColumn("all", F.lit(0))
+    placed = stage(running(timeline, ["all"], {"before": ("sum", c("entry")), "at": ("sum", c("query"))}, cfg.segment_us, ("t_us", "id", "turn")), "memory-timeline")
+    blocks = placed.filter("turn = 0 AND before > 0").select("id", "vec", "before", F.expr(f"cast((at - 1) div {tile} as int)").alias("_block"))
+    last = F.expr(f"cast((before - 1) div {tile} as int)")
+    grid = blocks.groupBy("_block").agg(F.max(last).alias("_last")).select("_block", F.explode(F.sequence(F.lit(0), "_last")).alias("_tile"))
+    m = placed.filter("turn = 1").select(c("id").alias("entry_id"), "vec", c("before").alias("number"), last.alias("_tile")).join(grid, "_tile")
+    m = m.select("entry_id", "number", *[c(x).alias(x) for x in ("vec", "_block", "_tile")])  # names of their own, for the join below
+    q = blocks.withColumn("_tile", F.explode(F.sequence(F.lit(0), last)))
+    near = q.groupBy("_block", "_tile").cogroup(m.groupBy("_block", "_tile")).applyInArrow(
+        _nearest_before, "id long, entry_id long, similarity double")
+    best = near.groupBy("id").agg(F.max_by(F.struct("entry_id", "similarity"), "similarity").alias("b"))
+    return asked.select("id").join(best, "id", "left").select(
+        c("id").alias(id_col), "b.entry_id", F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"))
+
+
 def remove(memory: DataFrame, cleared: DataFrame, id_col: str = "event_id") -> DataFrame:
     """Memory without the nearest entry of each cleared vector, where it is nearly identical to it."""
     near = top1(cleared, memory, id_col).filter(F.col("similarity") > C.MEMORY_REMOVE_SIM).select("entry_id").distinct()
@@ -206,6 +263,56 @@ def correlate(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows
         "ip", F.greatest("max_similarity", F.lit(0.0)).alias("max_similarity"), "peers", *kept)
 
 
+def _correlated_before(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+    """For each query of one block, the highest similarity to vectors of other actors that stand at its place."""
+    codes: dict = {}
+    mine, theirs = (np.array([codes.setdefault(x, len(codes)) for x in t["ip"].to_pylist()], dtype=np.int64) for t in (queries, vectors))
+    at, start, end = (x.to_numpy() for x in (queries["at"], vectors["at"], vectors["until"]))
+    found = [(np.empty(0, np.int64), np.empty(0))]
+    if len(mine) and len(theirs):
+        q, v, ids, rows = matrix(queries["vec"]), matrix(vectors["vec"]), queries["event_id"].to_numpy(), max(1, SCORES // len(theirs))
+        for i in range(0, len(q), rows):
+            s, here = q[i:i + rows] @ v.T, at[i:i + rows, None]
+            s[(mine[i:i + rows, None] == theirs[None, :]) | (start[None, :] >= here) | (here > end[None, :])] = -np.inf
+            top = s.max(axis=1)
+            found.append((ids[i:i + rows][np.isfinite(top)], top[np.isfinite(top)]))
+    a, b = map(np.concatenate, zip(*found))
+    return pa.table({"event_id": a, "best": b})
+
+
+def correlate_before(vectors: DataFrame, window_us: int, cfg: Config, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(event_id, max_similarity): for each vector (event_id, ip, t_us, vec), the highest cosine to the vectors that other
+    actors showed last before it, within the window; 0 without any.
+
+    A vector stands from its place in the order of time up to its actor's next vector or the end of its window. Places are
+    numbers on one timeline, cut into blocks of consecutive ones; a vector goes to the blocks it stands in, and there to a
+    tile of actors, so a task sees a block and a tile, whatever the number of actors.
+    """
+    c, zero, one = F.col, F.lit(0).cast("long"), F.lit(1).cast("long")
+    rows = vectors.select("event_id", "ip", "t_us", unit(c("vec").cast("array<double>")).alias("vec"))
+    ends = rows.select("event_id", "ip", (c("t_us") + window_us).alias("t_us"), F.lit(1).alias("turn"), zero.alias("one"))
+    line = rows.withColumn("turn", F.lit(0)).withColumn("one", one).unionByName(ends, allowMissingColumns=True).withColumn("all", F.lit(0))
+    # a window ends after everything at its last moment
+    line = line.withColumn("_id", F.when(c("turn") == 0, c("event_id")).otherwise(F.lit(2 ** 63 - 1)))
+    placed = running(line, ["all"], {"at": ("sum", c("one"))}, cfg.segment_us, ("t_us", "_id", "event_id", "turn"))
+    placed = stage(placed.select("event_id", "ip", "t_us", "turn", "vec", "at"), "correlation-timeline")
+    shown = stage(running(placed.filter("turn = 0").drop("turn"), ["ip"], {"rn": ("sum", one)}, cfg.segment_us), "correlation-shown")
+    after = shown.select("ip", (c("rn") - 1).alias("rn"), (c("at") - 1).alias("until"))
+    window = placed.filter("turn = 1").select("event_id", c("at").alias("window_end"))
+    stands = shown.join(after, ["ip", "rn"], "left").join(window, "event_id").withColumn("until", F.least("until", "window_end"))
+    block = lambda x: F.expr(f"cast(({x}) div {tile_rows} as int)")
+    stands = stands.filter("until > at").select("ip", "vec", "at", "until", F.explode(F.sequence(block("at"), block("until - 1"))).alias("_block"))
+    n, = stands.groupBy("_block").agg(F.count("*").alias("n")).agg(F.max("n")).first()
+    tiles = max(1, -(-(n or 0) // (2 * tile_rows)))
+    v = stands.withColumn("_tile", F.pmod(F.xxhash64("ip"), F.lit(tiles)).cast("int"))
+    v = v.select("until", *[c(x).alias(x) for x in ("ip", "vec", "at", "_block", "_tile")])  # names of their own, for the join below
+    q = shown.select("event_id", "ip", "vec", "at", block("at - 1").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_tile"))
+    near = q.groupBy("_block", "_tile").cogroup(v.groupBy("_block", "_tile")).applyInArrow(_correlated_before, "event_id long, best double")
+    best = near.groupBy("event_id").agg(F.max("best").alias("best"))
+    return shown.select("event_id").join(best, "event_id", "left").select(
+        "event_id", F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("max_similarity"))
+
+
 def campaigns(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(ip, campaign): actors linked by chains of similar vectors; a campaign is named after its first member ip.
 

@@ -213,7 +213,25 @@ def decide(name, src, dev, ml, rep, sig, dec):
 FIRST = decide("first", "scored", "deviation", "anomaly", "0e0", "signature_score", "deception")
 SEVERE = inlist(C.SEVERE_ACTIONS)
 BEFORE = "ORDER BY t_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-MULT = f"""acts AS (SELECT *, (action IN {SEVERE})::BIGINT AS severe FROM first),
+# actions turn severe by severe ones before them, round by round, until none does
+MULT = f"""step0 AS MATERIALIZED (SELECT event_id, t_us, endpoint, fingerprint, matched, deviation, anomaly, signature_score, deception,
+  (action IN {SEVERE})::BIGINT AS severe FROM first),
+keys0 AS MATERIALIZED (SELECT event_id, t_us, 'path' AS kind, endpoint AS value FROM step0
+  UNION ALL SELECT event_id, t_us, 'fp', fingerprint FROM step0 UNION ALL SELECT event_id, t_us, 'sig', unnest(matched) FROM step0),
+rounds AS (
+  SELECT 0 AS round, event_id, severe FROM step0
+  UNION ALL
+  SELECT round + 1, event_id, now FROM (SELECT *, bool_or(now <> severe) OVER () AS turned FROM (
+    SELECT event_id, round, x.severe, (signature_score * sm > 90 OR deception * pm > 80 OR 0.15e0 * (deviation * fm)
+      + 0.20e0 * 100 * (anomaly * fm) + 0.10e0 * rep + 0.30e0 * (signature_score * sm) + 0.25e0 * (deception * pm) > 70)::BIGINT AS now
+    FROM (SELECT event_id, any_value(round) AS round, any_value(severe) AS severe, 1 + 0.1e0 * max(n) FILTER (kind = 'path') AS pm,
+        1 + 0.25e0 * max(n) FILTER (kind = 'fp') AS fm, least(100e0, 25e0 * max(n) FILTER (kind = 'fp')) AS rep,
+        coalesce(1 + (sum(n) FILTER (kind = 'sig'))::DOUBLE * 0.15e0 / count(*) FILTER (kind = 'sig'), 1e0) AS sm
+      FROM (SELECT k.event_id, k.kind, r.round, r.severe, coalesce(sum(r.severe) OVER (PARTITION BY k.kind, k.value
+          ORDER BY k.t_us, k.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n
+        FROM keys0 k JOIN rounds r USING (event_id)) GROUP BY event_id) x JOIN step0 USING (event_id))) WHERE turned),
+taken AS (SELECT event_id, arg_max(severe, round) AS severe FROM rounds GROUP BY event_id),
+acts AS (SELECT f.*, k.severe FROM first f JOIN taken k USING (event_id)),
 sigs AS (SELECT event_id, t_us, severe, unnest(matched) AS sg FROM acts),
 sig_counts AS (SELECT event_id, coalesce(sum(severe) OVER (PARTITION BY sg {BEFORE}), 0) AS n FROM sigs),
 sig_mult AS (SELECT event_id, 1 + sum(n)::DOUBLE * 0.15e0 / count(*) AS signature_mult FROM sig_counts GROUP BY event_id),
@@ -253,11 +271,15 @@ RULES = f"""auto AS (
   SELECT 'Auto_' || kind || '_' || day AS rule_name, 'PAYLOAD' AS rule_type, pattern, 'BLOCK' AS action, severity, t_us, event_id
   FROM (SELECT kind, t_us // {DAY_US} AS day, min(t_us) AS t_us, arg_min(event_id, t_us) AS event_id FROM flagged GROUP BY 1, 2)
   JOIN auto_kinds USING (kind)),
-rules AS (SELECT rule_name, rule_type, pattern, action, severity, false AS auto_generated, NULL::BIGINT AS expires_us FROM defaults
-  UNION ALL SELECT rule_name, rule_type, pattern, action, severity, true, t_us + {DAY_US} FROM auto)"""
+rules AS (SELECT rule_name, rule_type, pattern, action, severity, false AS auto_generated, 0::BIGINT AS created_us, NULL::BIGINT AS expires_us
+  FROM defaults UNION ALL SELECT rule_name, rule_type, pattern, action, severity, true, t_us, t_us + {DAY_US} FROM auto)"""
 RULE_HITS = f"""hit AS (
-  SELECT r.*, d.rule_name, d.action, d.severity FROM req r JOIN rules d
-  ON payload <> '' AND rule_type = 'PAYLOAD' AND regexp_matches(lower(payload), '(?i)' || pattern))"""
+  SELECT r.*, d.rule_name, d.action, d.severity, d.pattern FROM req r JOIN rules d
+  ON payload <> '' AND rule_type = 'PAYLOAD' AND d.created_us <= r.t_us AND (d.expires_us IS NULL OR r.t_us < d.expires_us)
+    AND regexp_matches(lower(payload), '(?i)' || pattern))"""
+SINCE = """changed AS (SELECT DISTINCT pattern, at_us, substr(md5(pattern), 1, 16) || '@' || at_us AS rule_set FROM (
+  SELECT pattern, created_us AS at_us FROM rules WHERE rule_type = 'PAYLOAD'
+  UNION ALL SELECT pattern, expires_us FROM rules WHERE rule_type = 'PAYLOAD' AND expires_us IS NOT NULL))"""
 EFFECT = """eff AS (
   SELECT rule_name, count(*) FILTER (status_code <> 200) AS true_positives, count(*) FILTER (status_code = 200) AS false_positives,
     (count(*) FILTER (status_code <> 200) + 1)::DOUBLE / (count(*) + 2) AS effectiveness, max(t_us) AS last_us
@@ -406,9 +428,14 @@ def oracle_sql():
         "asof_blocks": with_req("""SELECT r.event_id, r.ip, r.t_us, CASE WHEN o.is_block THEN o.t_us END AS blocked_us,
             CASE WHEN o.is_block THEN o.expires_us END AS expires_us, coalesce(o.is_block AND r.t_us <= o.expires_us, false) AS is_blocked
             FROM req r ASOF LEFT JOIN ops o ON r.ip = o.ip AND r.t_us > o.t_us""", blocks(1)),
-        "rule_match": with_req("""SELECT r.event_id, coalesce(string_agg(h.rule_name, ',' ORDER BY h.severity DESC, h.rule_name), '')
-            AS matched_rules, coalesce(bool_or(h.action = 'BLOCK'), false) AS blocked
-            FROM req r LEFT JOIN hit h ON h.event_id = r.event_id WHERE r.payload <> '' GROUP BY r.event_id""", DEFAULT, AUTO, RULES, RULE_HITS),
+        "rule_match": with_req("""SELECT event_id, coalesce(sum(n), 0)::BIGINT AS n_rules, coalesce(bool_or(blocks), false) AS blocked,
+            coalesce(string_agg(rule_set, ',' ORDER BY rule_set), '') AS rule_sets
+            FROM (SELECT * FROM req WHERE payload <> '') r LEFT JOIN (SELECT h.event_id, n, blocks, x.rule_set FROM (
+              SELECT event_id, t_us, pattern, count(*) AS n, bool_or(action = 'BLOCK') AS blocks FROM hit GROUP BY ALL) h
+              ASOF JOIN changed x ON x.pattern = h.pattern AND h.t_us >= x.at_us) USING (event_id) GROUP BY event_id""", DEFAULT, AUTO, RULES, RULE_HITS, SINCE),
+        "rule_sets": with_req("""SELECT rule_set, at_us AS since_us, rule_name, action, severity FROM changed x JOIN rules d
+            ON d.pattern = x.pattern AND d.rule_type = 'PAYLOAD' AND d.created_us <= x.at_us AND (d.expires_us IS NULL OR x.at_us < d.expires_us)""",
+                              DEFAULT, AUTO, RULES, SINCE),
         "evolution_multipliers": with_req(f"""SELECT event_id, {rnd('path_mult')} AS path_mult, {rnd('fingerprint_mult')} AS
             fingerprint_mult, {rnd('signature_mult')} AS signature_mult FROM adjusted""", *TO_FIRST, MULT),
         "dashboard_stats": with_req(f"""SELECT
@@ -610,19 +637,23 @@ def oracle_sql():
               1 / (1 + exp(-greatest(-20e0, least(20e0, ln(prior / (1 - prior)) + 12 * (ml - 0.55e0)
               + CASE WHEN memory_sim > 0.3e0 THEN -6 * ln(1.0001e0 - memory_sim) - 3 ELSE 0 END
               + CASE WHEN correlation > 0.4e0 THEN -5 * ln(1.0001e0 - correlation) - 2.5e0 ELSE 0 END
-              + 6 * (risk / 100 - 0.65e0))))) END AS posterior FROM evidence)""", *TO_RISK, EMBED, LATEST, OUTCOMES,
-                                 f"mem AS (SELECT vec FROM embed WHERE {DECEPTIVE})",
-                                 """sims AS (SELECT e.event_id, least(1e0, max(list_dot_product(e.vec, m.vec))) AS memory_sim
-              FROM embed e CROSS JOIN mem m GROUP BY e.event_id)""",
-                                 """pairs AS (SELECT a.ip, least(1e0, max(list_dot_product(a.vec, b.vec))) AS correlation
-              FROM latest a JOIN latest b ON a.ip <> b.ip GROUP BY a.ip)""",
+              + 6 * (risk / 100 - 0.65e0))))) END AS posterior FROM evidence)""", *TO_RISK, EMBED, OUTCOMES,
+                                 f"mem AS (SELECT event_id, t_us, vec FROM embed WHERE {DECEPTIVE})",
+                                 """sims AS (SELECT e.event_id, least(1e0, coalesce(max(list_dot_product(e.vec, m.vec)), 0)) AS memory_sim
+              FROM embed e LEFT JOIN mem m ON m.t_us < e.t_us OR (m.t_us = e.t_us AND m.event_id < e.event_id) GROUP BY e.event_id)""",
+                                 """shown AS (SELECT event_id, ip, t_us, vec, lead(t_us) OVER w AS next_us, lead(event_id) OVER w AS next_id
+              FROM embed WINDOW w AS (PARTITION BY ip ORDER BY t_us, event_id))""",
+                                 f"""pairs AS (SELECT a.event_id, greatest(0e0, least(1e0, max(list_dot_product(a.vec, b.vec)))) AS correlation
+              FROM embed a JOIN shown b ON a.ip <> b.ip AND (b.t_us < a.t_us OR (b.t_us = a.t_us AND b.event_id < a.event_id))
+                AND (b.next_us IS NULL OR b.next_us > a.t_us OR (b.next_us = a.t_us AND b.next_id > a.event_id)) AND b.t_us >= a.t_us - {LONG}
+              GROUP BY a.event_id)""",
                                  """priors AS (SELECT event_id, CASE WHEN n = 0 THEN 0.02e0 ELSE (a + 1) / (n + 50e0) END AS prior FROM (
               SELECT event_id, count(*) OVER w AS n, coalesce(sum(is_attack::INT) OVER w, 0) AS a FROM outcome
               WINDOW w AS (ORDER BY t_us, event_id ROWS BETWEEN 2000 PRECEDING AND 1 PRECEDING)))""",
                                  """evidence AS (SELECT r.event_id, least(1e0, 0.3e0 * (r.n > 50)::INT + 0.2e0 * r.burst::INT
               + 0.25e0 * (r.failure_rate > 0.7e0)::INT + 0.2e0 * r.scan::INT + 0.2e0 * (r.cur_flags > 2)::INT) AS ml, memory_sim,
               coalesce(correlation, 0) AS correlation, r.score AS risk, prior, starts_with(r.user_agent, 'Mozilla/5.0 (') AS trusted
-              FROM risk r JOIN sims USING (event_id) JOIN priors USING (event_id) LEFT JOIN pairs ON pairs.ip = r.ip)"""),
+              FROM risk r JOIN sims USING (event_id) JOIN priors USING (event_id) LEFT JOIN pairs USING (event_id))"""),
         "dynamic_prior": with_req(f"""SELECT event_id, n, a::BIGINT AS attacks, {rnd('CASE WHEN n = 0 THEN 0.02e0 ELSE (a + 1) / (n + 50e0) END')}
             AS prior FROM (SELECT event_id, count(*) OVER w AS n, coalesce(sum(is_attack::INT) OVER w, 0) AS a FROM outcome
             WINDOW w AS (ORDER BY t_us, event_id ROWS BETWEEN 2000 PRECEDING AND 1 PRECEDING))""", OUTCOMES),

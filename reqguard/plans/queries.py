@@ -89,10 +89,10 @@ def system_events(r: DataFrame) -> DataFrame:
     return logs.payload_alerts(r).unionByName(logs.honeypot_events(logs.honeypot_log(r)))
 
 
-def rule_outcomes(r: DataFrame) -> DataFrame:
-    """Each rule matched by a request's payload, true positive when the request did not succeed."""
-    hits = RU.rule_hits(r.filter("payload <> ''"), observed_rules(r)).select("event_id", "rule_name")
-    return hits.join(r, "event_id").select("rule_name", (c("status_code") != 200).alias("is_true_positive"), "t_us", "event_id")
+def pattern_hits(r: DataFrame, rules: DataFrame) -> DataFrame:
+    """Patterns matched by the requests' payloads, true positive when the request did not succeed."""
+    hits = RU.pattern_hits(r.filter("payload <> ''"), rules, "event_id", "t_us", "status_code")
+    return hits.withColumn("is_true_positive", c("status_code") != 200)
 
 
 def outcomes(r: DataFrame) -> DataFrame:
@@ -196,8 +196,13 @@ def asof_blocks(r):
 
 
 def rule_match(r):
-    out = RU.rule_match(r.filter("payload <> ''"), observed_rules(r))
-    return out.select("event_id", "matched_rules", "blocked")
+    """Every request with a payload against the rules in force at its time."""
+    return RU.rules_at_requests(r.filter("payload <> ''"), stage(observed_rules(r), "rules"), CFG)
+
+
+def rule_sets(r):
+    """The rules of each set that `rule_match` names."""
+    return RU.rule_sets(stage(observed_rules(r), "rules")).select("rule_set", "since_us", "rule_name", "action", "severity")
 
 
 # ---------------------------------------------------------------- features
@@ -248,13 +253,11 @@ def adaptive_decision(key):
 
 
 def repeat_offender(r):
-    acts = stage(D.first_pass(r, CFG), "first-pass")
-    return D.multipliers(acts, CFG).select("event_id", "repeat")
+    return D.decisions(r, CFG).select("event_id", "repeat")
 
 
 def evolution_multipliers(r):
-    acts = stage(D.first_pass(r, CFG), "first-pass")
-    return D.multipliers(acts, CFG).select("event_id", "path_mult", "fingerprint_mult", "signature_mult")
+    return D.decisions(r, CFG).select("event_id", "path_mult", "fingerprint_mult", "signature_mult")
 
 
 def feedback_decision(r):
@@ -367,14 +370,14 @@ def level_changes(r):
 
 # ---------------------------------------------------------------- rules over time
 def rule_effectiveness(r):
-    rules = observed_rules(r)
-    return RU.rule_effectiveness(rules, rule_outcomes(r)).select(
+    rules = stage(observed_rules(r), "rules")
+    return RU.effectiveness_in_force(rules, pattern_hits(r, rules), CFG).select(
         "rule_name", "true_positives", "false_positives", "effectiveness", "last_us")
 
 
 def rule_performance(r):
-    rules = observed_rules(r)
-    return RU.rule_performance(rules, RU.rule_effectiveness(rules, rule_outcomes(r))).select(
+    rules = stage(observed_rules(r), "rules")
+    return RU.rule_performance(rules, RU.effectiveness_in_force(rules, pattern_hits(r, rules), CFG)).select(
         "rule_name", "true_positives", "false_positives", "effectiveness")
 
 
@@ -393,13 +396,14 @@ def healing_status(r):
 
 def apply_corrections(r):
     """Feedback on every request with a payload: it was an attack when the request failed."""
-    hits = RU.rule_match(r.filter("payload <> ''"), observed_rules(r)).withColumn(
-        "action", F.when(c("blocked"), "block").otherwise("allow"))
+    rules, asked = stage(observed_rules(r), "rules"), r.filter("payload <> ''")
+    matched = RU.rules_at_requests(asked, rules, CFG).withColumn("action", F.when(c("blocked"), "block").otherwise("allow"))
     feedback = r.select("event_id", (c("status_code") != 200).alias("was_attack"))
-    fixed = FB.corrected_outcomes(hits, feedback)
-    rules = FB.apply_corrections(fixed, observed_rules(r)).select("rule_name", "confidence")
+    fixed = FB.corrected_outcomes(matched, feedback)
+    hits = RU.pattern_hits(asked, rules, "event_id", "t_us")
+    sure = FB.apply_corrections(fixed, hits, rules, CFG).select("rule_name", "confidence")
     errors = fixed.groupBy("error").agg(F.count("*").cast("double").alias("confidence"))
-    return rules.unionByName(errors.select(F.concat(F.lit("errors:"), "error").alias("rule_name"), "confidence"))
+    return sure.unionByName(errors.select(F.concat(F.lit("errors:"), "error").alias("rule_name"), "confidence"))
 
 
 def evolution_gate(r):
@@ -530,21 +534,20 @@ def actor_campaigns(r):
 
 
 def bayes_fusion(r):
-    """Evidence per request: cold anomaly, memory of decoy hits, correlation by actor, decayed risk, dynamic prior."""
+    """Evidence per request, as it stood then: cold anomaly, memory of earlier decoy hits, correlation with the other
+    actors' latest vectors in the window before, decayed risk, dynamic prior."""
     vecs = request_vectors(r)
     hits = vecs.filter(text.deceptive_route(c("endpoint"))).select(
         c("event_id").alias("entry_id"), "vec", c("t_us").alias("stored_us"))
-    near = V.top1(vecs, V.memorize(hits.limit(0), hits)).select("event_id", c("similarity").alias("memory_sim"))
-    twins = V.correlate(V.latest_vectors(vecs, latest_us(r), CFG.long_us), 0.97).select(
-        c("ip").alias("key"), c("max_similarity").alias("correlation"))
+    near = V.top1_before(vecs, V.memorize(hits.limit(0), hits), CFG).select("event_id", c("similarity").alias("memory_sim"))
+    twins = V.correlate_before(vecs, CFG.long_us, CFG).select("event_id", c("max_similarity").alias("correlation"))
     risk = risk_table(r)
     cold = V.cold_anomaly(V.anomaly_features(risk)).select(
         "event_id", "key", c("anomaly").alias("ml"), c("score").alias("risk"))
     prior = FB.dynamic_prior(outcomes(r), CFG).select("event_id", "prior")
     browsers = r.select("event_id", c("user_agent").startswith("Mozilla/5.0 (").alias("trusted"))
-    rows = (cold.join(near, "event_id").join(prior, "event_id").join(browsers, "event_id").join(twins, "key", "left")
-            .withColumns({"correlation": F.least(F.coalesce("correlation", F.lit(0.0)), F.lit(1.0)),
-                          "memory_sim": F.least("memory_sim", F.lit(1.0))}))
+    rows = (cold.join(near, "event_id").join(prior, "event_id").join(browsers, "event_id").join(twins, "event_id")
+            .withColumns({"correlation": F.least("correlation", F.lit(1.0)), "memory_sim": F.least("memory_sim", F.lit(1.0))}))
     out = scoring.bayes_fusion(rows, c("prior"))
     return out.select("event_id", "ml", r3("memory_sim"), r3("correlation"), "risk", "prior", "trusted",
                       r3("posterior"), "fused_action")
@@ -631,6 +634,7 @@ def queries():
         "rule_performance": named(rule_performance),
         "asof_blocks": named(asof_blocks),
         "rule_match": named(rule_match),
+        "rule_sets": named(rule_sets),
         "evolution_multipliers": named(evolution_multipliers),
         # aggregations
         "dashboard_stats": named(dashboard_stats),

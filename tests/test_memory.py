@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from reqguard import constants as C
 from reqguard.config import LIVE
@@ -95,3 +96,44 @@ def test_fingerprint_confidence(spark):
     got = sorted((r["event_id"], r["ips_seen"], r["confidence"]) for r in M.fingerprints(df, CFG).collect())
     assert [x[1] for x in got] == [1, 1, 2, 2, 3, 4, 5, 6]
     assert [x[2] for x in got] == pytest.approx([0.5, 0.5, 0.7, 0.7, 0.8, 0.9, 1.0, 1.0])
+
+
+def one_by_one(rows):
+    """Decisions one after the other, with Python's own counters."""
+    counts, out = {}, {}
+    for r in sorted(rows, key=lambda r: (r["t_us"], r["event_id"])):
+        n = [counts.get(("path", r["endpoint"]), 0), counts.get(("fingerprint", r["fingerprint"]), 0)]
+        sig = 1 + sum(counts.get(("signature", s), 0) for s in r["matched"]) * 0.15 / len(r["matched"]) if r["matched"] else 1.0
+        path, actor = 1 + 0.1 * n[0], 1 + 0.25 * n[1]
+        dev, ml, sg, dec, rep = r["deviation"] * actor, r["anomaly"] * actor, r["signature_score"] * sig, r["deception"] * path, min(100.0, 25.0 * n[1])
+        total = 0.15 * dev + 0.2 * 100 * ml + 0.1 * rep + 0.3 * sg + 0.25 * dec
+        action = ("block" if sg > 90 else "deception_flag" if dec > 80 else "block" if total > 85 else "quarantine" if total > 70
+                  else "throttle" if total > 50 else "shadow_monitor" if ml * 100 > 75 or dev > 70 else "allow")
+        out[r["event_id"]] = action, total, rep
+        if action in ("block", "deception_flag", "quarantine"):
+            for k in [("path", r["endpoint"]), ("fingerprint", r["fingerprint"]), *(("signature", s) for s in r["matched"])]:
+                counts[k] = counts.get(k, 0) + 1
+    return out
+
+
+def test_feedback_equals_a_replay(traffic):
+    df, _ = traffic
+    acts = D.first_pass(df, CFG).cache()
+    got = {r["event_id"]: r for r in D.with_feedback(acts, CFG).collect()}
+    want = one_by_one([r.asDict() for r in acts.collect()])
+    assert len(got) == len(want)
+    for e, (action, total, rep) in want.items():
+        assert (got[e]["action"], got[e]["repeat"]) == (action, rep) and got[e]["total_risk"] == pytest.approx(total, abs=1e-6)
+
+
+def test_feedback_follows_a_chain_of_actions(spark):
+    """Each action turns severe only through the one before it, so every round finds one more."""
+    n = 6
+    rows = [(i, i, f"/p{i // 2}", f"f{(i + 1) // 2}", [], 0.0, 0.0, 0.0, 81.0 if i == 0 else 75.0 if i % 2 else 65.0, 300.0 if i % 2 == 0 and i else 0.0) for i in range(n)]
+    df = spark.createDataFrame(rows, "event_id long, t_us long, endpoint string, fingerprint string, matched array<string>, signature_score double, "
+                                     "anomaly double, unused double, deception double, deviation double")
+    acts = D.decide(df.withColumn("repeat", F.lit(0.0))).cache()
+    want = one_by_one([r.asDict() for r in acts.collect()])
+    assert {r["event_id"]: r["action"] for r in D.with_feedback(acts, CFG).collect()} == {e: a for e, (a, _, _) in want.items()}
+    first = {r["event_id"]: r["action"] for r in acts.collect()}
+    assert sum(first[e] != a for e, (a, _, _) in want.items()) >= 3

@@ -1,3 +1,4 @@
+import random
 from dataclasses import replace
 
 import pytest
@@ -108,3 +109,66 @@ def test_response_table(spark):
     state = {(r["what"], r["item"]): r["n"] for r in RS.healing_state(out, F.lit(2 + 300 * S)).collect()}
     assert state == {("locked_route", "/login"): 1, ("throttled", "f"): 1, ("sanitize_mode", ""): 2, ("quarantined", "f"): 1,
                      ("quarantined", "h"): 1, ("secret_version", ""): 3, ("deception_mode", ""): 2}
+
+
+def in_force_rules(rng, n):
+    """Rules of three patterns with lives that overlap, touch, never end, or end before they begin."""
+    rows = []
+    for i in range(n):
+        born = rng.choice([None, rng.randint(0, 60)])
+        gone = rng.choice([None, rng.randint(0, 90), (born or 0) + 10])
+        rows.append((i, f"r{i}", rng.choice(["PAYLOAD"] * 5 + ["RATE"]), rng.choice(["cat", "dog", "c"]), rng.choice(["BLOCK", "FLAG"]), "HIGH",
+                     rng.random() < 0.9, 0, 0.5, born, gone, True, ""))
+    return rows
+
+
+def lives_at(r, t):
+    return r[2] == "PAYLOAD" and r[6] and (r[9] is None or r[9] <= t) and (r[10] is None or t < r[10])
+
+
+@pytest.mark.parametrize("segment_s", [1e-6, 7e-6, 1])
+def test_rules_count_while_they_are_in_force(spark, segment_s):
+    rng = random.Random(4)
+    rules = in_force_rules(rng, 40)
+    requests = [(i, rng.randint(0, 100), rng.choice(["a cat", "dog", "cat and dog", "c", "x", ""]), rng.random() < 0.5) for i in range(300)]
+    requests += [(1000 + i, 50, "cat", True) for i in range(300)]  # many requests at one moment
+    table = spark.createDataFrame(rules, RULES)
+    df = spark.createDataFrame(requests, "event_id long, t_us long, payload string, bad boolean")
+    cfg = replace(LIVE, segment_s=segment_s)
+    got = {r["event_id"]: r for r in RU.rules_at_requests(df, table, cfg).collect()}
+    sets = {}
+    for r in RU.rule_sets(table).collect():
+        sets.setdefault(r["rule_set"], []).append(r["rule_name"])
+    assert len(got) == len(requests)
+    counts = {}
+    for e, t, payload, bad in requests:
+        want = [r for r in rules if lives_at(r, t) and payload and r[3] in payload]
+        assert (got[e]["n_rules"], got[e]["blocked"]) == (len(want), any(r[4] == "BLOCK" for r in want))
+        assert sorted(n for s in got[e]["rule_sets"] for n in sets[s]) == sorted(r[1] for r in want)
+        for r in want:
+            tp, fp, last = counts.get(r[1], (0, 0, -1))
+            counts[r[1]] = (tp + bad, fp + (not bad), max(last, t))
+    hits = RU.pattern_hits(df, table, "event_id", "t_us", "bad").withColumnRenamed("bad", "is_true_positive")
+    eff = {r["rule_name"]: r for r in RU.effectiveness_in_force(table, hits, cfg).collect()}
+    assert {k: (r["true_positives"], r["false_positives"], r["last_us"]) for k, r in eff.items()} == counts
+    assert all(r["effectiveness"] == pytest.approx((r["true_positives"] + 1) / (r["true_positives"] + r["false_positives"] + 2)) for r in eff.values())
+
+
+def test_a_hit_gives_one_row_however_many_rules_share_its_pattern(spark):
+    table = spark.createDataFrame([rule(i, f"r{i}", "cat") for i in range(500)], RULES)
+    df = spark.createDataFrame([(i, i, "cat") for i in range(100)], "event_id long, t_us long, payload string")
+    hits = RU.pattern_hits(df, table, "event_id", "t_us")
+    rows = RU.hits_in_force(hits, table, LIVE).collect()
+    assert len(rows) == 100 and {r["n_rules"] for r in rows} == {500}
+
+
+def test_no_rules_and_no_requests(spark):
+    df = spark.createDataFrame([(1, 1, "cat")], "event_id long, t_us long, payload string")
+    none = spark.createDataFrame([], RULES)
+    assert [tuple(r) for r in RU.rules_at_requests(df, none, LIVE).collect()] == [(1, 0, False, [])]
+    assert RU.rules_at_requests(df.limit(0), none, LIVE).count() == 0 and RU.rule_sets(none).count() == 0
+
+
+def test_healing_log_keeps_the_whole_pattern(spark):
+    rows = spark.createDataFrame([("XSS", "k", 1, 5, "n", "PAYLOAD", "p" * 200)], "kind string, key string, event_id long, t_us long, rule_name string, rule_type string, pattern string")
+    assert RU.healing_log(rows).first()["pattern_detected"] == "p" * 200

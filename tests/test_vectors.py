@@ -1,7 +1,11 @@
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reqguard.config import LIVE
 from reqguard.operators import forest as IF
 from reqguard.operators import graph
 from reqguard.operators import vectors as V
@@ -84,3 +88,49 @@ def test_forest_finds_outliers_whatever_the_partitioning(spark):
     assert all(r["is_anomaly"] and r["label"] == "ANOMALY" and r["anomaly"] > 0.5 for r in rows[:6])
     assert 8 <= sum(r["is_anomaly"] for r in rows) <= 16
     assert IF.fit_telemetry(df.limit(99)) is None
+
+
+def timed_vectors(rng, n):
+    """Few directions, so that vectors repeat and similarities tie; equal times; one actor with a third of the rows."""
+    base = [[float(rng.randint(0, 3)) for _ in range(4)] for _ in range(25)]
+    return [(i, f"a{rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 6])}", rng.randint(0, 60), rng.choice(base)) for i in range(n)]
+
+
+def cosine(a, b):
+    unit = [[x / (math.sqrt(sum(y * y for y in v)) + 1e-12) for x in v] for v in (a, b)]
+    return sum(x * y for x, y in zip(*unit))
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_memory_holds_only_what_was_stored_before(spark, tile):
+    rows = timed_vectors(random.Random(2), 150)
+    df = spark.createDataFrame(rows, "event_id long, ip string, t_us long, vec array<double>")
+    stored = [r for r in rows if r[0] % 3 == 0]
+    memory = V.memorize(df.limit(0).selectExpr("event_id AS entry_id", "vec", "t_us AS stored_us"),
+                        df.filter("event_id % 3 = 0").selectExpr("event_id AS entry_id", "vec", "t_us AS stored_us"))
+    got = {r["event_id"]: r for r in V.top1_before(df, memory, LIVE, tile=tile).collect()}
+    assert len(got) == len(rows)
+    for e, _, t, v in rows:
+        earlier = [cosine(v, m[3]) for m in stored if (m[2], m[0]) < (t, e)]
+        assert got[e]["similarity"] == pytest.approx(max(earlier, default=0.0))
+        assert (got[e]["entry_id"] is None) == (not earlier)
+        if earlier:
+            entry = next(m for m in stored if m[0] == got[e]["entry_id"])
+            assert (entry[2], entry[0]) < (t, e) and cosine(v, entry[3]) == pytest.approx(max(earlier))
+    assert {r["similarity"] for r in V.top1_before(df, memory.limit(0), LIVE).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+@pytest.mark.parametrize("window", [5, 1000])
+def test_correlation_sees_only_what_stood_before(spark, tile, window):
+    rows = timed_vectors(random.Random(3), 150)
+    df = spark.createDataFrame(rows, "event_id long, ip string, t_us long, vec array<double>")
+    got = {r["event_id"]: r["max_similarity"] for r in V.correlate_before(df, window, LIVE, tile).collect()}
+    assert len(got) == len(rows)
+    for e, ip, t, v in rows:
+        last = {}
+        for m in sorted(rows, key=lambda m: (m[2], m[0])):
+            if (m[2], m[0]) < (t, e) and m[1] != ip:
+                last[m[1]] = m
+        want = max([cosine(v, m[3]) for m in last.values() if m[2] >= t - window], default=0.0)
+        assert got[e] == pytest.approx(want)
