@@ -43,33 +43,39 @@ def subset_of(term: Column) -> Column:
 
 
 def fingerprint(text: Column, lexicon_terms: list[str]) -> Column:
-    """Eight hexadecimal digits per subset: the hash of the text's sorted distinct terms in it, as an array."""
+    """Eight hexadecimal digits per subset: the hash of the text's sorted distinct terms in it, as an array. Where the text
+    has no term of the lexicon, all of its terms count for every subset, so only texts of equal terms are alike."""
     kept = F.array_distinct(F.filter(terms(text), lambda x: x.isin(lexicon_terms))) if lexicon_terms else F.array().cast("array<string>")
     dealt = F.transform(F.sort_array(kept), lambda t: F.struct(subset_of(t).alias("s"), t.alias("t")))
 
+    subsets = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
+
     def of(ts):
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: let(
+        some = F.transform(subsets, lambda k: let(
             F.filter(ts, lambda x: x["s"] == k),
             lambda own: F.when(F.size(own) == 0, NOTHING).otherwise(
                 F.substring(F.md5(F.array_join(F.transform(own, lambda x: x["t"]), " ")), 1, 8))))
+        every = let(F.array_join(F.sort_array(F.array_distinct(terms(text))), " "), lambda joined: F.transform(
+            subsets, lambda k: F.substring(F.md5(F.concat(k.cast("string"), F.lit(" "), joined)), 1, 8)))
+        return F.when(F.size(ts) == 0, every).otherwise(some)
 
     return let(dealt, of)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal subsets among those of which either has a term; 1 if neither has any."""
+    """Share of equal subsets among those of which either has a term."""
     either = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != NOTHING) | (y != NOTHING)), lambda x: x))
     equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != NOTHING)), lambda x: x))
-    return F.when(either == 0, 1.0).otherwise(equal / either)
+    return equal / either
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """Every row of docs (doc_id, text, others) -> fingerprint of its text and of its edited text, and how alike they are.
 
     The edited text has its last half replaced by the start of the next document, in descending order of id. A null text
-    counts as empty. Rows that repeat an id follow each other in the order of their texts; a null id comes last. A
-    single row follows itself. Texts without a term of the band have the fingerprint of an empty text. An empty table
-    gives an empty result.
+    counts as empty. Rows that repeat an id follow each other in the order of hashes of their texts; a null id comes
+    last. A single row follows itself. Texts without a term of the band have the fingerprint of all their terms, and are
+    alike only if these are equal. An empty table gives an empty result. Other columns are not read.
     """
     base = docs.select("doc_id", text_or_empty(docs["text"]).alias("text"))
     lex = lexicon(base, band)
@@ -78,7 +84,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     with_text = both.withColumn("n_chars", n.cast("long")).withColumn("_next", F.coalesce(F.lead("text").over(order), F.lit("")))
     edited = F.concat(F.expr("substring(text, 1, n_chars - n_chars div 2)"), F.expr("substring(_next, 1, n_chars div 2)"))
     marked = with_text.withColumn("_edited", edited).select(
-        "doc_id", "_key", "_range", "_halo", "text", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
+        "doc_id", "_k", "_h", "_range", "_halo", "text", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
         fingerprint(F.col("text"), lex).alias("_own"), fingerprint(F.col("_edited"), lex).alias("_changed"))
     out = marked.withColumn("_after", F.lead("_own").over(order))
     return without_ranges(out).select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reqguard.llm.shingles import Hasher, digest, text_parts
 from reqguard.llm.stage import discard, release, sent, stage
+from reqguard.llm.text import carried, given_back
 from reqguard.operators.graph import components
 
 #: Links: 100 * |both| >= PERCENT * |either|.
@@ -294,7 +295,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     words = text.rlike(r"[^ \t-\r]")
     first = components_by_shingles(docs).filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct("_id", "mark")).alias("f"))
-    marked = docs.withColumn("_jid", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))).withColumn("_jmark", F.unhex(F.md5(text.cast("binary"))))
+    marked = carried(docs, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("_jid"), F.unhex(F.md5(text.cast("binary"))).alias("_jmark"),
+                     words.alias("_words"))
     kept = first.select(F.col("f._id").alias("_jid"), F.col("f.mark").alias("_jmark"))
-    rows = marked.filter(words).join(kept, ["_jid", "_jmark"], "left_semi").dropDuplicates(["_jid", "_jmark"])
-    return rows.select(*docs.columns).unionByName(docs.filter(~words))
+    rows = marked.filter("_words").join(kept, ["_jid", "_jmark"], "left_semi").dropDuplicates(["_jid", "_jmark"])
+    return given_back(rows, docs).unionByName(docs.filter(~words))

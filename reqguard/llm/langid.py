@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqguard.llm.stage import sent
-from reqguard.llm.text import crc_remainder, text_or_empty
+from reqguard.llm.text import carried, crc_remainder, given_back
 
 #: Bounds of the sample an automaton is built from: labelled texts per language, and bytes per language.
 SAMPLE_TEXTS, SAMPLE_BYTES = 200, 24_576
@@ -117,24 +117,52 @@ class Parser:
 
 def labelled_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """At most `size` bytes of text per language, from the `texts` labelled texts of it that come first by the hash of
-    their id: the bounded sample that the automata are built from. A text gives at most its share of two parts."""
-    part = max(1, 2 * size // texts)
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text")
-    top = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.substring("text", 1, part).alias("text"))
-    rows = top.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= texts).orderBy("lang", "place").collect()
+    their id: the bounded sample that the automata are built from.
+
+    The texts of a language share its bytes: none gives more than a level at which all together have `size` characters,
+    so few or short texts give all they have, and long ones an equal stretch from anywhere in them (by a hash). Two
+    passes: the lengths of the chosen texts, then their stretches. Rows that repeat count once.
+    """
+    named = docs.filter("lang IS NOT NULL AND text <> ''").select(
+        "lang", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), F.xxhash64("text").alias("mark"), "text")
+    order = Window.partitionBy("lang").orderBy("key", "mark")
+    lengths = named.select("lang", "key", "mark", F.length("text").alias("n")).distinct()
+    top = lengths.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= texts).collect()
+    by_lang: dict[str, list] = {}
+    for r in top:
+        by_lang.setdefault(r["lang"], []).append(r)
+    chosen = []
+    for rows in by_lang.values():
+        most = level([r["n"] for r in rows], size)
+        chosen += [(r["lang"], r["key"], r["mark"], r["place"], min(r["n"], most), 1 + (r["mark"] % (r["n"] - min(r["n"], most) + 1))) for r in rows]
+    if not chosen:
+        return {}
+    wanted = docs.sparkSession.createDataFrame(chosen, "lang string, key string, mark long, place int, n int, start int")
+    parts = named.join(F.broadcast(wanted), ["lang", "key", "mark"]).select("lang", "place", F.substring("text", F.col("start"), F.col("n")).alias("part"))
     found: dict[str, list[bytes]] = {}
-    for r in rows:
-        found.setdefault(r["lang"], []).append(r["text"].encode())
+    for r in sorted(parts.dropDuplicates(["lang", "place"]).collect(), key=lambda r: r["place"]):
+        found.setdefault(r["lang"], []).append(r["part"].encode())
     return {k: b" ".join(v)[:size] for k, v in found.items()}
 
 
+def level(sizes: list[int], total: int) -> int:
+    """The least level at which sizes cut to it add up to the total, or the largest size if they do not."""
+    left, sizes = total, sorted(sizes)
+    for i, n in enumerate(sizes):
+        if n * (len(sizes) - i) >= left:
+            return max(1, -(-left // (len(sizes) - i)))
+        left -= n
+    return sizes[-1]
+
+
 def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     """Every row of docs (text and any others) -> the same with lang_pred, score and phrase_rate.
 
     The language whose automaton parses the whole text into the fewest phrases per byte wins; at a tie, the first by
     name. The score is 1 - the winner's phrases / the mean of the other languages' (0 to 1; 1 if only one is known).
     phrase_rate is the winner's phrases per byte. A null text, one without letters, and any text if no language was
-    learned, are `und` with score 0 and a null phrase_rate.
+    learned, are `und` with score 0 and a null phrase_rate. Long texts are parsed whole; rows that repeat give repeated
+    results; an empty table gives an empty one. A column of docs with one of the three names is replaced.
     """
     parser = sent(docs.sparkSession, Parser(samples))  # bounded by the sample
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "phrase_rate")]
@@ -181,7 +209,8 @@ def held_out(doc_id):
 
 def languages(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text, lang, others) -> doc_id, held_out, lang_pred and score, learned from the labelled
-    rows that are not held out. Rows of null lang are only predicted; repeated rows give repeated results."""
+    rows that are not held out. Rows of null lang are only predicted; repeated rows give repeated results; a null or empty
+    text is `und`; an empty table gives an empty result. Other columns are not read."""
     samples = labelled_sample(docs.filter(~held_out(docs["doc_id"])))
     return identify(docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "text"), samples).drop("text")
 
@@ -191,8 +220,8 @@ FOREIGN = 0.6
 
 
 def in_known_language(docs: DataFrame, foreign: float = FOREIGN) -> DataFrame:
-    """The documents in a learned language, with their own columns: `und` goes, and so does text whose best parse needs
-    more phrases per byte than any of the languages."""
+    """The documents in a learned language, with their own columns, whatever these are called: `und` goes, and so does
+    text whose best parse needs more phrases per byte than any of the languages. See identify for odd rows."""
     samples = labelled_sample(docs.filter(~held_out(docs["doc_id"])))
-    marked = identify(docs.withColumns({}), samples)
-    return marked.filter((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_rate") <= foreign)).select(*docs.columns)
+    marked = identify(carried(docs, "text"), samples)
+    return given_back(marked.filter((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_rate") <= foreign)), docs)

@@ -65,8 +65,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contain
     containment.
 
     Containment is the share of the template's distinct five-word shingles that the text has; words are lower-cased.
-    Templates need three words or more. Null and empty texts match nothing; repeated rows give repeated results. There
-    is no shuffle and no join: templates are literals of the plan.
+    Templates need three words or more. Null and empty texts match nothing; long texts are scanned whole; repeated rows
+    give repeated results; a null id passes through; an empty table gives an empty result; other columns are not read.
+    There is no shuffle and no join: templates are literals of the plan.
     """
     found = template_table(docs.sparkSession, templates)
     if any(not keys for _, keys, _ in found):

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqguard.llm.stage import stage
-from reqguard.llm.text import SPACE, word_count
+from reqguard.llm.text import SPACE, carried, given_back, word_count
 
 #: Sources in code point order get these weights in turn.
 WEIGHTS = (5, 2, 1)
@@ -52,9 +52,10 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
     a range, a window counts on. A hot source is thus cut into 4096 parts, summed before the shuffle.
 
     Rows of equal id follow each other by size; sizes of null count as 0; a null source is a source of its own, the
-    last. A source without words has target 0. An empty table gives an empty result.
+    last. A source without words has target 0. An empty table gives an empty result. Columns of rows that have the name
+    of a result are replaced; all others keep their values.
     """
-    keyed = with_key(rows.withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long")))
+    keyed = with_key(carried(rows, "doc_id", "source", F.coalesce(rows["size"], F.lit(0)).cast("long").alias("size")))
     parts = stage(keyed.groupBy("source", "_part").agg(F.sum("size").alias("_sum")), "mix-parts")
     along = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("_start", F.coalesce(F.sum("_sum").over(along), F.lit(0))).drop("_sum")
@@ -67,8 +68,9 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(0)
     left = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - before))
-    return placed.withColumn("taken", (epochs * F.col("size") + left).cast("long")) \
-                 .drop("_key", "_part", "_source", "_of", "_start")
+    made = ("size", "source_size", "target", "taken")
+    return placed.withColumn("taken", (epochs * F.col("size") + left).cast("long")).select(
+        *[F.col("_doc").getField(x).alias(x) for x in rows.columns if x not in made], *made)
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
@@ -81,14 +83,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents, with the columns of docs: a row for each epoch that takes a document whole, and one with the
     first words (as they stand, up to the last word's end) where the budget's cut lies in it. Documents of which nothing
     is taken go, those without a word among them."""
-    kept = docs.columns
-    m = mix(docs.withColumn("size", word_count(docs["text"])))
+    m = mix(carried(docs, "doc_id", "source", "text", word_count(docs["text"]).alias("size")))
     copies = F.transform(F.sequence(F.lit(1), F.expr("cast(ceil(taken / size) as int)")),
                          lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")))
     rows = m.filter("taken > 0").withColumn("_words", F.explode(copies))
     pieces = F.regexp_extract_all("text", F.lit(f"{SPACE}*[^ \\t-\\r]+"), F.lit(0))  # a word with what stands before it
     first = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
     rows = rows.withColumn("text", F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(first))
-    if "n_chars" in kept:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*kept)
+    return given_back(rows, docs, text=F.col("text"), n_chars=F.length("text"))

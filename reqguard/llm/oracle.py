@@ -98,9 +98,11 @@ def op9():
     lo, hi = imatch.BAND
     subsets = lambda t: (f"list_transform(range(0, {imatch.SUBSETS}), lambda k: CASE WHEN len(list_filter({t}, lambda x: x.s = k)) = 0 "
                          f"THEN '{imatch.NOTHING}' ELSE substr(md5(array_to_string(list_transform(list_filter({t}, lambda x: x.s = k), lambda x: x.t), ' ')), 1, 8) END)")
+    every = lambda t, a: (f"CASE WHEN len({t}) > 0 THEN {subsets(t)} ELSE list_transform(range(0, {imatch.SUBSETS}), "
+                          f"lambda k: substr(md5(k || ' ' || {a}), 1, 8)) END")
     def likeness(a, b):
         z = f"list_filter(list_zip({a}, {b}), lambda x: x[1] <> '{imatch.NOTHING}' OR x[2] <> '{imatch.NOTHING}')"
-        return f"CASE WHEN len({z}) = 0 THEN 1.0::DOUBLE ELSE len(list_filter({z}, lambda x: x[1] = x[2])) / len({z}) END"
+        return f"len(list_filter({z}, lambda x: x[1] = x[2])) / len({z})"
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
     n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nx, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS nid
@@ -111,9 +113,12 @@ def op9():
     terms AS (SELECT doc_id, false AS edited, t FROM own UNION ALL SELECT doc_id, true, unnest(list_distinct({lower_words("edited")})) FROM e),
     f AS (SELECT doc_id, edited, list({{'s': ('0x' || substr(md5(t), 1, 4))::INT % {imatch.SUBSETS}, 't': t}} ORDER BY t) AS ts
           FROM terms JOIN lex USING (t) GROUP BY doc_id, edited),
-    x AS (SELECT e.doc_id, e.n_chars, e.nid, sha256(e.edited) AS edited_sha256, coalesce(a.ts, []) AS ta, coalesce(b.ts, []) AS tb
-          FROM e LEFT JOIN f a ON a.doc_id = e.doc_id AND NOT a.edited LEFT JOIN f b ON b.doc_id = e.doc_id AND b.edited),
-    g AS (SELECT *, {subsets('ta')} AS fa, {subsets('tb')} AS fb FROM x)
+    w AS (SELECT doc_id, edited, string_agg(t, ' ' ORDER BY t) AS a FROM terms GROUP BY doc_id, edited),
+    x AS (SELECT e.doc_id, e.n_chars, e.nid, sha256(e.edited) AS edited_sha256, coalesce(a.ts, []) AS ta, coalesce(b.ts, []) AS tb,
+                 coalesce(c.a, '') AS wa, coalesce(d.a, '') AS wb
+          FROM e LEFT JOIN f a ON a.doc_id = e.doc_id AND NOT a.edited LEFT JOIN f b ON b.doc_id = e.doc_id AND b.edited
+          LEFT JOIN w c ON c.doc_id = e.doc_id AND NOT c.edited LEFT JOIN w d ON d.doc_id = e.doc_id AND d.edited),
+    g AS (SELECT *, {every('ta', 'wa')} AS fa, {every('tb', 'wb')} AS fb FROM x)
     SELECT g.doc_id, g.n_chars, g.edited_sha256, array_to_string(g.fa, '') AS fingerprint, array_to_string(g.fb, '') AS edited_fingerprint,
            {likeness('g.fa', 'g.fb')} AS near_edited, {likeness('g.fa', 'h.fa')} AS near_next FROM g JOIN g AS h ON h.doc_id = g.nid"""
 

@@ -43,7 +43,9 @@ def preferences(pairs: DataFrame) -> DataFrame:
     """Pairs (chosen, rejected: arrays of role and text; other columns stay) -> prompt, completions and loss masks.
 
     The prompt holds the longest common prefix of turns, rendered once; equal conversations leave empty completions. A
-    null array counts as one without turns. Markers within a text stay as they are.
+    null array counts as one without turns. Markers within a text stay as they are. Long conversations are rendered whole;
+    pairs that repeat give repeated rows; an empty table gives an empty result. Columns of pairs that have the name of a
+    result (prompt, prompt_turns, chosen, rejected and their masks) are replaced.
     """
     empty = F.array().cast("array<struct<role:string,text:string>>")
     p = pairs.withColumn("chosen", F.coalesce("chosen", empty)).withColumn("rejected", F.coalesce("rejected", empty))
@@ -51,7 +53,7 @@ def preferences(pairs: DataFrame) -> DataFrame:
     joined = lambda turns: F.array_join(F.transform(turns, rendered), "")
     rest = lambda side: F.expr(f"slice({side}, prompt_turns + 1, greatest(size({side}) - prompt_turns, 0))")
     return p.select(
-        *[c for c in p.columns if c not in ("chosen", "rejected")],
+        *[c for c in pairs.columns if c not in ("chosen", "rejected", "prompt", "prompt_turns", "chosen_mask", "rejected_mask")], "prompt_turns",
         joined(F.expr("slice(chosen, 1, prompt_turns)")).alias("prompt"),
         joined(rest("chosen")).alias("chosen"), joined(rest("rejected")).alias("rejected"),
         masked(rest("chosen")).alias("chosen_mask"), masked(rest("rejected")).alias("rejected_mask"))
@@ -59,10 +61,13 @@ def preferences(pairs: DataFrame) -> DataFrame:
 
 def swapped_pairs(rows: DataFrame) -> DataFrame:
     """One pair per conversation: chosen as it stands; rejected with its last assistant turn replaced by that of the next
-    conversation (in descending order of id, the first after the last). Without such a turn in either, both are equal."""
+    conversation (in descending order of id, the first after the last). Without such a turn in either, both are equal.
+
+    All turns without a conv_id are one conversation, the last. Turns of equal number are in the order of role and text.
+    An empty table gives an empty result. Other columns are not read."""
     convs = conversations_as_turns(rows)
     last = F.expr("array_max(filter(transform(turns, (x, i) -> if(x.role = 'assistant', i, -1)), i -> i >= 0))")
-    both, order = with_ranges(convs.withColumn("_at", last), "conv_id", [], rows_each=500)
+    both, order = with_ranges(convs.withColumn("_at", last), "conv_id", [])
     reply = F.when(F.col("_at").isNotNull(), F.get("turns", F.col("_at")))
     both = both.withColumn("_reply", reply).withColumn("_other", F.lead("_reply").over(order))
     other = without_ranges(both)

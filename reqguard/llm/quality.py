@@ -89,8 +89,9 @@ def passes(rules: tuple[Rule, ...], measured) -> Column:
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of docs (doc_id, text, others) -> its id, its measures, base_failed and kept.
 
-    A null or empty text has no words: all counts are 0, base_failed is true and kept is false. Repeated rows give
-    repeated results; null ids pass through; other columns are ignored. There is no shuffle.
+    A null or empty text has no words: all counts are 0, base_failed is true and kept is false. Long texts are measured
+    whole. Repeated rows give repeated results; null ids pass through; other columns are ignored; an empty table gives an
+    empty result. There is no shuffle.
     """
     m = docs.select("doc_id", measures(text_or_empty(docs["text"])).alias("m"))
     flat = m.select("doc_id", *[F.col(f"m.{n}").alias(n) for n in

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reqguard.llm.stage import discard, release, stage
+from reqguard.llm.text import carried, given_back
 
 #: Bytes a repeated string has at least.
 MATCH = 50
@@ -463,10 +464,7 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with what remains as text and, if there is the column, its length as n_chars. A character of which a part is
     cut goes whole, and so does a document without a word left."""
-    cut = remove_repeats(docs)
+    cut = remove_repeats(carried(docs, "doc_id", "text"))
     text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    changed = {"text": F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))}
-    rows = cut.withColumns(changed).filter(F.col("text").rlike(r"[^ \t-\r]"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    left = cut.withColumn("text", F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string")))
+    return given_back(left.filter(F.col("text").rlike(r"[^ \t-\r]")), docs, text=F.col("text"), n_chars=F.length("text"))

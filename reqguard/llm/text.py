@@ -1,6 +1,6 @@
 """Text expressions shared by the operators; all of them stay in the JVM."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words, as the contracts define it.
@@ -13,6 +13,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def carried(docs: DataFrame, *needed) -> DataFrame:
+    """The needed columns of docs, and all its columns in one struct (_doc): whatever their names are, they do not meet
+    those that an operator makes."""
+    return docs.select(*needed, F.struct("*").alias("_doc"))
+
+
+def given_back(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs from rows with _doc, some with another value; columns that docs lacks are not added."""
+    return rows.select(*[changed.get(f.name, F.col("_doc").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+
+
 def text_or_empty(text) -> Column:
     return F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit(""))
 
