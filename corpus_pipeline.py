@@ -5,6 +5,10 @@ near_duplicates of each group of documents linked by the Jaccard similarity of f
 repeats         strings of 50 bytes that also start in a document of smaller id are cut out; what is left empty goes
 mixture         sources at their target weights: documents as often as the mix takes them, the one on a cut in part
 tokens          byte-level BPE: token counts and digests of each row of the mixture
+
+All stages but the last return the columns of their input, whatever these are called. Null and empty texts go in the
+first stage; null ids stay, as the largest; rows that repeat are near duplicates of each other, of which one stays; long
+texts are worked on whole; an empty table gives an empty result.
 """
 
 import public_tokenizers
