@@ -7,6 +7,7 @@ import unicodedata
 import uuid
 from array import array
 from dataclasses import dataclass
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from reqguard.llm.stage import sent, stage
 from reqguard.session import shared_dir
 
 #: Bytes of text that go to one shard, what a row counts besides its text, bytes of text encoded at once, bytes of words that a task remembers with their ids.
-SHARD, ROW, CHUNK, REMEMBERED = 32 << 20, 64, 1 << 20, 64 << 20
+SHARD, ROW, CHUNK, REMEMBERED = 32 << 20, 64, 1 << 20, 96 << 20
 #: Keys in one part of the index, and bits of a level of its hash for each key that comes to it.
 PART_KEYS, SPARSE = 8192, 2
 #: Payload read from a shard at once.
@@ -77,15 +78,28 @@ class WordEncoder:
             return [w for w in re.split(WORD_SPACE, text) if w]
         return text.split()
 
+    def parts(self, word: str) -> list[str]:
+        """The word, or what comes before its last run of punctuation and that run, if a letter or digit stands between:
+        the tokenizer's pattern always cuts there."""
+        base = word.rstrip(punctuation)
+        if base and len(base) < len(word) and (base[-1].isalpha() or base[-1].isdecimal()) and not any(s in word for s in self.specials):
+            return [base, word[len(base):]]
+        return [word]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The raw ids of each text; none for null."""
         words = [self.words(t) if t else [] for t in texts]
         distinct = dict.fromkeys(w for ws in words for w in ws)
-        new = [w for w in distinct if w not in self.known]
+        parts = {w: self.parts(w) for w in distinct if w not in self.known}
+        new = [p for p in dict.fromkeys(p for ps in parts.values() for p in ps) if p not in self.known]
         if new:
             made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
             self.known.update(zip(new, [self.raw(x.ids) for x in made]))
             self.size += sum(len(w) + len(self.known[w]) + 150 for w in new)
+        for w, ps in parts.items():
+            if len(ps) > 1:
+                self.known[w] = b"".join(map(self.known.__getitem__, ps))
+                self.size += len(w) + len(self.known[w]) + 150
         get = self.known.__getitem__
         out = [b"".join(map(get, ws)) for ws in words]
         if self.size > REMEMBERED:
