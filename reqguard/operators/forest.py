@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reqguard import constants as C
 from reqguard.functions import scoring
+from reqguard.functions.rounding import round_half_up
 from reqguard.operators.memory import newest
 from reqguard.session import sent
 
@@ -21,41 +22,54 @@ def average_path(n):
     return np.where(n > 2, out, np.where(n == 2, 1.0, 0.0))
 
 
+#: All random choices are hashes in whole numbers below this prime, so that any engine can grow the same forest.
+PRIME = 2_147_483_647
+
+
+def mixed(a, b):
+    """A number below PRIME from two others below 2^31; for Python's numbers and for columns."""
+    z = (a * 7919 + b * 104_729 + 12_345) % PRIME
+    z = (z * z + a) % PRIME
+    return (z * z + b * 31 + 7) % PRIME
+
+
+def tree_key(seed: int, tree):
+    return tree + seed * 1000
+
+
 @dataclass(frozen=True)
 class Forest:
-    """Node arrays (tree x node) and the score offset; at most trees x 511 nodes."""
+    """Node arrays (tree x node) and the score offset. A node's children are 2 node and 2 node + 1; the root is 1."""
     feature: np.ndarray
     threshold: np.ndarray
-    child: np.ndarray
     depth: np.ndarray
     height: int
     norm: float
     offset: float = 0.0
 
 
-_NODES = "tree int, node int, feature int, threshold double, child int, depth double"
+_NODES = "tree int, node int, feature int, threshold double, depth double"
 
 
 def _grow(seed: int, height: int):
+    """Splits the rows of one tree. A node's feature, among those that vary, and the place of its cut are hashes of it."""
     def run(pdf):
         tree = int(pdf["tree"].iloc[0])
-        x = np.stack(pdf.sort_values("id")["x"].to_numpy()).astype(float)
-        rng = np.random.default_rng([seed, tree])
-        nodes, todo = [], [(0, x, 0)]
-        size = 1
+        x = np.stack(pdf["x"].to_numpy()).astype(float)
+        nodes, todo, key = [], [(1, x, 0)], tree_key(seed, tree)
         while todo:
-            at, rows, level = todo.pop()
-            spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) else []
+            node, rows, level = todo.pop()
+            low, high = (rows.min(axis=0), rows.max(axis=0)) if len(rows) else (np.zeros(0), np.zeros(0))
+            spread = np.flatnonzero(high > low)
             if level >= height or len(rows) <= 1 or len(spread) == 0:
-                nodes.append((tree, at, -1, 0.0, -1, level + float(average_path(len(rows)))))
+                nodes.append((tree, node, -1, 0.0, level + float(average_path(len(rows)))))
                 continue
-            f = int(rng.choice(spread))
-            cut = rng.uniform(rows[:, f].min(), rows[:, f].max())
-            nodes.append((tree, at, f, float(cut), size, 0.0))
-            low = rows[:, f] <= cut
-            todo += [(size, rows[low], level + 1), (size + 1, rows[~low], level + 1)]
-            size += 2
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "child", "depth"])
+            f = int(spread[mixed(key, 2 * node) % len(spread)])
+            cut = float(low[f] + mixed(key, 2 * node + 1) / PRIME * (high[f] - low[f]))
+            nodes.append((tree, node, f, cut, 0.0))
+            left = rows[:, f] <= cut
+            todo += [(2 * node, rows[left], level + 1), (2 * node + 1, rows[~left], level + 1)]
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "depth"])
     return run
 
 
@@ -65,43 +79,51 @@ def fit(rows: DataFrame, trees: int = C.FOREST_TREES, contamination: float = C.F
 
     A row offers itself to the trees whose hash of it lies below a threshold, about four times as many rows as a tree
     takes; each tree takes the first by hash, counted before the shuffle. The score offset is the contamination quantile
-    over all rows (approximate, to one in 100,000 ranks).
+    over all rows: scores have six digits, so it comes from a count of at most a million of them.
     """
     rows = rows.select("id", "x")
     n = rows.count()
     size = min(subsample, n)
     height = max(1, int(np.ceil(np.log2(max(size, 2)))))
-    offer = int(min(1.0, 4 * size / max(n, 1)) * (1 << 30))
-    drawn = rows.withColumn("tree", F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(1 << 30)) <= offer)))
-    w = Window.partitionBy("tree").orderBy(F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1 << 30)), "id")
+    offer = int(min(1.0, 4 * size / max(n, 1)) * PRIME)
+    base = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 7), 16, 10).cast("long")
+    offered = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")), lambda t: F.struct(
+        t.alias("tree"), mixed(F.col("_base"), tree_key(seed, t)).alias("turn"))), lambda o: o["turn"] <= offer)
+    drawn = rows.withColumn("_base", base).select("id", "x", F.explode(offered).alias("o")).select("id", "x", "o.*")
+    w = Window.partitionBy("tree").orderBy("turn", "id")
     drawn = drawn.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size).drop("_n")
     nodes = drawn.groupBy("tree").applyInPandas(_grow(seed, height), _NODES).toPandas()  # trees x 511 rows at most
-    shape = (trees, int(nodes["node"].max()) + 1)
+    shape = (trees, 2 ** (height + 1))
     parts = {}
-    for name, empty in (("feature", -1), ("threshold", 0.0), ("child", -1), ("depth", 0.0)):
+    for name, empty in (("feature", -1), ("threshold", 0.0), ("depth", 0.0)):
         parts[name] = np.full(shape, empty)
         parts[name][nodes["tree"], nodes["node"]] = nodes[name]
     forest = Forest(**parts, height=height, norm=float(average_path(size)))
-    offset = raw_score(rows, forest).agg(F.percentile_approx(-F.col("score"), contamination, 100_000)).first()[0]
-    return replace(forest, offset=float(offset))
+    return replace(forest, offset=quantile(raw_score(rows, forest).select((-F.col("score")).alias("score")), contamination, n))
+
+
+def quantile(scores: DataFrame, share: float, n: int) -> float:
+    """The least score that a share of the n rows does not exceed."""
+    counts = scores.groupBy("score").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("score")))
+    return float(upto.filter(F.col("upto") >= share * n).agg(F.min("score")).first()[0])
 
 
 def _paths(x: np.ndarray, f: Forest) -> np.ndarray:
     total = np.zeros(len(x))
     row = np.arange(len(x))
-    for feature, threshold, child, depth in zip(f.feature, f.threshold, f.child, f.depth):
-        node = np.zeros(len(x), dtype=np.int64)
+    for feature, threshold, depth in zip(f.feature, f.threshold, f.depth):
+        node = np.ones(len(x), dtype=np.int64)
         for _ in range(f.height):
             at = feature[node]
-            step = child[node] + (x[row, np.maximum(at, 0)] > threshold[node])
+            step = 2 * node + (x[row, np.maximum(at, 0)] > threshold[node])
             node = np.where(at >= 0, step, node)
         total += depth[node]
     return total / len(f.feature)
 
 
 def raw_score(rows: DataFrame, forest: Forest) -> DataFrame:
-    """Add ``score`` in (0, 1); the forest goes to the tasks as one bounded broadcast."""
+    """Add ``score`` in (0, 1), to six digits; the forest goes to the tasks as one bounded broadcast."""
     shared = sent(rows.sparkSession, forest)
 
     @F.pandas_udf("double")
@@ -111,7 +133,7 @@ def raw_score(rows: DataFrame, forest: Forest) -> DataFrame:
             return pd.Series([], dtype=float)
         return pd.Series(2.0 ** (-_paths(np.stack(x.to_numpy()).astype(float), f) / f.norm))
 
-    return rows.withColumn("score", score("x"))
+    return rows.withColumn("score", round_half_up(score("x"), 6))
 
 
 def decision(rows: DataFrame, forest: Forest) -> DataFrame:

@@ -309,6 +309,56 @@ made AS (
     t_us AS created_us, t_us + {DAY_US} AS expires_us
   FROM kinds WHERE score >= 50 QUALIFY row_number() OVER (PARTITION BY kind, ip ORDER BY t_us, event_id) = 1)"""
 
+# ---------------------------------------------------------------- isolation forest
+PRIME = 2_147_483_647
+
+
+def mixed(a, b):
+    z = f"((({a}) * 7919 + ({b}) * 104729 + 12345) % {PRIME})"
+    z = f"(({z} * {z} + ({a})) % {PRIME})"
+    return f"(({z} * {z} + ({b}) * 31 + 7) % {PRIME})"
+
+
+def forest(name, train, rows, trees, dims, share, seed=42):
+    """CTEs that draw, grow and walk the trees; name_scored has id, decision, and is_anomaly of the rows. train and rows
+    are tables of id and x."""
+    key = f"({seed * 1000} + t)::BIGINT"
+    path = "CASE WHEN n > 2 THEN 2 * (ln(n - 1) + 0.5772156649015329e0) - 2 * (n - 1)::DOUBLE / n WHEN n = 2 THEN 1e0 ELSE 0e0 END"
+
+    def ranges(src):
+        each = lambda f: "[" + ", ".join(f"{f}(x[{i}]) OVER w" for i in range(1, dims + 1)) + "]"
+        return f"""SELECT *, list_filter(range(1, {dims + 1}), lambda i: hi[i] > lo[i]) AS spread FROM (
+          SELECT *, count(*) OVER w AS n, {each('min')} AS lo, {each('max')} AS hi FROM {src} WINDOW w AS (PARTITION BY t, node))"""
+
+    split = f"n > 1 AND len(spread) > 0 AND level < (SELECT height FROM {name}_size)"
+    cut = f"lo[f] + {mixed(key, '2 * node + 1')}::DOUBLE / {PRIME} * (hi[f] - lo[f])"
+    pick = f"spread[1 + {mixed(key, '2 * node')} % len(spread)]"
+    return f"""{name}_size AS (SELECT count(*) AS total, least(256, count(*)) AS n, greatest(1, ceil(log2(greatest(least(256, count(*)), 2))))::INT AS height FROM {train}),
+{name}_drawn AS MATERIALIZED (SELECT t, id, x FROM (SELECT t, id, x, row_number() OVER (PARTITION BY t ORDER BY {mixed('b', key)}, id) AS rn
+  FROM (SELECT id, x, ('0x' || substr(md5(id::VARCHAR), 1, 7))::BIGINT AS b FROM {train}), range({trees}) r(t)) WHERE rn <= (SELECT n FROM {name}_size)),
+{name}_grown AS (
+  SELECT t, 1::BIGINT AS node, 0 AS level, id, x FROM {name}_drawn
+  UNION ALL
+  SELECT t, 2 * node + (x[f] > {cut})::BIGINT, level + 1, id, x FROM (SELECT *, {pick} AS f FROM ({ranges(name + '_grown')}) WHERE {split})),
+{name}_nodes AS MATERIALIZED (SELECT t, node, CASE WHEN {split} THEN f END AS f, CASE WHEN {split} THEN {cut} END AS cut, level + {path} AS depth
+  FROM (SELECT *, CASE WHEN len(spread) > 0 THEN {pick} END AS f FROM (SELECT DISTINCT t, node, level, n, lo, hi, spread FROM ({ranges(name + '_grown')})))),
+{name}_walked AS (
+  SELECT id, t, 1::BIGINT AS node FROM {rows}, range({trees}) r(t)
+  UNION ALL
+  SELECT w.id, w.t, 2 * w.node + (r.x[n.f] > n.cut)::BIGINT FROM {name}_walked w JOIN {name}_nodes n ON n.t = w.t AND n.node = w.node AND n.f IS NOT NULL
+  JOIN {rows} r ON r.id = w.id),
+{name}_raw AS MATERIALIZED (SELECT id, {rnd(f"pow(2, -(sum(depth) / {trees}) / (SELECT {path} FROM {name}_size))")} AS score
+  FROM {name}_walked JOIN {name}_nodes USING (t, node) WHERE f IS NULL GROUP BY id),
+{name}_offset AS (SELECT min(s) AS cut FROM (SELECT s, sum(k) OVER (ORDER BY s) AS upto FROM (
+    SELECT -score AS s, count(*) AS k FROM {name}_raw WHERE id IN (SELECT id FROM {train}) GROUP BY 1))
+  WHERE upto >= ({share}) * (SELECT total FROM {name}_size)),
+{name}_scored AS (SELECT id, -score - (SELECT cut FROM {name}_offset) AS decision, -score - (SELECT cut FROM {name}_offset) < 0 AS is_anomaly FROM {name}_raw)"""
+
+
+TELEMETRY = f"""telemetry AS MATERIALIZED (SELECT event_id AS id, t_us, [{", ".join(rnd(x) for x in (
+    "n50 / greatest((t_us - first_us) / 1e6 / 60, 1)", "diversity", "sens_ratio", "gap_sum::DOUBLE / 1e6 / greatest(n_gaps, 1)", "0e0",
+    "failed_logins::DOUBLE / total", "burst_density::DOUBLE", "0e0"))}] AS x FROM scored)"""
+
 # ---------------------------------------------------------------- vectors
 DIMS = ["least(n, 200)", "burst::INT", "least(failure_rate, 1)", "least(streak, 20)", "least(n_paths, 50)", "least(sens, 10)",
         "scan::INT", "least(cur_flags, 5)", "least(n_agents, 10)", "least(acceleration, 20)", "enum::INT", "least(n_sess, 10)"]
@@ -624,6 +674,27 @@ def oracle_sql():
               ELSE 'nothing over a limit' END AS reason FROM final""", *TO_FINAL),
         "decision_summary": with_req(f"""SELECT action, count(*) AS requests, {rnd('avg(total_risk)')} AS mean_risk FROM first
             GROUP BY action""", *TO_FIRST),
+        "iforest_score": with_req(f"""SELECT id AS event_id, {rnd('decision')} AS decision, {rnd('1 / (1 + exp(5 * decision))')} AS anomaly,
+            CASE WHEN is_anomaly THEN 'ANOMALY' ELSE 'NORMAL' END AS label FROM f_scored""", SIG, bm, TELEMETRY,
+                                  forest("f", "telemetry", "telemetry", C.FOREST_TREES, 8, f"{C.FOREST_CONTAMINATION}e0")),
+        "iforest_labeled": with_req(f"""SELECT id AS event_id, {rnd('decision')} AS decision, {rnd('1 / (1 + exp(10 * decision - 1.2e0))')} AS anomaly,
+            is_anomaly FROM f_scored""", FEAT, OUTCOMES,
+                                    f"""twelve AS MATERIALIZED (SELECT event_id AS id, t_us, list_transform({X12}, lambda v: {rnd('v')}) AS x, is_attack
+            FROM scores JOIN (SELECT event_id, is_attack FROM outcome) USING (event_id))""",
+                                    f"""chosen AS MATERIALIZED (SELECT * FROM (SELECT * FROM twelve WHERE NOT is_attack ORDER BY t_us DESC, id DESC LIMIT {C.LABELLED_NORMALS})
+            UNION ALL SELECT * FROM (SELECT * FROM twelve WHERE is_attack ORDER BY t_us DESC, id DESC LIMIT {C.LABELLED_ATTACKS}))""",
+                                    forest("f", "chosen", "twelve", C.LABELLED_TREES, 12, """SELECT greatest(0.01e0, least(0.3e0,
+            count(*) FILTER (is_attack) / (count(*) + 1e-9))) FROM chosen""")),
+        "adaptive_decision_forest": with_req(f"SELECT event_id, {rnd('total_risk')} AS total_risk, action FROM first", SIG, bm, TELEMETRY,
+                                             "middle AS (SELECT (min(t_us) + max(t_us)) // 2 AS mid_us FROM telemetry)",
+                                             f"""trained AS MATERIALIZED (SELECT * FROM telemetry WHERE t_us <= (SELECT mid_us FROM middle)
+            ORDER BY t_us DESC, id DESC LIMIT {C.TELEMETRY_ROWS})""",
+                                             "later AS MATERIALIZED (SELECT * FROM telemetry WHERE t_us > (SELECT mid_us FROM middle) UNION ALL SELECT * FROM trained)",
+                                             forest("f", "trained", "later", C.FOREST_TREES, 8, f"{C.FOREST_CONTAMINATION}e0"),
+                                             f"""warm AS (SELECT s.* REPLACE (coalesce(CASE WHEN t_us > (SELECT mid_us FROM middle)
+            AND (SELECT count(*) FROM trained) >= {C.FOREST_MIN_ROWS} THEN 1 / (1 + exp(5 * decision)) END, anomaly) AS anomaly)
+            FROM scored s LEFT JOIN f_scored f ON f.id = s.event_id)""",
+                                             decide("first", "warm", "deviation", "anomaly", "0e0", "signature_score", "deception")),
         "anomaly_heuristic": with_req(f"""SELECT m.event_id, {rnd('anomaly')} AS anomaly, CASE WHEN anomaly > 0.6e0 THEN 'ANOMALY' ELSE
             'NORMAL' END AS label, {rnd('''least(1e0, 0.3e0 * (f.n > 50)::INT + 0.2e0 * f.burst::INT + 0.25e0 * (f.failure_rate > 0.7e0)::INT
             + 0.2e0 * f.scan::INT + 0.2e0 * (f.cur_flags > 2)::INT)''')} AS feature_anomaly

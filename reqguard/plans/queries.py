@@ -559,7 +559,11 @@ def r3(name):
 
 # ---------------------------------------------------------------- forest
 def telemetry_rows(r):
-    return known(r, "ip").select(c("event_id").alias("id"), "t_us", IF.vector(M.TELEMETRY).alias("x"))
+    return known(r, "ip").select(c("event_id").alias("id"), "t_us", six_digits(IF.vector(M.TELEMETRY)).alias("x"))
+
+
+def six_digits(x):
+    return F.transform(x, r6)
 
 
 def iforest_score(r):
@@ -569,7 +573,7 @@ def iforest_score(r):
 
 
 def iforest_labeled(r):
-    vecs = V.anomaly_features(feature_table(r)).select("event_id", "t_us", "x").join(
+    vecs = V.anomaly_features(feature_table(r)).select("event_id", "t_us", six_digits("x").alias("x")).join(
         outcomes(r).select("event_id", "is_attack"), "event_id")
     rows = stage(vecs.withColumnRenamed("event_id", "id"), "labelled")
     forest = IF.fit_labelled(rows.filter("not is_attack"), rows.filter("is_attack"))
@@ -577,6 +581,19 @@ def iforest_labeled(r):
         c("id").alias("event_id"), "decision", "anomaly", "is_anomaly")
 
 
+def adaptive_decision_forest(r):
+    """Decisions with the trained anomaly: from the middle of the time on, scores come from a forest of the newest 1000
+    rows before it; up to there, and where too few rows came before, from the cold-start heuristic."""
+    rows = stage(telemetry_rows(r), "telemetry")
+    mid = rows.agg(F.expr("(min(t_us) + max(t_us)) div 2")).first()[0]
+    train = M.newest(rows.filter(c("t_us") <= mid), C.TELEMETRY_ROWS, ("t_us", "id"))
+    forest, scored = IF.fit_telemetry(train), D.scored(r, CFG, "ip").withColumn("repeat", F.lit(0.0))
+    if forest is not None:
+        warm = IF.telemetry_anomaly(IF.decision(rows.filter(c("t_us") > mid), forest)).select(c("id").alias("event_id"), c("anomaly").alias("warm"))
+        scored = scored.join(warm, "event_id", "left").withColumn("anomaly", F.coalesce("warm", "anomaly")).drop("warm")
+    return D.decide(scored).select("event_id", "total_risk", "action")
+
+
 def anomaly_heuristic(r):
     both = known(r, "ip")
     warm = scoring.cold_anomaly(c("sensitive_route_ratio"), c("failed_auth_ratio"), c("probe_density"))
@@ -698,6 +715,7 @@ def queries():
         "decay_all": named(decay_all),
         "adaptive_decision": named(adaptive_decision("fingerprint")),
         "adaptive_decision_ip": named(adaptive_decision("ip")),
+        "adaptive_decision_forest": named(adaptive_decision_forest),
         "feedback_decision": named(feedback_decision),
         "decision_summary": named(entry_summary),
         "anomaly_heuristic": named(anomaly_heuristic),
