@@ -71,3 +71,56 @@ def apply_corrections(corrections: DataFrame, hits: DataFrame, rules: DataFrame,
     of their pattern that were in force."""
     judged = hits.join(corrections.select("event_id", F.col("is_attack").alias("is_true_positive")), "event_id")
     return rule_ops.with_confidence(rules, rule_ops.effectiveness_in_force(rules, judged, cfg))
+
+
+# ------------------------------------------------------------------ corrections as signed changes
+def retractions(outcomes: DataFrame, feedback: DataFrame) -> DataFrame:
+    """What feedback (event_id, was_attack) changes: for each outcome that it flips, the outcome with its old label and
+    step -1, and with its new one and step 1."""
+    c = F.col
+    old, new = (F.struct(label.alias("is_attack"), F.lit(step).alias("step")) for label, step in ((c("is_attack"), -1), (c("was_attack"), 1)))
+    flipped = outcomes.join(feedback.select("event_id", "was_attack"), "event_id").filter(c("is_attack") != c("was_attack"))
+    rest = [x for x in outcomes.columns if x != "is_attack"]
+    return flipped.select(*rest, F.explode(F.array(old, new)).alias("_change")).select(*rest, "_change.*")
+
+
+def label_counts(outcomes: DataFrame) -> DataFrame:
+    """(is_attack, n): the state that `corrected_labels` keeps up to date."""
+    return outcomes.groupBy("is_attack").agg(F.count("*").alias("n"))
+
+
+def corrected_labels(counts: DataFrame, changes: DataFrame) -> DataFrame:
+    return counts.unionByName(changes.groupBy("is_attack").agg(F.sum("step").alias("n"))).groupBy("is_attack").agg(F.sum("n").alias("n"))
+
+
+def corrected_memory(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """Memory entries (entry_id) without those whose event was no attack, and with those whose event was one."""
+    ids = changes.filter("step = 1").select(F.col("event_id").alias("entry_id"), "is_attack")
+    kept = entries.join(ids.filter("NOT is_attack"), "entry_id", "left_anti").select("entry_id")
+    return kept.unionByName(ids.filter("is_attack").select("entry_id")).distinct()
+
+
+def corrected_effectiveness(counts: DataFrame, hits: DataFrame, changes: DataFrame, rules: DataFrame, cfg: Config) -> DataFrame:
+    """Effectiveness of rules from their counts and the changes, which count for the patterns (hits: event_id, pattern)
+    that their events match, in the rules that were in force."""
+    moved = hits.select("event_id", "pattern").join(changes.select("event_id", "t_us", F.col("is_attack").alias("is_true_positive"), "step"), "event_id")
+    both = counts.unionByName(rule_ops.counts_in_force(rules, moved, cfg))
+    total = both.groupBy("rule_id", "rule_name").agg(*[F.sum(x).alias(x) for x in ("true_positives", "false_positives")], F.max("last_us").alias("last_us"))
+    return rule_ops.with_effectiveness(total.filter(F.col("true_positives") + F.col("false_positives") > 0))
+
+
+def prior_state(outcomes: DataFrame, window: int = C.OUTCOME_WINDOW) -> DataFrame:
+    """One row: n and attacks among the newest outcomes, and from which place (from_us, from_id) on they lie."""
+    first = F.min(F.struct("t_us", "event_id"))
+    return newest(outcomes, window).agg(F.count("*").alias("n"), F.count_if("is_attack").alias("attacks"), first["t_us"].alias("from_us"), first["event_id"].alias("from_id"))
+
+
+def corrected_prior(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: n, attacks and prior after the changes to outcomes that the state counts."""
+    c = F.col
+    attacks = changes.filter("is_attack").groupBy("t_us", "event_id").agg(F.sum("step").alias("step"))
+    start = state.select("from_us", "from_id").first()  # one row
+    at = F.lit(start["from_us"])
+    inside = attacks.filter((c("t_us") > at) | ((c("t_us") == at) & (c("event_id") >= F.lit(start["from_id"])))).agg(F.coalesce(F.sum("step"), F.lit(0)).alias("more"))
+    both = merged([state.select("n", "attacks"), inside])
+    return both.select("n", (c("attacks") + c("more")).alias("attacks")).withColumn("prior", prior(c("attacks"), c("n")))

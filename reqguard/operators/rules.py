@@ -167,23 +167,30 @@ def rule_sets(rules: DataFrame) -> DataFrame:
 
 def effectiveness_in_force(rules: DataFrame, hits: DataFrame, cfg: Config) -> DataFrame:
     """Per rule with hits while it was in force: counts and smoothed effectiveness; hits has event_id, t_us, pattern and
-    is_true_positive.
+    is_true_positive."""
+    counted = counts_in_force(rules, hits.withColumn("step", F.lit(1)), cfg)
+    return with_effectiveness(counted.filter(F.col("true_positives") + F.col("false_positives") > 0))
+
+
+def counts_in_force(rules: DataFrame, hits: DataFrame, cfg: Config) -> DataFrame:
+    """(rule_id, rule_name, true_positives, false_positives, last_us) of every rule; hits have a step, which is added to
+    one of the counts: 1, or -1 to take a hit back.
 
     A rule's counts are what the running counts of its pattern's hits gain between its creation and its expiry, so hits
     are never multiplied by rules.
     """
     c, zero = F.col, F.lit(0).cast("long")
-    true = F.when(c("is_true_positive"), 1).otherwise(0).cast("long")
+    step = c("step").cast("long")
     lives = rule_lives(rules)
-    shown = hits.select("pattern", "t_us", F.lit(1).alias("turn"), "event_id", true.alias("tp"), (F.lit(1) - true).alias("fp"), c("t_us").alias("hit_us"))
+    shown = hits.select("pattern", "t_us", F.lit(1).alias("turn"), "event_id", F.when(c("is_true_positive"), step).otherwise(0).alias("tp"),
+                        F.when(c("is_true_positive"), 0).otherwise(step).alias("fp"), F.when(step > 0, c("t_us")).alias("hit_us"))
     marks = lives.select("pattern", F.explode(F.array("from_us", "until_us")).alias("t_us"), F.lit(0).alias("turn"), c("id").alias("event_id"),
                          zero.alias("tp"), zero.alias("fp"), "rule_name", "from_us")
     seen = running(shown.unionByName(marks, allowMissingColumns=True), ["pattern"], {
         "hits": ("sum", c("tp")), "misses": ("sum", c("fp")), "last_us": ("max", c("hit_us"))}, cfg.segment_us, ("t_us", "turn", "event_id"))
     start = F.when(c("t_us") == c("from_us"), -1).otherwise(1)
-    counted = seen.filter("turn = 0").groupBy(c("event_id").alias("rule_id"), "rule_name").agg(
+    return seen.filter("turn = 0").groupBy(c("event_id").alias("rule_id"), "rule_name").agg(
         F.sum(c("hits") * start).alias("true_positives"), F.sum(c("misses") * start).alias("false_positives"), F.max("last_us").alias("last_us"))
-    return with_effectiveness(counted.filter(c("true_positives") + c("false_positives") > 0))
 
 
 def with_effectiveness(counts: DataFrame) -> DataFrame:

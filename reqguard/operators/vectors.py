@@ -330,12 +330,18 @@ def campaigns(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows
     return members.join(names, "component").select("ip", "campaign")
 
 
-def campaign_rows(members: DataFrame, correlated: DataFrame, now_us: Column) -> DataFrame:
-    """One row per campaign: id, number of members, highest similarity, status. Members are the rows of ``campaigns``."""
-    joined = members.join(correlated, "ip")
-    return joined.groupBy("campaign").agg(
-        F.count("*").alias("n_members"), F.max("max_similarity").alias("similarity_score")).select(
+def campaign_rows(members: DataFrame, correlated: DataFrame, now_us: Column, requests: DataFrame) -> DataFrame:
+    """One row per campaign: id, number of members, highest similarity, how many endpoints and payloads all its members
+    requested, status. Members are the rows of ``campaigns``."""
+    sizes = members.join(correlated, "ip").groupBy("campaign").agg(
+        F.count("*").alias("n_members"), F.max("max_similarity").alias("similarity_score"))
+    kinds = F.array(*[F.struct(F.lit(x).alias("what"), F.col(x).alias("value")) for x in ("endpoint", "payload")])
+    shown = requests.select("ip", F.explode(kinds).alias("v")).filter("v.value <> ''").distinct().join(members, "ip")
+    by_all = shown.groupBy("campaign", "v").agg(F.count("*").alias("n")).join(sizes.select("campaign", "n_members"), "campaign").filter("n = n_members")
+    common = by_all.groupBy("campaign").agg(F.count_if(F.col("v.what") == "endpoint").alias("common_endpoints"),
+                                            F.count_if(F.col("v.what") == "payload").alias("common_payloads"))
+    none = F.lit(0).cast("long")
+    return sizes.join(common, "campaign", "left").select(
         F.substring(F.sha2("campaign", 256), 1, 16).alias("campaign_id"), "campaign", "n_members", "similarity_score",
+        F.coalesce("common_endpoints", none).alias("common_endpoints"), F.coalesce("common_payloads", none).alias("common_payloads"),
         now_us.alias("detected_us"), F.lit("ACTIVE").alias("status"))
-
-

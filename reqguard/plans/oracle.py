@@ -254,6 +254,10 @@ RESPONSES = f"""resp AS (
     contains(endpoint, '/config') OR contains(endpoint, '/backup') OR action = 'deception_flag' AS rot,
     (t_us + floor(300 * (1 + repeat / 10)) * 1000000)::BIGINT AS until_us,
     (t_us + (300 + floor(repeat * 30)) * 1000000)::BIGINT AS throttle_until_us FROM final)"""
+RESPONDED = """SELECT *, list_filter([CASE WHEN lck THEN 'temporary_route_lock(' || endpoint || ')' END,
+  CASE WHEN lck AND endpoint <> '/login' THEN 'emergency_maintenance_banner' END, CASE WHEN thr THEN 'login_throttle' END,
+  CASE WHEN san THEN 'payload_sanitize_mode' END, CASE WHEN qua THEN 'fingerprint_quarantine' END,
+  CASE WHEN rot THEN 'secret_rotation' END, CASE WHEN rot THEN 'deception_intensify' END], lambda x: x IS NOT NULL) AS responses FROM resp"""
 INCIDENTS = "inc AS (SELECT * FROM final WHERE total_risk > 50 OR action <> 'allow')"
 
 # ---------------------------------------------------------------- rules, decoys, outcomes
@@ -393,9 +397,10 @@ comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"""
 
 # ---------------------------------------------------------------- mining over page urls
 SHAPE = "regexp_replace(regexp_replace({0}, '[0-9]+', 'D', 'g'), '[a-zA-Z]+', 'A', 'g')"
-SHAPES = f"""shapes AS (
+def shapes_of(source):
+    return f"""shapes AS (
   SELECT shape, count(*) AS weight, ('0x' || substr(md5(shape), 1, 15))::BIGINT AS id
-  FROM (SELECT {SHAPE.format('url')} AS shape FROM pages) GROUP BY shape HAVING length(shape) >= 3),
+  FROM (SELECT {SHAPE.format('url')} AS shape FROM {source}) GROUP BY shape HAVING length(shape) >= 3),
 grams AS (
   SELECT id, g, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, length(shape) - 1), lambda i: substr(shape, i, 3))) AS g
   FROM shapes) GROUP BY id, g),
@@ -412,8 +417,11 @@ assigned AS (
 sized AS (
   SELECT *, min(shape) OVER (PARTITION BY cluster) AS cluster_name, (sum(weight) OVER (PARTITION BY cluster))::BIGINT AS cluster_size
   FROM assigned WHERE cluster IS NOT NULL)"""
-CORES = f"""members AS (
-  SELECT DISTINCT p.url, s.cluster, s.cluster_size FROM pages p JOIN sized s ON s.shape = {SHAPE.format('p.url')}
+
+
+def cores_of(source):
+    return f"""members AS (
+  SELECT DISTINCT p.url, s.cluster, s.cluster_size FROM {source} p JOIN sized s ON s.shape = {SHAPE.format('p.url')}
   WHERE cluster_size >= 6),
 seed AS (SELECT cluster, cluster_size, min_by(url, (length(url), url)) AS url, count(*) AS n FROM members GROUP BY ALL),
 starts AS (SELECT cluster, url, unnest(range(1, length(url) + 1)) AS i FROM seed),
@@ -426,6 +434,18 @@ mined AS (
   FROM seed s JOIN common c ON c.cluster = s.cluster GROUP BY ALL)"""
 
 
+SHAPES, CORES = shapes_of("pages"), cores_of("pages")
+
+
+EVOLVED = f"""evolved AS (
+  SELECT 'Evolve_' || substr(md5(pattern), 1, 8) AS rule_name, 'PAYLOAD' AS rule_type, pattern,
+    'BLOCK' AS action, CASE WHEN confidence > 0.8e0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 0.7e0 AS confidence,
+    {NOW} AS created_us, {NOW} + {DAY_US} AS expires_us,
+    'mined, sure to ' || printf('%.2f', confidence) || ', payloads ' || cluster_size AS description
+  FROM (SELECT *, '.*' || regexp_replace(core, '([^A-Za-z0-9_])', '\\\\\\1', 'g') || '.*' AS pattern FROM mined)
+  WHERE confidence > 0.6e0)"""
+
+
 def rule_cols(src):
     return f"SELECT rule_name, rule_type, pattern, action, severity, true AS is_active, auto_generated FROM {src}"
 
@@ -440,16 +460,26 @@ def oracle_sql():
         "log_requests": with_req(f"""SELECT event_id, ip AS ip_address, user_agent, endpoint, method, status_code,
             substr(md5(payload), 1, 16) AS payload_hash, array_to_string({flags_of('payload')}, ',') AS payload_flags, t_us, session_id,
             {rnd('response_time_ms')} AS response_time_ms FROM req"""),
-        "honeypot_log": with_req("""SELECT event_id, ip AS ip_address, endpoint, method, payload,
+        "ingest_features": with_req("""SELECT ip AS key, t_us, n AS requests_in_window, fails::BIGINT AS failure_count, n_paths AS unique_endpoints,
+            n_sess AS unique_sessions, all_flags::BIGINT AS total_flags_recent, failure_score FROM scores""", FEAT),
+        "honeypot_log": with_req("""SELECT event_id, ip AS ip_address, endpoint, method, '{"User-Agent":"' || user_agent || '"}' AS headers, payload,
             user_agent, t_us, session_id, interaction_type FROM decoy""", HONEYPOT),
         "system_events": with_req(f"""
             SELECT event_id, 'PAYLOAD_ALERT' AS event_type, CASE WHEN list_contains(f, 'SQL_INJECTION') OR
-              list_contains(f, 'COMMAND_INJECTION') THEN 'HIGH' ELSE 'MEDIUM' END AS severity, '' AS source_ip, t_us
+              list_contains(f, 'COMMAND_INJECTION') THEN 'HIGH' ELSE 'MEDIUM' END AS severity, '' AS source_ip,
+              'flags in payload: ' || array_to_string(f, ',') AS description, '{{}}' AS metadata, NULL::DOUBLE AS frequency, NULL::DOUBLE AS failure,
+              NULL::DOUBLE AS pattern, NULL::DOUBLE AS payload, t_us
             FROM (SELECT *, {flags_of('payload')} AS f FROM req) WHERE len(f) > 0
-            UNION ALL SELECT event_id, 'HONEYPOT_INTERACTION', 'HIGH', ip, t_us FROM req WHERE {DECEPTIVE}
-            UNION ALL SELECT event_id, 'RISK_ESCALATION', CASE risk_level WHEN 'MALICIOUS' THEN 'HIGH' ELSE 'WARNING' END, ip, t_us
-              FROM risk WHERE score > 60
-            UNION ALL SELECT DISTINCT event_id, 'SELF_HEALING', 'HIGH', key, t_us FROM made""", *TO_RISK, BEHAVIOR_RULES),
+            UNION ALL SELECT event_id, 'HONEYPOT_INTERACTION', 'HIGH', ip, 'decoy hit ' || method || ' ' || endpoint,
+              '{{"user_agent":"' || user_agent || '","type":"' || interaction_type || '"}}', NULL, NULL, NULL, NULL, t_us FROM decoy
+            UNION ALL SELECT event_id, 'RISK_ESCALATION', CASE risk_level WHEN 'MALICIOUS' THEN 'HIGH' ELSE 'WARNING' END, ip,
+              risk_level || ' at score ' || printf('%.1f', score), NULL, {rnd('boosted_freq')}, {rnd('failure_score')}, {rnd('pattern_score')},
+              {rnd('payload_score')}, t_us FROM risk WHERE score > 60
+            UNION ALL SELECT event_id, 'SELF_HEALING', 'HIGH', key, 'rules made: ' || count(*), '{{}}', NULL, NULL, NULL, NULL, t_us
+              FROM made GROUP BY event_id, key, t_us
+            UNION ALL SELECT -1, 'GEN_RULE_INJECTED', severity, '', 'mined rule added: ' || rule_name,
+              '{{"pattern":' || to_json(pattern)::VARCHAR || ',"desc":' || to_json(description)::VARCHAR || '}}', NULL, NULL, NULL, NULL, {NOW} FROM evolved""",
+                                  *TO_RISK, BEHAVIOR_RULES, HONEYPOT, SHAPES, CORES, EVOLVED),
         "upsert_profiles": with_req("""SELECT ip, max(t_us) AS t_us, arg_max(event_id, t_us) AS event_id,
             arg_max(endpoint, t_us) AS endpoint, arg_max(status_code, t_us) AS status_code, min(t_us) AS created_us FROM req GROUP BY ip"""),
         "blocklist_ops": with_req("SELECT ip, t_us, event_id, expires_us FROM blocklist", blocks(1)),
@@ -626,8 +656,14 @@ def oracle_sql():
             {rnd('gap_sum::DOUBLE / 1e6 / greatest(n_gaps, 1)')} AS avg_interval, 0e0 AS payload_entropy,
             {rnd('failed_logins::DOUBLE / total')} AS failed_auth_ratio, burst_density::DOUBLE AS probe_density, 0e0 AS header_rarity
             FROM scored""", SIG, memory("fingerprint")),
-        "recent_history": with_req(f"""SELECT * FROM (SELECT 'event' AS kind, event_id, t_us FROM req ORDER BY t_us DESC, event_id DESC LIMIT 100)
-            UNION ALL SELECT * FROM (SELECT 'decoy', event_id, t_us FROM req WHERE {DECEPTIVE} ORDER BY t_us DESC, event_id DESC LIMIT 50)"""),
+        "recent_history": with_req(f"""
+            SELECT * FROM (SELECT 'event' AS kind, event_id, t_us, upper(action) AS item, {rnd('total_risk')} AS value FROM final ORDER BY t_us DESC, event_id DESC LIMIT 100)
+            UNION ALL SELECT * FROM (SELECT 'decoy', event_id, t_us, endpoint, {rnd('total_risk')} FROM final WHERE action = 'deception_flag'
+              ORDER BY t_us DESC, event_id DESC LIMIT 50)
+            UNION ALL SELECT * FROM (SELECT 'risk', event_id, t_us, '', {rnd('total_risk')} FROM final ORDER BY t_us DESC, event_id DESC LIMIT 50)
+            UNION ALL SELECT * FROM (SELECT 'healing', event_id, t_us, responses[place], 0e0 FROM (SELECT event_id, t_us, responses,
+                unnest(range(1, len(responses) + 1)) AS place FROM ({RESPONDED})) ORDER BY t_us DESC, event_id DESC, place DESC LIMIT 100)""",
+                                   *TO_FINAL, RESPONSES),
         "latest_n": with_req("""SELECT event_id, ip AS ip_address, interaction_type, t_us FROM decoy
             ORDER BY t_us DESC, event_id DESC LIMIT 100""", HONEYPOT),
         "risk_ranking": with_req(f"SELECT ip AS key, {rnd('score')} AS score, risk_level FROM last_risk", *TO_RISK),
@@ -733,12 +769,8 @@ def oracle_sql():
             AS block_threshold FROM (SELECT count(*) AS n, count(*) FILTER (NOT is_attack) AS fp,
               (SELECT count(*) FROM (SELECT 1 FROM outcome WHERE is_attack AND payload = '' LIMIT 100)) AS fn
               FROM (SELECT * FROM outcome ORDER BY t_us DESC, event_id DESC LIMIT 400))""", OUTCOMES),
-        "response_actions": with_req("""SELECT event_id, array_to_string(responses, ',') AS responses, until_us, throttle_until_us FROM (
-            SELECT *, list_filter([CASE WHEN lck THEN 'temporary_route_lock(' || endpoint || ')' END,
-              CASE WHEN lck AND endpoint <> '/login' THEN 'emergency_maintenance_banner' END, CASE WHEN thr THEN 'login_throttle' END,
-              CASE WHEN san THEN 'payload_sanitize_mode' END, CASE WHEN qua THEN 'fingerprint_quarantine' END,
-              CASE WHEN rot THEN 'secret_rotation' END, CASE WHEN rot THEN 'deception_intensify' END], lambda x: x IS NOT NULL) AS responses
-            FROM resp) WHERE len(responses) > 0""", *TO_FINAL, RESPONSES),
+        "response_actions": with_req(f"""SELECT event_id, array_to_string(responses, ',') AS responses, until_us, throttle_until_us
+            FROM ({RESPONDED}) WHERE len(responses) > 0""", *TO_FINAL, RESPONSES),
         "auto_behavior_rules": with_req("SELECT * FROM made", *TO_RISK, BEHAVIOR_RULES),
         "auto_payload_rules": with_req(f"""SELECT kind, event_id, t_us, 'Auto_' || kind || '_' || (t_us // 300000000) AS rule_name, pattern,
             severity, t_us + {DAY_US} AS expires_us FROM (SELECT f.kind, f.event_id, f.t_us FROM flagged f JOIN risk USING (event_id)
@@ -754,6 +786,39 @@ def oracle_sql():
                 ELSE 'none' END AS error FROM (SELECT r.event_id, r.status_code, coalesce(bool_or(h.action = 'BLOCK'), false) AS blocked
                 FROM req r LEFT JOIN hit h ON h.event_id = r.event_id WHERE r.payload <> '' GROUP BY ALL)) GROUP BY error""",
                                       DEFAULT, AUTO, RULES, RULE_HITS, EFFECT),
+        "corrections_full": with_req(f"""
+            SELECT 'label' AS kind, CASE WHEN is_attack THEN 'attack' ELSE 'normal' END AS item, count(*)::DOUBLE AS value FROM corrected GROUP BY is_attack
+            UNION ALL SELECT 'rule', rule_name, {rnd('(count(*) FILTER (c.is_attack) + 1)::DOUBLE / (count(*) + 2)')}
+              FROM hit h JOIN corrected c USING (event_id) GROUP BY rule_name
+            UNION ALL SELECT 'memory', event_id::VARCHAR, 1 FROM corrected WHERE is_attack
+            UNION ALL SELECT 'prior', 'n', n FROM recent UNION ALL SELECT 'prior', 'attacks', a FROM recent
+            UNION ALL SELECT 'prior', 'prior', {rnd('(a + 1) / (n + 50e0)')} FROM recent""", DEFAULT, AUTO, RULES, RULE_HITS,
+                                     f"corrected AS (SELECT event_id, t_us, CASE WHEN k % 11 = 0 THEN NOT {DECEPTIVE} ELSE {DECEPTIVE} END AS is_attack FROM req)",
+                                     """recent AS (SELECT count(*) AS n, count(*) FILTER (is_attack) AS a FROM (
+              SELECT * FROM corrected ORDER BY t_us DESC, event_id DESC LIMIT 2000))"""),
+        "evolution_loop": with_req(f"""
+            SELECT 'period' AS section, period_us::VARCHAR AS item, n::VARCHAR AS detail FROM periods
+            UNION ALL SELECT 'event', 'mined rule added: ' || rule_name, severity FROM evolved
+            UNION ALL SELECT 'healing', rule_name, pattern FROM evolved
+            UNION ALL SELECT 'active', rule_name, action FROM rules WHERE auto_generated
+            UNION ALL SELECT 'active', rule_name, 'BLOCK' FROM evolved""", DEFAULT, AUTO, RULES, OUTCOMES,
+                                   f"""attacks AS (SELECT payload AS url, t_us // {DAY_US // 4} * {DAY_US // 4} AS period_us FROM outcome
+              WHERE is_attack AND length(payload) > 10)""",
+                                   """periods AS (SELECT period_us, count(DISTINCT url) AS n FROM attacks GROUP BY period_us
+              HAVING count(*) >= 8 AND count(DISTINCT url) / count(*)::DOUBLE > 0.4e0)""",
+                                   "pool AS (SELECT url FROM attacks WHERE period_us IN (SELECT period_us FROM periods))",
+                                   shapes_of("pool"), cores_of("pool"), EVOLVED),
+        "campaign_rows": with_req(f"""SELECT substr(sha256(campaign), 1, 16) AS campaign_id, campaign, n_members, {rnd('similarity')} AS similarity_score,
+              coalesce(e, 0) AS common_endpoints, coalesce(p, 0) AS common_payloads, {NOW} AS detected_us, 'ACTIVE' AS status
+            FROM grouped LEFT JOIN (SELECT campaign, count(*) FILTER (what = 'e') AS e, count(*) FILTER (what = 'p') AS p FROM (
+              SELECT campaign, what, value FROM wanted JOIN grouped USING (campaign) WHERE value <> '' GROUP BY campaign, what, value, n_members HAVING count(*) = n_members)
+              GROUP BY campaign) USING (campaign)""", FEAT, EMBED, LATEST,
+                                  """links AS (SELECT a.ip AS a, b.ip AS b, list_dot_product(a.vec, b.vec) AS s FROM latest a JOIN latest b ON a.ip <> b.ip
+              WHERE list_dot_product(a.vec, b.vec) > 0.97e0)""", "nodes AS (SELECT DISTINCT a AS id FROM links)", components("links", "nodes"),
+                                  """grouped AS (SELECT component AS campaign, count(DISTINCT id) AS n_members, least(1e0, max(s)) AS similarity
+              FROM comp JOIN links ON links.a = comp.id GROUP BY component)""",
+                                  f"""wanted AS (SELECT DISTINCT component AS campaign, ip, unnest(['e', 'p']) AS what, unnest([endpoint, payload]) AS value
+              FROM req JOIN comp ON comp.id = req.ip WHERE t_us >= {NOW} - {LONG})"""),
         "component_stats": with_req(f"""SELECT 'attack_samples' AS component, count(*) AS n FROM outcome WHERE is_attack
             UNION ALL SELECT 'normal_samples', count(*) FROM outcome WHERE NOT is_attack
             UNION ALL SELECT 'memory_entries', count(*) FROM outcome WHERE is_attack
@@ -782,11 +847,6 @@ def oracle_sql():
                                     components("links", "nodes")),
         "payload_clusters": f"""WITH RECURSIVE {SHAPES} SELECT shape, weight, is_core AS core, cluster_name, cluster_size FROM sized""",
         "cluster_core": f"""WITH RECURSIVE {SHAPES}, {CORES} SELECT core, cluster_size, {rnd('confidence')} AS confidence FROM mined""",
-        "evolved_rules": with_req(f"""SELECT 'Evolve_' || substr(md5(pattern), 1, 8) AS rule_name, 'PAYLOAD' AS rule_type, pattern,
-            'BLOCK' AS action, CASE WHEN confidence > 0.8e0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 0.7e0 AS confidence,
-            {NOW} AS created_us, {NOW} + {DAY_US} AS expires_us,
-            'mined, sure to ' || printf('%.2f', confidence) || ', payloads ' || cluster_size AS description
-            FROM (SELECT *, '.*' || regexp_replace(core, '([^A-Za-z0-9_])', '\\\\\\1', 'g') || '.*' AS pattern FROM mined)
-            WHERE confidence > 0.6e0""", SHAPES, CORES),
+        "evolved_rules": with_req("SELECT * FROM evolved", SHAPES, CORES, EVOLVED),
     }
     return posts

@@ -3,6 +3,8 @@
 Arrays are joined to text and doubles rounded to six digits, so that results compare across engines.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def decision_table(r: DataFrame) -> DataFrame:
 
 
 def decoys(r: DataFrame) -> DataFrame:
-    return logs.honeypot_log(r)
+    return logs.honeypot_log(r.withColumn("headers", F.create_map(F.lit("User-Agent"), "user_agent")))
 
 
 def system_events(r: DataFrame) -> DataFrame:
@@ -132,6 +134,17 @@ def src_requests(spark, sf):
                    .agg(F.count("*").alias("n"), F.min(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("first_ts")))
 
 
+def ingest_features(spark, sf):
+    """Write the requests as JSON lines, ingest them, and compute the behaviour features of what was ingested."""
+    r = RQ.requests(spark, sf, SPREAD)
+    lines = r.select("ip", c("endpoint").alias("path"), "method", "user_agent", "payload", "status_code", "session_id",
+                     F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"))
+    path = f"{shared_dir(spark)}/ingest-features-{id(lines)}"
+    lines.write.mode("overwrite").json(path)
+    return rounded(feature_table(RQ.ingest_requests(spark.read, path)).select(
+        "key", "t_us", "requests_in_window", "failure_count", "unique_endpoints", "unique_sessions", "total_flags_recent", "failure_score"))
+
+
 def log_scan(spark, sf):
     """Decision log lines in both formats, with crash lines between them, scanned and counted by decision."""
     r = RQ.requests(spark, sf, SPREAD)
@@ -301,10 +314,18 @@ def live_dashboard(r):
 
 
 def recent_history(r):
-    """The newest 100 requests and 50 decoy hits."""
-    latest = M.newest(r, 100).select(F.lit("event").alias("kind"), "event_id", "t_us")
-    return latest.unionByName(M.newest(r.filter(text.deceptive_route(c("endpoint"))), 50).select(
-        F.lit("decoy").alias("kind"), "event_id", "t_us"))
+    """The four rolling histories: the newest 100 decisions, 50 decoy triggers, 50 risks and 100 healing actions."""
+    taken = decision_table(r)
+
+    def rows(df, kind, item, value):
+        return df.select(F.lit(kind).alias("kind"), "event_id", "t_us", item.alias("item"), value.alias("value"))
+
+    done = RS.response_actions(taken).select("event_id", "t_us", F.posexplode("responses").alias("place", "response"))
+    parts = [rows(M.newest(taken, 100), "event", F.upper("action"), c("total_risk")),
+             rows(M.newest(taken.filter("action = 'deception_flag'"), 50), "decoy", c("endpoint"), c("total_risk")),
+             rows(M.newest(taken, 50), "risk", F.lit(""), c("total_risk")),
+             rows(M.newest(done, 100, ("t_us", "event_id", "place")), "healing", c("response"), F.lit(0.0))]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 # ---------------------------------------------------------------- risk
@@ -345,12 +366,17 @@ def auto_payload_rules(r):
     return RU.payload_rules(rows).select("kind", "event_id", "t_us", "rule_name", "pattern", "severity", "expires_us")
 
 
-def system_event_log(r):
-    """All event kinds: payload alerts, decoy hits, risk escalations and rule generation."""
+def system_event_log(spark, sf):
+    """All event kinds: payload alerts, decoy hits, risk escalations, rule generation and injected rules."""
+    r = RQ.requests(spark, sf, SPREAD)
     risk = risk_table(r).withColumn("ip", c("key")).withColumn("freq_score", c("boosted_freq"))
     made = RU.behavior_rules(risk).withColumn("ip", c("key"))
-    log = system_events(r).unionByName(logs.risk_escalations(risk)).unionByName(logs.healing_events(made))
-    return log.select("event_id", "event_type", "severity", F.coalesce("source_ip", F.lit("")).alias("source_ip"), "t_us")
+    injected = logs.injected_rule_events(RU.evolved_rules(MI.mine_rules(url_payloads(spark, sf)), F.lit(latest_us(r))))
+    log = system_events(r).unionByName(logs.risk_escalations(risk)).unionByName(logs.healing_events(made)).unionByName(injected)
+    scores = {x: F.get_json_object("metadata", f"$.score_breakdown.{x}").cast("double").alias(x) for x in ("frequency", "failure", "pattern", "payload")}
+    meta = F.when(c("event_type") != "RISK_ESCALATION", c("metadata")).alias("metadata")
+    return rounded(log.select(F.coalesce("event_id", F.lit(-1).cast("long")).alias("event_id"), "event_type", "severity",
+                              F.coalesce("source_ip", F.lit("")).alias("source_ip"), "description", meta, *scores.values(), "t_us"))
 
 
 def dashboard_stats(r):
@@ -406,6 +432,50 @@ def apply_corrections(r):
     return sure.unionByName(errors.select(F.concat(F.lit("errors:"), "error").alias("rule_name"), "confidence"))
 
 
+def corrections_full(r):
+    """Feedback that flips every outcome with k divisible by 11, as signed changes to the state before it."""
+    rules, before = stage(observed_rules(r), "rules"), stage(outcomes(r), "outcomes")
+    feedback = r.filter(c("k") % 11 == 0).join(before.select("event_id", "is_attack"), "event_id").select("event_id", (~c("is_attack")).alias("was_attack"))
+    hits = stage(RU.pattern_hits(r.filter("payload <> ''"), rules, "event_id", "t_us"), "hits")
+    judged = hits.join(before.select("event_id", c("is_attack").alias("is_true_positive")), "event_id").withColumn("step", F.lit(1))
+    labels, counts = FB.label_counts(before), RU.counts_in_force(rules, judged, CFG)
+    state, memory = FB.prior_state(before), before.filter("is_attack").select(c("event_id").alias("entry_id"))
+    changes = stage(FB.retractions(before, feedback), "retractions")
+
+    def rows(df, kind, item, value):
+        return df.select(F.lit(kind).alias("kind"), item.alias("item"), value.cast("double").alias("value"))
+
+    prior = FB.corrected_prior(state, changes)
+    parts = [rows(FB.corrected_labels(labels, changes), "label", F.when(c("is_attack"), "attack").otherwise("normal"), c("n")),
+             rows(FB.corrected_effectiveness(counts, hits, changes, rules, CFG), "rule", c("rule_name"), c("effectiveness")),
+             rows(FB.corrected_memory(memory, changes), "memory", c("entry_id").cast("string"), F.lit(1)),
+             *[rows(prior, "prior", F.lit(x), c(x)) for x in ("n", "attacks", "prior")]]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def evolution_loop(r):
+    """Gate, mining, injection and its logs: the payloads of confirmed attacks in periods that pass the gate are mined, the
+    rules that are sure enough join the rules table, and each is logged as an event and a healing action."""
+    period = DAY // 4 * SECOND
+    attacks = outcomes(r).filter("is_attack")
+    periods = stage(FB.evolution_gate(attacks, period), "evolution-periods")
+    pool = attacks.filter(F.length("payload") > C.EVOLUTION_POOL_CHARS).withColumn("period_us", F.expr(f"t_us div {period} * {period}")).join(
+        periods.select("period_us"), "period_us", "left_semi")
+    made = stage(RU.evolved_rules(MI.mine_rules(pool.select("payload")), F.lit(latest_us(r))).withColumn("is_active", F.lit(True)), "evolved")
+    table = tables.insert_absent(observed_rules(r).select(*[x for x in made.columns if x != "description"]), made.drop("description"), ["rule_name"])
+    log = made.select(F.lit(-1).cast("long").alias("event_id"), F.lit("GENERALIZED_EVOLUTION").alias("kind"), "rule_type", "pattern", F.lit("").alias("key"),
+                      "rule_name", c("created_us").alias("t_us"))
+
+    def rows(df, section, item, detail):
+        return df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), detail.cast("string").alias("detail"))
+
+    parts = [rows(periods, "period", c("period_us"), c("n_distinct")),
+             rows(logs.injected_rule_events(made), "event", c("description"), c("severity")),
+             rows(RU.healing_log(log), "healing", c("rule_generated"), c("pattern_detected")),
+             rows(RU.active_rules(table).filter("auto_generated"), "active", c("rule_name"), c("action"))]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def evolution_gate(r):
     """Confirmed payloads pooled per six hours, as the sample has few requests per ten minutes."""
     return FB.evolution_gate(outcomes(r).filter("is_attack"), DAY // 4 * SECOND).drop("diverse")
@@ -533,6 +603,15 @@ def actor_campaigns(r):
     return members.groupBy("campaign").agg(F.count("*").alias("n_members"))
 
 
+def campaign_rows(r):
+    """A row per campaign of `actor_campaigns`, with what all its members requested."""
+    now = latest_us(r)
+    vecs = stage(V.latest_vectors(request_vectors(r), now, CFG.long_us), "latest")
+    members = stage(V.campaigns(vecs, 0.97), "members")
+    found = V.campaign_rows(members, V.correlate(vecs, 0.97), F.lit(now), r.filter(c("t_us") >= now - CFG.long_us))
+    return found.withColumn("similarity_score", F.least("similarity_score", F.lit(1.0)))
+
+
 def bayes_fusion(r):
     """Evidence per request, as it stood then: cold anomaly, memory of earlier decoy hits, correlation with the other
     actors' latest vectors in the window before, decayed risk, dynamic prior."""
@@ -627,9 +706,10 @@ def queries():
     return {
         # sources and sinks
         "src_requests": src_requests,
+        "ingest_features": ingest_features,
         "log_requests": named(logs.log_requests),
         "honeypot_log": named(decoys),
-        "system_events": named(system_event_log),
+        "system_events": system_event_log,
         "upsert_profiles": named(upsert_profiles),
         "blocklist_ops": named(lambda r: tables.block_list(RS.block_ops(r)).select("ip", "t_us", "event_id", "expires_us")),
         "seed_rules": named(seed_rules),
@@ -728,6 +808,8 @@ def queries():
         "auto_behavior_rules": named(auto_behavior_rules),
         "auto_payload_rules": named(auto_payload_rules),
         "evolution_gate": named(evolution_gate),
+        "evolution_loop": named(evolution_loop),
+        "corrections_full": named(corrections_full),
         "apply_corrections": named(apply_corrections),
         "component_stats": named(component_stats),
         "defense_state": named(lambda r: RS.defense_state(level_changes(r))),
@@ -739,6 +821,7 @@ def queries():
         "actor_correlation": actor_correlation,
         "campaigns": campaigns,
         "actor_campaigns": named(actor_campaigns),
+        "campaign_rows": named(campaign_rows),
         "payload_clusters": payload_clusters,
         "cluster_core": cluster_core,
         "evolved_rules": evolved_rules,

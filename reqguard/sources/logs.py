@@ -31,10 +31,11 @@ def interaction_type(endpoint: Column, method: Column) -> Column:
 
 
 def honeypot_log(requests: DataFrame) -> DataFrame:
-    """Decoy-log rows: requests to a deceptive route."""
+    """Decoy-log rows: requests to a deceptive route, with their headers as JSON where the requests have them (a map)."""
     hits = requests.filter(text.deceptive_route(F.col("endpoint")))
+    headers = F.to_json("headers") if "headers" in requests.columns else F.lit(None).cast("string")
     return hits.select(
-        "event_id", F.col("ip").alias("ip_address"), "endpoint", "method",
+        "event_id", F.col("ip").alias("ip_address"), "endpoint", "method", headers.alias("headers"),
         "payload", "user_agent", "t_us", "session_id",
         interaction_type(F.col("endpoint"), F.col("method")).alias("interaction_type"))
 

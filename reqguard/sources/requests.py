@@ -1,6 +1,6 @@
 """Request sources: JSON ingest and the request view over the sample events."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reqguard.functions import text
@@ -64,13 +64,17 @@ def requests(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFram
 
 
 def with_defaults(raw: DataFrame, now: Column | None = None) -> DataFrame:
-    """Fill missing request fields and flag failed logins; ``now`` stands in for a missing timestamp."""
+    """Fill missing request fields and flag failed logins; ``now`` stands in for a missing timestamp. Timestamps have
+    seconds, or also six digits of them."""
     now = F.current_timestamp() if now is None else now
+    given = [c for c in ("_file",) if c in raw.columns]
     out = raw.select(
+        *given, F.coalesce("status_code", F.lit(200).cast("long")).alias("status_code"), F.coalesce("session_id", F.lit("")).alias("session_id"),
+        F.coalesce("response_time_ms", F.lit(0.0)).alias("response_time_ms"),
         F.coalesce("ip", F.lit("")).alias("ip"), F.coalesce("path", F.lit("/")).alias("path"),
         F.coalesce("method", F.lit("GET")).alias("method"), F.coalesce("user_agent", F.lit("")).alias("user_agent"),
         F.coalesce("payload", F.lit("")).alias("payload"),
-        F.coalesce(F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")), now).alias("ts"))
+        F.coalesce(F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]")), now).alias("ts"))
     return out.withColumns({
         "payload_size": F.length("payload").cast("long"),
         "is_failed_login": text.failed_login(F.col("method"), F.col("path"), F.col("payload"))})
@@ -83,3 +87,27 @@ def ingest(reader, path: str) -> tuple[DataFrame, DataFrame]:
     empty = F.coalesce(*[F.col(c) for c in fields]).isNull()
     bad = F.col("_corrupt_record").isNotNull() | empty
     return with_defaults(raw.filter(~bad)), raw.filter(bad).select(*fields, "_corrupt_record")
+
+
+def ingest_requests(reader, path: str, now: Column | None = None) -> DataFrame:
+    """The requests of JSON lines as the operators take them, with ids of their own (`with_event_ids`)."""
+    raw = reader.schema(INGEST).option("mode", "PERMISSIVE").json(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    fields = ["ip", "path", "method", "user_agent", "payload", "timestamp"]
+    good = raw.filter(F.col("_corrupt_record").isNull() & F.coalesce(*[F.col(c) for c in fields]).isNotNull())
+    return with_event_ids(with_defaults(good, now))
+
+
+def with_event_ids(rows: DataFrame) -> DataFrame:
+    """Ingested rows with their _file -> event_id, t_us, ip, method, endpoint, status_code, user_agent, session_id, payload
+    and response_time_ms.
+
+    An id is a hash of the file, the row's fields and its number among the equal rows of the file, so it is the same
+    however often the file is read, in whatever splits, by a batch or (in foreachBatch) by a stream. A missing timestamp
+    that is filled with the time of reading makes another id each time.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    fields = ["ip", "path", "method", "user_agent", "payload", "status_code", "session_id", "response_time_ms"]
+    marked = rows.withColumn("t_us", micros).withColumn("_mark", F.xxhash64(*fields, "t_us"))
+    equal = Window.partitionBy("_file", "_mark").orderBy(*fields)  # equal rows of one file
+    return marked.withColumn("event_id", F.xxhash64("_file", "_mark", F.row_number().over(equal))).select(
+        "event_id", "t_us", "ip", "method", F.col("path").alias("endpoint"), "status_code", "user_agent", "session_id", "payload", "response_time_ms")

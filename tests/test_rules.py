@@ -4,6 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from reqguard.operators import feedback as FB
 from reqguard.operators import respond as RS
 from reqguard.operators import rules as RU
 from reqguard.config import LIVE
@@ -172,3 +173,31 @@ def test_no_rules_and_no_requests(spark):
 def test_healing_log_keeps_the_whole_pattern(spark):
     rows = spark.createDataFrame([("XSS", "k", 1, 5, "n", "PAYLOAD", "p" * 200)], "kind string, key string, event_id long, t_us long, rule_name string, rule_type string, pattern string")
     assert RU.healing_log(rows).first()["pattern_detected"] == "p" * 200
+
+
+def test_corrections_equal_a_recomputation(spark):
+    rng = random.Random(9)
+    rules = spark.createDataFrame(in_force_rules(rng, 15), RULES)
+    rows = [(i, rng.randint(0, 80), rng.choice(["cat", "dog", "c", ""]), rng.random() < 0.4) for i in range(400)]
+    flips = {i: rng.random() < 0.5 for i in rng.sample(range(400), 120)}
+    outcomes = spark.createDataFrame(rows, "event_id long, t_us long, payload string, is_attack boolean")
+    feedback = spark.createDataFrame([*flips.items(), (9999, True)], "event_id long, was_attack boolean")
+    fixed = spark.createDataFrame([(e, t, p, flips.get(e, a)) for e, t, p, a in rows], outcomes.schema)
+    changes = FB.retractions(outcomes, feedback)
+    hits = RU.pattern_hits(outcomes, rules, "event_id", "t_us")
+
+    def judged(table):
+        return hits.join(table.select("event_id", F.col("is_attack").alias("is_true_positive")), "event_id")
+
+    def as_dict(df, *cols):
+        return {r[0]: tuple(r[1:]) for r in df.select(*cols).collect()}
+
+    assert as_dict(FB.corrected_labels(FB.label_counts(outcomes), changes), "is_attack", "n") == as_dict(FB.label_counts(fixed), "is_attack", "n")
+    counts = RU.counts_in_force(rules, judged(outcomes).withColumn("step", F.lit(1)), LIVE)
+    cols = ("rule_name", "true_positives", "false_positives", "last_us", "effectiveness")
+    assert as_dict(FB.corrected_effectiveness(counts, hits, changes, rules, LIVE), *cols) == as_dict(RU.effectiveness_in_force(rules, judged(fixed), LIVE), *cols)
+    entries = outcomes.filter("is_attack").select(F.col("event_id").alias("entry_id"))
+    assert {r[0] for r in FB.corrected_memory(entries, changes).collect()} == {r[0] for r in fixed.filter("is_attack").select("event_id").collect()}
+    got = FB.corrected_prior(FB.prior_state(outcomes, 150), changes).first()
+    last = sorted(((t, e, flips.get(e, a)) for e, t, p, a in rows))[-150:]
+    assert (got["n"], got["attacks"]) == (150, sum(a for _, _, a in last)) and got["prior"] == pytest.approx((got["attacks"] + 1) / 200)

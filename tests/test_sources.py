@@ -2,6 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from reqguard.config import LIVE
+from reqguard.operators import features as FT
 from reqguard.sources import logs, tables
 from reqguard.sources import requests as RQ
 
@@ -70,3 +72,24 @@ def test_decoy_types_and_payload(spark):
     body = spark.createDataFrame([(bytearray(b"ok\xff"),), (None,), (bytearray(b"x" * 3000),)], "b binary")
     got = [r[0] for r in body.select(logs.decode_payload(F.col("b"))).collect()]
     assert got[0] == "ok�" and got[1] == "" and len(got[2]) == 3000
+
+
+def test_ingested_requests_have_ids_that_last(spark, tmp_path):
+    lines = [{"ip": f"10.0.0.{i % 3}", "path": f"/p{i % 4}", "timestamp": f"2026-01-01 00:00:{i % 60:02d}.{i % 5:06d}", "status_code": 401} for i in range(300)]
+    lines += [{"ip": "same", "path": "/x", "timestamp": "2026-01-01 00:00:00"}] * 200 + [{"ip": "other", "timestamp": "2026-01-01 00:00:00", "session_id": "s"}]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n")
+    first = RQ.ingest_requests(spark.read, str(tmp_path))
+    rows = first.collect()
+    assert len(rows) == 2 * len(lines) == len({r["event_id"] for r in rows})
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # the files fall into many splits
+        again = RQ.ingest_requests(spark.read, str(tmp_path))
+        assert again.rdd.getNumPartitions() > 0 and sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert {(r["status_code"], r["session_id"], r["method"]) for r in rows if r["ip"] == "other"} == {(200, "s", "GET")}
+    assert {r["t_us"] % 1_000_000 for r in rows if r["ip"] == "10.0.0.0"} == {0, 1, 2, 3, 4}
+    seen = FT.features(first, LIVE).agg(F.max("requests_in_window"), F.sum("failure_count")).first()
+    assert seen[0] == 400 and seen[1] > 0
