@@ -497,16 +497,21 @@ def threshold_tuning(r):
 
 
 # ---------------------------------------------------------------- text
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key, for a table of few splits."""
+    return df.repartition(key) if SPREAD else df
+
+
 def documents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
     return docs.select(c("doc_id").alias("event_id"), c("text").alias("payload"))
 
 
 def signature_match(spark, sf):
-    """Signatures over requests, documents, pages and chats."""
+    """Signatures over requests, documents and pages."""
     blank = F.lit("")
     r = RQ.requests(spark, sf, SPREAD).select(F.lit("request").alias("src"), "event_id", "payload", "user_agent", "endpoint")
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select(
+    pages = spread(spark.read.parquet(f"{sf}/pages.parquet"), "page_id").select(
         F.lit("page").alias("src"), c("page_id").alias("event_id"), c("html").alias("payload"),
         blank.alias("user_agent"), c("url").alias("endpoint"))
     docs = documents(spark, sf).select(F.lit("document").alias("src"), "event_id", "payload", blank.alias("user_agent"),
@@ -517,7 +522,7 @@ def signature_match(spark, sf):
 
 def payload_flags(spark, sf):
     r = RQ.requests(spark, sf, SPREAD).filter("payload <> ''").select(F.lit("request").alias("src"), "event_id", "payload")
-    chats = spark.read.parquet(f"{sf}/conversations.parquet").select(
+    chats = spread(spark.read.parquet(f"{sf}/conversations.parquet"), "conv_id").select(
         F.lit("chat").alias("src"), (c("conv_id") * 1000 + c("turn")).alias("event_id"), c("text").alias("payload"))
     docs = documents(spark, sf).select(F.lit("document").alias("src"), "event_id", "payload")
     rows = r.unionByName(chats).unionByName(docs)
