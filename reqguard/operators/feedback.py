@@ -23,7 +23,7 @@ def dynamic_prior(outcomes: DataFrame, cfg: Config, window: int = C.OUTCOME_WIND
     c = F.col
     rows = outcomes.select("event_id", "t_us", c("is_attack").cast("long").alias("hit"), F.lit(0).alias("all"))
     seen = stage(running(rows, ["all"], {"rn": ("sum", F.lit(1).cast("long")), "hits": ("sum", c("hit"))},
-                         cfg.segment_us), "outcomes")
+                         cfg.segment_us, piece_rows=cfg.block_rows), "outcomes")
     older = seen.select((c("rn") + window + 1).alias("rn"), c("hits").alias("older"))
     attacks = c("hits") - c("hit") - F.coalesce("older", F.lit(0))
     out = seen.join(older, "rn", "left").select(

@@ -21,7 +21,21 @@ def _combined(how: str, name: str) -> str:
     return f"{'greatest' if how == 'max' else 'least'}(_c_{name}, _r_{name}) AS {name}"
 
 
-def running(df: DataFrame, keys: list[str], aggs: dict, segment_us: int, order=("t_us", "event_id"), written: bool = False) -> DataFrame:
+def with_pieces(df: DataFrame, piece_rows: int, order) -> DataFrame:
+    """Adds _piece to rows with _key and _seg: 0, or consecutive ranges of the order where a segment has more than
+    piece_rows rows of a key. Only the rows of such segments are dealt by sampled splitters."""
+    crowded = stage(df.groupBy("_key", "_seg").agg(F.count("*").alias("n")).filter(F.col("n") > piece_rows), "crowded")
+    n = crowded.agg(F.sum("n")).first()[0]
+    if n is None:
+        return df.withColumn("_piece", F.lit(0))
+    groups = crowded.select("_key", "_seg")
+    dealt = df.join(groups, ["_key", "_seg"], "left_semi").repartitionByRange(2 * -(-n // piece_rows) + 1, "_key", "_seg", *order)
+    dealt = stage(dealt.withColumn("_piece", F.spark_partition_id() + 1), "pieces")
+    return df.join(groups, ["_key", "_seg"], "left_anti").withColumn("_piece", F.lit(0)).unionByName(dealt)
+
+
+def running(df: DataFrame, keys: list[str], aggs: dict, segment_us: int, order=("t_us", "event_id"), written: bool = False,
+            piece_rows: int | None = None) -> DataFrame:
     """Add running aggregates per key.
 
     ``aggs`` maps a new column to ``(sum|min|max, Column)`` or, when a row must not see itself, to
@@ -30,7 +44,9 @@ def running(df: DataFrame, keys: list[str], aggs: dict, segment_us: int, order=(
     latest x.
 
     The totals and the sums within a segment each read the input, the former only a few of its columns. With ``written``,
-    the rows are written to the shared folder first, so that a costly input is evaluated once.
+    the rows are written to the shared folder first, so that a costly input is evaluated once. With ``piece_rows``, a
+    segment in which a key has more rows than that, even all at one moment, is cut into pieces of its order, whose totals
+    are accumulated like those of segments; this counts the rows of all segments first.
     """
     cols, names = df.columns, list(aggs)
     how = {n: a[0] for n, a in aggs.items()}
@@ -39,16 +55,19 @@ def running(df: DataFrame, keys: list[str], aggs: dict, segment_us: int, order=(
                          **{f"_v_{n}": a[1] for n, a in aggs.items()}})
     if written:
         df = stage(df, "running")
-    totals = df.groupBy("_key", "_seg").agg(*[F.expr(f"{how[n]}(_v_{n}) AS _c_{n}") for n in names])
-    earlier = "(PARTITION BY _key ORDER BY _seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    carry = totals.selectExpr("_key", "_seg", *[f"{how[n]}(_c_{n}) OVER {earlier} AS _c_{n}" for n in names])
+    part = ["_key", "_seg"]
+    if piece_rows is not None:
+        part, df = [*part, "_piece"], with_pieces(df, piece_rows, order)
+    totals = df.groupBy(*part).agg(*[F.expr(f"{how[n]}(_v_{n}) AS _c_{n}") for n in names])
+    earlier = f"(PARTITION BY _key ORDER BY {', '.join(part[1:])} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carry = totals.selectExpr(*part, *[f"{how[n]}(_c_{n}) OVER {earlier} AS _c_{n}" for n in names])
 
     def inside(n):
         last = "1 PRECEDING" if len(aggs[n]) == 3 else "CURRENT ROW"
-        return f"(PARTITION BY _key, _seg ORDER BY {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND {last})"
+        return f"(PARTITION BY {', '.join(part)} ORDER BY {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND {last})"
 
-    rows = df.selectExpr(*cols, "_key", "_seg", *[f"{how[n]}(_v_{n}) OVER {inside(n)} AS _r_{n}" for n in names])
-    out = rows.join(carry, ["_key", "_seg"])
+    rows = df.selectExpr(*cols, *part, *[f"{how[n]}(_v_{n}) OVER {inside(n)} AS _r_{n}" for n in names])
+    out = rows.join(carry, part)
     return out.selectExpr(*[x for x in cols if x not in names], *[_combined(how[n], n) for n in names])
 
 

@@ -180,7 +180,8 @@ def top1_before(queries: DataFrame, memory: DataFrame, cfg: Config, id_col: str
     asked = queries.select(c(id_col).alias("id"), "t_us", unit(c("vec").cast("array<double>")).alias("vec"))
     timeline = firsts.select(c("stored_us").alias("t_us"), c("entry_id").alias("id"), F.lit(1).alias("turn"), one.alias("entry"), zero.alias("query"), "vec") \
         .unionByName(asked.select("t_us", "id", F.lit(0).alias("turn"), zero.alias("entry"), one.alias("query"), "vec")).withColumn("all", F.lit(0))
-    placed = stage(running(timeline, ["all"], {"before": ("sum", c("entry")), "at": ("sum", c("query"))}, cfg.segment_us, ("t_us", "id", "turn")), "memory-timeline")
+    placed = stage(running(timeline, ["all"], {"before": ("sum", c("entry")), "at": ("sum", c("query"))}, cfg.segment_us, ("t_us", "id", "turn"),
+                           piece_rows=cfg.block_rows), "memory-timeline")
     blocks = placed.filter("turn = 0 AND before > 0").select("id", "vec", "before", F.expr(f"cast((at - 1) div {tile} as int)").alias("_block"))
     last = F.expr(f"cast((before - 1) div {tile} as int)")
     grid = blocks.groupBy("_block").agg(F.max(last).alias("_last")).select("_block", F.explode(F.sequence(F.lit(0), "_last")).alias("_tile"))
@@ -294,7 +295,7 @@ def correlate_before(vectors: DataFrame, window_us: int, cfg: Config, tile_rows:
     line = rows.withColumn("turn", F.lit(0)).withColumn("one", one).unionByName(ends, allowMissingColumns=True).withColumn("all", F.lit(0))
     # a window ends after everything at its last moment
     line = line.withColumn("_id", F.when(c("turn") == 0, c("event_id")).otherwise(F.lit(2 ** 63 - 1)))
-    placed = running(line, ["all"], {"at": ("sum", c("one"))}, cfg.segment_us, ("t_us", "_id", "event_id", "turn"))
+    placed = running(line, ["all"], {"at": ("sum", c("one"))}, cfg.segment_us, ("t_us", "_id", "event_id", "turn"), piece_rows=cfg.block_rows)
     placed = stage(placed.select("event_id", "ip", "t_us", "turn", "vec", "at"), "correlation-timeline")
     shown = stage(running(placed.filter("turn = 0").drop("turn"), ["ip"], {"rn": ("sum", one)}, cfg.segment_us), "correlation-shown")
     after = shown.select("ip", (c("rn") - 1).alias("rn"), (c("at") - 1).alias("until"))

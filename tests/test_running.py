@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from reqguard.operators.running import block_window, rank_blocks, running
+from reqguard.operators.running import block_window, rank_blocks, running, with_pieces
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +64,26 @@ def test_a_flood_of_one_key_in_one_second(spark):
     rows = spark.range(100_000).select(F.col("id").alias("event_id"), (F.col("id") * 10).alias("t_us"), F.lit("hot").alias("key"))
     got = running(rows, ["key"], {"n": ("sum", F.lit(1))}, 50_000)
     assert got.filter("n <> event_id + 1").count() == 0 and got.count() == 100_000
+
+
+@pytest.mark.parametrize("piece", [7, 60, 10_000])
+def test_pieces_of_crowded_segments_give_the_same(rows, piece):
+    def cumulated(**options):
+        out = running(rows, ["key"], {"total": ("sum", F.col("v")), "low_before": ("min", F.col("v"), "before"), "last": ("max", F.struct("t_us", "event_id"))},
+                      300, **options)
+        return sorted(map(tuple, out.collect()), key=repr)
+
+    assert cumulated(piece_rows=piece) == cumulated()
+
+
+def test_a_flood_of_one_key_in_one_second_lies_in_bounded_pieces(spark):
+    n, bound = 100_000, 4096
+    rows = spark.range(n).select(F.col("id").alias("event_id"), (F.lit(5_000_000) + F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("t_us"),
+                                 F.lit("flood").alias("key"), (F.col("id") % 5).alias("v"))
+    rows = rows.unionByName(spark.range(50).select((F.col("id") + n).alias("event_id"), (F.col("id") * 1_000_000).alias("t_us"), F.lit("calm").alias("key"), F.lit(1).alias("v")))
+    marked = rows.withColumns({"_key": F.struct("key"), "_seg": F.expr("t_us div 60000000")})
+    sizes = with_pieces(marked, bound, ("t_us", "event_id")).groupBy("_key", "_seg", "_piece").count().collect()
+    assert max(r["count"] for r in sizes) <= bound and sum(r["count"] for r in sizes) == n + 50
+    got = running(rows, ["key"], {"rn": ("sum", F.lit(1).cast("long")), "total": ("sum", F.col("v"))}, 60_000_000, piece_rows=bound)
+    last = got.groupBy("key").agg(F.max("rn").alias("rn"), F.count_distinct("rn").alias("n"), F.max_by("total", F.struct("t_us", "event_id")).alias("total")).collect()
+    assert {r["key"]: (r["rn"], r["n"], r["total"]) for r in last} == {"flood": (n, n, 2 * n), "calm": (50, 50, 50)}
