@@ -13,7 +13,7 @@ from reqguard.operators.graph import components
 from reqguard.operators.memory import newest
 from reqguard.operators.running import running
 from reqguard.operators.tiles import TILE_ROWS, sides, spanning_edges, tile_pairs
-from reqguard.session import stage
+from reqguard.session import sent, stage
 
 
 # ------------------------------------------------------------------ vectors
@@ -158,7 +158,7 @@ def _nearest_before(queries: pa.Table, entries: pa.Table) -> pa.Table:
 
 def matrix(vectors) -> np.ndarray:
     """Vectors of equal length as rows."""
-    flat = vectors.combine_chunks().flatten().to_numpy()
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(vectors), -1)
 
 
@@ -234,12 +234,90 @@ def _compare(threshold: float):
     return run
 
 
-def _compared(actors: DataFrame, threshold: float, tile_rows: int, group: str | None = None) -> tuple[DataFrame, DataFrame]:
+#: Pivots by which distinct vectors are dealt into cells: at most so many, so that all pairs of cells can be looked at.
+PIVOTS = 1024
+#: Rounding of angles, which must not rule anything out.
+SLACK = 1e-6
+
+
+def in_cells(rows: DataFrame, tile_rows: int) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct vectors (vid, vec, others) with the cell of their nearest pivot, its tile of at most about tile_rows and
+    the cell's tiles; the angles between pivots, the largest angle in each cell, and its first tile (one more at the end).
+
+    Pivots are the vectors of the smallest ids, one for each tile that there will be.
+    """
+    n = rows.count()
+    pivots = rows.orderBy("vid").select("vec").limit(max(1, min(PIVOTS, -(-n // tile_rows)))).collect()  # bounded
+    p = np.array([r["vec"] for r in pivots], dtype=float).reshape(len(pivots), -1)
+    names = rows.columns
+    shared = sent(rows.sparkSession, p)
+
+    def near(batches):
+        for batch in batches:
+            v = matrix(pa.chunked_array([batch.column(names.index("vec"))])) if batch.num_rows else np.zeros((0, shared().shape[1]))
+            s = v @ shared().T
+            cell = s.argmax(axis=1)
+            angle = np.arccos(np.clip(s[np.arange(len(s)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(angle, pa.float64())], names=[*names, "cell", "angle"])
+
+    schema = rows.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("angle")).schema
+    placed = stage(rows.mapInArrow(near, schema), "cells")
+    size, radius = np.zeros(len(p), np.int64), np.zeros(len(p))
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():  # a row for each pivot
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
+    tiles = -(-size // tile_rows)
+    first = np.concatenate([[0], np.cumsum(tiles)])
+    counts, starts = (F.get(F.lit(np.asarray(x, dtype=np.int64)), F.col("cell")) for x in (np.maximum(tiles, 1), first[:-1]))
+    placed = placed.withColumn("tile", (starts + F.pmod(F.xxhash64("vid"), counts)).cast("int"))
+    return placed, np.arccos(np.clip(p @ p.T, -1, 1)), radius, first
+
+
+def least_angles(between: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """A bound from below on the angle of any two vectors of two cells, by the triangle inequality."""
+    bound = between - radius[:, None] - radius[None, :]
+    np.fill_diagonal(bound, 0.0)
+    return np.maximum(bound, 0.0)
+
+
+def meetings(placed: DataFrame, first: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    """Vectors sent to the pairs of tiles (``_i`` <= ``_j``) whose cells are to meet."""
+    partners = [(i, [t for j in np.flatnonzero(wanted[i]) for t in range(int(first[j]), int(first[j + 1]))]) for i in range(len(wanted))]
+    table = placed.sparkSession.createDataFrame(partners, "cell int, others array<int>")
+    rows = placed.join(table, "cell").select("vid", "vec", "n", "g", "tile", F.explode("others").alias("_t"))
+    return rows.select("vid", "vec", "n", "g", F.least("tile", "_t").alias("_i"), F.greatest("tile", "_t").alias("_j"),
+                       (F.col("tile") <= F.col("_t")).alias("_left"), (F.col("tile") >= F.col("_t")).alias("_right"))
+
+
+def _by_cells(rows: DataFrame, threshold: float, tile_rows: int, maxima: bool) -> DataFrame:
+    """What the comparisons found. Pairs of cells that lie too far apart for the threshold are left out; for the maxima,
+    those follow that lie nearer than the best that some vector of either cell has found by then."""
+    def compared(pairs):
+        return stage(pairs.groupBy("g", "_i", "_j").applyInPandas(_compare(threshold), _FOUND), "similar")
+
+    if rows.isEmpty():
+        return rows.sparkSession.createDataFrame([], _FOUND)
+    placed, between, radius, first = in_cells(rows, tile_rows)
+    bound = least_angles(between, radius)
+    wanted = bound <= np.arccos(np.clip(threshold, -1, 1)) + SLACK
+    found = compared(meetings(placed, first, wanted))
+    if not maxima or wanted.all():
+        return found
+    best = found.filter("a = b").groupBy(F.col("a").alias("vid")).agg(F.max("best").alias("best"))
+    farthest = np.zeros(len(bound))
+    for r in placed.select("vid", "cell").join(best, "vid", "left").groupBy("cell").agg(F.min(F.coalesce("best", F.lit(-1.0))).alias("least")).collect():
+        farthest[r["cell"]] = np.arccos(np.clip(r["least"], -1, 1))
+    later = ~wanted & (bound <= np.maximum(farthest[:, None], farthest[None, :]) + SLACK)
+    return found.unionByName(compared(meetings(placed, first, later))) if later.any() else found
+
+
+def _compared(actors: DataFrame, threshold: float, tile_rows: int, group: str | None = None, maxima: bool = False) -> tuple[DataFrame, DataFrame]:
     """(actors with ``vid``, what the tile comparisons found); equal vectors of a group are compared once."""
     text_of = F.array_join(F.transform("vec", lambda x: x.cast("string")), ",")
     own = actors.withColumn("g", F.col(group) if group else F.lit(0))
     tagged = stage(own.withColumn("vid", F.xxhash64("g", text_of)), "actors")
     rows = tagged.groupBy("vid").agg(F.first("vec").alias("vec"), F.first("g").alias("g"), F.count("*").alias("n"))
+    if group is None:
+        return tagged, _by_cells(stage(rows, "vectors"), threshold, tile_rows, maxima)
     pairs = tile_pairs(rows, ["g"], "vid", tile_rows)
     return tagged, stage(pairs.groupBy("g", "_i", "_j").applyInPandas(_compare(threshold), _FOUND), "similar")
 
@@ -249,9 +327,10 @@ def correlate(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows
 
     Exact. With a group column (kept in the result), actors are compared within each group, all groups in one job. Actors
     with equal vectors are compared once; the distinct vectors are compared tile by tile as matrix products, which return
-    one row per vector and tile.
+    one row per vector and tile. Without a group, tiles lie in cells around pivots, and the angles between pivots rule out
+    pairs of cells whose vectors can neither be similar nor hold a vector's maximum.
     """
-    tagged, found = _compared(actors, threshold, tile_rows, group)
+    tagged, found = _compared(actors, threshold, tile_rows, group, maxima=True)
     best = found.filter("a = b").groupBy(F.col("a").alias("vid")).agg(F.max("best").alias("best"), F.sum("twins").alias("twins"))
     copies = tagged.groupBy("vid").agg(F.count("*").alias("n"), F.first("vec").alias("v")).select(
         "vid", "n", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("self"))
@@ -317,7 +396,8 @@ def correlate_before(vectors: DataFrame, window_us: int, cfg: Config, tile_rows:
 def campaigns(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(ip, campaign): actors linked by chains of similar vectors; a campaign is named after its first member ip.
 
-    Comparing two tiles returns only as many links as connect what is similar there, not every similar pair.
+    Comparing two tiles returns only as many links as connect what is similar there, not every similar pair; tiles of cells
+    that lie too far apart are not compared.
     """
     c = F.col
     tagged, found = _compared(actors, threshold, tile_rows)

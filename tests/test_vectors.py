@@ -134,3 +134,31 @@ def test_correlation_sees_only_what_stood_before(spark, tile, window):
                 last[m[1]] = m
         want = max([cosine(v, m[3]) for m in last.values() if m[2] >= t - window], default=0.0)
         assert got[e] == pytest.approx(want)
+
+
+def test_far_cells_do_not_meet(spark):
+    """Tight groups in many directions: most pairs of cells are ruled out, and the results are those of all pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(30, 6))
+    x = np.vstack([b / np.linalg.norm(b) + rng.normal(scale=0.02, size=(20, 6)) for b in base] + [rng.normal(size=(5, 6))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"ip{i:03d}", i, i, [float(v) for v in r]) for i, r in enumerate(x)], "ip string, t_us long, event_id long, vec array<double>")
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    got = {r["ip"]: r for r in V.correlate(V.latest_vectors(df), 0.95, 10).collect()}
+    for i in range(len(x)):
+        assert got[f"ip{i:03d}"]["max_similarity"] == pytest.approx(max(s[i].max(), 0))
+        assert got[f"ip{i:03d}"]["peers"] == (s[i] > 0.95).sum()
+    rows = V.latest_vectors(df).select(F.xxhash64("ip").alias("vid"), "vec", F.lit(1).alias("n"), F.lit(0).alias("g"))
+    placed, between, radius, first = V.in_cells(rows, 10)
+    wanted = V.least_angles(between, radius) <= np.arccos(0.95)
+    assert first[-1] >= len(x) // 10 and wanted.mean() < 0.5
+    met = V.meetings(placed, first, wanted).count()
+    assert met < 0.5 * len(x) * first[-1]
+    cell = {r["vid"]: r["cell"] for r in placed.collect()}
+    ids = [r["vid"] for r in rows.orderBy("vid").collect()]
+    at = {r["vid"]: np.array(r["vec"]) for r in placed.collect()}
+    bound = V.least_angles(between, radius)
+    for a in ids[::7]:
+        for b in ids[::5]:
+            assert np.arccos(np.clip(at[a] @ at[b], -1, 1)) >= bound[cell[a], cell[b]] - 1e-6
