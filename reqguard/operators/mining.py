@@ -168,36 +168,102 @@ def cluster_sizes(clusters: DataFrame, min_confidence: float = 0.3) -> DataFrame
     return sizes.filter(F.col("confidence") >= min_confidence)
 
 
+class Substrings:
+    """The suffix automaton of a text: each state stands for strings that end at the same places of it, the longest of
+    `size` characters, and `end` is the first such place. Built in linear time."""
+
+    def __init__(self, text_: str):
+        self.text, self.moves, self.link, self.size, self.end = text_, [{}], [-1], [0], [-1]
+        last = 0
+        for at, c in enumerate(text_):
+            new = self._state({}, self.size[last] + 1, 0, at)
+            p = last
+            while p >= 0 and c not in self.moves[p]:
+                self.moves[p][c] = new
+                p = self.link[p]
+            if p >= 0:
+                q = self.moves[p][c]
+                if self.size[p] + 1 < self.size[q]:
+                    copy = self._state(dict(self.moves[q]), self.size[p] + 1, self.link[q], self.end[q])
+                    while p >= 0 and self.moves[p].get(c) == q:
+                        self.moves[p][c] = copy
+                        p = self.link[p]
+                    self.link[q] = copy
+                    q = copy
+                self.link[new] = q
+            last = new
+        self.longest_first = sorted(range(1, len(self.size)), key=lambda v: -self.size[v])
+
+    def _state(self, moves, size, link, end):
+        for values, x in ((self.moves, moves), (self.size, size), (self.link, link), (self.end, end)):
+            values.append(x)
+        return len(self.size) - 1
+
+    def matched(self, other: str) -> list[int]:
+        """For each state, the length of its longest string that the other text contains; linear in both texts."""
+        best, state, n = [0] * len(self.size), 0, 0
+        for c in other:
+            while state and c not in self.moves[state]:
+                state = self.link[state]
+                n = self.size[state]
+            if c in self.moves[state]:
+                state, n = self.moves[state][c], n + 1
+            best[state] = max(best[state], n)
+        for v in self.longest_first:
+            if best[v] and self.link[v] > 0:  # with a string, all its endings are contained
+                best[self.link[v]] = self.size[self.link[v]]
+        return best
+
+    def ending(self, state: int, n: int) -> str:
+        """The string of n characters that a state stands for."""
+        return self.text[self.end[state] + 1 - n:self.end[state] + 1]
+
+
 def shared_lengths(seed: str, payload: str) -> list[int]:
     """For each position of seed, the length of the longest text starting there that payload contains."""
-    out, n = [], 0
-    for at in range(len(seed)):
-        n = max(n - 1, 0)
-        while at + n < len(seed) and seed[at:at + n + 1] in payload:
-            n += 1
+    own = Substrings(payload[::-1])
+    out, state, n = [], 0, 0
+    for c in reversed(seed):
+        while state and c not in own.moves[state]:
+            state = own.link[state]
+            n = own.size[state]
+        if c in own.moves[state]:
+            state, n = own.moves[state][c], n + 1
         out.append(n)
-    return out
+    return out[::-1]
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _shared(seed: pd.Series, payload: pd.Series) -> pd.Series:
-    return pd.Series([shared_lengths(s, p) for s, p in zip(seed, payload)])
+def _matched(seed: pd.Series, payload: pd.Series) -> pd.Series:
+    of_seed, out = {}, []  # rows of a batch share few seeds
+    for s, p in zip(seed, payload):
+        if s not in of_seed:
+            of_seed = {**of_seed, s: Substrings(s)} if len(of_seed) < 8 else {s: Substrings(s)}
+        out.append(of_seed[s].matched(p))
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.StringType())
+def _first_text(seed: pd.Series, states: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([min(Substrings(s).ending(v, k) for v in vs) for s, vs, k in zip(seed, states, n)])
 
 
 def cluster_cores(members: DataFrame, min_chars: int = 7) -> DataFrame:
     """(cluster, core): the longest text that all payloads of a cluster contain, the first one in order on ties.
 
-    Any such text is part of the cluster's shortest payload. Every payload yields, per position of that one, how far it
-    agrees; the minimum over the cluster is aggregated position by position, partially before the shuffle.
+    Any such text is part of the cluster's shortest payload, its seed. Every payload runs through the seed's automaton, in
+    linear time, and yields how much of each state it has; the minimum over the cluster is aggregated state by state,
+    partially before the shuffle. A state that some payload lacks drops out by its count.
     """
     c = F.col
-    seeds = members.groupBy("cluster").agg(F.min(F.struct(F.length("payload"), "payload"))["payload"].alias("seed"))
-    rows = members.join(seeds, "cluster").select("cluster", "seed", F.posexplode(_shared("seed", "payload")).alias(
-        "at", "n"))
-    agree = rows.groupBy("cluster", "seed", "at").agg(F.min("n").alias("n"))
-    texts = agree.select("cluster", "n", F.substring("seed", c("at") + 1, c("n")).alias("core"))
-    best = texts.groupBy("cluster").agg(F.min(F.struct((-c("n")).alias("rank"), "core"))["core"].alias("core"))
-    return best.filter(F.length("core") >= min_chars)
+    seeds = stage(members.groupBy("cluster").agg(F.min(F.struct(F.length("payload"), "payload"))["payload"].alias("seed"),
+                                                 F.count("*").alias("payloads")), "seeds")
+    rows = members.join(seeds, "cluster").select("cluster", F.posexplode(_matched("seed", "payload")).alias("state", "n")).filter("n > 0")
+    shared = rows.groupBy("cluster", "state").agg(F.min("n").alias("n"), F.count("*").alias("found")).filter(c("n") >= min_chars)
+    whole = shared.join(seeds, "cluster").filter(c("found") == c("payloads"))
+    best = whole.groupBy("cluster").agg(F.max("n").alias("n"))
+    longest = whole.join(best, ["cluster", "n"]).groupBy("cluster", "n").agg(F.collect_list("state").alias("states"))
+    return longest.join(seeds, "cluster").select("cluster", _first_text("seed", "states", "n").alias("core"))
 
 
 def mine_rules(payloads: DataFrame, eps: float = C.CLUSTER_EPS, min_samples: int = C.CLUSTER_MIN_SAMPLES) -> DataFrame:

@@ -117,3 +117,32 @@ def test_evolution_gate(spark):
     rows += [(1_300_000_000, i, "short") for i in range(20)]
     df = spark.createDataFrame(rows, "t_us long, event_id long, payload string")
     assert [r["period_us"] for r in FB.evolution_gate(df).collect()] == [0]
+
+
+def test_cores_equal_a_search_of_all_substrings(spark):
+    import random
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        base = "".join(rng.choice("abc=%") for _ in range(rng.randint(3, 12)))
+        rows += [(k, "".join(rng.choice("ab=") for _ in range(rng.randint(0, 9))) + base + "".join(rng.choice("bc%") for _ in range(rng.randint(0, 30))))
+                 for _ in range(rng.randint(1, 9))]
+    rows = sorted(set(rows))
+    got = {r["cluster"]: r["core"] for r in MI.cluster_cores(spark.createDataFrame(rows, "cluster long, payload string"), 4).collect()}
+    want = {}
+    for k in range(12):
+        mine = sorted((p for c, p in rows if c == k), key=len)
+        found = {mine[0][i:j] for i in range(len(mine[0])) for j in range(i + 4, len(mine[0]) + 1)}
+        found = {x for x in found if all(x in p for p in mine)}
+        if found:
+            want[k] = min(found, key=lambda x: (-len(x), x))
+    assert got == want and len(want) > 5
+
+
+def test_long_payloads_take_linear_time():
+    import time
+    text = "ab" * 20_000 + "c"
+    start = time.process_time()
+    assert max(MI.Substrings(text).matched("xx" + text[::-1])) == 39_999
+    assert sum(MI.shared_lengths(text, text[1:])) > 0
+    assert time.process_time() - start < 10
