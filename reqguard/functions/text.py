@@ -86,9 +86,16 @@ def trigram_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def path_numbers(path: Column) -> Column:
-    """Numbers that directly follow a slash, as decimals (up to 38 digits)."""
-    return F.filter(F.transform(F.regexp_extract_all(path, F.lit(r"/(\d+)"), 1), lambda s: s.try_cast("decimal(38,0)")),
-                    lambda d: d.isNotNull())
+    """Numbers that directly follow a slash, as digits without leading zeros, however many there are."""
+    return F.transform(F.regexp_extract_all(path, F.lit(r"/(\d+)"), 1), lambda s: F.regexp_replace(s, r"^0+(?=\d)", ""))
+
+
+def predecessor(digits: Column) -> Column:
+    """The number before one given by `path_numbers`; something that is no number before 0."""
+    last = r"^(\d*)([1-9])(0*)$"  # the last digit that is not 0, and the zeros behind it, which become nines
+    part = lambda i: F.regexp_extract(digits, last, i)
+    less = F.concat(part(1), (part(2).cast("int") - 1).cast("string"), F.translate(part(3), "0", "9"))
+    return F.when(digits == "0", "none").otherwise(F.regexp_replace(less, r"^0+(?=\d)", ""))
 
 
 def failed_login(method: Column, path: Column, payload: Column) -> Column:

@@ -58,7 +58,7 @@ def presence_changes(requests: DataFrame, key: str, window_us: int) -> DataFrame
     values = F.array(*[F.struct(F.lit(what).alias("what"), c(column).alias("value")) for what, column in
                        (("endpoint", "endpoint"), ("session", "session_id"), ("agent", "user_agent"))])
     numbers = F.transform(text.path_numbers(c("endpoint")),
-                          lambda n: F.struct(F.lit("number").alias("what"), n.cast("string").alias("value")))
+                          lambda n: F.struct(F.lit("number").alias("what"), n.alias("value")))
     seen = (requests.select(c(key).alias("key"), "t_us", "event_id", F.explode(F.concat(values, numbers)).alias("v"))
             .filter(F.col("v.value").isNotNull() & ((c("v.value") != "") | (c("v.what") == "endpoint")))
             .select("key", "t_us", "event_id", "v.what", "v.value"))
@@ -76,9 +76,8 @@ def presence_changes(requests: DataFrame, key: str, window_us: int) -> DataFrame
               .filter(c("b").isNotNull()).select("key", "what", "value", "b.*"))
     plain = bounds.filter(c("what") != "number")
     # neighbouring numbers n and n + 1 are both present while the two have arrived and neither has left
-    n = c("value").cast("decimal(38,0)")
     pairs = (bounds.filter(c("what") == "number")
-             .withColumn("low", F.explode(F.array(n, n - 1))))
+             .withColumn("low", F.explode(F.array(c("value"), text.predecessor(c("value"))))))
     wp = (Window.partitionBy("key", "low").orderBy("at", "phase", "event_id")
           .rowsBetween(Window.unboundedPreceding, 0))
     both = pairs.withColumn("present", F.sum("step").over(wp)).filter(

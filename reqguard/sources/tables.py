@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqguard.sources import schemas  # noqa: F401  (re-exported for callers)
-
 
 def latest_per_key(df: DataFrame, keys: list[str], order=("t_us", "event_id")) -> DataFrame:
     """Newest row per key, by aggregation: each task sends one row per key to the shuffle."""
@@ -17,10 +15,10 @@ def upsert(state: DataFrame, changes: DataFrame, keys: list[str], order=("t_us",
            created: str = "created_us") -> DataFrame:
     """Replace rows by their newest change but keep the first ``created`` value."""
     cols = state.columns
-    both = state.unionByName(changes.select(*cols))
-    first = both.groupBy(*keys).agg(F.min(created).alias("_first"))
-    newest = latest_per_key(both, keys, order)
-    return newest.join(first, keys).withColumn(created, F.col("_first")).select(*cols)
+    rest = [c for c in cols if c not in keys]
+    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    rows = state.unionByName(changes.select(*cols)).groupBy(*keys).agg(F.min(created).alias("_first"), newest)
+    return rows.select(*[F.col("_first" if c == created else c if c in keys else f"_row.{c}").alias(c) for c in cols])
 
 
 def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

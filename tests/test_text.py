@@ -87,3 +87,14 @@ def test_cold_anomaly(spark):
     df = spark.createDataFrame([(0.5, 0.5, 10.0), (0.51, 0.0, 0.0), (0.6, 0.6, 0.0), (0.6, 0.6, 11.0)], "a double, b double, d double")
     got = [r[0] for r in df.select(scoring.cold_anomaly(F.col("a"), F.col("b"), F.col("d"))).collect()]
     assert got == pytest.approx([0.0, 0.4, 0.8, 1.0])
+
+
+def test_numbers_of_any_length_have_neighbours(spark):
+    big = 10 ** 45
+    rows = [(i, str(n)) for i, n in enumerate([1, 10, 100, 101, 7, big, big + 1, 9 * big, 10 ** 38, 123456789012345678901234567890123456789000])]
+    df = spark.createDataFrame(rows, "id long, digits string")
+    got = {r["digits"]: r["before"] for r in df.withColumn("before", text.predecessor(F.col("digits"))).collect()}
+    assert got == {d: str(int(d) - 1) for _, d in rows}
+    path = spark.createDataFrame([(f"/a/007/{big}/x/0/000/b12",)], "path string")
+    assert path.select(text.path_numbers(F.col("path"))).first()[0] == ["7", str(big), "0", "0"]
+    assert df.limit(1).select(text.predecessor(F.lit("0"))).first()[0] == "none"
