@@ -216,9 +216,10 @@ def pairs_apart(marked: DataFrame) -> DataFrame:
 
 
 def with_enough_common(lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, na, nb), those with as many common prefix shingles as a link has at least."""
+    """Of pairs (a, b, na, nb), those with as many common prefix shingles as a link has at least. The prefixes of the nodes
+    in some pair are written once, as both sides of the pairs read them."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    shown = lists.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    shown = stage(lists.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens")), "jaccard-prefixes")
     sa, sb = (shown.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     both = pairs.join(sa, "a").join(sb, "b").withColumn("met", F.size(F.array_intersect("ta", "tb")))
     return both.filter(F.col("met") >= fewest_common(F.col("na"), F.col("nb"))).select("a", "b")
