@@ -7,6 +7,7 @@ import unicodedata
 import uuid
 from array import array
 from dataclasses import dataclass
+from itertools import chain
 from string import punctuation
 
 import numpy as np
@@ -15,12 +16,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reqguard.llm.align import byte_alphabet
 from reqguard.llm.bpe import chunks
 from reqguard.llm.stage import sent, stage
 from reqguard.session import shared_dir
 
 #: Bytes of text that go to one shard, what a row counts besides its text, bytes of text encoded at once, bytes of words that a task remembers with their ids.
 SHARD, ROW, CHUNK, REMEMBERED = 32 << 20, 64, 1 << 20, 96 << 20
+#: What a remembered word takes besides its letters and ids, in bytes.
+EACH = 150
 #: Keys in one part of the index, and bits of a level of its hash for each key that comes to it.
 PART_KEYS, SPARSE = 8192, 2
 #: Payload read from a shard at once.
@@ -42,15 +46,26 @@ class WordEncoder:
         self.load()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.last = {t[-1] for t in self.specials}
+        # plain words go to the model itself where that comes to the same
+        probe = ["Word", "mot", "ÉTÉ", "ñandú", "Straße", "łódź", "a", "Ωmega"[1:]]
+        whole = [x.ids for x in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
+        self.direct = True
+        try:
+            self.direct = [self.directly(w) for w in probe] == whole
+        except Exception:  # a model of another kind
+            self.direct = False
 
     def load(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(self.json)
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_alphabet().items()}
         self.forget()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("tokenizer", "known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("tokenizer", "model", "known")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -58,7 +73,7 @@ class WordEncoder:
 
     def forget(self, keep=()):
         self.known = {w: self.known[w] for w in keep} if keep else {}
-        self.size = sum(len(w) + len(ids) + 150 for w, ids in self.known.items())
+        self.size = sum(map(len, self.known)) * 2 + EACH * len(self.known)
 
     def raw(self, ids: list[int]) -> bytes:
         """Ids as little-endian unsigned integers."""
@@ -82,24 +97,46 @@ class WordEncoder:
         """The word, or what comes before its last run of punctuation and that run, if a letter or digit stands between:
         the tokenizer's pattern always cuts there."""
         base = word.rstrip(punctuation)
-        if base and len(base) < len(word) and (base[-1].isalpha() or base[-1].isdecimal()) and not any(s in word for s in self.specials):
-            return [base, word[len(base):]]
-        return [word]
+        if len(base) == len(word) or not base or not (base[-1].isalpha() or base[-1].isdecimal()):
+            return [word]
+        if word[-1] in self.last and any(s in word for s in self.specials):
+            return [word]
+        return [base, word[len(base):]]
+
+    def is_plain(self, word: str) -> bool:
+        """Whether the normalizer only makes its letters small and the pattern leaves it whole: Latin letters that are
+        composed and have one small form each."""
+        return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+    def directly(self, word: str) -> list[int]:
+        """The ids of a plain word, from the tokenizer's model, which reads bytes as letters of its own."""
+        small = word.lower()
+        if not small.isascii():
+            small = "".join(map(self.letters.__getitem__, small.encode()))
+        return [t.id for t in self.model.tokenize(small)]
+
+    def learn(self, new: list[str]) -> None:
+        other = []
+        for w in new:
+            if self.direct and self.is_plain(w):
+                self.known[w] = self.raw(self.directly(w))
+            else:
+                other.append(w)
+        made = self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else []
+        self.known.update(zip(other, [self.raw(x.ids) for x in made]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The raw ids of each text; none for null."""
         words = [self.words(t) if t else [] for t in texts]
-        distinct = dict.fromkeys(w for ws in words for w in ws)
+        distinct = dict.fromkeys(chain.from_iterable(words))
         parts = {w: self.parts(w) for w in distinct if w not in self.known}
-        new = [p for p in dict.fromkeys(p for ps in parts.values() for p in ps) if p not in self.known]
+        new = [p for p in dict.fromkeys(chain.from_iterable(parts.values())) if p not in self.known]
         if new:
-            made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update(zip(new, [self.raw(x.ids) for x in made]))
-            self.size += sum(len(w) + len(self.known[w]) + 150 for w in new)
+            self.learn(new)
         for w, ps in parts.items():
             if len(ps) > 1:
-                self.known[w] = b"".join(map(self.known.__getitem__, ps))
-                self.size += len(w) + len(self.known[w]) + 150
+                self.known[w] = self.known[ps[0]] + self.known[ps[1]]
+        self.size += 2 * sum(map(len, parts)) + EACH * (len(parts) + len(new))
         get = self.known.__getitem__
         out = [b"".join(map(get, ws)) for ws in words]
         if self.size > REMEMBERED:

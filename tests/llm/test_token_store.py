@@ -123,3 +123,13 @@ def test_keys_that_are_not_there(spark, documents):
     assert len(rows) == 12 and {(r.doc_id, r.copy) for r in rows if r.shard is not None} == {(0, 0), (1, 0), (5, 0)}
     assert {r.doc_id for r in ts.lookup(store, asked).collect()} == {0, 1, 5}
     assert store.width == 2
+
+
+def test_plain_words_from_the_model_equal_the_library(library):
+    e = ts.WordEncoder(WORDS)
+    assert e.direct
+    letters = [chr(i) for i in range(0x250) if chr(i).isalpha()]
+    words = [c for c in letters] + [f"a{c}B{d}" for c, d in zip(letters, letters[7:] + letters[:7])]
+    plain = [w for w in words if e.is_plain(w)]
+    assert len(plain) > 0.99 * len(words)
+    assert [e.directly(w) for w in plain] == [x.ids for x in library.encode_batch(plain, add_special_tokens=False)]
