@@ -233,6 +233,7 @@ def aligned(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
                 linked = [links[x:y].tobytes() if ok else b"" for ok, x, y in zip(right, ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *(pa.array(facts[:, i]) for i in range(3)),
                                                   pa.array(shown), pa.array(linked, pa.binary())], names=schema.names)
+        al.forget()  # a worker goes on to other jobs
 
     return docs.mapInArrow(run, schema)
 

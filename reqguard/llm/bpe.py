@@ -257,5 +257,6 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha256(x).hexdigest() for x in ids]),
                      pa.array([sha256(e.decode(x)).hexdigest() for x in ids])], names=schema.names)
+        e.forget()  # a worker goes on to other jobs
 
     return docs.mapInArrow(run, schema)

@@ -211,6 +211,7 @@ def write_shards(docs: DataFrame, encoder: WordEncoder, end_id: int, folder: str
                     yield pa.RecordBatch.from_arrays([pa.array([shard] * (b - a), pa.int32()), pa.array([name] * (b - a)), ids.slice(a, b - a),
                                                       pa.array(ends - sizes), pa.array(sizes), pa.array(copies)], names=schema.names)
         finally:
+            e.forget()  # a worker goes on to other jobs
             if out is not None:
                 out.close()
 
