@@ -22,7 +22,7 @@ from reqguard.llm.stage import sent, stage
 from reqguard.session import shared_dir
 
 #: Bytes of text that go to one shard, what a row counts besides its text, bytes of text encoded at once, bytes of words that a task remembers with their ids.
-SHARD, ROW, CHUNK, REMEMBERED = 32 << 20, 64, 1 << 20, 96 << 20
+SHARD, ROW, CHUNK, REMEMBERED = 48 << 20, 64, 1 << 20, 160 << 20
 #: What a remembered word takes besides its letters and ids, in bytes.
 EACH = 150
 #: Keys in one part of the index, and bits of a level of its hash for each key that comes to it.
@@ -32,6 +32,7 @@ READ = 8 << 20
 #: What the word tokenizer's pattern counts as white space, but the marks \x1c to \x1f, at which Python splits too.
 MARKS = ("\x1c", "\x1d", "\x1e", "\x1f")
 WORD_SPACE = "[ \\t-\\r]+"
+PUNCTUATION = frozenset(punctuation)
 
 
 # Encoding
@@ -73,7 +74,7 @@ class WordEncoder:
 
     def forget(self, keep=()):
         self.known = {w: self.known[w] for w in keep} if keep else {}
-        self.size = sum(map(len, self.known)) * 2 + EACH * len(self.known)
+        self.size = sum(map(len, self.known)) + EACH * len(self.known)
 
     def raw(self, ids: list[int]) -> bytes:
         """Ids as little-endian unsigned integers."""
@@ -129,14 +130,16 @@ class WordEncoder:
         """The raw ids of each text; none for null."""
         words = [self.words(t) if t else [] for t in texts]
         distinct = dict.fromkeys(chain.from_iterable(words))
-        parts = {w: self.parts(w) for w in distinct if w not in self.known}
-        new = [p for p in dict.fromkeys(chain.from_iterable(parts.values())) if p not in self.known]
+        met = [w for w in distinct if w not in self.known]
+        parts = {w: self.parts(w) for w in met if w[-1] in PUNCTUATION}
+        new = dict.fromkeys(w for w in met if w[-1] not in PUNCTUATION)
+        new |= dict.fromkeys(p for p in chain.from_iterable(parts.values()) if p not in self.known)
         if new:
-            self.learn(new)
+            self.learn(list(new))
         for w, ps in parts.items():
             if len(ps) > 1:
                 self.known[w] = self.known[ps[0]] + self.known[ps[1]]
-        self.size += 2 * sum(map(len, parts)) + EACH * (len(parts) + len(new))
+        self.size += sum(map(len, met)) + EACH * (len(parts) + len(new))
         get = self.known.__getitem__
         out = [b"".join(map(get, ws)) for ws in words]
         if self.size > REMEMBERED:
