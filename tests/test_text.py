@@ -98,3 +98,14 @@ def test_numbers_of_any_length_have_neighbours(spark):
     path = spark.createDataFrame([(f"/a/007/{big}/x/0/000/b12",)], "path string")
     assert path.select(text.path_numbers(F.col("path"))).first()[0] == ["7", str(big), "0", "0"]
     assert df.limit(1).select(text.predecessor(F.lit("0"))).first()[0] == "none"
+
+
+def test_ngrams_of_a_long_text_take_linear_time(spark):
+    """A text of 400,000 characters, of which none is one byte: looking for each gram from the start takes minutes."""
+    import time
+
+    df = spark.range(1).select(F.repeat(F.lit("é中\U0001F600"), 133_334).alias("t"))
+    began = time.time()
+    got = {r["gram"]: r["n"] for r in df.select(F.explode(text.ngrams(F.col("t"), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    assert got == {"é中\U0001F600": 133_334, "中\U0001F600é": 133_333, "\U0001F600é中": 133_333}
+    assert time.time() - began < 15
