@@ -1,7 +1,6 @@
 """Behaviour vectors, the memory of known attacks, and correlation between actors."""
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from reqguard.functions import scoring, text
 from reqguard.operators.graph import components
 from reqguard.operators.memory import newest
 from reqguard.operators.running import running
-from reqguard.operators.tiles import TILE_ROWS, sides, spanning_edges, tile_pairs
+from reqguard.operators.tiles import TILE_ROWS, tile_pairs
 from reqguard.session import sent, stage
 
 
@@ -213,24 +212,62 @@ def latest_vectors(vectors: DataFrame, now_us: int | None = None, window_us: int
 _FOUND = "a long, b long, best double, twins long"
 
 
-def _compare(threshold: float):
-    """Compare two tiles: a row (vid, vid, best, twins) per vector, then rows (a, b, -1, 0) for connecting links."""
-    def run(pdf):
-        left, right, same = sides(pdf)
-        ids_a, ids_b = left["vid"].to_numpy(), right["vid"].to_numpy()
-        if not len(ids_a) or not len(ids_b):
-            return pd.DataFrame({"a": [], "b": [], "best": [], "twins": []}).astype("int64")
-        s = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
-        if same:
-            s[ids_a[:, None] == ids_b[None, :]] = -1.0
-        near = s > threshold
-        rows = [pd.DataFrame({"a": ids_a, "b": ids_a, "best": s.max(axis=1), "twins": near @ right["n"].to_numpy()})]
-        if not same:
-            rows.append(pd.DataFrame({"a": ids_b, "b": ids_b, "best": s.max(axis=0),
-                                      "twins": near.T @ left["n"].to_numpy()}))
-        edges = np.array(spanning_edges(ids_a, ids_b, near), dtype=np.int64).reshape(-1, 2)
-        rows.append(pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1], "best": -1.0, "twins": 0}))
-        return pd.concat(rows, ignore_index=True)
+#: Rows of either side that are compared as one matrix product.
+PANEL = 2048
+
+
+def panels(rows: np.ndarray, cell: np.ndarray) -> list[np.ndarray]:
+    """Rows of a side, cell by cell, in panels of at most PANEL of one cell."""
+    rows = rows[np.argsort(cell[rows], kind="stable")]
+    parts = np.split(rows, np.flatnonzero(np.diff(cell[rows])) + 1) if len(rows) else []
+    return [p[at:at + PANEL] for p in parts for at in range(0, len(p), PANEL)]
+
+
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first row of each row's group, once the groups of each a and its b are one."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
+def _compare(threshold: float, links: bool = False, get_wanted=None):
+    """Compare two bins: a row (vid, vid, best, twins) per vector, or, for links, rows (a, b, -1, 0) that connect what is
+    similar there, fewer than there are vectors. Panels of cells that are not wanted together are left out."""
+    def run(pairs: pa.Table) -> pa.Table:
+        left, right = (np.flatnonzero(pairs[x].to_numpy()) for x in ("_left", "_right"))
+        ids, n, vecs = pairs["vid"].to_numpy(), pairs["n"].to_numpy().astype(float), matrix(pairs["vec"])
+        cell = pairs["cell"].to_numpy() if get_wanted else np.zeros(len(ids), np.int64)
+        wanted = get_wanted() if get_wanted else np.ones((1, 1), bool)
+        same = pairs["_i"][0].as_py() == pairs["_j"][0].as_py()
+        best, twins, root = np.full(len(ids), -np.inf), np.zeros(len(ids)), np.arange(len(ids))
+        rows, columns = panels(left, cell), panels(right, cell)
+        for i, x in enumerate(rows):
+            for k, y in enumerate(columns):
+                if same and k < i or not wanted[cell[x[0]], cell[y[0]]]:
+                    continue
+                s = vecs[x] @ vecs[y].T
+                if same and k == i:
+                    np.fill_diagonal(s, -1.0)
+                near = s > threshold
+                if links:
+                    a, b = np.nonzero(near)
+                    root = joined(root, x[a], y[b])
+                    continue
+                best[x], twins[x] = np.maximum(best[x], s.max(axis=1)), twins[x] + near @ n[y]
+                if not (same and k == i):
+                    best[y], twins[y] = np.maximum(best[y], s.max(axis=0)), twins[y] + n[x] @ near
+        if links:
+            at = np.flatnonzero(root != np.arange(len(root)))
+            ends = np.sort(np.stack([ids[root[at]], ids[at]]), axis=0)
+            return pa.table({"a": ends[0], "b": ends[1], "best": np.full(len(at), -1.0), "twins": np.zeros(len(at), np.int64)})
+        met = np.isfinite(best)
+        return pa.table({"a": ids[met], "b": ids[met], "best": best[met], "twins": np.rint(twins[met]).astype(np.int64)})
     return run
 
 
@@ -279,35 +316,55 @@ def least_angles(between: np.ndarray, radius: np.ndarray) -> np.ndarray:
     return np.maximum(bound, 0.0)
 
 
-def meetings(placed: DataFrame, first: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """Vectors sent to the pairs of tiles (``_i`` <= ``_j``) whose cells are to meet."""
-    partners = [(i, [t for j in np.flatnonzero(wanted[i]) for t in range(int(first[j]), int(first[j + 1]))]) for i in range(len(wanted))]
+def meetings(placed: DataFrame, first: np.ndarray, wanted: np.ndarray, bins: np.ndarray | None = None) -> DataFrame:
+    """Vectors sent to the pairs of bins (``_i`` <= ``_j``) whose cells are to meet; each tile is a bin, or lies in the
+    one given."""
+    bins = np.arange(first[-1]) if bins is None else bins
+    partners = [(i, sorted({int(bins[t]) for j in np.flatnonzero(wanted[i]) for t in range(int(first[j]), int(first[j + 1]))})) for i in range(len(wanted))]
     table = placed.sparkSession.createDataFrame(partners, "cell int, others array<int>")
-    rows = placed.join(table, "cell").select("vid", "vec", "n", "g", "tile", F.explode("others").alias("_t"))
-    return rows.select("vid", "vec", "n", "g", F.least("tile", "_t").alias("_i"), F.greatest("tile", "_t").alias("_j"),
+    own = F.get(F.lit(np.asarray(bins, dtype=np.int32)), F.col("tile"))
+    rows = placed.withColumn("tile", own).join(F.broadcast(table), "cell").select("vid", "vec", "n", "g", "cell", "tile", F.explode("others").alias("_t"))
+    return rows.select("vid", "vec", "n", "g", "cell", F.least("tile", "_t").alias("_i"), F.greatest("tile", "_t").alias("_j"),
                        (F.col("tile") <= F.col("_t")).alias("_left"), (F.col("tile") >= F.col("_t")).alias("_right"))
 
 
+#: Tiles lie in at most about so many bins, and a vector goes to each bin once at most: so what is sent grows with the
+#: vectors, and not with their square. A bin has at most BIN_ROWS vectors and those of a tile, which a task can hold.
+BINS, BIN_ROWS = 24, 65_536
+
+
+def in_bins(placed: DataFrame, n_tiles: int, tile_rows: int) -> np.ndarray:
+    """The bin of each tile: consecutive tiles, whose cells' pivots come one after the other."""
+    size = np.zeros(n_tiles, np.int64)
+    for r in placed.groupBy("tile").agg(F.count("*").alias("n")).collect():  # a row for each tile
+        size[r["tile"]] = r["n"]
+    rows = max(tile_rows, min(BIN_ROWS, -(-int(size.sum()) // BINS)))
+    return (np.cumsum(size) - size) // rows
+
+
 def _by_cells(rows: DataFrame, threshold: float, tile_rows: int, maxima: bool) -> DataFrame:
-    """What the comparisons found. Pairs of cells that lie too far apart for the threshold are left out; for the maxima,
-    those follow that lie nearer than the best that some vector of either cell has found by then."""
-    def compared(pairs):
-        return stage(pairs.groupBy("g", "_i", "_j").applyInPandas(_compare(threshold), _FOUND), "similar")
+    """What the comparisons found: maxima and twins, or links. Pairs of cells that lie too far apart for the threshold are
+    left out; for the maxima, those follow that lie nearer than the best that some vector of either cell has found by then."""
+    def compared(cells):
+        pairs = meetings(placed, first, cells, bins)
+        one = _compare(threshold, not maxima, sent(rows.sparkSession, cells))
+        return stage(pairs.groupBy("_i", "_j").applyInArrow(one, _FOUND), "similar")
 
     if rows.isEmpty():
         return rows.sparkSession.createDataFrame([], _FOUND)
     placed, between, radius, first = in_cells(rows, tile_rows)
+    bins = in_bins(placed, int(first[-1]), tile_rows)
     bound = least_angles(between, radius)
     wanted = bound <= np.arccos(np.clip(threshold, -1, 1)) + SLACK
-    found = compared(meetings(placed, first, wanted))
+    found = compared(wanted)
     if not maxima or wanted.all():
         return found
-    best = found.filter("a = b").groupBy(F.col("a").alias("vid")).agg(F.max("best").alias("best"))
+    best = found.groupBy(F.col("a").alias("vid")).agg(F.max("best").alias("best"))
     farthest = np.zeros(len(bound))
     for r in placed.select("vid", "cell").join(best, "vid", "left").groupBy("cell").agg(F.min(F.coalesce("best", F.lit(-1.0))).alias("least")).collect():
         farthest[r["cell"]] = np.arccos(np.clip(r["least"], -1, 1))
     later = ~wanted & (bound <= np.maximum(farthest[:, None], farthest[None, :]) + SLACK)
-    return found.unionByName(compared(meetings(placed, first, later))) if later.any() else found
+    return found.unionByName(compared(later)) if later.any() else found
 
 
 def _compared(actors: DataFrame, threshold: float, tile_rows: int, group: str | None = None, maxima: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -319,7 +376,7 @@ def _compared(actors: DataFrame, threshold: float, tile_rows: int, group: str |
     if group is None:
         return tagged, _by_cells(stage(rows, "vectors"), threshold, tile_rows, maxima)
     pairs = tile_pairs(rows, ["g"], "vid", tile_rows)
-    return tagged, stage(pairs.groupBy("g", "_i", "_j").applyInPandas(_compare(threshold), _FOUND), "similar")
+    return tagged, stage(pairs.groupBy("g", "_i", "_j").applyInArrow(_compare(threshold), _FOUND), "similar")
 
 
 def correlate(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows: int = TILE_ROWS, group: str | None = None) -> DataFrame:
@@ -328,10 +385,11 @@ def correlate(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows
     Exact. With a group column (kept in the result), actors are compared within each group, all groups in one job. Actors
     with equal vectors are compared once; the distinct vectors are compared tile by tile as matrix products, which return
     one row per vector and tile. Without a group, tiles lie in cells around pivots, and the angles between pivots rule out
-    pairs of cells whose vectors can neither be similar nor hold a vector's maximum.
+    pairs of cells whose vectors can neither be similar nor hold a vector's maximum; what is sent to be compared grows with
+    the vectors, as these lie in a bounded number of bins.
     """
     tagged, found = _compared(actors, threshold, tile_rows, group, maxima=True)
-    best = found.filter("a = b").groupBy(F.col("a").alias("vid")).agg(F.max("best").alias("best"), F.sum("twins").alias("twins"))
+    best = found.groupBy(F.col("a").alias("vid")).agg(F.max("best").alias("best"), F.sum("twins").alias("twins"))
     copies = tagged.groupBy("vid").agg(F.count("*").alias("n"), F.first("vec").alias("v")).select(
         "vid", "n", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("self"))
     per_vec = copies.join(best, "vid", "left").select(
@@ -396,13 +454,12 @@ def correlate_before(vectors: DataFrame, window_us: int, cfg: Config, tile_rows:
 def campaigns(actors: DataFrame, threshold: float = C.CORRELATION_SIM, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(ip, campaign): actors linked by chains of similar vectors; a campaign is named after its first member ip.
 
-    Comparing two tiles returns only as many links as connect what is similar there, not every similar pair; tiles of cells
-    that lie too far apart are not compared.
+    Comparing two bins returns only as many links as connect what is similar there, not every similar pair; cells that lie
+    too far apart are not compared.
     """
     c = F.col
     tagged, found = _compared(actors, threshold, tile_rows)
-    edges = found.filter("a <> b").select("a", "b")
-    groups = components(edges).withColumnRenamed("id", "vid")
+    groups = components(found.select("a", "b")).withColumnRenamed("id", "vid")
     sizes = tagged.groupBy("vid").agg(F.count("*").alias("n"))
     linked = (sizes.join(groups, "vid", "left").filter((c("n") > 1) | c("component").isNotNull())
               .select("vid", F.coalesce("component", "vid").alias("component")))

@@ -162,3 +162,21 @@ def test_far_cells_do_not_meet(spark):
     for a in ids[::7]:
         for b in ids[::5]:
             assert np.arccos(np.clip(at[a] @ at[b], -1, 1)) >= bound[cell[a], cell[b]] - 1e-6
+
+
+def test_vectors_go_to_a_bounded_number_of_bins(spark):
+    """All cells are near each other: each vector meets all others, but is sent to few bins, not to each of many tiles."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 5)) + 2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"ip{i:03d}", i, i, [float(v) for v in r]) for i, r in enumerate(x)], "ip string, t_us long, event_id long, vec array<double>")
+    rows = V.latest_vectors(df).select(F.xxhash64("ip").alias("vid"), "vec", F.lit(1).alias("n"), F.lit(0).alias("g"))
+    placed, between, radius, first = V.in_cells(rows, 5)
+    bins = V.in_bins(placed, int(first[-1]), 5)
+    assert first[-1] >= 120 and len(set(bins)) <= V.BINS + 1 and (np.diff(bins) >= 0).all()
+    assert V.meetings(placed, first, np.ones_like(between, dtype=bool), bins).count() <= len(x) * (V.BINS + 1)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    got = {r["ip"]: r for r in V.correlate(V.latest_vectors(df), 0.5, 5).collect()}
+    for i in range(len(x)):
+        assert got[f"ip{i:03d}"]["max_similarity"] == pytest.approx(s[i].max()) and got[f"ip{i:03d}"]["peers"] == (s[i] > 0.5).sum()
