@@ -61,8 +61,8 @@ def lexical(payload: Column) -> Column:
                            % C.LEXICAL_DIM)
 
     def counts(found):
-        return F.transform(F.sequence(F.lit(0), F.lit(C.LEXICAL_DIM - 1)), lambda b: F.size(
-            F.filter(found, lambda x: x == b)).cast("double"))
+        return F.transform(F.sequence(F.lit(0), F.lit(C.LEXICAL_DIM - 1)),
+                           lambda b: (F.size(found) - F.size(F.array_remove(found, b))).cast("double"))
 
     def scaled(n):
         return _with(F.greatest(F.array_max(n), F.lit(1.0)), lambda top: F.transform(n, lambda x: x / top))
@@ -94,6 +94,16 @@ def memorize(memory: DataFrame, new: DataFrame, cap: int | None = None) -> DataF
 
 
 MEMORY_TILE = 4096
+#: Rows lie in at most about so many bins, and a row goes to each bin that it is to meet once: so what is sent grows with
+#: the rows, and not with their square, up to bins of BIN_ROWS rows, which a task can hold.
+BINS, BIN_ROWS = 24, 65_536
+#: So many blocks of a timeline; a row that stands for long goes to many, so the rest is kept in few tiles.
+BLOCKS = 96
+
+
+def bin_rows(n: int, least: int, bins: int = BINS) -> int:
+    """Rows of a bin, out of n."""
+    return max(least, min(BIN_ROWS, -(-n // bins)))
 
 
 def _nearest(queries: pa.Table, entries: pa.Table) -> pa.Table:
@@ -171,8 +181,8 @@ def top1_before(queries: DataFrame, memory: DataFrame, cfg: Config, id_col: str
     similarity the entry stored first counts.
 
     Of entries with equal vectors only the first is ever needed. Entries and queries are numbered on one timeline and cut
-    into tiles and blocks of consecutive ones. A query goes to the tiles that begin before it: wholly earlier ones, and
-    one that is open, where later entries are masked. A block and a tile meet in one task as a matrix product.
+    into tiles and blocks of consecutive ones, of at least ``tile`` rows and a bounded number of each (`bin_rows`). A query
+    goes to the tiles that begin before it: wholly earlier ones, and one that is open, where later entries are masked. A block and a tile meet in one task as a matrix product.
     """
     c, zero, one = F.col, F.lit(0).cast("long"), F.lit(1).cast("long")
     firsts = memory.groupBy("vec").agg(F.min(F.struct("stored_us", "entry_id")).alias("f")).select("f.*", "vec")
@@ -181,8 +191,9 @@ def top1_before(queries: DataFrame, memory: DataFrame, cfg: Config, id_col: str
         .unionByName(asked.select("t_us", "id", F.lit(0).alias("turn"), zero.alias("entry"), one.alias("query"), "vec")).withColumn("all", F.lit(0))
     placed = stage(running(timeline, ["all"], {"before": ("sum", c("entry")), "at": ("sum", c("query"))}, cfg.segment_us, ("t_us", "id", "turn"),
                            piece_rows=cfg.block_rows), "memory-timeline")
-    blocks = placed.filter("turn = 0 AND before > 0").select("id", "vec", "before", F.expr(f"cast((at - 1) div {tile} as int)").alias("_block"))
-    last = F.expr(f"cast((before - 1) div {tile} as int)")
+    n_queries, n_entries = placed.agg(F.coalesce(F.max("at"), zero), F.coalesce(F.max("before"), zero)).first()
+    blocks = placed.filter("turn = 0 AND before > 0").select("id", "vec", "before", F.expr(f"cast((at - 1) div {bin_rows(n_queries, tile, BLOCKS)} as int)").alias("_block"))
+    last = F.expr(f"cast((before - 1) div {bin_rows(n_entries, tile)} as int)")
     grid = blocks.groupBy("_block").agg(F.max(last).alias("_last")).select("_block", F.explode(F.sequence(F.lit(0), "_last")).alias("_tile"))
     m = placed.filter("turn = 1").select(c("id").alias("entry_id"), "vec", c("before").alias("number"), last.alias("_tile")).join(grid, "_tile")
     m = m.select("entry_id", "number", *[c(x).alias(x) for x in ("vec", "_block", "_tile")])  # names of their own, for the join below
@@ -328,18 +339,12 @@ def meetings(placed: DataFrame, first: np.ndarray, wanted: np.ndarray, bins: np.
                        (F.col("tile") <= F.col("_t")).alias("_left"), (F.col("tile") >= F.col("_t")).alias("_right"))
 
 
-#: Tiles lie in at most about so many bins, and a vector goes to each bin once at most: so what is sent grows with the
-#: vectors, and not with their square. A bin has at most BIN_ROWS vectors and those of a tile, which a task can hold.
-BINS, BIN_ROWS = 24, 65_536
-
-
 def in_bins(placed: DataFrame, n_tiles: int, tile_rows: int) -> np.ndarray:
     """The bin of each tile: consecutive tiles, whose cells' pivots come one after the other."""
     size = np.zeros(n_tiles, np.int64)
     for r in placed.groupBy("tile").agg(F.count("*").alias("n")).collect():  # a row for each tile
         size[r["tile"]] = r["n"]
-    rows = max(tile_rows, min(BIN_ROWS, -(-int(size.sum()) // BINS)))
-    return (np.cumsum(size) - size) // rows
+    return (np.cumsum(size) - size) // bin_rows(int(size.sum()), tile_rows)
 
 
 def _by_cells(rows: DataFrame, threshold: float, tile_rows: int, maxima: bool) -> DataFrame:
@@ -408,12 +413,16 @@ def _correlated_before(queries: pa.Table, vectors: pa.Table) -> pa.Table:
     at, start, end = (x.to_numpy() for x in (queries["at"], vectors["at"], vectors["until"]))
     found = [(np.empty(0, np.int64), np.empty(0))]
     if len(mine) and len(theirs):
-        q, v, ids, rows = matrix(queries["vec"]), matrix(vectors["vec"]), queries["event_id"].to_numpy(), max(1, SCORES // len(theirs))
-        for i in range(0, len(q), rows):
-            s, here = q[i:i + rows] @ v.T, at[i:i + rows, None]
-            s[(mine[i:i + rows, None] == theirs[None, :]) | (start[None, :] >= here) | (here > end[None, :])] = -np.inf
-            top = s.max(axis=1)
-            found.append((ids[i:i + rows][np.isfinite(top)], top[np.isfinite(top)]))
+        q, v, ids, order = matrix(queries["vec"]), matrix(vectors["vec"]), queries["event_id"].to_numpy(), np.argsort(at, kind="stable")
+        for panel in range(0, len(q), PANEL):
+            here = order[panel:panel + PANEL]
+            some = np.flatnonzero((start < at[here[-1]]) & (at[here[0]] <= end))  # those that stand for one of the panel
+            others, rows = v[some].T, max(1, SCORES // max(1, len(some)))
+            for i in (here[k:k + rows] for k in range(0, len(here) if len(some) else 0, rows)):
+                s, place = q[i] @ others, at[i, None]
+                s[(mine[i, None] == theirs[None, some]) | (start[None, some] >= place) | (place > end[None, some])] = -np.inf
+                top = s.max(axis=1)
+                found.append((ids[i][np.isfinite(top)], top[np.isfinite(top)]))
     a, b = map(np.concatenate, zip(*found))
     return pa.table({"event_id": a, "best": b})
 
@@ -423,8 +432,9 @@ def correlate_before(vectors: DataFrame, window_us: int, cfg: Config, tile_rows:
     actors showed last before it, within the window; 0 without any.
 
     A vector stands from its place in the order of time up to its actor's next vector or the end of its window. Places are
-    numbers on one timeline, cut into blocks of consecutive ones; a vector goes to the blocks it stands in, and there to a
-    tile of actors, so a task sees a block and a tile, whatever the number of actors.
+    numbers on one timeline, cut into blocks of consecutive ones, of at least ``tile_rows`` places and a bounded number of
+    blocks (`bin_rows`); a vector goes to the blocks it stands in, and there to a tile of actors, so a task sees a block and
+    a tile, whatever the number of actors.
     """
     c, zero, one = F.col, F.lit(0).cast("long"), F.lit(1).cast("long")
     rows = vectors.select("event_id", "ip", "t_us", unit(c("vec").cast("array<double>")).alias("vec"))
@@ -438,10 +448,12 @@ def correlate_before(vectors: DataFrame, window_us: int, cfg: Config, tile_rows:
     after = shown.select("ip", (c("rn") - 1).alias("rn"), (c("at") - 1).alias("until"))
     window = placed.filter("turn = 1").select("event_id", c("at").alias("window_end"))
     stands = shown.join(after, ["ip", "rn"], "left").join(window, "event_id").withColumn("until", F.least("until", "window_end"))
-    block = lambda x: F.expr(f"cast(({x}) div {tile_rows} as int)")
+    places, = placed.agg(F.coalesce(F.max("at"), zero)).first()
+    size, tile = bin_rows(places, tile_rows, BLOCKS), bin_rows(places, 2 * tile_rows)
+    block = lambda x: F.expr(f"cast(({x}) div {size} as int)")
     stands = stands.filter("until > at").select("ip", "vec", "at", "until", F.explode(F.sequence(block("at"), block("until - 1"))).alias("_block"))
     n, = stands.groupBy("_block").agg(F.count("*").alias("n")).agg(F.max("n")).first()
-    tiles = max(1, -(-(n or 0) // (2 * tile_rows)))
+    tiles = max(1, -(-(n or 0) // tile))
     v = stands.withColumn("_tile", F.pmod(F.xxhash64("ip"), F.lit(tiles)).cast("int"))
     v = v.select("until", *[c(x).alias(x) for x in ("ip", "vec", "at", "_block", "_tile")])  # names of their own, for the join below
     q = shown.select("event_id", "ip", "vec", "at", block("at - 1").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_tile"))

@@ -180,3 +180,23 @@ def test_vectors_go_to_a_bounded_number_of_bins(spark):
     got = {r["ip"]: r for r in V.correlate(V.latest_vectors(df), 0.5, 5).collect()}
     for i in range(len(x)):
         assert got[f"ip{i:03d}"]["max_similarity"] == pytest.approx(s[i].max()) and got[f"ip{i:03d}"]["peers"] == (s[i] > 0.5).sum()
+
+
+def test_timelines_are_cut_into_a_bounded_number_of_blocks(spark, monkeypatch):
+    """Rows that are compared in time go to few blocks and tiles, however small the least size of one is."""
+    assert [V.bin_rows(n, 4) for n in (0, 96, 240, 10 ** 9)] == [4, 4, 10, V.BIN_ROWS]
+    rows = timed_vectors(random.Random(5), 400)
+    df = spark.createDataFrame(rows, "event_id long, ip string, t_us long, vec array<double>")
+    sent_rows, group = [], type(df).groupBy
+
+    def counted(self, *names):
+        if names == ("_block", "_tile"):
+            sent_rows.append(self.count())
+        return group(self, *names)
+
+    monkeypatch.setattr(type(df), "groupBy", counted)
+    V.correlate_before(df, 1000, LIVE, 2)
+    memory = df.selectExpr("event_id AS entry_id", "vec", "t_us AS stored_us")
+    V.top1_before(df, V.memorize(memory.limit(0), memory), LIVE, tile=2)
+    assert len(sent_rows) == 4 and max(sent_rows) <= len(rows) * (V.BLOCKS + 1)
+    assert sent_rows[1] <= len(rows) + 7 * (V.BLOCKS + 1)  # a vector of each actor stands where a block begins
