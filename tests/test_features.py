@@ -5,10 +5,11 @@ import re
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from reqguard import constants as C
 from reqguard.config import LIVE
-from reqguard.operators.features import features, min_interval
+from reqguard.operators.features import features, min_interval, presence_changes
 
 CFG = replace(LIVE, segment_s=60, block_rows=32)
 
@@ -116,3 +117,25 @@ def test_numbers_present_together_at_window_edges(spark):
                                      "status_code long, user_agent string, session_id string, payload string")
     got = {r["event_id"]: (r["enumeration_detected"], r["unique_endpoints"]) for r in features(df, CFG).collect()}
     assert [got[i] for i in range(6)] == [(False, 1), (False, 2), (False, 3), (True, 4), (True, 4), (False, 1)]
+
+
+def test_presence_leaves_out_requests_without_endpoint(spark):
+    rows = [(1, 10, "a", "/x/7", "s", "u"), (2, 20, "a", None, "t", "v")]
+    df = spark.createDataFrame(rows, "event_id long, t_us long, ip string, endpoint string, session_id string, user_agent string")
+    got = sorted((r["what"], r["at"], r["step"]) for r in presence_changes(df, "ip", 100).collect())
+    assert got == [(w, at, step) for w in ("agent", "endpoint", "session") for at, step in ((10, 1), (110, -1))]
+
+
+def test_sorts_compare_a_number_and_vectors_are_made_once(spark):
+    from reqguard.operators import vectors as V
+    from reqguard.operators.running import running
+    from reqguard.plans.queries import exploded
+
+    df = spark.createDataFrame([(i, i, i, f"k{i}") for i in range(3)], "id long, t_us long, event_id long, key string")
+    plan = running(df, ["key"], {"n": ("sum", F.lit(1))}, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [_hash" in plan
+    both = df.join(df.select("event_id", F.col("id").alias("y")), "event_id")
+    made = exploded(both.select("event_id", V.unit(F.array(F.col("id").cast("double"), F.col("y").cast("double"))).alias("vec")))
+    assert not [x for x in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "transform" in x]
+    assert sorted((r["event_id"], r["dim"], round(r["value"], 6)) for r in made.collect()) == [
+        (i, k, 0.707107) for i in (1, 2) for k in (0, 1)]
