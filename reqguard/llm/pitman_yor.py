@@ -1,19 +1,23 @@
 """Operator 1: scoring texts with a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-The model is nested: a restaurant of words, whose new tables order their word from a hierarchy of letter restaurants.
-There, a context of three letters has the context of its last two as parent, that one the context of one, then the one
+Each word is a context with a restaurant of its own, where the words after it sit. The restaurants of all contexts share
+one parent, the restaurant of words without context, whose customers are their tables. Its new tables order their word
+from a hierarchy of letter restaurants. There, a context of three letters has the context of its last two as parent, that one the context of one, then the one
 without context, then the uniform distribution. Each table of a word counts as one customer, letter by letter, below.
 """
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reqguard.llm.shingles import _LOWER, _SPACE, Hasher, mixed
+from reqguard.llm.packed import Scramble, packed, packed_steps, unpacked, unpacked_steps
+from reqguard.llm.shingles import Hasher, mixed
 from reqguard.llm.stage import discard, release, sent, stage
 from reqguard.llm.text import crc_remainder
 
@@ -28,6 +32,8 @@ SWEEPS, BURN = 3, 1
 EXACT = 48
 #: Bytes of text in a block, and hashed at once.
 BLOCK_BYTES, CHUNK = 8 << 20, 1 << 20
+#: There are as many buckets of words, and parts of pairs, as the texts hold this many bytes.
+GROUP_BYTES = 16 << 20
 
 
 def uniform(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -158,53 +164,6 @@ def spelled(words: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grams, begin, np.bincount(np.repeat(np.arange(len(words)), sizes)[raw == OTHER], minlength=len(words)) if len(words) else begin
 
 
-@dataclass
-class State:
-    """What a sweep leaves: the spelling and the number of tables in the restaurant of words."""
-    spelling: Spelling
-    tables: int
-
-
-@dataclass
-class Words:
-    """The restaurant of words: its customers, its discount, the letters of bytes, and the state after each sweep."""
-    total: int
-    discount: float
-    code: np.ndarray
-    states: list[State]
-
-    def order(self, state: State, words: list[bytes]) -> np.ndarray:
-        """The weight of a new table for each word."""
-        grams, begin, others = spelled(words, self.code)
-        p = np.add.reduceat(np.log(state.spelling.letter(grams)), begin) if len(words) else np.empty(0)
-        p = p - others * math.log(256 - (OTHER - 1))
-        return (STRENGTH + self.discount * state.tables) * np.exp(np.maximum(p, -690))
-
-    def draw(self, sweep: int, words: list[bytes], customers: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Tables of each word in a sweep (0: one each), from the state that the last one left."""
-        if sweep == 0:
-            return np.minimum(customers, 1)
-        return tables(customers, self.order(self.states[sweep - 1], words), self.discount, keys, 1_000_003 * sweep)
-
-    def samples(self) -> range:
-        return range(BURN + 1, len(self.states))
-
-    def predictive(self, words: list[bytes], customers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's probability, averaged over the samples, and the part of it that comes from its letters; with 0
-        customers (a word never met), both are the same."""
-        whole, spelled_part = np.zeros(len(words)), np.zeros(len(words))
-        for s in self.samples():
-            letters = self.order(self.states[s], words) / (STRENGTH + self.total)
-            t = self.draw(s, words, customers, keys)
-            whole += (customers - self.discount * t) / (STRENGTH + self.total) + letters
-            spelled_part += letters
-        return whole / len(self.samples()), spelled_part / len(self.samples())
-
-    def new_table(self) -> float:
-        """The probability that a word comes from its letters, whichever word that is."""
-        return sum((STRENGTH + self.discount * self.states[s].tables) / (STRENGTH + self.total) for s in self.samples()) / len(self.samples())
-
-
 def word_keys(words: list[bytes]) -> np.ndarray:
     """A key of each word for its draws."""
     h = Hasher().byte
@@ -225,174 +184,497 @@ def text_words(data: pa.ChunkedArray):
         part.append((column[i].as_py() or "").encode())
         size += len(part[-1])
         if size > CHUNK or i + 1 == len(column):
-            value, count = hasher.words(part)
-            flat = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
-            edge = np.flatnonzero(np.diff(_SPACE[flat].astype(np.int8), prepend=1))
-            found.append((value, edge[::2] + offset, edge[1::2] + offset, count, _LOWER[flat]))
-            offset += len(flat)
+            value, begin, end, count, low = hasher.found(part)
+            found.append((value, begin + offset, end + offset, count, low))
+            offset += len(low)
             part, size = [], 0
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def block_words(block: pa.Table) -> pa.Table:
-    """A block's distinct words: (block, key, word, n: how often its texts that are not held out have it)."""
-    value, begin, end, count, low = text_words(block.column("text"))
-    learn = ~np.array(block.column("held_out").to_pylist(), dtype=bool)
-    keys, first, which = np.unique(value, return_index=True, return_inverse=True)
-    n = np.bincount(which, weights=np.repeat(learn, count), minlength=len(keys)).astype(np.int64)
-    b, e = begin[first], end[first]
-    size = e - b
-    flat = low[np.repeat(b - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
-    offsets = pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32))
-    words = pa.Array.from_buffers(pa.binary(), len(keys), [None, offsets, pa.py_buffer(flat)])
-    words = pa.concat_arrays([words, pa.array([b""], pa.binary())])
-    return pa.table({"block": pa.array(np.full(len(keys) + 1, block.column("block")[0].as_py()), pa.int32()),
-                     "key": pa.array(np.append(keys, np.uint64(0)).view(np.int64)), "word": words,
-                     "n": pa.array(np.append(n, int(learn.sum())))})
-
-
-def word_batches(batches, limit: int = 200_000):
-    for batch in batches:
-        for a in range(0, batch.num_rows, limit):
-            part = batch.slice(a, limit)
-            yield part.column(0).to_pylist(), part.column(1).to_numpy()
+@dataclass
+class Letters:
+    """What a sweep leaves of the letter restaurants, and the letters of bytes."""
+    spelling: Spelling
+    code: np.ndarray
+
+    def probability(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.empty(0)
+        grams, begin, others = spelled(words, self.code)
+        p = np.add.reduceat(np.log(self.spelling.letter(grams)), begin) - others * math.log(256 - (OTHER - 1))
+        return np.exp(np.maximum(p, -690))
+
+
+@dataclass
+class Seating:
+    """What a sweep leaves of the restaurant of words: how many customers and tables it has, its discount, and the part of
+    its probability that the words met have from their letters."""
+    customers: int
+    tables: int
+    discount: float
+    letters: float = 0.0
+
+    def new_table(self) -> float:
+        return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
+
+    def probability(self, m: np.ndarray, t: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return (m - self.discount * t) / (STRENGTH + self.customers) + self.new_table() * h
+
+    def unseen(self) -> float:
+        """The probability of all words together that were never met."""
+        return max(1e-12, self.new_table() * (1 - self.letters))
+
+
+def listed(blob: bytes) -> list[bytes]:
+    """Words, each followed by a line feed, which none of them holds."""
+    return blob.split(b"\n")[:-1]
+
+
+def rows_of(table: pa.Table, by: str) -> list[dict]:
+    return sorted(table.to_pylist(), key=lambda r: r[by])
+
+
+def made(rows: list[dict], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema)
+
+
+def arrow_schema(fields: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+
+
+def block_words(buckets: int):
+    def run(block: pa.Table) -> pa.Table:
+        """A block's distinct words by bucket of their hash, with how often its texts that are not held out have each; and
+        its texts as numbers of its words. The end of a text is number 0."""
+        value, begin, end, count, low = text_words(block.column("text"))
+        learn = ~np.array(block.column("held_out").to_pylist(), dtype=bool)
+        keys, first, which = np.unique(value, return_index=True, return_inverse=True)
+        n = np.append(int(learn.sum()), np.bincount(which, weights=np.repeat(learn, count), minlength=len(keys)).astype(np.int64))
+        bucket = np.append(0, ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
+        low = np.append(low, np.uint8(10))
+        start, size = np.append(len(low) - 1, begin[first]), np.append(0, end[first] - begin[first]) + 1
+        last = np.cumsum(size)
+        flat = low[np.repeat(start - (last - size), size) + np.arange(int(last[-1]))]
+        flat[last - 1] = 10
+        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        place, at = np.append(0, last), block.column("block")[0].as_py()
+        number, texts = (which + 1).astype("<i4").tobytes(), np.append(0, np.cumsum(count)) * 4
+        words = pa.table({
+            "block": pa.array([at] * (len(cut) - 1), pa.int32()), "bucket": pa.array(bucket[cut[:-1]], pa.int32()),
+            "size": pa.array(np.diff(cut), pa.int32()),
+            "words": pa.array([flat[place[a]:place[b]].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+            "n": pa.array([packed(n[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())})
+        docs = pa.table({"block": block.column("block"), "doc_id": block.column("doc_id"), "held_out": block.column("held_out"),
+                         "tokens": pa.array([number[a:b] for a, b in zip(texts, texts[1:])], pa.binary())})
+        names = ["block", "bucket", "size", "words", "n", "doc_id", "held_out", "tokens"]
+        both = pa.concat_tables([words, docs], promote_options="default")
+        return both.select(names)
+
+    return run
+
+
+VOCABULARY = "bucket int, block int, size int, total long, words binary, c binary, ids binary"
+
+
+def bucket_words(rows: pa.Table) -> pa.Table:
+    """The words of a bucket, told apart by their bytes and counted: one row with those that the training texts have, and
+    one for each block with the places (from 1) of its words there, 0 and the word itself for one that is not there."""
+    given = rows_of(rows, "block")
+    blob = b"".join(r["words"] for r in given)
+    n = np.concatenate([unpacked(r["n"], r["size"]) for r in given])
+    offsets = np.append(0, np.flatnonzero(np.frombuffer(blob, np.uint8) == 10) + 1).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(blob)])
+    coded = words.dictionary_encode()
+    which = coded.indices.to_numpy()
+    c = np.bincount(which, weights=n, minlength=len(coded.dictionary)).astype(np.int64)
+    met = c > 0
+    ids = np.where(met, np.cumsum(met), 0)[which]
+    out = [{"bucket": given[0]["bucket"], "size": int(met.sum()), "total": int(c.sum()), "c": packed(c[met]),
+            "words": b"".join(coded.dictionary.filter(pa.array(met)).to_pylist())}]
+    at = 0
+    for r in given:
+        own = ids[at:at + r["size"]]
+        new = words.slice(at, r["size"]).filter(pa.array(own == 0)).to_pylist()
+        out.append({"bucket": r["bucket"], "block": r["block"], "size": r["size"], "words": b"".join(new), "ids": packed(own)})
+        at += r["size"]
+    return made(out, arrow_schema(VOCABULARY))
+
+
+@dataclass
+class Plan:
+    """How words are numbered (the first number of each bucket, and the end), and how pairs are dealt into parts."""
+    offsets: np.ndarray
+    scramble: Scramble
+
+    def laid_out(self, docs: pa.Table, ids: list[dict]):
+        """A block's texts, each with its end: (number of each token in the block, the token before it (the end before
+        the first), text of each token, which tokens are pairs of words met, key of each of those)."""
+        number = np.concatenate([np.where(x > 0, x + self.offsets[r["bucket"]] - 1, -1)
+                                 for r in ids for x in [unpacked(r["ids"], r["size"]).astype(np.int64)]])
+        texts = docs.column("tokens").to_pylist()
+        flat = np.frombuffer(b"".join(t + bytes(4) for t in texts), "<i4")
+        before = np.append(0, flat[:-1])
+        u, w = number[before], number[flat]
+        pair = (u >= 0) & (w >= 0)
+        keys = self.scramble.there((u[pair].astype(np.uint64) << self.scramble.bits) | w[pair].astype(np.uint64))
+        return flat, before, np.repeat(np.arange(len(texts)), [len(t) // 4 + 1 for t in texts]), pair, keys
+
+    def sides(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The context and the word of each pair."""
+        both = self.scramble.back(keys)
+        return (both >> self.scramble.bits).astype(np.int64), (both & (self.scramble.mask >> self.scramble.bits)).astype(np.int64)
+
+    def by_bucket(self, numbers: np.ndarray):
+        """(bucket, slice) of ascending numbers."""
+        cut = np.searchsorted(numbers, self.offsets)
+        return [(k, slice(cut[k], cut[k + 1])) for k in np.flatnonzero(np.diff(cut)).tolist()]
+
+    def tallies(self, part: int, u: np.ndarray, w: np.ndarray, tables: np.ndarray, single: bool) -> list[dict]:
+        """Tables of pairs, added up by word (m: customers it gets) and by context (u: tables of its restaurant)."""
+        numbers, which = np.unique(np.concatenate([u, w]), return_inverse=True)
+        m = np.bincount(which[len(u):], weights=tables, minlength=len(numbers)).astype(np.int64)
+        own = np.bincount(which[:len(u)], weights=tables, minlength=len(numbers)).astype(np.int64)
+        return [{"part": part, "bucket": k, "single": single, "size": s.stop - s.start, "ids": packed_steps(numbers[s] - self.offsets[k]),
+                 "m": packed(m[s]), "u": packed(own[s])} for k, s in self.by_bucket(numbers)]
+
+
+PAIRS = "part int, block int, size int, keys binary, n binary"
+
+
+def block_pairs(plan: Plan):
+    def run(docs: pa.Table, ids: pa.Table) -> pa.Table:
+        """A block's distinct pairs of a word and the one before it, by part of their keys, with how often its texts that
+        are not held out have each."""
+        _, _, owner, pair, keys = plan.laid_out(docs, rows_of(ids, "bucket"))
+        learn = ~np.array(docs.column("held_out").to_pylist(), dtype=bool)
+        keys, which = np.unique(keys, return_inverse=True)
+        n = np.bincount(which, weights=learn[owner[pair]], minlength=len(keys)).astype(np.int64)
+        cut, block = plan.scramble.bounds(keys), docs.column("block")[0].as_py()
+        return made([{"part": p, "block": block, "size": int(b - a), "keys": packed_steps(keys[a:b], plan.scramble.low[p]), "n": packed(n[a:b])}
+                     for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a], arrow_schema(PAIRS))
+
+    return run
+
+
+def counted_pairs(plan: Plan, rows: list[dict]):
+    """(distinct keys of a part, place of each row's keys there, training count of each)."""
+    low = plan.scramble.low[rows[0]["part"]]
+    keys, which = np.unique(np.concatenate([unpacked_steps(r["keys"], r["size"], low) for r in rows]), return_inverse=True)
+    n = np.concatenate([unpacked(r["n"], r["size"]) for r in rows])
+    return keys, which, np.bincount(which, weights=n, minlength=len(keys)).astype(np.int64)
+
+
+TALLIES = "part int, bucket int, single boolean, size int, ids binary, m binary, u binary, keys binary, t binary, one long, two long"
+
+
+def part_pairs(plan: Plan):
+    def run(rows: pa.Table) -> pa.Table:
+        """The pairs of a part, one table each. A pair met once has one table in every sweep, so only the others (with
+        their counts, in the row without a bucket) are drawn later; both are added up by word."""
+        given = rows_of(rows, "block")
+        part = given[0]["part"]
+        keys, _, c = counted_pairs(plan, given)
+        out = []
+        for single, these in ((True, keys[c == 1]), (False, keys[c > 1])):
+            u, w = plan.sides(these)
+            out += plan.tallies(part, u, w, np.ones(len(u)), single)
+        more = c > 1
+        out.append({"part": part, "size": int(more.sum()), "keys": packed_steps(keys[more], plan.scramble.low[part]), "t": packed(c[more]),
+                    "one": int((c == 1).sum()), "two": int((c == 2).sum())})
+        return made(out, arrow_schema(TALLIES))
+
+    return run
+
+
+SEATS = "bucket int, size int, words binary, c binary, m1 binary, u1 binary, m binary, u binary, t binary, customers long, tables long, one long, two long"
+
+
+def seat_words(before: Seating | None, sweep: int):
+    def run(given: pa.Table, state: pa.Table) -> pa.Table:
+        """One sweep over the words of a bucket: their customers are the tables of the pairs that they end, and they are
+        drawn to tables given the letters of the last sweep (one table each at first)."""
+        row, = state.to_pylist()
+        n = row["size"]
+        fixed, drawn = np.zeros((2, n), np.int64), np.zeros((2, n), np.int64)
+        if before is not None:
+            fixed[0], fixed[1] = unpacked(row["m1"], n), unpacked(row["u1"], n)
+        for r in given.to_pylist():
+            at = unpacked_steps(r["ids"], r["size"]).astype(np.int64)
+            to = fixed if r["single"] else drawn
+            to[0, at] += unpacked(r["m"], r["size"]).astype(np.int64)
+            to[1, at] += unpacked(r["u"], r["size"]).astype(np.int64)
+        m, u = fixed + drawn
+        if before is None:
+            t = np.minimum(m, 1)
+        else:
+            order = (STRENGTH + before.discount * before.tables) * np.frombuffer(row["h"])
+            t = tables(m, order, before.discount, word_keys(listed(row["words"])), 1_000_003 * sweep)
+        return made([{"bucket": row["bucket"], "size": n, "words": row["words"], "c": row["c"], "m1": packed(fixed[0]), "u1": packed(fixed[1]),
+                      "m": packed(m), "u": packed(u), "t": packed(t), "customers": int(m.sum()), "tables": int(t.sum()),
+                      "one": int((m == 1).sum()), "two": int((m == 2).sum())}], arrow_schema(SEATS))
+
+    return run
 
 
 def byte_counts(batches):
-    """(word, c) -> (byte, n): the words that a byte occurs in, counted with each occurrence."""
+    """Rows of words and their counts c -> (byte, n): the words that a byte occurs in, counted with each occurrence."""
     total = np.zeros(256, np.int64)
-    for words, _ in word_batches(batches):
-        total += np.bincount(np.frombuffer(b"".join(words), np.uint8), minlength=256)
+    for batch in batches:
+        for words in batch.column(0).to_pylist():
+            total += np.bincount(np.frombuffer(words.replace(b"\n", b""), np.uint8), minlength=256)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
 
 
-def sweep_over(get_model, sweep: int):
+def letter_counts(code: np.ndarray):
     def run(batches):
-        """(word, c) -> (gram, n): letters in context, each as often as tables were drawn for the words that have it; and
-        the tables themselves as gram -1."""
-        model = get_model()
-        for words, c in word_batches(batches):
-            t = model.draw(sweep, words, c, word_keys(words))
-            grams, begin, _ = spelled(words, model.code)
-            weight = np.repeat(t, np.diff(np.append(begin, len(grams))))
-            keys, which = np.unique(grams, return_inverse=True)
-            n = np.bincount(which, weights=weight).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1)), pa.array(np.append(n, int(t.sum())))], names=["gram", "n"])
+        """Rows of words and their tables t -> (gram, n): letters in context, each as often as there are tables."""
+        for batch in batches:
+            for blob, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = listed(blob)
+                if words:
+                    grams, begin, _ = spelled(words, code)
+                    weight = np.repeat(unpacked(t, len(words)), np.diff(np.append(begin, len(grams))))
+                    keys, which = np.unique(grams, return_inverse=True)
+                    n = np.bincount(which, weights=weight).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["gram", "n"])
 
     return run
 
 
-def learn(vocabulary: DataFrame) -> Words:
-    """Gibbs sweeps over the words and their training counts (word, c). Words are drawn where they lie; the letters'
-    counts are added up before they are sent on, and there are at most LETTERS ** (DEPTH + 1) of them."""
-    total, one, two = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n = np.zeros(256, np.int64)
-    for r in vocabulary.mapInArrow(byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        n[r["byte"]] = r["n"]
-    code = np.full(256, OTHER, np.int64)
-    code[np.argsort(-n, kind="stable")[: OTHER - 1]] = np.arange(1, OTHER)
-    discount = min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
-    model = Words(total or 0, discount, code, [])
-    letters, levels = None, []
-    for sweep in range(SWEEPS + 1):
-        counted = vocabulary.mapInArrow(sweep_over(sent(vocabulary.sparkSession, model), sweep), "gram long, n long")
-        got = counted.groupBy("gram").agg(F.sum("n").alias("n")).toPandas().sort_values("gram")
-        grams, customers = got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-        letters, levels = spelling(grams[grams >= 0], customers[grams >= 0], letters, levels, 31 * sweep)
-        model.states.append(State(letters, int(customers[grams < 0].sum())))
-    return model
+def with_letters(get_letters):
+    def run(batches):
+        """Rows of words -> the same with h, the probability of each by its letters, and the sum of those."""
+        for batch in batches:
+            h = [get_letters().probability(listed(blob)) for blob in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in h], pa.binary()), pa.array([float(x.sum()) for x in h])],
+                                             names=[*batch.schema.names, "h", "letters"])
 
+    return run
 
-def with_probabilities(get_model):
-    def run(batches):
-        """(word, c) -> (word, c, p, letters: the part of p that comes from them)."""
-        model = get_model()
-        for words, c in word_batches(batches):
-            p, letters = model.predictive(words, c, word_keys(words))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(p), pa.array(letters)],
-                                             names=["word", "c", "p", "letters"])
+
+REPLIES = "part int, bucket int, size int, ids binary, u binary, p binary"
+
+
+def reply_to_parts(seating: Seating):
+    def run(asked: pa.Table, state: pa.Table) -> pa.Table:
+        """What the pairs of a part have to know of the words of a bucket: their probabilities, and the tables of their
+        restaurants as contexts."""
+        row, = state.to_pylist()
+        m, u, t = (unpacked(row[x], row["size"]) for x in ("m", "u", "t"))
+        p, out = seating.probability(m, t, np.frombuffer(row["h"])), []
+        for r in asked.to_pylist():
+            at = unpacked_steps(r["ids"], r["size"]).astype(np.int64)
+            out.append({"part": r["part"], "bucket": r["bucket"], "size": r["size"], "ids": r["ids"], "u": packed(u[at]), "p": p[at].tobytes()})
+        return made(out, arrow_schema(REPLIES))
 
     return run
 
 
-def score_block(get_model, names, base_total: float, unseen: float):
-    def run(block: pa.Table, known: pa.Table) -> pa.Table:
-        """Scores of a block's texts, from the counts and probabilities of the words that the training texts have."""
-        model = get_model()
-        value, begin, end, count, low = text_words(block.column("text"))
-        keys, first, which = np.unique(value, return_index=True, return_inverse=True)
-        k, c, p = (known.column(x).to_numpy() for x in ("key", "c", "p"))
-        order = np.argsort(k.view(np.uint64), kind="stable")
-        k, c, p = k.view(np.uint64)[order], c[order], p[order]
-
-        def found(of):
-            i = np.minimum(np.searchsorted(k, of), max(0, len(k) - 1))
-            hit = k[i] == of if len(k) else np.zeros(len(of), bool)
-            return hit, np.where(hit, c[i], 0) if len(k) else np.zeros(len(of), np.int64), np.where(hit, p[i], 0.0) if len(k) else np.zeros(len(of))
-
-        hit, cs, ps = found(keys)
-        new = np.flatnonzero(~hit)
-        letters = ps.copy()
-        if len(new):
-            words = [low[b:e].tobytes() for b, e in zip(begin[first[new]], end[first[new]])]
-            letters[new] = model.predictive(words, np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64))[0]
-            ps[new] = unseen
-        _, end_c, end_p = found(np.zeros(1, np.uint64))
-        end_letters = end_p
-        if not end_c[0]:
-            end_letters = model.predictive([b""], np.zeros(1, np.int64), np.zeros(1, np.uint64))[0]
-            end_p = np.array([unseen])
-        owner = np.repeat(np.arange(len(count)), count)
-
-        def summed(v, last):
-            return np.bincount(owner, weights=v[which], minlength=len(count)) + last
-
-        base = np.log10((cs + 0.1) / base_total)
-        cols = [block.column(n) for n in names] + [
-            pa.array(count + 1), pa.array(summed((cs > 0).astype(float), float(end_c[0] > 0)).astype(np.int64)),
-            pa.array(summed(base, math.log10((end_c[0] + 0.1) / base_total))), pa.array(summed(np.log10(ps), math.log10(end_p[0]))),
-            pa.array(summed(np.log10(letters), math.log10(end_letters[0])))]
-        return pa.table(cols, names=[*names, "n_tokens", "n_known", "base_score", "score", "spelled_score"])
+def draw_pairs(plan: Plan, discount: float, sweep: int):
+    def run(replies: pa.Table, pairs: pa.Table) -> pa.Table:
+        """One sweep over the pairs of a part: drawn to tables given the words' probabilities of the last sweep."""
+        row, = pairs.to_pylist()
+        part, n = row["part"], row["size"]
+        if not n:
+            return made([{"part": part, "size": 0, "t": b""}], arrow_schema(TALLIES))
+        known = rows_of(replies, "bucket")
+        numbers = np.concatenate([unpacked_steps(r["ids"], r["size"]).astype(np.int64) + plan.offsets[r["bucket"]] for r in known])
+        held = np.concatenate([unpacked(r["u"], r["size"]) for r in known]).astype(np.int64)
+        p = np.concatenate([np.frombuffer(r["p"]) for r in known])
+        keys = unpacked_steps(row["keys"], n, plan.scramble.low[part])
+        u, w = plan.sides(keys)
+        order = (STRENGTH + discount * held[np.searchsorted(numbers, u)]) * p[np.searchsorted(numbers, w)]
+        t = tables(unpacked(row["t"], n).astype(np.int64), order, discount, keys, 2_000_003 * sweep)
+        return made([*plan.tallies(part, u, w, t, False), {"part": part, "size": n, "t": packed(t)}], arrow_schema(TALLIES))
 
     return run
 
 
+ANSWERS = "block int, bucket int, part int, size int, ids binary, c binary, t binary, u binary, p binary, q binary"
+
+
+def pairs_to_blocks(plan: Plan):
+    def run(asked: pa.Table, drawn: pa.Table) -> pa.Table:
+        """The count of each pair of a block, and its tables added up over the samples."""
+        if not asked.num_rows:
+            return made([], arrow_schema(ANSWERS))
+        given = rows_of(asked, "block")
+        _, which, c = counted_pairs(plan, given)
+        samples = drawn.to_pylist()
+        t = np.where(c == 1, len(samples), 0)
+        for r in samples:
+            t[c > 1] += unpacked(r["t"], r["size"]).astype(np.int64)
+        out, at = [], 0
+        for r in given:
+            own = which[at:at + r["size"]]
+            out.append({"block": r["block"], "part": r["part"], "size": r["size"], "c": packed(c[own]), "t": packed(t[own])})
+            at += r["size"]
+        return made(out, arrow_schema(ANSWERS))
+
+    return run
+
+
+def words_to_blocks(get_samples):
+    def run(asked: pa.Table, states: pa.Table) -> pa.Table:
+        """The count of each word of a block and, sample by sample, the tables of its restaurant and its probability; a
+        word that was never met has (in q) the probability of its letters. Those of words met travel in single precision."""
+        given, known, rows = rows_of(asked, "block"), rows_of(states, "sweep"), []
+        samples = get_samples()
+        new = [listed(r["words"]) for r in given]
+        fresh = [s.new_table() * letters.probability([w for x in new for w in x]) for s, letters in samples]
+        c = np.append(0, unpacked(known[0]["c"], known[0]["size"]))
+        u = [np.append(0, unpacked(r["u"], r["size"])) for r in known]
+        p = [np.append(0, s.probability(unpacked(r["m"], r["size"]), unpacked(r["t"], r["size"]), np.frombuffer(r["h"])))
+             for r, (s, _) in zip(known, samples)]
+        at = 0
+        for r, own in zip(given, new):
+            ids = unpacked(r["ids"], r["size"]).astype(np.int64)
+            rows.append({"block": r["block"], "bucket": r["bucket"], "size": r["size"], "ids": r["ids"], "c": packed(c[ids]),
+                         "u": packed(np.concatenate([x[ids] for x in u])), "p": np.stack([x[ids] for x in p]).astype(np.float32).tobytes(),
+                         "q": np.stack([x[at:at + len(own)] for x in fresh]).tobytes()})
+            at += len(own)
+        return made(rows, arrow_schema(ANSWERS))
+
+    return run
+
+
+def score_block(plan: Plan, discount: float, samples: list[Seating], base_total: float, schema_names: list[str]):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        """Scores of a block's texts."""
+        rows = answers.to_pylist()
+        words = sorted((r for r in rows if r["bucket"] is not None), key=lambda r: r["bucket"])
+        pairs = sorted((r for r in rows if r["part"] is not None), key=lambda r: r["part"])
+        flat, before, owner, pair, keys = plan.laid_out(docs, words)
+        c = np.concatenate([unpacked(r["c"], r["size"]) for r in words]).astype(np.int64)
+        u = np.concatenate([unpacked(r["u"], len(samples) * r["size"]).reshape(len(samples), -1) for r in words], axis=1)
+        p = np.concatenate([np.frombuffer(r["p"], np.float32).reshape(len(samples), -1) for r in words], axis=1).astype(np.float64)
+        p[:, c == 0] = np.concatenate([np.frombuffer(r["q"]).reshape(len(samples), -1) for r in words], axis=1)
+        own, distinct = np.zeros(len(flat)), np.unique(keys, return_inverse=True)[1]
+        if len(keys):
+            of = [np.concatenate([unpacked(r[x], r["size"]) for r in pairs])[distinct] for x in ("c", "t")]
+            own[pair] = of[0] - discount * (of[1] / len(samples))
+        own /= STRENGTH + c[before]
+        rest, one_word = np.zeros(len(flat)), np.zeros(len(flat))
+        for s, tabled, prob in zip(samples, u, p):
+            back = ((STRENGTH + discount * tabled) / (STRENGTH + c))[before]
+            rest += back * prob[flat]
+            one_word += back * np.where(c > 0, prob, s.unseen())[flat]
+
+        def summed(v):
+            return pa.array(np.bincount(owner, weights=v, minlength=docs.num_rows))
+
+        base = np.log10((c + 0.1) / base_total)
+        return pa.table([docs.column("doc_id"), docs.column("held_out"), pa.array(np.bincount(owner, minlength=docs.num_rows)),
+                         pa.array(np.bincount(owner, weights=(c > 0)[flat], minlength=docs.num_rows).astype(np.int64)), summed(base[flat]),
+                         summed(np.log10(own + one_word / len(samples))), summed(np.log10(own + rest / len(samples)))], names=schema_names)
+
+    return run
+
+
+def grouped(df: DataFrame, by: str, groups: int):
+    """Groups in at least as many partitions as there are groups; of few, hardly any fall together."""
+    return df.repartition(max(groups, min(4 * groups, 48)), by).groupBy(by)
+
+
+def letter_code(vocabulary: DataFrame) -> np.ndarray:
+    n = np.zeros(256, np.int64)
+    for r in vocabulary.select("words").mapInArrow(byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        n[r["byte"]] = r["n"]
+    code = np.full(256, OTHER, np.int64)
+    code[np.argsort(-n, kind="stable")[: OTHER - 1]] = np.arange(1, OTHER)
+    return code
+
+
+def learn(vocabulary: DataFrame, tallies: DataFrame, plan: Plan, discount: float, groups: int) -> tuple[list, list]:
+    """Gibbs sweeps over pairs, words and letters, from the longest contexts on: each is drawn to tables given the
+    probabilities that the last sweep left, and its tables are the customers of its parent. Pairs are drawn in their
+    parts and words in their buckets; letters' counts are added up before they are sent on, and there are at most
+    LETTERS ** (DEPTH + 1) of them. Returns, of the samples: (seating, letters, words), and the pairs' draws."""
+    spark = vocabulary.sparkSession
+    code = letter_code(vocabulary)
+    asked, pairs = tallies.filter("not single").select("part", "bucket", "size", "ids"), tallies.filter("keys is not null").select("part", "size", "keys", "t")
+    given = ["bucket", "single", "size", "ids", "m", "u"]
+    state, drawn, before, letters, levels, samples, draws = vocabulary, tallies, None, None, [], [], []
+    for sweep in range(SWEEPS + 1):
+        if sweep:
+            replies = grouped(asked, "bucket", groups).cogroup(grouped(state, "bucket", groups)).applyInArrow(reply_to_parts(before), REPLIES)
+            drawn = stage(grouped(replies, "part", groups).cogroup(grouped(pairs, "part", groups)).applyInArrow(
+                draw_pairs(plan, discount, sweep), TALLIES), "lm-draws")
+        seats = stage(grouped(drawn.filter("bucket is not null").select(*given), "bucket", groups).cogroup(grouped(state, "bucket", groups)).applyInArrow(
+            seat_words(before, sweep), SEATS), "lm-seats")
+        customers, tabled, one, two = (x or 0 for x in seats.agg(*[F.sum(x) for x in ("customers", "tables", "one", "two")]).first())
+        if before is None:
+            words_discount = min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
+        got = seats.select("words", "t").mapInArrow(letter_counts(code), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas().sort_values("gram")
+        letters, levels = spelling(got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64), letters, levels, 31 * sweep)
+        done = state if sweep and sweep - 1 <= BURN else None
+        state = stage(seats.mapInArrow(with_letters(sent(spark, Letters(letters, code))), SEATS + ", h binary, letters double"), "lm-words")
+        before = Seating(customers, tabled, words_discount, state.agg(F.sum("letters")).first()[0] or 0.0)
+        discard(seats, *([done] if done else []), *([drawn] if sweep and sweep <= BURN else []))
+        if sweep > BURN:
+            samples.append((before, Letters(letters, code), state.withColumn("sweep", F.lit(sweep))))
+            draws.append(drawn.filter("bucket is null").select("part", "size", "t"))
+    return samples, draws
+
+
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """Every row of docs (doc_id, text, others) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     spelled_score and perplexity (10 to the minus score per token), learned from the rows that are not held out.
 
     score is over the words of the training texts and one more, "some other word", as base_score is: a word not met in
     training has the probability of all such words together, which is what the letters leave besides the words met.
-    spelled_score is over all words there can be: such a word has the probability of its own letters.
+    spelled_score is over all words there can be: such a word has the probability of its own letters. Both go by the
+    word before; before the first word of a text is an end.
 
     Tokens are the words, A-Z lower-cased, and an end for each text; a null text is empty and has its end alone. With
     nothing to learn from, all words are spelled by uniform letters and base_score is that of no counts. Repeated rows
     count repeatedly; a null id is one like any other. An empty table gives an empty result.
 
-    Texts are dealt into blocks by a hash. A block's distinct words go out once to be counted, and once more to fetch
-    their counts and probabilities; so a word as frequent as may be is one row per block. Words are told apart by their
-    bytes where they are counted, and by 64-bit hashes within a block.
+    Texts are dealt into blocks by a hash, distinct words into buckets and distinct pairs of words into parts. A block
+    sends its distinct words to the buckets, which number and count them, then its distinct pairs of numbers to the
+    parts, and in the end fetches from both what it needs to score its texts; so a word or a pair as frequent as may be is
+    one entry per block. Words are told apart by their bytes where they are counted, and by 64-bit hashes within a block;
+    pairs are told apart exactly. The driver holds a number per bucket and the letters' table.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size, = base.agg(F.sum(F.octet_length("text"))).first()
-    blocks = (size or 0) // BLOCK_BYTES + 1
+    blocks, groups = (size or 0) // BLOCK_BYTES + 1, (size or 0) // GROUP_BYTES + 1
     dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    words = stage(dealt.groupBy("block").applyInArrow(block_words, "block int, key long, word binary, n long"), "lm-words")
+    kept = dealt.select("doc_id", "held_out").schema
+    schema = T.StructType().add("block", "integer").add("bucket", "integer").add("size", "integer").add("words", "binary").add("n", "binary")
+    schema = T.StructType([*schema.fields, *(T.StructField(f.name, f.dataType) for f in kept.fields)]).add("tokens", "binary")
+    read = stage(grouped(dealt, "block", blocks).applyInArrow(block_words(groups), schema), "lm-blocks")
     release(spark)
-    vocabulary = stage(words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "lm-vocabulary")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    learned = learn(vocabulary)
-    model = sent(spark, learned)
-    known = stage(vocabulary.mapInArrow(with_probabilities(model), "word binary, c long, p double, letters double"), "lm-probabilities")
-    replies = stage(words.select("block", "key", "word").join(known, "word").select("block", "key", "c", "p"), "lm-replies")
-    unseen = max(1e-12, learned.new_table() - known.agg(F.coalesce(F.sum("letters"), F.lit(0.0))).first()[0])
-    discard(words, vocabulary, known)
+    texts = read.filter("tokens is not null").select("block", "doc_id", "held_out", "tokens")
+    numbered = stage(grouped(read.filter("words is not null").select("block", "bucket", "size", "words", "n"), "bucket", groups).applyInArrow(
+        bucket_words, VOCABULARY), "lm-vocabulary")
+    vocabulary, ids = numbered.filter("block is null").select("bucket", "size", "words", "c"), numbered.filter("block is not null").select("bucket", "block", "size", "words", "ids")
+    sizes, total = np.zeros(groups, np.int64), 0
+    for r in numbered.filter("block is null").select("bucket", "size", "total").collect():
+        sizes[r["bucket"]] = r["size"]
+        total += r["total"]
+    distinct = int(sizes.sum())
+    plan = Plan(np.append(0, np.cumsum(sizes)), Scramble(max(1, distinct.bit_length()), groups))
+    pairs = stage(grouped(texts, "block", blocks).cogroup(grouped(ids.select("bucket", "block", "size", "ids"), "block", blocks)).applyInArrow(
+        block_pairs(plan), PAIRS), "lm-pairs")
+    release(spark)
+    tallies = stage(grouped(pairs, "part", groups).applyInArrow(part_pairs(plan), TALLIES), "lm-tallies")
+    release(spark)
+    one, two = (x or 0 for x in tallies.agg(F.sum("one"), F.sum("two")).first())
+    discount = min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
+    samples, draws = learn(vocabulary, tallies, plan, discount, groups)
+    states, drawn = reduce(DataFrame.union, [w for _, _, w in samples]), reduce(DataFrame.union, draws)
+    pair_answers = stage(grouped(pairs, "part", groups).cogroup(grouped(drawn, "part", groups)).applyInArrow(pairs_to_blocks(plan), ANSWERS), "lm-answers")
+    discard(pairs, tallies)
     release(spark)
-    names = ["doc_id", "held_out"]
-    schema = dealt.select(*names).schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("spelled_score", "double")
-    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        score_block(model, names, total + 0.1 * (distinct + 1), unseen), schema)
+    answers = pair_answers.union(grouped(ids, "bucket", groups).cogroup(grouped(states, "bucket", groups)).applyInArrow(
+        words_to_blocks(sent(spark, [(s, x) for s, x, _ in samples])), ANSWERS))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "spelled_score"]
+    schema = T.StructType(kept.fields).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("spelled_score", "double")
+    scored = grouped(texts, "block", blocks).cogroup(grouped(answers, "block", blocks)).applyInArrow(
+        score_block(plan, discount, [s for s, _, _ in samples], total + 0.1 * (distinct + 1), names), schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                          "base_score", "score", "spelled_score", F.expr("pow(10, -score / n_tokens)").alias("perplexity"))
 

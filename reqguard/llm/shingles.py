@@ -34,15 +34,21 @@ class Hasher:
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the lower-cased words of the texts, one after the other, and how many words each text has."""
+        value, _, _, count, _ = self.found(texts)
+        return value, count
+
+    def found(self, texts: list[bytes]):
+        """The same, and where the words lie: (hashes, begins, ends, words of each text, lower-cased texts, each with a
+        line feed)."""
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         up, down = self.powers(len(data))
-        space = _SPACE[data]
-        edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
+        space, low = _SPACE[data], _LOWER[data]
+        edge = np.flatnonzero(np.append(~space[:1], space[1:] != space[:-1]))
         begin, end = edge[::2], edge[1::2]
-        part = np.append(np.uint64(0), np.cumsum(self.byte[_LOWER[data]] * up[: len(data)], dtype=np.uint64))
+        part = np.append(np.uint64(0), np.cumsum(self.byte[low] * up[: len(data)], dtype=np.uint64))
         value = mixed((part[end] - part[begin]) * down[begin] + (end - begin).astype(np.uint64))
         bound = np.cumsum([len(t) + 1 for t in texts])
-        return value, np.diff(np.searchsorted(begin, bound), prepend=0)
+        return value, begin, end, np.diff(np.searchsorted(begin, bound), prepend=0), low
 
     def shingles(self, texts: list[bytes], width: int = 5) -> list[np.ndarray]:
         """Sorted distinct hashes of each text's runs of `width` words; of fewer words, the whole; of none, nothing."""

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from brute import lower_words
 
-from reqguard.llm import langid, pitman_yor
+from reqguard.llm import langid, packed, pitman_yor
 
 
 def longest_match(text, i, sample):
@@ -101,3 +101,109 @@ def test_scores_of_odd_rows(odd_rows, no_rows):
     assert all(r.score < 0 and r.n_tokens >= 1 for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert pitman_yor.scored_documents(no_rows).count() == 0
+
+
+def words_in_context(texts, tokens_of):
+    """Restaurants of pairs that each occur at most once, hence with one table each: counts, discount, and the words'
+    customers and tables by sweeps one word at a time."""
+    pairs, c = Counter(), Counter()
+    for t in texts:
+        tokens = tokens_of(t)
+        pairs.update(zip(["", *tokens], tokens))
+        c.update(tokens)
+    assert set(pairs.values()) == {1}
+    return pairs, c, Counter(w for _, w in pairs), Counter(u for u, _ in pairs)
+
+
+def test_scores_by_plain_sweeps(spark):
+    """Whole scores against restaurants in dictionaries; repeated starts and ends cannot be, so one text is learned from."""
+    rng = random.Random(5)
+    names = ["alpha", "beta", "gamma", "delta", "omega", "pi", "rho", "sigma"]
+    learned, pairs = [], set()
+    while len(learned) < 40:
+        w = rng.choice(names)
+        if not learned or (learned[-1], w) not in pairs:
+            pairs.add((learned[-1] if learned else "", w))
+            learned.append(w)
+        elif all((learned[-1], x) in pairs for x in names):
+            break
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    free = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 10)
+    rows = {free: " ".join(learned), ids[0]: " ".join(sorted(learned)), ids[1]: "alpha " + "z" * 900 + " beta", ids[2]: None, ids[3]: "Pi\npi"}
+    got = {r.doc_id: r for r in pitman_yor.scored_documents(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+
+    tokens_of = lambda t: [*lower_words(t), ""]
+    pairs, c, m, u = words_in_context([rows[free]], tokens_of)
+    d2 = min(0.95, max(0.05, 1.0))
+    words = sorted(m)
+    raw, customers = [w.encode() for w in words], np.array([m[w] for w in words])
+    one, two = sum(x == 1 for x in m.values()), sum(x == 2 for x in m.values())
+    d1 = min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
+    seen = Counter(b for w in raw for b in w)
+    code = np.full(256, 63)
+    for k, b in enumerate(sorted(range(256), key=lambda b: (-seen[b], b))[:62]):
+        code[b] = k + 1
+    letters, levels, samples = None, [], []
+    for sweep in range(pitman_yor.SWEEPS + 1):
+        t = np.ones(len(words), int) if not sweep else pitman_yor.tables(
+            customers, (1 + d1 * sum(t)) * h, d1, pitman_yor.word_keys(raw), 1_000_003 * sweep)
+        grams = Counter()
+        for w, n in zip(raw, t):
+            for g in pitman_yor.spelled([w], code)[0]:
+                grams[int(g)] += int(n)
+        keys = np.array(sorted(grams))
+        letters, levels = pitman_yor.spelling(keys, np.array([grams[g] for g in keys]), letters, levels, 31 * sweep)
+
+        def spelled(w, letters=letters):
+            g, _, others = pitman_yor.spelled([w], code)
+            return math.exp(max(-690, np.log(letters.letter(g)).sum() - others[0] * math.log(194)))
+
+        h = np.array([spelled(w) for w in raw])
+        if sweep > pitman_yor.BURN:
+            new = (1 + d1 * sum(t)) / (1 + sum(customers))
+            p = {w: (n - d1 * x) / (1 + sum(customers)) + new * y for w, n, x, y in zip(words, customers, t, h)}
+            samples.append((p, max(1e-12, new * (1 - sum(h))), lambda w, new=new, f=spelled: new * f(w.encode())))
+    for i, text in rows.items():
+        tokens, known, other = tokens_of(text), 0.0, 0.0
+        for v, w in zip(["", *tokens], tokens):
+            own, back = pairs[v, w] * (1 - d2) / (1 + c[v]), (1 + d2 * u[v]) / (1 + c[v])
+            known += math.log10(own + back * sum(p.get(w, unseen) for p, unseen, _ in samples) / len(samples))
+            other += math.log10(own + back * sum(p[w] if w in p else f(w) for p, _, f in samples) / len(samples))
+        assert math.isclose(got[i].score, known, rel_tol=1e-6)
+        assert math.isclose(got[i].spelled_score, other, rel_tol=1e-6)
+
+
+def test_words_have_contexts(spark):
+    """Failed while words had no contexts: any order of a text's words scored the same."""
+    held = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    free = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10][:30]
+    text = "the quick brown fox jumps over the lazy dog"
+    rows = [*((i, text) for i in free), (held, text), (held, " ".join(reversed(text.split())))]
+    got = [r.score for r in pitman_yor.scored_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").collect()]
+    assert max(got) > min(got) + 5
+
+
+def test_contexts_tell_training_texts(spark):
+    """Perplexity, by blocks, buckets and parts of any size the same but for the order in which words are numbered."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    r = pitman_yor.scored_documents(docs).selectExpr("held_out", "score", "base_score", "n_tokens").collect()
+    for held in (True, False):
+        n = sum(x.n_tokens for x in r if x.held_out == held)
+        score, base = (10 ** (-sum(x[k] for x in r if x.held_out == held) / n) for k in ("score", "base_score"))
+        assert score < base / 3
+
+
+def test_packed_numbers_and_pairs():
+    rng = np.random.default_rng(3)
+    for top in (1, 255, 256, 2**40, 2**63):
+        v = rng.integers(0, top, 50, dtype=np.uint64, endpoint=True)
+        assert (packed.unpacked(packed.packed(v), 50) == v).all()
+        assert (packed.unpacked_steps(packed.packed_steps(np.sort(v)), 50) == np.sort(v)).all()
+    assert len(packed.unpacked(packed.packed(np.empty(0)), 0)) == 0 and packed.packed(np.zeros(9)) == b""
+    for bits, parts in ((1, 1), (3, 5), (22, 7), (32, 3)):
+        s = packed.Scramble(bits, parts)
+        x = np.unique(rng.integers(0, 1 << 2 * bits, 1000, dtype=np.uint64) if bits < 32 else rng.integers(0, 2**64 - 1, 1000, dtype=np.uint64))
+        there = s.there(x)
+        assert len(np.unique(there)) == len(x) and (there <= s.mask).all() and (s.back(there) == x).all()
+        cut = s.bounds(np.sort(there))
+        assert cut[0] == 0 and cut[-1] == len(x) and (np.diff(cut) >= 0).all() and len(cut) == parts + 1
