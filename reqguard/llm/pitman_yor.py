@@ -295,7 +295,7 @@ def bucket_words(rows: pa.Table) -> pa.Table:
     at = 0
     for r in given:
         own = ids[at:at + r["size"]]
-        new = words.slice(at, r["size"]).filter(pa.array(own == 0)).to_pylist()
+        new = [] if own.all() else words.slice(at, r["size"]).filter(pa.array(own == 0)).to_pylist()
         out.append({"bucket": r["bucket"], "block": r["block"], "size": r["size"], "words": b"".join(new), "ids": packed(own)})
         at += r["size"]
     return made(out, arrow_schema(VOCABULARY))
@@ -350,17 +350,23 @@ def block_pairs(plan: Plan):
         learn = ~np.array(docs.column("held_out").to_pylist(), dtype=bool)
         keys, which = np.unique(keys, return_inverse=True)
         n = np.bincount(which, weights=learn[owner[pair]], minlength=len(keys)).astype(np.int64)
-        cut, block = plan.scramble.bounds(keys), docs.column("block")[0].as_py()
-        return made([{"part": p, "block": block, "size": int(b - a), "keys": packed_steps(keys[a:b], plan.scramble.low[p]), "n": packed(n[a:b])}
-                     for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a], arrow_schema(PAIRS))
+        cut, block, steps = plan.scramble.bounds(keys), docs.column("block")[0].as_py(), np.diff(keys, prepend=np.uint64(0))
+        there = [p for p in range(len(cut) - 1) if cut[p] < cut[p + 1]]
+        for p in there:
+            steps[cut[p]] = keys[cut[p]] - np.uint64(plan.scramble.low[p])
+        return made([{"part": p, "block": block, "size": int(cut[p + 1] - cut[p]), "keys": packed(steps[cut[p]:cut[p + 1]]), "n": packed(n[cut[p]:cut[p + 1]])}
+                     for p in there], arrow_schema(PAIRS))
 
     return run
 
 
 def counted_pairs(plan: Plan, rows: list[dict]):
     """(distinct keys of a part, place of each row's keys there, training count of each)."""
-    low = plan.scramble.low[rows[0]["part"]]
-    keys, which = np.unique(np.concatenate([unpacked_steps(r["keys"], r["size"], low) for r in rows]), return_inverse=True)
+    steps = np.concatenate([unpacked(r["keys"], r["size"]) for r in rows])
+    size = np.array([r["size"] for r in rows])
+    sums = np.append(np.uint64(0), np.cumsum(steps, dtype=np.uint64))
+    before = np.repeat(sums[np.cumsum(size) - size], size)
+    keys, which = np.unique(sums[1:] - before + np.uint64(plan.scramble.low[rows[0]["part"]]), return_inverse=True)
     n = np.concatenate([unpacked(r["n"], r["size"]) for r in rows])
     return keys, which, np.bincount(which, weights=n, minlength=len(keys)).astype(np.int64)
 
