@@ -99,6 +99,8 @@ MEMORY_TILE = 4096
 BINS, BIN_ROWS = 24, 65_536
 #: So many blocks of a timeline; a row that stands for long goes to many, so the rest is kept in few tiles.
 BLOCKS = 96
+#: Least rows of a tile or block of a timeline. A query looks at few of a tile's vectors, so larger tiles cost it little.
+TIMELINE_TILE = 16_384
 
 
 def bin_rows(n: int, least: int, bins: int = BINS) -> int:
@@ -151,18 +153,11 @@ def _nearest_before(queries: pa.Table, entries: pa.Table) -> pa.Table:
     """For each query of one block, the most similar entry of one tile that was stored before it; the first at ties."""
     entries = entries.sort_by("number")
     ids, number, before = (x.to_numpy() for x in (entries["entry_id"], entries["number"], queries["before"]))
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-    if len(ids) and len(before):
-        m, q = matrix(entries["vec"]), matrix(queries["vec"])
-        asked, rows = queries["id"].to_numpy(), max(1, SCORES // len(m))
-        for at in range(0, len(q), rows):
-            s = q[at:at + rows] @ m.T
-            s[number[None, :] > before[at:at + rows, None]] = -np.inf
-            best, top = s.argmax(axis=1), s.max(axis=1)
-            some = np.isfinite(top)
-            found.append((asked[at:at + rows][some], ids[best[some]], top[some]))
-    a, b, sims = map(np.concatenate, zip(*found))
-    return pa.table({"id": a, "entry_id": b, "similarity": sims})
+    if not len(ids) or not len(before):
+        return pa.table({"id": pa.array([], pa.int64()), "entry_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+    top, best = most_similar(matrix(queries["vec"]), matrix(entries["vec"]), before, number - 1, np.full(len(ids), 2 ** 63 - 1))
+    some = np.isfinite(top)
+    return pa.table({"id": queries["id"].to_numpy()[some], "entry_id": ids[best[some]], "similarity": top[some]})
 
 
 def matrix(vectors) -> np.ndarray:
@@ -172,32 +167,127 @@ def matrix(vectors) -> np.ndarray:
 
 
 #: Similarities held at once in a task.
-SCORES = 1 << 22
+SCORES = 1 << 20
+#: Vectors of a task are dealt into cells of about CELL_ROWS, of which there are at most CELLS.
+CELL_ROWS, CELLS = 64, 512
+#: Rounding of angles, which must not rule anything out.
+SLACK = 1e-6
+
+
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The most similar pivot of each row, and its similarity."""
+    cell, top, rows = np.empty(len(x), np.int64), np.empty(len(x)), max(1, SCORES // len(pivots))
+    for at in range(0, len(x), rows):
+        s = x[at:at + rows] @ pivots.T
+        cell[at:at + rows] = here = s.argmax(axis=1)
+        top[at:at + rows] = s[np.arange(len(s)), here]
+    return cell, top
+
 
+def similarities(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return q @ v.T
 
-def top1_before(queries: DataFrame, memory: DataFrame, cfg: Config, id_col: str = "event_id", tile: int = MEMORY_TILE) -> DataFrame:
+
+def most_similar(q: np.ndarray, v: np.ndarray, place: np.ndarray, start: np.ndarray, until: np.ndarray,
+                 mine: np.ndarray | None = None, theirs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of q, the highest similarity to the rows of v that stand at its place (start < place <= until) and are
+    not its own (mine, theirs), and the first row that has it; -inf and -1 without any. Rows are unit vectors, or zeros.
+
+    Exact. The rows of v lie in cells around pivots. A query first meets the two cells of the most similar pivots; then
+    those cells that can hold something as similar as what it has found: by the triangle inequality, no angle in a cell is
+    less than the angle to its pivot without the largest angle in the cell. Cells of which nothing stands at the place
+    are left out, too.
+    """
+    pivots = v[np.linspace(0, len(v) - 1, max(1, min(CELLS, len(v) // CELL_ROWS))).astype(np.int64)]
+    cell, top = nearest_pivots(v, pivots)
+    used, cell = np.unique(cell, return_inverse=True)  # equal pivots leave cells empty
+    pivots, order = pivots[used], np.argsort(cell, kind="stable")
+    v, start, until, theirs = v[order], start[order], until[order], None if theirs is None else theirs[order]
+    first = np.searchsorted(cell[order], np.arange(len(used) + 1))
+    radius = np.maximum.reduceat(np.arccos(np.clip(top[order], -1, 1)), first[:-1])
+    since, till = np.minimum.reduceat(start, first[:-1]), np.maximum.reduceat(until, first[:-1])
+    turn = np.stack([np.cos(radius), np.sin(radius)])
+    best, found = np.full(len(q), -np.inf), np.full(len(q), -1)
+
+    def meet(rows: np.ndarray, c: int) -> None:
+        """The queries of these rows meet a cell."""
+        a, b = first[c], first[c + 1]
+        for at in range(0, len(rows), max(1, SCORES // (b - a))):
+            x = rows[at:at + max(1, SCORES // (b - a))]
+            s, here = similarities(q[x], v[a:b]), place[x, None]
+            out = (start[None, a:b] >= here) | (here > until[None, a:b])
+            if mine is not None:
+                out |= mine[x, None] == theirs[None, a:b]
+            s[out] = -np.inf
+            k = s.argmax(axis=1)
+            highest, row = s[np.arange(len(x)), k], order[a + k]
+            new = ~(highest <= best[x]) | ((highest == best[x]) & (row < found[x]))
+            best[x[new]], found[x[new]] = highest[new], row[new]
+
+    def meet_all(rows: np.ndarray, cells: np.ndarray) -> None:
+        """Each query meets its cell; the cells are sorted."""
+        ends = np.flatnonzero(np.diff(cells)) + 1
+        for x, c in zip(np.split(rows, ends), cells[np.concatenate([[0], ends])] if len(rows) else []):
+            meet(x, c)
+
+    def left(x: np.ndarray, s: np.ndarray, todo: np.ndarray) -> np.ndarray:
+        """Which cells are to be met still, by the queries' similarities to the pivots."""
+        angle = np.arccos(np.clip(best[x], -1, 1)) + SLACK
+        few = s < np.stack([np.cos(angle), -np.sin(angle)], axis=1) @ turn  # the cosine of the angle and the radius
+        if not angle.max() + radius.max() <= np.pi:
+            few &= angle[:, None] + radius <= np.pi
+        return todo & ~few
+
+    nearest = nearest_pivots(q, pivots)[0]
+    by_cell = np.lexsort((place, nearest))
+    meet_all(by_cell, nearest[by_cell])
+    rows = max(1, SCORES // len(pivots))
+    for at in range(0, len(q) if len(pivots) > 1 else 0, rows):
+        x = by_cell[at:at + rows]
+        s, here, each = q[x] @ pivots.T, place[x, None], np.arange(len(x))
+        todo = (since < here) & (here <= till)
+        todo[each, nearest[x]] = False
+        todo = left(x, s, todo)
+        second = np.where(todo, s, -np.inf).argmax(axis=1)
+        some = np.flatnonzero(todo[each, second])
+        some = some[np.argsort(second[some], kind="stable")]
+        meet_all(x[some], second[some])
+        todo[some, second[some]] = False
+        cells, which = np.nonzero(left(x, s, todo).T)
+        meet_all(x[which], cells)
+    return best, found
+
+
+def with_rows(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written, with a number of their own (_row): timelines are made without the vectors, which join by it."""
+    return stage(df.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
+def top1_before(queries: DataFrame, memory: DataFrame, cfg: Config, id_col: str = "event_id", tile: int = TIMELINE_TILE) -> DataFrame:
     """(id, entry_id, similarity): the most similar memory entry stored before each query (id, t_us, vec); similarity 0
     where none was. At equal times, entries of smaller ids than the query's are before it, so none meets itself; at equal
     similarity the entry stored first counts.
 
     Of entries with equal vectors only the first is ever needed. Entries and queries are numbered on one timeline and cut
     into tiles and blocks of consecutive ones, of at least ``tile`` rows and a bounded number of each (`bin_rows`). A query
-    goes to the tiles that begin before it: wholly earlier ones, and one that is open, where later entries are masked. A block and a tile meet in one task as a matrix product.
+    goes to the tiles that begin before it: wholly earlier ones, and one that is open, where later entries are masked. A block and a tile meet in one task (`most_similar`).
     """
     c, zero, one = F.col, F.lit(0).cast("long"), F.lit(1).cast("long")
-    firsts = memory.groupBy("vec").agg(F.min(F.struct("stored_us", "entry_id")).alias("f")).select("f.*", "vec")
+    firsts = memory.withColumn("_hash", F.xxhash64("vec")).groupBy("_hash", "vec").agg(F.min(F.struct("stored_us", "entry_id")).alias("f")).select("f.*", "vec")
     asked = queries.select(c(id_col).alias("id"), "t_us", unit(c("vec").cast("array<double>")).alias("vec"))
-    timeline = firsts.select(c("stored_us").alias("t_us"), c("entry_id").alias("id"), F.lit(1).alias("turn"), one.alias("entry"), zero.alias("query"), "vec") \
-        .unionByName(asked.select("t_us", "id", F.lit(0).alias("turn"), zero.alias("entry"), one.alias("query"), "vec")).withColumn("all", F.lit(0))
+    rows = with_rows(firsts.select(c("stored_us").alias("t_us"), c("entry_id").alias("id"), F.lit(1).alias("turn"), one.alias("entry"), zero.alias("query"), "vec")
+                     .unionByName(asked.select("t_us", "id", F.lit(0).alias("turn"), zero.alias("entry"), one.alias("query"), "vec")), "memory-rows")
+    timeline = rows.drop("vec").withColumn("all", F.lit(0))
     placed = stage(running(timeline, ["all"], {"before": ("sum", c("entry")), "at": ("sum", c("query"))}, cfg.segment_us, ("t_us", "id", "turn"),
                            piece_rows=cfg.block_rows), "memory-timeline")
     n_queries, n_entries = placed.agg(F.coalesce(F.max("at"), zero), F.coalesce(F.max("before"), zero)).first()
-    blocks = placed.filter("turn = 0 AND before > 0").select("id", "vec", "before", F.expr(f"cast((at - 1) div {bin_rows(n_queries, tile, BLOCKS)} as int)").alias("_block"))
+    vecs = lambda turn: rows.filter(c("turn") == turn).select("_row", "vec")
+    blocks = placed.filter("turn = 0 AND before > 0").select("id", "_row", "before", F.expr(f"cast((at - 1) div {bin_rows(n_queries, tile, BLOCKS)} as int)").alias("_block"))
     last = F.expr(f"cast((before - 1) div {bin_rows(n_entries, tile)} as int)")
     grid = blocks.groupBy("_block").agg(F.max(last).alias("_last")).select("_block", F.explode(F.sequence(F.lit(0), "_last")).alias("_tile"))
-    m = placed.filter("turn = 1").select(c("id").alias("entry_id"), "vec", c("before").alias("number"), last.alias("_tile")).join(grid, "_tile")
+    m = placed.filter("turn = 1").select(c("id").alias("entry_id"), "_row", c("before").alias("number"), last.alias("_tile")).join(vecs(1), "_row").join(grid, "_tile")
     m = m.select("entry_id", "number", *[c(x).alias(x) for x in ("vec", "_block", "_tile")])  # names of their own, for the join below
-    q = blocks.withColumn("_tile", F.explode(F.sequence(F.lit(0), last)))
+    q = blocks.join(vecs(0), "_row").select("id", "vec", "before", "_block", F.explode(F.sequence(F.lit(0), last)).alias("_tile"))
     near = q.groupBy("_block", "_tile").cogroup(m.groupBy("_block", "_tile")).applyInArrow(
         _nearest_before, "id long, entry_id long, similarity double")
     best = near.groupBy("id").agg(F.max_by(F.struct("entry_id", "similarity"), "similarity").alias("b"))
@@ -284,8 +374,6 @@ def _compare(threshold: float, links: bool = False, get_wanted=None):
 
 #: Pivots by which distinct vectors are dealt into cells: at most so many, so that all pairs of cells can be looked at.
 PIVOTS = 1024
-#: Rounding of angles, which must not rule anything out.
-SLACK = 1e-6
 
 
 def in_cells(rows: DataFrame, tile_rows: int) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
@@ -410,21 +498,12 @@ def _correlated_before(queries: pa.Table, vectors: pa.Table) -> pa.Table:
     """For each query of one block, the highest similarity to vectors of other actors that stand at its place."""
     codes: dict = {}
     mine, theirs = (np.array([codes.setdefault(x, len(codes)) for x in t["ip"].to_pylist()], dtype=np.int64) for t in (queries, vectors))
+    if not len(mine) or not len(theirs):
+        return pa.table({"event_id": pa.array([], pa.int64()), "best": pa.array([], pa.float64())})
     at, start, end = (x.to_numpy() for x in (queries["at"], vectors["at"], vectors["until"]))
-    found = [(np.empty(0, np.int64), np.empty(0))]
-    if len(mine) and len(theirs):
-        q, v, ids, order = matrix(queries["vec"]), matrix(vectors["vec"]), queries["event_id"].to_numpy(), np.argsort(at, kind="stable")
-        for panel in range(0, len(q), PANEL):
-            here = order[panel:panel + PANEL]
-            some = np.flatnonzero((start < at[here[-1]]) & (at[here[0]] <= end))  # those that stand for one of the panel
-            others, rows = v[some].T, max(1, SCORES // max(1, len(some)))
-            for i in (here[k:k + rows] for k in range(0, len(here) if len(some) else 0, rows)):
-                s, place = q[i] @ others, at[i, None]
-                s[(mine[i, None] == theirs[None, some]) | (start[None, some] >= place) | (place > end[None, some])] = -np.inf
-                top = s.max(axis=1)
-                found.append((ids[i][np.isfinite(top)], top[np.isfinite(top)]))
-    a, b = map(np.concatenate, zip(*found))
-    return pa.table({"event_id": a, "best": b})
+    top, _ = most_similar(matrix(queries["vec"]), matrix(vectors["vec"]), at, start, end, mine, theirs)
+    some = np.isfinite(top)
+    return pa.table({"event_id": queries["event_id"].to_numpy()[some], "best": top[some]})
 
 
 def correlate_before(vectors: DataFrame, window_us: int, cfg: Config, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -437,26 +516,29 @@ def correlate_before(vectors: DataFrame, window_us: int, cfg: Config, tile_rows:
     a tile, whatever the number of actors.
     """
     c, zero, one = F.col, F.lit(0).cast("long"), F.lit(1).cast("long")
-    rows = vectors.select("event_id", "ip", "t_us", unit(c("vec").cast("array<double>")).alias("vec"))
+    rows = with_rows(vectors.select("event_id", "ip", "t_us", unit(c("vec").cast("array<double>")).alias("vec")), "correlation-rows")
     ends = rows.select("event_id", "ip", (c("t_us") + window_us).alias("t_us"), F.lit(1).alias("turn"), zero.alias("one"))
-    line = rows.withColumn("turn", F.lit(0)).withColumn("one", one).unionByName(ends, allowMissingColumns=True).withColumn("all", F.lit(0))
+    line = rows.drop("vec").withColumn("turn", F.lit(0)).withColumn("one", one).unionByName(ends, allowMissingColumns=True).withColumn("all", F.lit(0))
     # a window ends after everything at its last moment
     line = line.withColumn("_id", F.when(c("turn") == 0, c("event_id")).otherwise(F.lit(2 ** 63 - 1)))
     placed = running(line, ["all"], {"at": ("sum", c("one"))}, cfg.segment_us, ("t_us", "_id", "event_id", "turn"), piece_rows=cfg.block_rows)
-    placed = stage(placed.select("event_id", "ip", "t_us", "turn", "vec", "at"), "correlation-timeline")
+    placed = stage(placed.select("event_id", "ip", "t_us", "turn", "_row", "at"), "correlation-timeline")
     shown = stage(running(placed.filter("turn = 0").drop("turn"), ["ip"], {"rn": ("sum", one)}, cfg.segment_us), "correlation-shown")
     after = shown.select("ip", (c("rn") - 1).alias("rn"), (c("at") - 1).alias("until"))
     window = placed.filter("turn = 1").select("event_id", c("at").alias("window_end"))
     stands = shown.join(after, ["ip", "rn"], "left").join(window, "event_id").withColumn("until", F.least("until", "window_end"))
+    stands = stage(stands.select("event_id", "ip", "_row", "at", "until").join(rows.select("_row", "vec"), "_row"), "correlation-stands")
     places, = placed.agg(F.coalesce(F.max("at"), zero)).first()
     size, tile = bin_rows(places, tile_rows, BLOCKS), bin_rows(places, 2 * tile_rows)
     block = lambda x: F.expr(f"cast(({x}) div {size} as int)")
-    stands = stands.filter("until > at").select("ip", "vec", "at", "until", F.explode(F.sequence(block("at"), block("until - 1"))).alias("_block"))
-    n, = stands.groupBy("_block").agg(F.count("*").alias("n")).agg(F.max("n")).first()
+    standing = stands.filter("until > at")
+    spans = standing.select(block("at").alias("_first"), block("until - 1").alias("_last"))
+    n, = spans.select(F.explode(F.sequence("_first", "_last")).alias("_block")).groupBy("_block").agg(F.count("*").alias("n")).agg(F.max("n")).first()
     tiles = max(1, -(-(n or 0) // tile))
-    v = stands.withColumn("_tile", F.pmod(F.xxhash64("ip"), F.lit(tiles)).cast("int"))
+    v = standing.select("ip", "vec", "at", "until", F.explode(F.sequence(block("at"), block("until - 1"))).alias("_block"))
+    v = v.withColumn("_tile", F.pmod(F.xxhash64("ip"), F.lit(tiles)).cast("int"))
     v = v.select("until", *[c(x).alias(x) for x in ("ip", "vec", "at", "_block", "_tile")])  # names of their own, for the join below
-    q = shown.select("event_id", "ip", "vec", "at", block("at - 1").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_tile"))
+    q = stands.select("event_id", "ip", "vec", "at", block("at - 1").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_tile"))
     near = q.groupBy("_block", "_tile").cogroup(v.groupBy("_block", "_tile")).applyInArrow(_correlated_before, "event_id long, best double")
     best = near.groupBy("event_id").agg(F.max("best").alias("best"))
     return shown.select("event_id").join(best, "event_id", "left").select(

@@ -200,3 +200,54 @@ def test_timelines_are_cut_into_a_bounded_number_of_blocks(spark, monkeypatch):
     V.top1_before(df, V.memorize(memory.limit(0), memory), LIVE, tile=2)
     assert len(sent_rows) == 4 and max(sent_rows) <= len(rows) * (V.BLOCKS + 1)
     assert sent_rows[1] <= len(rows) + 7 * (V.BLOCKS + 1)  # a vector of each actor stands where a block begins
+
+
+def brute_similar(q, v, place, start, until, mine, theirs):
+    s = q @ v.T
+    out = (start[None] >= place[:, None]) | (place[:, None] > until[None])
+    s[out if mine is None else out | (mine[:, None] == theirs[None])] = -np.inf
+    return s
+
+
+@pytest.mark.parametrize("actors", [None, 40])
+@pytest.mark.parametrize("spread", [0.02, 5.0])
+def test_a_block_meets_few_vectors_of_a_tile(monkeypatch, actors, spread):
+    """The results are those of all pairs: with zeros, copies, vectors alone, places at which nothing stands; where vectors
+    lie in groups, most pairs are ruled out."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(60, 9))
+    x = base[rng.integers(0, 60, 6000)] + rng.normal(scale=spread, size=(6000, 9))
+    x[::50], x[1::40] = 0.0, x[0::40][:len(x[1::40])]
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+    q, v = x[:2500], x[2500:]
+    place, start = rng.integers(0, 400, len(q)), rng.integers(5, 380, len(v))
+    until = start + rng.integers(0, 300, len(v))
+    mine, theirs = (None, None) if actors is None else (rng.integers(0, actors, len(q)), rng.integers(0, actors, len(v)))
+    met, plain = [], V.similarities
+    monkeypatch.setattr(V, "similarities", lambda a, b: met.append(len(a) * len(b)) or plain(a, b))
+    best, found = V.most_similar(q, v, place, start, until, mine, theirs)
+    want = brute_similar(q, v, place, start, until, mine, theirs)
+    none = ~np.isfinite(want.max(axis=1))
+    assert 0 < none.sum() < 200 and (found[none] == -1).all() and np.isneginf(best[none]).all()
+    assert np.allclose(best[~none], want.max(axis=1)[~none], rtol=0, atol=1e-12)
+    assert np.allclose(want[~none, found[~none]], best[~none], rtol=0, atol=1e-12)
+    if spread < 1:
+        assert sum(met) < 0.3 * want.size
+
+
+def test_of_equal_similarities_the_first_row_counts():
+    v = np.tile(np.eye(4), (100, 1))
+    best, found = V.most_similar(np.eye(4), v, np.full(4, 9), np.where(np.arange(400) < 40, 9, 0), np.full(400, 9))
+    assert best.tolist() == [1.0] * 4 and found.tolist() == [40, 41, 42, 43]
+
+
+def test_evidence_computes_the_features_once(traffic, monkeypatch):
+    from reqguard.plans import queries as Q
+    calls, whole = [], Q.FT.features
+    monkeypatch.setattr(Q.FT, "features", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    df, rows = traffic
+    got = Q.bayes_fusion(df).collect()
+    assert len(calls) == 1
+    assert sorted(r["event_id"] for r in got) == [r["event_id"] for r in rows]
+    assert {r["memory_sim"] for r in got if r["event_id"] == rows[0]["event_id"]} == {0.0}
+    assert max(r["correlation"] for r in got) > 0.9 and max(r["memory_sim"] for r in got) > 0.9
