@@ -279,7 +279,7 @@ def top1_before(queries: DataFrame, memory: DataFrame, cfg: Config, id_col: str
                      .unionByName(asked.select("t_us", "id", F.lit(0).alias("turn"), zero.alias("entry"), one.alias("query"), "vec")), "memory-rows")
     timeline = rows.drop("vec").withColumn("all", F.lit(0))
     placed = stage(running(timeline, ["all"], {"before": ("sum", c("entry")), "at": ("sum", c("query"))}, cfg.segment_us, ("t_us", "id", "turn"),
-                           piece_rows=cfg.block_rows), "memory-timeline")
+                           piece_rows=max(cfg.block_rows, BIN_ROWS)), "memory-timeline")
     n_queries, n_entries = placed.agg(F.coalesce(F.max("at"), zero), F.coalesce(F.max("before"), zero)).first()
     vecs = lambda turn: rows.filter(c("turn") == turn).select("_row", "vec")
     blocks = placed.filter("turn = 0 AND before > 0").select("id", "_row", "before", F.expr(f"cast((at - 1) div {bin_rows(n_queries, tile, BLOCKS)} as int)").alias("_block"))
@@ -521,7 +521,7 @@ def correlate_before(vectors: DataFrame, window_us: int, cfg: Config, tile_rows:
     line = rows.drop("vec").withColumn("turn", F.lit(0)).withColumn("one", one).unionByName(ends, allowMissingColumns=True).withColumn("all", F.lit(0))
     # a window ends after everything at its last moment
     line = line.withColumn("_id", F.when(c("turn") == 0, c("event_id")).otherwise(F.lit(2 ** 63 - 1)))
-    placed = running(line, ["all"], {"at": ("sum", c("one"))}, cfg.segment_us, ("t_us", "_id", "event_id", "turn"), piece_rows=cfg.block_rows)
+    placed = running(line, ["all"], {"at": ("sum", c("one"))}, cfg.segment_us, ("t_us", "_id", "event_id", "turn"), piece_rows=max(cfg.block_rows, BIN_ROWS))
     placed = stage(placed.select("event_id", "ip", "t_us", "turn", "_row", "at"), "correlation-timeline")
     shown = stage(running(placed.filter("turn = 0").drop("turn"), ["ip"], {"rn": ("sum", one)}, cfg.segment_us), "correlation-shown")
     after = shown.select("ip", (c("rn") - 1).alias("rn"), (c("at") - 1).alias("until"))
